@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from logloom.llm import textbatch as tb
 
 #: Rated documents that a model is fitted on at most (about: they are chosen by a hash of doc_id).
-MOST_ROWS = 8192
+MOST_ROWS = 12_288
 #: Hashed words; after them come the shapes of three characters, and word-statistics in bins.
 _WORD_BITS = 16
 _KINDS = np.full(256, 5, np.int64)
@@ -95,7 +95,7 @@ def _fitted(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.nd
     return Model(p[:_WIDTH].astype(np.float32), p[_WIDTH] + np.concatenate(([0], np.cumsum(np.exp(p[_WIDTH + 1 :])))))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grades: int, most_rows: int = MOST_ROWS, steps: int = 150, rate: float = 0.05, decay: float = 1e-6) -> Model | None:
+def fit(docs: DataFrame, ratings: DataFrame, grades: int, most_rows: int = MOST_ROWS, steps: int = 300, rate: float = 0.2, decay: float = 1e-5) -> Model | None:
     """A model of ratings (doc_id, grade: int from 0 to grades - 1) over the whole texts of docs.
 
     Ratings with a null or an impossible grade are left out; of several for one doc_id the least holds. Of

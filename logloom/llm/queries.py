@@ -58,8 +58,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model, tail_from=2)
 
 
-def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    coded = encode_decode(docs, tokenizer_path("byte_bpe_50k.json"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -68,6 +68,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_near_duplicates": op2_near_duplicates,
