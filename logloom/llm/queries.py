@@ -11,6 +11,7 @@ from logloom.llm.bpe import encode_decode
 from logloom.llm.decontam import benchmark_of, find_leaks
 from logloom.llm.line_dedup import drop_repeated_lines
 from logloom.llm.minhash import near_duplicates
+from logloom.llm.suffix_dedup import drop_repeated_substrings
 from logloom.llm.token_count import count_tokens
 
 
@@ -48,6 +49,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_substrings(documents(spark, sf_dir), window=200)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -78,6 +84,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
