@@ -9,6 +9,7 @@ from logloom.llm import langid, quality
 from logloom.llm.ann import search
 from logloom.llm.bpe import encode_decode
 from logloom.llm.decontam import benchmark_of, find_leaks
+from logloom.llm.fm_dedup import drop_repeated_word_spans
 from logloom.llm.line_dedup import drop_repeated_lines
 from logloom.llm.minhash import near_duplicates
 from logloom.llm.suffix_dedup import drop_repeated_substrings
@@ -78,6 +79,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir))
 
 
+def op10_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_word_spans(documents(spark, sf_dir), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_near_duplicates": op2_near_duplicates,
@@ -88,6 +94,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
+    "op10_fm_dedup": op10_fm_dedup,
 }
 
 ORACLES: dict[str, str] = {}

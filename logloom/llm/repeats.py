@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import textbatch as tb
+from logloom.llm.shared import written
 
 #: 2**27 bits, 16 MB: a filter never grows, however many keys there are. A full one lets everything pass,
 #: which costs work but changes no result.
@@ -30,6 +31,7 @@ class Units:
     sums: np.ndarray
     down: np.ndarray
     edges: np.ndarray
+    word: np.ndarray | None = None
 
     @classmethod
     def of_bytes(cls, data: np.ndarray, offsets: np.ndarray) -> "Units":
@@ -40,7 +42,7 @@ class Units:
         up, down = tb.powers(len(word) + 1, tb._WORD_BASE)
         sums = np.zeros(len(word) + 1, np.uint64)
         np.cumsum(word * up[: len(word)], out=sums[1:])
-        return cls(sums, down, np.searchsorted(row, np.arange(rows + 1)))
+        return cls(sums, down, np.searchsorted(row, np.arange(rows + 1)), word)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Fingerprints of [start, end)."""
@@ -140,3 +142,106 @@ def mapped(docs: DataFrame, columns: dict[str, str], make: Callable, unit: Calla
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return docs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in columns.items()))
+
+
+SPAN = {"k1": "long", "k2": "long", "h": "long", "start": "int", "end": "int"}
+
+
+@dataclass
+class Sieve:
+    """What workers need to find again the anchors that two rounds left; grams is a broadcast filter."""
+
+    window: int
+    gram: int
+    grams: object
+
+    def anchors(self, u: Units) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """The anchors whose gram occurs more than once (or that the filter lets pass), and their grams."""
+        found = u.anchors(self.window, self.gram)
+        key = u.spans(found[1], found[1] + self.gram)
+        some = np.flatnonzero(in_filter(self.grams.value, key))
+        return tuple(x[some] for x in found), key[some]
+
+    def at(self, u: Units, batch: pa.RecordBatch, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The anchors whose places are in a filter."""
+        found, _ = self.anchors(u)
+        row, first = found[0], found[2]
+        some = np.flatnonzero(in_filter(bits, place_key(batch.column("k1").to_numpy()[row], first - u.edges[row])))
+        return tuple(x[some] for x in found)
+
+
+@dataclass
+class Narrowed:
+    """What two rounds leave: spans known to be repeated, and the places whose windows are still doubtful.
+
+    places: h (the stretch), n (how often it occurs), k1, start, g. Of each stretch one place is there, if
+    its gram has a stretch that occurs once; a place with n = 1 is undecided, the others may be its partners.
+    """
+
+    whole: DataFrame
+    places: DataFrame
+    sieve: Sieve
+
+
+def narrowed(docs: DataFrame, unit: Callable, window: int, gram: int) -> Narrowed:
+    """Rounds 1 and 2: anchors by their gram, and by the whole stretch of their windows."""
+
+    def grams(u: Units, batch: pa.RecordBatch):
+        row, place, _, _ = u.anchors(window, gram)
+        return row, {"h": u.spans(place, place + gram)}
+
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(repeated(mapped(docs, {"h": "long"}, grams, unit), "h"), F.col("h")))
+    sieve = Sieve(window, gram, bits)
+
+    def stretches(u: Units, batch: pa.RecordBatch):
+        (row, _, first, last), key = sieve.anchors(u)
+        base = u.edges[row]
+        return row, {"h": u.spans(first, last + window), "g": key, "start": first - base, "end": last + window - base}
+
+    found = written(mapped(docs, SPAN | {"g": "long"}, stretches, unit), "stretches")
+    one_each = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "start", "g")).alias("at")).select("h", "n", "at.*"), "places")
+    doubtful = one_each.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
+    whole = found.join(one_each.filter("n > 1"), "h", "left_semi").select("k1", "k2", "start", "end")
+    return Narrowed(whole, written(one_each.join(doubtful, "g", "left_semi"), "doubtful"), sieve)
+
+
+def blocks_of(u: Units, found: tuple[np.ndarray, ...], window: int, block: int) -> tuple[np.ndarray, ...]:
+    """For each block of windows of the given anchors: row, the block's first and last window start, those of
+    its windows that the anchor owns, and names of the common and of the covering string (0 where that would
+    leave the document). Equal windows are in blocks of the same common string."""
+    row, place, first, last = found
+    low, high = (place - last) // block, (place - first) // block
+    of = np.repeat(np.arange(len(row)), high - low + 1)
+    k = tb.ragged(low, high - low + 1)
+    left, right = place[of] - (k * block + block - 1), place[of] - k * block
+    # The block's number is part of its name: two anchors of a document may have the same string as a block.
+    number = tb.mixed(k.astype(np.uint64) + np.uint64(1))
+    core = tb.mixed(u.spans(right, left + window) ^ number)
+    inside = (left >= u.edges[row[of]]) & (right + window <= u.edges[row[of] + 1])
+    whole = np.zeros(len(of), np.uint64)
+    whole[inside] = tb.mixed(u.spans(left[inside], right[inside] + window) ^ number[inside])
+    return row[of], left, right, np.maximum(left, first[of]), np.minimum(right, last[of]), core, whole
+
+
+def collected(spans: DataFrame) -> DataFrame:
+    """k1, k2 and all spans of a row; a document has no more spans than units."""
+    return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def merged(spans: pa.Array, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the maximal runs of each row's spans."""
+    spans = spans.fill_null([])
+    flat = spans.flatten()
+    row = np.repeat(np.arange(rows), np.diff(spans.offsets.to_numpy()))
+    start, end = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    if len(row) == 0:
+        return row, start, end
+    shift = row * (int(end.max()) + 2)  # rows stand apart, so that one running maximum serves all
+    reach = np.maximum.accumulate(end + shift)
+    new = np.ones(len(row), bool)
+    new[1:] = (start + shift)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], start[first], reach[last] - shift[first]

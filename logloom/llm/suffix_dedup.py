@@ -27,112 +27,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import textbatch as tb
-from logloom.llm.repeats import Units, filter_of, in_filter, mapped, place_key, places, repeated, row_keys
+from logloom.llm.repeats import SPAN, Units, blocks_of, collected, filter_of, in_filter, mapped, merged, narrowed, places, repeated, row_keys
 from logloom.llm.shared import written
 
-_SPAN = {"k1": "long", "k2": "long", "h": "long", "start": "int", "end": "int"}
-
-
-def _blocks(u: Units, found: tuple, window: int, block: int):
-    """For each block of windows of the given anchors: the anchor, the block's first and last window start,
-    those of its windows that the anchor owns, and the fingerprints of the common and the covering string
-    (0 where that would leave the document)."""
-    row, place, first, last = found
-    low, high = (place - last) // block, (place - first) // block
-    of = np.repeat(np.arange(len(row)), high - low + 1)
-    k = tb.ragged(low, high - low + 1)
-    left, right = place[of] - (k * block + block - 1), place[of] - k * block
-    # The block's number is part of its name: two anchors of a document may have the same string as a block.
-    number = tb.mixed(k.astype(np.uint64) + np.uint64(1))
-    core = tb.mixed(u.spans(right, left + window) ^ number)
-    inside = (left >= u.edges[row[of]]) & (right + window <= u.edges[row[of] + 1])
-    whole = np.zeros(len(of), np.uint64)
-    whole[inside] = tb.mixed(u.spans(left[inside], right[inside] + window) ^ number[inside])
-    return row[of], left, right, np.maximum(left, first[of]), np.minimum(right, last[of]), core, whole
-
 
 def repeated_spans(docs: DataFrame, window: int = 200, gram: int = 64, block: int = 12) -> DataFrame:
     """k1, k2 (row_keys), spans: array of (start, end) in bytes, overlapping or not, whose union is covered by
     repeated windows. docs: the result of row_keys()."""
-    spark = docs.sparkSession
-    docs = docs.filter(F.octet_length("text") >= window)
-    broadcast = spark.sparkContext.broadcast
-    unit = Units.of_bytes
-
-    def grams(u: Units, batch: pa.RecordBatch):
-        row, place, _, _ = u.anchors(window, gram)
-        return row, {"h": u.spans(place, place + gram)}
-
-    one = filter_of(repeated(mapped(docs, {"h": "long"}, grams, unit), "h"), F.col("h"))
-    keep1 = broadcast(one)
-
-    def anchors(u: Units):
-        found = u.anchors(window, gram)
-        key = u.spans(found[1], found[1] + gram)
-        some = np.flatnonzero(in_filter(keep1.value, key))
-        return tuple(x[some] for x in found), key[some]
-
-    def stretches(u: Units, batch: pa.RecordBatch):
-        (row, _, first, last), key = anchors(u)
-        base = u.edges[row]
-        return row, {"h": u.spans(first, last + window), "g": key, "start": first - base, "end": last + window - base}
-
-    two = written(mapped(docs, _SPAN | {"g": "long"}, stretches, unit), "stretches")
-    one_each = written(two.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "start", "g")).alias("at")).select("h", "n", "at.*"), "places")
-    doubtful = one_each.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
-    keep2 = broadcast(filter_of(places(one_each.join(doubtful, "g", "left_semi")), F.col("h")))
-    whole = two.join(one_each.filter("n > 1"), "h", "left_semi").select("k1", "k2", "start", "end")
-
-    def undecided(u: Units, batch: pa.RecordBatch):
-        found, _ = anchors(u)
-        row, first = found[0], found[2]
-        key = place_key(batch.column("k1").to_numpy()[row], first - u.edges[row])
-        some = np.flatnonzero(in_filter(keep2.value, key))
-        return _blocks(u, tuple(x[some] for x in found), window, block)
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    docs, unit = docs.filter(F.octet_length("text") >= window), Units.of_bytes
+    rounds = narrowed(docs, unit, window, gram)
+    sieve = rounds.sieve
+    doubtful = broadcast(filter_of(places(rounds.places), F.col("h")))
 
     def blocks(u: Units, batch: pa.RecordBatch):
-        row, left, right, _, _, core, cover = undecided(u, batch)
+        row, left, right, _, _, core, cover = blocks_of(u, sieve.at(u, batch, doubtful.value), window, block)
         base = u.edges[row]
         return row, {"h": cover, "core": core, "start": left - base, "end": right + window - base}
 
-    three = written(mapped(docs, _SPAN | {"core": "long"}, blocks, unit), "blocks")
+    three = written(mapped(docs, SPAN | {"core": "long"}, blocks, unit), "blocks")
     again = written(repeated(three.filter("h <> 0"), "h"), "again")
-    cores = repeated(three, "core")
-    open_blocks = three.join(again, "h", "left_anti").join(cores, "core", "left_semi")
-    keep3 = broadcast(filter_of(open_blocks.select("core"), F.col("core")))
+    open_blocks = three.join(again, "h", "left_anti").join(repeated(three, "core"), "core", "left_semi")
+    cores = broadcast(filter_of(open_blocks.select("core"), F.col("core")))
     parts = three.join(again, "h", "left_semi").select("k1", "k2", "start", "end")
 
     def singles(u: Units, batch: pa.RecordBatch):
-        row, _, _, own_first, own_last, core, _ = undecided(u, batch)
-        some = np.flatnonzero(in_filter(keep3.value, core))
-        n = own_last[some] - own_first[some] + 1
-        start, of = tb.ragged(own_first[some], n), np.repeat(row[some], n)
+        row, _, _, first, last, core, _ = blocks_of(u, sieve.at(u, batch, doubtful.value), window, block)
+        some = np.flatnonzero(in_filter(cores.value, core))
+        n = last[some] - first[some] + 1
+        start, of = tb.ragged(first[some], n), np.repeat(row[some], n)
         return of, {"h": u.spans(start, start + window), "start": start - u.edges[of], "end": start + window - u.edges[of]}
 
-    four = written(mapped(docs, _SPAN, singles, unit), "windows")
+    four = written(mapped(docs, SPAN, singles, unit), "windows")
     last = four.join(repeated(four, "h"), "h", "left_semi").select("k1", "k2", "start", "end")
-    spans = whole.unionByName(parts).unionByName(last)
-    return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-
-
-def _merged(spans: pa.Array, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of the maximal runs of each row's spans."""
-    spans = spans.fill_null([])
-    flat = spans.flatten()
-    row = np.repeat(np.arange(rows), np.diff(spans.offsets.to_numpy()))
-    start, end = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-    order = np.lexsort((start, row))
-    row, start, end = row[order], start[order], end[order]
-    if len(row) == 0:
-        return row, start, end
-    # Shift rows apart so that one running maximum serves all.
-    shift = row * (int(end.max()) + 2)
-    reach = np.maximum.accumulate(end + shift)
-    new = np.ones(len(row), bool)
-    new[1:] = (start + shift)[1:] > reach[:-1]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(row)) - 1
-    return row[first], start[first], (reach - shift[np.arange(len(row))])[last]
+    return collected(rounds.whole.unionByName(parts).unionByName(last))
 
 
 def drop_repeated_substrings(docs: DataFrame, window: int = 200, gram: int = 64) -> DataFrame:
@@ -153,7 +81,7 @@ def drop_repeated_substrings(docs: DataFrame, window: int = 200, gram: int = 64)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tb.slices(batches):
             n = batch.num_rows
-            row, start, end = _merged(batch.column("spans"), n)
+            row, start, end = merged(batch.column("spans"), n)
             gone = tb.covered(start + offsets[row], end + offsets[row], len(data))
             removed = np.bincount(row, weights=end - start, minlength=n).astype(np.int64)
             kept = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.concatenate(([0], np.cumsum(np.diff(offsets) - removed))).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
