@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.columns import normal_guid
+from logloom.schema import EPOCH_TICKS
 
 ANOMALY = ("source", "code", "severity", "verify_severity", "chunk_offset", "record_id", "expected", "found", "details")
 
@@ -165,7 +166,9 @@ def record_anomalies(recs: DataFrame, full: bool = True) -> DataFrame:
     if full:
         timed = recs.filter("filetime <> 0")
         clocks = backward_clocks(timed, ["source", "chunk_offset"], "record_offset", "filetime")
-        phantom = phantom_gaps(timed.withColumn("ts_ns", F.col("filetime") * 100), ["source"])
+        # From 1970, so that nanoseconds fit; times too far away to fit say nothing about gaps.
+        ns = F.try_multiply(F.try_subtract("filetime", F.lit(EPOCH_TICKS)), F.lit(100).cast("long"))
+        phantom = phantom_gaps(timed.withColumn("ts_ns", ns).filter("ts_ns is not null"), ["source"])
         parts += [
             _anomaly(clocks, "TIMESTAMP_ANOMALY", F.col("chunk_offset"), F.col("record_id"), F.col("previous_ts"), F.col("filetime")),
             _anomaly(phantom, "PHANTOM_RECORD_INJECTION", F.col("chunk_offset"), F.col("record_id"), F.col("missing"), F.col("delta_ns")),
