@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logloom.llm.shared import dropped, written
 
 
+def _marked(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and what tells whether they changed."""
+    seen = Observation()
+    out = written(e.observe(seen, F.count("u").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")), "edges")
+    return out, (seen.get["n"], seen.get["h"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: every node with an edge and the smallest node it reaches. Edges are pairs of long.
 
@@ -17,22 +24,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     spark = edges.sparkSession
     e = edges.filter(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e, mark = written(e, "edges"), None
+    e, mark = _marked(e)
     while True:
-        now = tuple(e.agg(F.count("u"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first())
-        if now == mark:
-            break
-        mark = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        new = written(small, "edges")
-        dropped(spark, large)
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        new, now = _marked(small.filter("u <> v").distinct())
         dropped(spark, e)
         e = new
+        if now == mark:
+            break
+        mark = now
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from logloom.llm import textbatch as tb
 from logloom.llm.graph import components
-from logloom.llm.shared import dropped, written
+from logloom.llm.shared import written
 
 _GOLDEN = 0x9E3779B97F4A7C15
+#: Most members of what is left of a bucket that are compared in pairs.
+PAIRED = 64
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -115,6 +117,22 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "shared", (F.size("set_a") + F.size("set_b") - F.col("shared")).alias("joint"))
 
 
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components among members (rep, component) that may be linked, by an exact
+    prefix filter. A linked pair shares at least percent of either set, so it shares one of the
+    n - ceil(n * percent / 100) + 1 rarest shingles of each, rarity being counted among the members. What is
+    unlike all others has only shingles of its own there and drops out."""
+    held = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    each = held.select("rep", "component", F.size("set").alias("n"), F.explode("set").alias("s"))
+    rarity = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(rarity, "s").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
+    reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    prefix = ranked.select("rep", "component", F.explode(F.slice("all", F.lit(1), reach)).alias("x")).filter("x.df > 1").select("rep", "component", "x.s")
+    prefix = written(prefix, "prefix")
+    other = prefix.select(F.col("rep").alias("b"), F.col("component").alias("cb"), "s")
+    return prefix.join(other, "s").filter("rep < b and component <> cb").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, width: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -129,11 +147,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     buckets; in a bucket all are compared with one pivot, the member that shares most buckets. Who is near
     the pivot is linked through it. By the triangle inequality of the Jaccard distance, a far member can be
     linked to a near one only if their distances from the pivot differ by no more than the link distance:
-    those pairs are compared if still unlinked. Far members go on to the next round with a new pivot. So no
-    bucket is capped, none emits all its pairs, and no link between different components is lost that shares
+    those pairs are compared if still unlinked. Up to PAIRED far members of a bucket are compared in pairs,
+    more by an exact prefix filter on their rarest shingles. So no bucket is capped, none emits all its pairs, and no link between different components is lost that shares
     a band: a pair at the threshold of 80 % (85 %) shares none of 32 bands of 4 with probability 5e-8 (6e-11).
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     table = written(_sketch_table(docs, k, bands, width), "sketch")
     classes = table.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
@@ -145,35 +162,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     members = written(members.select("band", "rep").join(weight, "rep"), "members")
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(_set_table(docs.join(needed, "doc_id", "left_semi"), k), "sets")
-    links = spark.createDataFrame([], "a long, b long")
-    labels = None
-    far_enough = 1 - percent / 100
     linked = f"100 * shared >= {percent} * joint"
-    while True:
-        pivots = members.groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("pivot"), F.count("rep").alias("n")).filter("n > 1").drop("n")
-        placed = written(members.join(pivots, "band"), "placed")
-        pairs = placed.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        measured = written(_measured(pairs, sets).dropDuplicates(["a", "b"]), "measured")
-        if measured.isEmpty():
-            break
-        links = links.unionByName(measured.filter(linked).select("a", "b"))
-        labels = components(links)
-        label = labels.select(F.col("node").alias("rep"), F.col("component"))
-        at = measured.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("joint")).alias("d"), F.expr(linked).alias("near"))
-        at = placed.join(at, ["pivot", "rep"], "left").select("band", "rep", "weight", "pivot", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("near", F.lit(True)).alias("near"))
-        at = at.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        # Buckets whose members are one component already are done.
-        mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-        at = written(at.join(mixed, "band", "left_semi"), "at")
-        far = at.filter("not near")
-        near = at.filter("near and rep <> pivot").select("band", F.col("rep").alias("a"), F.col("d").alias("da"), F.col("component").alias("ca"))
-        doubtful = far.join(near, "band").filter(F.col("component") != F.col("ca")).filter(F.col("d") - F.col("da") <= far_enough + 1e-9)
-        doubtful = doubtful.select("a", F.col("rep").alias("b")).distinct()
-        links = written(links.unionByName(_measured(doubtful, sets).filter(linked).select("a", "b")), "links")
-        rest = written(far.select("band", "rep", "weight"), "members")
-        dropped(spark, members)
-        dropped(spark, placed)
-        members = rest
+    pivots = members.groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("pivot"))
+    placed = written(members.join(pivots, "band"), "placed")
+    pairs = placed.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    measured = written(_measured(pairs, sets).dropDuplicates(["a", "b"]), "measured")
+    first = measured.filter(linked).select("a", "b")
+    label = components(first).select(F.col("node").alias("rep"), "component")
+    at = measured.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("joint")).alias("d"), F.expr(linked).alias("near"))
+    at = placed.join(at, ["pivot", "rep"], "left").select("band", "rep", "pivot", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("near", F.lit(True)).alias("near"))
+    at = at.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # Buckets whose members are one component already are done.
+    mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
+    at = written(at.join(mixed, "band", "left_semi"), "at")
+    far = at.filter("not near")
+    sizes = far.groupBy("band").agg(F.count("rep").alias("left"))
+    far = written(far.join(sizes, "band"), "far")
+    near = at.filter("near and rep <> pivot").select("band", F.col("rep").alias("a"), F.col("d").alias("da"), F.col("component").alias("ca"))
+    few = far.filter(F.col("left") <= PAIRED)
+    others = few.select("band", F.col("rep").alias("a"), F.col("d").alias("da"), F.col("component").alias("ca"))
+    doubtful = far.join(near, "band").unionByName(few.join(others, "band").filter("rep < a"))
+    doubtful = doubtful.filter(F.col("component") != F.col("ca")).filter(F.abs(F.col("d") - F.col("da")) <= 1 - percent / 100 + 1e-9)
+    doubtful = doubtful.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+    many = far.filter(F.col("left") > PAIRED).select("rep", "component").distinct()
+    doubtful = doubtful.unionByName(_prefix_pairs(many, sets, percent)).distinct()
+    links = first.unionByName(_measured(doubtful, sets).filter(linked).select("a", "b"))
     labels = components(links)
     class_of = classes.select("n_shingles", "s1", "s2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     class_of = class_of.select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
