@@ -127,10 +127,12 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     rarity = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(rarity, "s").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
     reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = ranked.select("rep", "component", F.explode(F.slice("all", F.lit(1), reach)).alias("x")).filter("x.df > 1").select("rep", "component", "x.s")
+    prefix = ranked.select("rep", "component", "n", F.posexplode(F.slice("all", F.lit(1), reach)).alias("i", "x")).filter("x.df > 1").select("rep", "component", "n", "i", "x.s")
     prefix = written(prefix, "prefix")
-    other = prefix.select(F.col("rep").alias("b"), F.col("component").alias("cb"), "s")
-    return prefix.join(other, "s").filter("rep < b and component <> cb").select(F.col("rep").alias("a"), "b").distinct()
+    other = prefix.select(F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"), "s")
+    # The first shingle that a linked pair shares leaves room behind it, in both orders, for all that they share.
+    room = (100 + percent) * F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib")) >= percent * (F.col("n") + F.col("nb"))
+    return prefix.join(other, "s").filter("rep < b and component <> cb").filter(room).select(F.col("rep").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, width: int = 4) -> DataFrame:

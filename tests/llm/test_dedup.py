@@ -2,9 +2,11 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from helpers import documents, fold, multiset, rows, sentence, words
 
 from logloom.llm.fm_dedup import FMIndex, drop_repeated_word_spans, repeated_windows
+from logloom.llm import minhash
 from logloom.llm.line_dedup import drop_repeated_lines, without_repeated_lines
 from logloom.llm.minhash import keep_one, near_duplicates
 from logloom.llm.suffix_dedup import drop_repeated_substrings
@@ -149,7 +151,23 @@ def test_near_duplicates(spark):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_near_duplicates_in_large_groups(spark):
+def test_prefix_pairs_lose_none(spark):
+    r = random.Random(9)
+    sets = {}
+    for g in range(12):
+        base = [r.randrange(10**9) for _ in range(r.randint(20, 60))]
+        for _ in range(8):
+            sets[len(sets)] = sorted({x if r.random() > 0.05 else r.randrange(10**9) for x in base})
+    table = spark.createDataFrame(list(sets.items()), "doc_id long, set array<long>")
+    members = table.select("doc_id").withColumnRenamed("doc_id", "rep").selectExpr("rep", "rep as component")
+    got = {(x["a"], x["b"]) for x in minhash._prefix_pairs(members, table, 85).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+    assert len(linked) > 20 and linked <= got and len(got) < len(sets) ** 2 / 4
+
+
+@pytest.mark.parametrize("paired", [64, 1])
+def test_near_duplicates_in_large_groups(spark, monkeypatch, paired):
+    monkeypatch.setattr(minhash, "PAIRED", paired)
     r = random.Random(8)
     given = []
     for g in range(3):
