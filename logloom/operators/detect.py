@@ -6,6 +6,7 @@ match none are filtered before anything is built. Bursts need neighbours and com
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -37,6 +38,18 @@ def _is(text: Column, words: tuple[str, ...]) -> Column:
     return F.lower(text).isin(*[w.lower() for w in words])
 
 
+def _names(words: tuple[str, ...], whole: bool, suffix: str = "") -> str:
+    """A pattern for names in a lower-case command line, whole names or also parts of longer ones. A name that
+    ends in * is a prefix. A suffix may be missing in the command line; folders of a path are no names."""
+    before, after = r"(?<![\w.$\\/-])", r"(?![\w.$\\/-])"
+    stems = [w.lower().removesuffix(suffix) for w in words]
+    prefixes = "|".join(re.escape(w[:-1]) for w in stems if w.endswith("*"))
+    rest = "|".join(re.escape(w) for w in stems if not w.endswith("*"))
+    found = [f"{before}(?:{prefixes})"] if prefixes else []
+    found += ([f"{before}(?:{rest})(?:{re.escape(suffix)})?{after}"] if whole else [rest]) if rest else []
+    return "|".join(found)
+
+
 def _under(path: Column, prefixes: tuple[str, ...]) -> Column:
     return _any([F.startswith(F.lower(path), F.lit(p)) for p in prefixes])
 
@@ -161,11 +174,15 @@ def detect_events(evt: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def kill_hits(evt: DataFrame) -> DataFrame:
-    return evt.filter(process_created() & (basename(image()) == "taskkill.exe") & F.lower(command()).contains("/im") & _has(command(), S.KILLED_PROCESSES))
+    named = _has(command(), S.KILLED_PARTS) | F.lower(command()).rlike(_names(S.KILLED_PROCESSES, True, ".exe"))
+    return evt.filter(process_created() & (basename(image()) == "taskkill.exe") & F.lower(command()).contains("/im") & named)
 
 
 def stop_hits(evt: DataFrame) -> DataFrame:
-    return evt.filter(process_created() & basename(image()).isin("net.exe", "net1.exe", "sc.exe") & F.lower(command()).contains("stop") & _has(command(), S.STOPPED_SERVICES))
+    # Names of up to four letters stand in too many others.
+    short, long = tuple(w for w in S.STOPPED_SERVICES if len(w) <= 4), tuple(w for w in S.STOPPED_SERVICES if len(w) > 4)
+    named = _has(command(), S.STOPPED_PARTS) | F.lower(command()).rlike(f"{_names(short, True)}|{_names(long, False)}")
+    return evt.filter(process_created() & basename(image()).isin("net.exe", "net1.exe", "sc.exe") & F.lower(command()).contains("stop") & named)
 
 
 def detect_bursts(evt: DataFrame, by: list[str] | None = None) -> DataFrame:

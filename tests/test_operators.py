@@ -8,6 +8,7 @@ from logloom.operators import analytics as A
 from logloom.operators import detect as D
 from logloom.operators import extract as X
 from logloom.operators import integrity as I
+from logloom.operators import signatures as S
 from logloom.operators.manifest import named_fields, parse_manifest
 from logloom.schema import DEFENDER, HYPERV, POWERSHELL, SILVER, SYSMON, TASK_SCHEDULER, WMI_ACTIVITY, conform
 from logloom.sinks import writers as W
@@ -101,6 +102,25 @@ def test_stop_bursts(spark):
     assert D.detect_all(silver(spark, stop(0), stop(1))).count() == 0
 
 
+def burst_kinds(spark, image, commands):
+    rows = [(1, SYSMON, {"Image": f"C:\\{image}", "CommandLine": c}, i) for i, c in enumerate(commands)]
+    return {r["kind"] for r in D.detect_bursts(silver(spark, *rows)).collect()}
+
+
+def test_bursts_of_listed_names(spark):
+    kills = lambda *names: burst_kinds(spark, "taskkill.exe", [f"taskkill /F /IM {n}" for n in names])
+    assert kills("thebat.exe", "XFSSVCCON.exe", "masvc", "macmnsvc.exe", '"sqlagent.exe"') == {"taskkill_av_cluster"}
+    assert kills("McAfeeFramework.exe", "tomcat9.exe", "HitmanPro.Alert.exe", "mysqld-nt.exe", "sql*") == {"taskkill_av_cluster"}
+    assert kills(*["notepadxx.exe", "mynode.exe", "javaw.exe", "superbackup.exe"] * 3) == set()
+    assert burst_kinds(spark, "taskkill.exe", ["C:\\backup\\taskkill.exe /im other.exe"] * 6) == set()
+    stops = lambda *names: burst_kinds(spark, "net.exe", [f"net stop {n}" for n in names])
+    assert stops("SQLBrowser", "MSExchangeSA", "swi_filter") == {"service_stop_avset"}
+    assert stops("wbengine", "vss /y", "MSSQL$ANY") == {"service_stop_avset"}
+    assert stops('"Veeam Mount Service"', "GxCVD(Instance001)", "SQLTELEMETRY$X") == {"service_stop_avset"}
+    assert stops("novss", "myservice1", "vssx", "comms", "snacks") == set()
+    assert not {"KILLED_PROCESSES", "STOPPED_SERVICES"} & S.COMPLETE
+
+
 def test_sessions(spark):
     on = lambda i, at, kind="10": (4624, "Security", {"TargetLogonId": i, "LogonType": kind, "IpAddress": "-"}, at)
     off = lambda i, at: (4634, "Security", {"TargetLogonId": i}, at)
