@@ -96,22 +96,31 @@ def _search_block(q_ids: np.ndarray, q: np.ndarray, orders: np.ndarray, row: dic
     edges, rows = np.frombuffer(row["edges"], np.int64), np.frombuffer(row["rows"], np.int32)
     ranks = np.frombuffer(row["ranks"], np.int16).astype(np.int32)
     norms, prefix = np.sqrt((x * x).sum(axis=1)), orders.shape[1]
-    want = max(least, int(np.ceil(share * len(ids))))
+    # Rows by vec_id; a vec_id is a candidate with all its rows, so copies take no one else's place.
+    by_id = np.argsort(ids, kind="stable")
+    distinct, of = np.unique(ids, return_inverse=True)
+    repeats = len(distinct) < len(ids)
+    heads = np.searchsorted(ids[by_id], distinct)
+    want = max(least, int(np.ceil(share * len(distinct))))
     for i in range(len(q_ids)):
-        if want < len(ids):
+        if want < len(distinct):
             # Footrule distance of the two prefixes is a constant less twice this sum over shared pivots.
             near = np.zeros(len(ids), np.int32)
             for rank, pivot in enumerate(orders[i].tolist()):
                 a, b = edges[pivot], edges[pivot + 1]
                 near[rows[a:b]] += prefix - np.maximum(rank, ranks[a:b])
-            bar = np.partition(near, len(near) - want)[len(near) - want]
-            some = np.flatnonzero((near >= bar) & (ids != q_ids[i]))
+            best_of = np.maximum.reduceat(near[by_id], heads) if repeats else near
+            bar = np.partition(best_of, len(distinct) - want)[len(distinct) - want]
+            some = np.flatnonzero(((best_of[of] if repeats else near) >= bar) & (ids != q_ids[i]))
         else:
             some = np.flatnonzero(ids != q_ids[i])
         if len(some):
             # Row by row in one order of summation, so equal vectors have equal scores.
             score = (x[some] * q[i]).sum(axis=1) / (norms[some] * np.sqrt((q[i] * q[i]).sum()))
-            best = np.lexsort((ids[some], -score))[: k + 1]
+            best = np.lexsort((ids[some], -score))
+            if repeats:
+                best = best[np.sort(np.unique(ids[some][best], return_index=True)[1])]
+            best = best[:k]
             yield int(q_ids[i]), ids[some][best], score[best]
 
 
@@ -119,9 +128,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 256
     """query_id, rank, vec_id, score: for each row for which is_query holds, its k nearest other rows found.
 
     vectors: vec_id and embedding. Nearness is the cosine in double precision; ties go to the smaller vec_id.
-    All rows are indexed. In each block of the index the `share` of rows (at least `least`, and all ties)
-    with the least footrule distance from the query are ranked by their cosine; with all candidates, if there
-    are no more. Vectors that are null, zero, of another width than most, or hold a null or non-finite
+    All rows are indexed. In each block of the index the `share` of vec_ids (at least `least`, and all ties)
+    with the least footrule distance from the query are ranked by their cosine, with all their rows; with all
+    candidates, if there are no more. Each block gives its k best vec_ids. Vectors that are null, zero, of another width than most, or hold a null or non-finite
     component take no part, nor do rows without vec_id. Rows with the vec_id of a query are its own; a
     vec_id that is repeated counts once, by its best score. Other columns are not read.
 

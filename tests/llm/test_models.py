@@ -4,7 +4,7 @@ import numpy as np
 from helpers import documents, sentence
 from pyspark.sql import functions as F
 
-from logloom.llm import langid, quality
+from logloom.llm import ann, langid, quality
 from logloom.llm.ann import search
 
 
@@ -88,3 +88,27 @@ def test_neighbours_edges(spark):
     got = search(v, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
     assert [(r[0], r[1], r[2], round(r[3], 12)) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 2, 0.0)]
     assert search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
+
+
+def test_neighbours_beside_repeated_ids(spark):
+    # Ten copies of one vec_id near the query, in one block: they count once.
+    rows = [(0, [1.0, 0.0, 0.0]), *[(1, [1.0, 0.01, 0.0])] * 10, *[(i, [1.0, 0.1 * i, 0.0]) for i in range(2, 9)]]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    assert [r["vec_id"] for r in search(v, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_repeated_ids_take_one_place_each():
+    # 40 copies near the query would take all of least=20 places; the ids behind them are still candidates.
+    r = np.random.default_rng(4)
+    far = r.normal(size=(60, 8))
+    x = np.concatenate((np.tile([1.0, *[0.0] * 7], (40, 1)), far))
+    ids = np.concatenate((np.ones(40, np.int64), np.arange(2, 62)))
+    pivots = ann._units(r.normal(size=(16, 8)))
+    orders = ann._orders(x, pivots, 8)
+    flat = orders.reshape(-1)
+    by = np.argsort(flat, kind="stable")
+    edges = np.searchsorted(flat[by], np.arange(17))
+    row = {"ids": ids.tobytes(), "vectors": x.tobytes(), "edges": edges.tobytes(), "rows": (by // 8).astype(np.int32).tobytes(), "ranks": (by % 8).astype(np.int16).tobytes()}
+    q = np.array([[1.0, *[0.0] * 7]])
+    ((_, found, score),) = ann._search_block(np.array([0]), q, ann._orders(q, pivots, 8), row, 5, 0.1, 20)
+    assert found[0] == 1 and len(set(found.tolist())) == 5 and (np.diff(score) <= 0).all()
