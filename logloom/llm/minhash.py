@@ -69,32 +69,51 @@ def sketches(h: np.ndarray, r: np.ndarray, rows: int, t: int) -> np.ndarray:
     return out.reshape(rows, t)
 
 
+_SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+
+
+def _sketched(doc_id: pa.Array, h: np.ndarray, r: np.ndarray, bands: int, width: int) -> pa.RecordBatch:
+    """The sketch rows of the sets that hold h, by their rows r."""
+    n, t = len(doc_id), bands * width
+    counts = tb.row_counts(r, n)
+    names = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
+    filled = np.flatnonzero(counts)
+    if len(h):
+        at = np.searchsorted(r, filled)
+        for name, salt in zip(names, (0x5851F42D4C957F2D, 0x14057B7EF767814F), strict=True):
+            name[filled] = np.add.reduceat(tb.mixed(h ^ np.uint64(salt)), at)
+    s = sketches(h, np.searchsorted(filled, r), len(filled), t).reshape(len(filled), bands, width)
+    key = np.zeros((len(filled), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(_GOLDEN)
+    for j in range(width):
+        key = tb.mixed(key + s[:, :, j])
+    edges = np.concatenate(([0], np.cumsum(np.where(counts > 0, bands, 0)))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(key.reshape(-1).view(np.int64)))
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(counts), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), lists], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+
+
 def _sketch_table(docs: DataFrame, k: int, bands: int, width: int) -> DataFrame:
     """doc_id, n_shingles, s1, s2 (128 bits that name the set), bands (a hash for each band)."""
-    t = bands * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tb.slices(batches):
-            n = batch.num_rows
-            h, r = shingle_sets(data, offsets, k)
-            counts = tb.row_counts(r, n)
-            names = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
-            filled = np.flatnonzero(counts)
-            if len(h):
-                at = np.searchsorted(r, filled)
-                for name, salt in zip(names, (0x5851F42D4C957F2D, 0x14057B7EF767814F), strict=True):
-                    name[filled] = np.add.reduceat(tb.mixed(h ^ np.uint64(salt)), at)
-            s = sketches(h, np.searchsorted(filled, r), len(filled), t).reshape(len(filled), bands, width)
-            key = np.zeros((len(filled), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(_GOLDEN)
-            for j in range(width):
-                key = tb.mixed(key + s[:, :, j])
-            edges = np.concatenate(([0], np.cumsum(np.where(counts > 0, bands, 0)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(key.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), lists], ["doc_id", "n_shingles", "s1", "s2", "bands"]
-            )
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+            yield _sketched(batch.column("doc_id"), *shingle_sets(data, offsets, k), bands, width)
+
+    return docs.mapInArrow(run, _SKETCH)
+
+
+def _sketch_of_sets(sets: DataFrame, bands: int, width: int) -> DataFrame:
+    """The rows of _sketch_table() for doc_id and set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                column = batch.column("set")
+                h = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                r = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+                yield _sketched(batch.column("doc_id"), h, r, bands, width)
+
+    return sets.select("doc_id", "set").mapInArrow(run, _SKETCH)
 
 
 def _set_table(docs: DataFrame, k: int) -> DataFrame:
@@ -109,6 +128,12 @@ def _set_table(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, set array<long>")
 
 
+def _united(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id and set: the union of the shingle sets of all rows of a document."""
+    each = _set_table(docs.dropDuplicates(["doc_id", "text"]), k).select("doc_id", F.explode_outer("set").alias("s"))
+    return each.groupBy("doc_id").agg(F.collect_set("s").alias("set"))
+
+
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, shared, joint: sizes of the intersection and union of the full sets of each pair."""
     b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -142,8 +167,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     case; fewer words are one shingle, none the empty set). Documents are linked when
     100 * |intersection| >= percent * |union| on the full sets; component_id is the least doc_id that links
     reach; kept is doc_id = component_id. Empty sets are linked with nothing. Rows without doc_id take no
-    part and have neither component nor a false kept. Rows that repeat a doc_id are one node and stay or go
-    together. Other columns are not read; no rows in, no rows out.
+    part and have neither component nor a false kept. Rows that repeat a doc_id are one node, with the union
+    of their sets if their texts differ, and stay or go together. Other columns are not read; no rows in, no rows out.
 
     Sets that are equal are one class (by a pre-aggregated key). Class representatives meet in `bands`
     buckets; in a bucket all are compared with one pivot, the member that shares most buckets. Who is near
@@ -154,7 +179,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     a band: a pair at the threshold of 80 % (85 %) shares none of 32 bands of 4 with probability 5e-8 (6e-11).
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    table = written(_sketch_table(docs, k, bands, width), "sketch")
+    repeated = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("copies")).filter("copies > 1"), "repeated")
+    united = None
+    if not repeated.isEmpty():
+        united = written(_united(docs.join(repeated, "doc_id", "left_semi"), k), "united")
+        docs = docs.join(repeated, "doc_id", "left_anti")
+    table = _sketch_table(docs, k, bands, width)
+    if united is not None:
+        copies = repeated.select("doc_id", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+        table = table.unionByName(_sketch_of_sets(united, bands, width).join(copies.select("doc_id"), "doc_id"))
+    table = written(table, "sketch")
     classes = table.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     members = classes.select("rep", F.explode("bands").alias("band"))
@@ -163,12 +197,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     members = written(members.select("band", "rep").join(weight, "rep"), "members")
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(_set_table(docs.join(needed, "doc_id", "left_semi"), k), "sets")
+    sets = _set_table(docs.join(needed, "doc_id", "left_semi"), k)
+    if united is not None:
+        sets = sets.unionByName(united.join(needed, "doc_id", "left_semi"))
+    sets = written(sets, "sets")
     linked = f"100 * shared >= {percent} * joint"
     pivots = members.groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("pivot"))
     placed = written(members.join(pivots, "band"), "placed")
     pairs = placed.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    measured = written(_measured(pairs, sets).dropDuplicates(["a", "b"]), "measured")
+    measured = written(_measured(pairs, sets), "measured")
     first = measured.filter(linked).select("a", "b")
     label = components(first).select(F.col("node").alias("rep"), "component")
     at = measured.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("joint")).alias("d"), F.expr(linked).alias("near"))

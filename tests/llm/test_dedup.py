@@ -182,6 +182,23 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch, paired):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
 
 
+def test_near_duplicates_unite_rows_of_a_document(spark):
+    # As in the SQL: the set of a document is the union over its rows, whatever their texts.
+    a, b, c = (sentence(200 + i, 90) for i in range(3))
+    given = [(1, a), (1, b), (2, a), (3, a + "\n" + b), (4, b), (5, c), (6, c), (6, "few words"), (7, a), (7, None), (8, None), (8, "")]
+    words_of = lambda t: words(fold(t))
+    sets = defaultdict(set)
+    for d, t in given:
+        w = words_of(t)
+        sets[d] |= {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    component = {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 5, 7: 2, 8: 8}
+    for x, y in ((x, y) for x in sets for y in sets if x < y and sets[x]):
+        assert (100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])) == (component[x] == component[y])
+    got = near_duplicates(spark.createDataFrame(given, "doc_id long, text string"), 3, 85)
+    want = sorted((d, len(sets[d]), component[d], component[d] == d) for d, _ in given)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_keep_one(spark):
     docs = documents(spark)
     out = keep_one(docs)
