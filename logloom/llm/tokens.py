@@ -10,9 +10,9 @@ is encoded once.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from itertools import chain, repeat
 
 import numpy as np
@@ -207,14 +207,19 @@ class TreeEncoder(PlainEncoder):
     """Byte-level BPE that encodes long pre-tokens by tree concatenation.
 
     A pre-token of more than `leaf` bytes is cut into pieces that are encoded in parallel and joined in
-    pairs, level by level. At a join, a window of tokens on both sides is encoded anew and grows until its
+    pairs, level by level, all joins of a level in parallel: in batches for the library's own threads, as
+    Python's would wait for each other, or one after the other with one worker. At a join, a window of tokens on both sides is encoded anew and grows until its
     first and last tokens are those that the two sides have there. A sequence is the BPE encoding of its
     bytes exactly if every two neighbours are the encoding of their own bytes, so then the join is exact.
     """
 
-    def __init__(self, path: str, leaf: int = 2048, workers: int = 1):
+    def __init__(self, path: str, leaf: int = 2048, workers: int | None = None):
+        """workers: the cores of this machine if None; with more than one, the library's own threads encode."""
+        from tokenizers import Tokenizer
+
         super().__init__(path, spaced=True)
-        self.leaf, self.workers = leaf, workers
+        self.leaf, self.workers = leaf, workers or len(os.sched_getaffinity(0))
+        self.bare = Tokenizer(self.model)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = {t: self.tokenizer.token_to_id(t) for t in special}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -232,27 +237,33 @@ class TreeEncoder(PlainEncoder):
                     ids += self.tree(word)
         return ids
 
-    def leaves(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word)]
+    def leaves(self, words: list[str]) -> list[list[int]]:
+        if self.workers > 1 and len(words) > 1:
+            return [e.ids for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
+        return [[t.id for t in self.model.tokenize(w)] for w in words]
 
     def tree(self, word: str) -> list[int]:
-        cut = [word[i : i + self.leaf] for i in range(0, len(word), self.leaf)]
-        with ThreadPoolExecutor(self.workers) as pool:
-            level = list(pool.map(self.leaves, cut))
-            while len(level) > 1:
-                joined = list(pool.map(self.join, level[0::2], level[1::2]))
-                level = joined + level[len(level) - len(level) % 2 :]
+        level = self.leaves([word[i : i + self.leaf] for i in range(0, len(word), self.leaf)])
+        while len(level) > 1:
+            joined = self.join(list(zip(level[0::2], level[1::2])))
+            level = joined + level[len(level) - len(level) % 2 :]
         return level[0]
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        reach = 4
-        while True:
-            before, after = left[-reach:], right[:reach]
-            window = self.leaves("".join(map(self.model.id_to_token, before + after)))
-            ok = window and (reach >= len(left) or window[0] == before[0]) and (reach >= len(right) or window[-1] == after[-1])
-            if ok:
-                return left[: max(0, len(left) - reach)] + window + right[reach:]
-            reach *= 2
+    def join(self, pairs: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(pairs)
+        reach, still = 4, list(range(len(pairs)))
+        while still:
+            near = [(pairs[i][0][-reach:], pairs[i][1][:reach]) for i in still]
+            windows = self.leaves(["".join(map(self.model.id_to_token, before + after)) for before, after in near])
+            more = []
+            for i, (before, after), window in zip(still, near, windows, strict=True):
+                left, right = pairs[i]
+                if window and (reach >= len(left) or window[0] == before[0]) and (reach >= len(right) or window[-1] == after[-1]):
+                    out[i] = left[: max(0, len(left) - reach)] + window + right[reach:]
+                else:
+                    more.append(i)
+            reach, still = 2 * reach, more
+        return out
 
 
 def byte_table(path: str) -> list[bytes]:

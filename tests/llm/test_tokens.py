@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from helpers import documents, multiset, rows
 from tokenizers import Tokenizer
 
+from logloom.llm import bpe
 from logloom.llm import textbatch as tb
 from logloom.llm.bpe import decode, encode, encode_decode
 from logloom.llm.token_count import count_tokens
@@ -64,3 +66,18 @@ def test_round_trip(spark):
     broken = spark.createDataFrame([(1, [447, 222]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert multiset(decode(broken, BYTE), "doc_id", "decoded") == [(1, tokenizer.decode([447, 222], skip_special_tokens=False)), (2, ""), (3, "")]
     assert encode_decode(documents(spark, []), BYTE).count() == 0
+
+
+def test_default_encoder_takes_leaves_together():
+    # The encoder of the query: a long text's leaves, and the joins of a level, go to the library in batches.
+    encoder = bpe._pieces(BYTE).encoder
+    batches, leaves = [], encoder.leaves
+    encoder.workers, had = max(2, encoder.workers), encoder.workers
+    encoder.leaves = lambda words: batches.append(len(words)) or leaves(words)
+    word = "".join(random.Random(3).choice("abcdefgh") for _ in range(8 * encoder.leaf))
+    try:
+        assert encoder.tree(word) == [t.id for t in encoder.model.tokenize(word)]
+    finally:
+        del encoder.leaves
+        encoder.workers = had
+    assert batches[:2] == [8, 4] and had == len(os.sched_getaffinity(0))
