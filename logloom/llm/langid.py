@@ -21,20 +21,37 @@ _BITS = 16
 _SIZES = (1, 2, 3)
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_FOLD = np.arange(256, dtype=np.uint64)
-_FOLD[0x41:0x5B] += np.uint64(0x20)
+#: Lower case of the characters below U+10000 that have one of a single character.
+_FOLD = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(1 << 16)], np.uint64)
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 text, in lower case, and row edges among them."""
+    lead = (data & 0xC0) != 0x80
+    lead[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    at = np.flatnonzero(lead)
+    if len(at) == len(data):
+        return _FOLD[data], offsets
+    length = np.minimum(np.diff(np.append(at, len(data))), 4)
+    code = (data[at] & np.array([0, 0x7F, 0x1F, 0x0F, 0x07], np.uint8)[length]).astype(np.uint64)
+    for j in range(1, 4):
+        more = np.flatnonzero(length > j)
+        code[more] = (code[more] << np.uint64(6)) | (data[at[more] + j] & 0x3F).astype(np.uint64)
+    low = code < len(_FOLD)
+    code[low] = _FOLD[code[low].astype(np.int64)]
+    return code, np.concatenate(([0], np.cumsum(lead)))[offsets]
 
 
 def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size: the bucket of every n-gram of bytes (A-Z in lower case) inside a row, and row edges."""
-    folded = _FOLD[data]
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    packed = np.zeros(len(data), np.uint64)
+    """For each size: the bucket of every n-gram of characters (in lower case) inside a row, and row edges."""
+    code, offsets = characters(data, offsets)
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(code))
+    packed = np.zeros(len(code), np.uint64)
     for n in range(1, max(_SIZES) + 1):
-        packed = (packed[: len(data) - n + 1] << np.uint64(8)) | folded[n - 1 :]
+        packed = (packed[: len(code) - n + 1] << np.uint64(21)) | code[n - 1 :]
         if n in _SIZES and len(packed):
             inside = left[: len(packed)] >= n
-            keys = tb.mixed(packed[inside] + np.uint64(n << 32)) >> np.uint64(64 - _BITS)
+            keys = tb.mixed(packed[inside] ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(64 - _BITS)
             edges = np.concatenate(([0], np.cumsum(inside)))[np.minimum(offsets, len(packed))]
             yield keys.astype(np.int64), edges
 

@@ -19,6 +19,22 @@ def test_language_held_out(spark):
     assert all(0 <= o["score"] <= 1 for o in out)
 
 
+def test_language_by_order_of_characters(spark):
+    # Two languages of the same 3-byte characters, whose first two bytes are equal: only their order tells.
+    r = random.Random(5)
+    step = {"up": 1, "down": -1}
+    given = [(i, "".join(chr(0x5100 + (at + j * step[x]) % 48) for at in [r.randrange(48)] for j in range(96)), x) for i, x in enumerate(r.choice(list(step)) for _ in range(200))]
+    out = langid.identify(spark.createDataFrame(given, "doc_id long, text string, lang string")).filter("held_out").collect()
+    assert len(out) > 20 and all(o["lang_pred"] == given[o["doc_id"]][2] for o in out)
+
+
+def test_characters():
+    rows = ["aÀЖ日\U0001f600Z", "", "ascii", "Я"]
+    raw = [t.encode() for t in rows]
+    code, edges = langid.characters(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert ["".join(map(chr, code[a:b].tolist())) for a, b in zip(edges, edges[1:])] == [t.lower() for t in rows]
+
+
 def test_language_edges(spark):
     out = langid.identify(documents(spark)).collect()
     assert len(out) == documents(spark).count()
