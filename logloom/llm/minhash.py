@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import textbatch as tb
@@ -14,8 +14,6 @@ from logloom.llm.graph import components
 from logloom.llm.shared import written
 
 _GOLDEN = 0x9E3779B97F4A7C15
-#: Most members of what is left of a bucket that are compared in pairs.
-PAIRED = 64
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -135,29 +133,65 @@ def _united(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, shared, joint: sizes of the intersection and union of the full sets of each pair."""
+    """a, b, na, nb, shared: sizes of the full sets of each pair and of their intersection."""
     b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
     both = b.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    both = both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
-    return both.select("a", "b", "shared", (F.size("set_a") + F.size("set_b") - F.col("shared")).alias("joint"))
-
-
-def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components among members (rep, component) that may be linked, by an exact
-    prefix filter. A linked pair shares at least percent of either set, so it shares one of the
-    n - ceil(n * percent / 100) + 1 rarest shingles of each, rarity being counted among the members. What is
-    unlike all others has only shingles of its own there and drops out."""
-    held = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    each = held.select("rep", "component", F.size("set").alias("n"), F.explode("set").alias("s"))
-    rarity = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(rarity, "s").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
-    reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = ranked.select("rep", "component", "n", F.posexplode(F.slice("all", F.lit(1), reach)).alias("i", "x")).filter("x.df > 1").select("rep", "component", "n", "i", "x.s")
-    prefix = written(prefix, "prefix")
-    other = prefix.select(F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"), "s")
-    # The first shingle that a linked pair shares leaves room behind it, in both orders, for all that they share.
-    room = (100 + percent) * F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("ib")) >= percent * (F.col("n") + F.col("nb"))
-    return prefix.join(other, "s").filter("rep < b and component <> cb").filter(room).select(F.col("rep").alias("a"), "b").distinct()
+    sizes = (F.size(x).cast("long").alias(y) for x, y in (("set_a", "na"), ("set_b", "nb")))
+    return both.select("a", "b", *sizes, F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("shared"))
+
+
+def _linked(percent: int) -> Column:
+    return 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
+
+
+def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (pivot, rep, ...) of groups with component and home, the components of rep and of pivot by the
+    links so far, for the pivots whose members aren't all of one component."""
+    label = components(links)
+    groups = groups.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    groups = groups.join(label.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
+    mixed = groups.filter("component <> home").select("pivot").distinct()
+    return groups.join(mixed, "pivot", "left_semi")
+
+
+def _differing_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of members (rep) of one pivot, of different components, that may be linked; exact.
+
+    With D the symmetric difference of a set and its pivot's, two sets of x and y elements are linked if and
+    only if 2 (100 + percent) |Dx & Dy| >= Ax + Ay, where A = (100 + percent) |D| - (100 - percent) |set|.
+    So D is put in an order with the elements first that members of one component alone have, then by
+    rarity. If the first common element of two linked members stands at place i of one, then
+    Ax + Ay <= 2 (100 + percent) (|Dx| - i): each place has a cap on its partner's A. Elements that can have
+    no partner under their caps, by the least A and largest cap of all who have them, drop out before the
+    join, so edits that nobody shares, and the pivot's own, which everybody shares, give no pairs.
+    """
+    both = 100 + percent
+    members = groups.select("pivot", "rep", "component", (F.col("component") != F.col("home")).alias("out"))
+    held = members.join(sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("mine")), "rep").join(sets.select(F.col("doc_id").alias("pivot"), "set"), "pivot")
+    differing = F.array_union(F.array_except("mine", "set"), F.array_except("set", "mine"))
+    held = held.select("pivot", "rep", "component", "out", F.size("mine").cast("long").alias("n"), differing.alias("d"))
+    held = held.withColumn("nd", F.size("d").cast("long")).withColumn("a", both * F.col("nd") - (100 - percent) * F.col("n"))
+    held = written(held, "differing")
+    least = held.groupBy("pivot").agg(F.min("a").alias("floor"))
+    each = held.select("pivot", "rep", "component", "out", "nd", "a", F.explode("d").alias("s"))
+    common = each.groupBy("pivot", "s").agg(F.count(F.lit(1)).alias("df"), (F.min("component") != F.max("component")).alias("mixed"))
+    ranked = each.join(common, ["pivot", "s"]).groupBy("pivot", "rep", "component", "out", "nd", "a").agg(F.array_sort(F.collect_list(F.struct("mixed", "df", "s"))).alias("all"))
+    ranked = ranked.select("pivot", "rep", "component", "out", "nd", "a", F.posexplode("all").alias("i", "x")).filter("x.mixed")
+    ranked = ranked.select("pivot", "rep", "component", "out", "a", (2 * both * (F.col("nd") - F.col("i")) - F.col("a")).alias("cap"), "x.s")
+    ranked = written(ranked.join(least, "pivot").filter("cap >= floor").drop("floor"), "ranked")
+    outside = F.col("out")
+    partners = ranked.groupBy("pivot", "s").agg(
+        F.min("a").alias("least"),
+        F.max("cap").alias("most"),
+        F.min(F.when(outside, F.col("a"))).alias("least_out"),
+        F.max(F.when(outside, F.col("cap"))).alias("most_out"),
+    )
+    meets = F.when(outside, (F.col("cap") >= F.col("least")) & (F.col("a") <= F.col("most"))).otherwise((F.col("cap") >= F.col("least_out")) & (F.col("a") <= F.col("most_out")))
+    some = written(ranked.join(partners.filter("least_out is not null"), ["pivot", "s"]).filter(meets).select("pivot", "s", "rep", "component", "out", "a", "cap"), "meeting")
+    left = some.filter("out").select("pivot", "s", "rep", "component", "a", "cap")
+    right = some.select("pivot", "s", *(F.col(c).alias(f"{c}_b") for c in ("rep", "component", "out", "a", "cap")))
+    pairs = left.join(right, ["pivot", "s"]).filter("component <> component_b and a <= cap_b and a_b <= cap and (not out_b or rep < rep_b)")
+    return pairs.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, width: int = 4) -> DataFrame:
@@ -171,12 +205,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     of their sets if their texts differ, and stay or go together. Other columns are not read; no rows in, no rows out.
 
     Sets that are equal are one class (by a pre-aggregated key). Class representatives meet in `bands`
-    buckets; in a bucket all are compared with one pivot, the member that shares most buckets. Who is near
-    the pivot is linked through it. By the triangle inequality of the Jaccard distance, a far member can be
-    linked to a near one only if their distances from the pivot differ by no more than the link distance:
-    those pairs are compared if still unlinked. Up to PAIRED far members of a bucket are compared in pairs,
-    more by an exact prefix filter on their rarest shingles. So no bucket is capped, none emits all its pairs, and no link between different components is lost that shares
-    a band: a pair at the threshold of 80 % (85 %) shares none of 32 bands of 4 with probability 5e-8 (6e-11).
+    buckets; in a bucket all are compared with one pivot, the member that shares most buckets, so a pivot's
+    group are the members of its buckets. Where a group isn't one component yet, an exact filter on what
+    members differ in from their pivot (_differing_pairs) gives the other pairs. So no bucket is capped, none
+    emits all its pairs, and no link between different components is lost that shares a band: a pair at the
+    threshold of 80 % (85 %) shares none of 32 bands of 4 with probability 5e-8 (6e-11).
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     repeated = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("copies")).filter("copies > 1"), "repeated")
@@ -201,32 +234,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     if united is not None:
         sets = sets.unionByName(united.join(needed, "doc_id", "left_semi"))
     sets = written(sets, "sets")
-    linked = f"100 * shared >= {percent} * joint"
     pivots = members.groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("pivot"))
-    placed = written(members.join(pivots, "band"), "placed")
-    pairs = placed.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    measured = written(_measured(pairs, sets), "measured")
-    first = measured.filter(linked).select("a", "b")
-    label = components(first).select(F.col("node").alias("rep"), "component")
-    at = measured.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("joint")).alias("d"), F.expr(linked).alias("near"))
-    at = placed.join(at, ["pivot", "rep"], "left").select("band", "rep", "pivot", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("near", F.lit(True)).alias("near"))
-    at = at.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    # Buckets whose members are one component already are done.
-    mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    at = written(at.join(mixed, "band", "left_semi"), "at")
-    far = at.filter("not near")
-    sizes = far.groupBy("band").agg(F.count("rep").alias("left"))
-    far = written(far.join(sizes, "band"), "far")
-    near = at.filter("near and rep <> pivot").select("band", F.col("rep").alias("a"), F.col("d").alias("da"), F.col("component").alias("ca"))
-    few = far.filter(F.col("left") <= PAIRED)
-    others = few.select("band", F.col("rep").alias("a"), F.col("d").alias("da"), F.col("component").alias("ca"))
-    doubtful = far.join(near, "band").unionByName(few.join(others, "band").filter("rep < a"))
-    doubtful = doubtful.filter(F.col("component") != F.col("ca")).filter(F.abs(F.col("d") - F.col("da")) <= 1 - percent / 100 + 1e-9)
-    doubtful = doubtful.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-    many = far.filter(F.col("left") > PAIRED).select("rep", "component").distinct()
-    doubtful = doubtful.unionByName(_prefix_pairs(many, sets, percent)).distinct()
-    links = first.unionByName(_measured(doubtful, sets).filter(linked).select("a", "b"))
-    labels = components(links)
+    groups = written(members.join(pivots, "band").filter("rep <> pivot").select("pivot", "rep").distinct(), "groups")
+    near = _measured(groups.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), sets).filter(_linked(percent))
+    links = written(near.select("a", "b"), "links")
+    # A member that shares hardly anything with the pivot may still be near another member: all go on.
+    apart = written(_labelled(groups, links), "apart")
+    last = _measured(_differing_pairs(apart, sets, percent), sets).filter(_linked(percent)).select("a", "b")
+    labels = components(links.unionByName(last))
     class_of = classes.select("n_shingles", "s1", "s2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     class_of = class_of.select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = table.drop("bands").join(class_of, ["n_shingles", "s1", "s2"], "left")

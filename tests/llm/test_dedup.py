@@ -2,7 +2,6 @@
 import random
 from collections import Counter, defaultdict
 
-import pytest
 from helpers import documents, fold, multiset, rows, sentence, words
 
 from logloom.llm.fm_dedup import FMIndex, drop_repeated_word_spans, repeated_windows
@@ -151,23 +150,34 @@ def test_near_duplicates(spark):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_prefix_pairs_lose_none(spark):
+def test_differing_pairs_lose_none(spark):
+    # Each group has a pivot; members differ from it by edits of their own and by edits that many share.
     r = random.Random(9)
-    sets = {}
+    sets, groups = {}, []
     for g in range(12):
         base = [r.randrange(10**9) for _ in range(r.randint(20, 60))]
-        for _ in range(8):
-            sets[len(sets)] = sorted({x if r.random() > 0.05 else r.randrange(10**9) for x in base})
+        shared = [(x, r.randrange(10**9)) for x in r.sample(base, 4)]
+        pivot = len(sets)
+        sets[pivot] = sorted(base)
+        for _ in range(10):
+            swap = dict(r.sample(shared, r.randint(0, 4)))
+            one = {swap.get(x, x) if r.random() > 0.03 else r.randrange(10**9) for x in base[: r.randint(len(base) - 4, len(base))]}
+            near = 100 * len(one & set(base)) >= 85 * len(one | set(base))
+            groups.append((pivot, len(sets), pivot if near else len(sets), pivot))
+            sets[len(sets)] = sorted(one)
     table = spark.createDataFrame(list(sets.items()), "doc_id long, set array<long>")
-    members = table.select("doc_id").withColumnRenamed("doc_id", "rep").selectExpr("rep", "rep as component")
-    got = {(x["a"], x["b"]) for x in minhash._prefix_pairs(members, table, 85).collect()}
-    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+    members = spark.createDataFrame(groups, "pivot long, rep long, component long, home long")
+    got = {(x["a"], x["b"]) for x in minhash._differing_pairs(members, table, 85).collect()}
+    linked = {
+        (x[1], y[1])
+        for x in groups
+        for y in groups
+        if x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and 100 * len(set(sets[x[1]]) & set(sets[y[1]])) >= 85 * len(set(sets[x[1]]) | set(sets[y[1]]))
+    }
     assert len(linked) > 20 and linked <= got and len(got) < len(sets) ** 2 / 4
 
 
-@pytest.mark.parametrize("paired", [64, 1])
-def test_near_duplicates_in_large_groups(spark, monkeypatch, paired):
-    monkeypatch.setattr(minhash, "PAIRED", paired)
+def test_near_duplicates_in_large_groups(spark):
     r = random.Random(8)
     given = []
     for g in range(3):
