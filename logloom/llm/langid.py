@@ -17,6 +17,9 @@ MOST_ROWS = 50_000
 #: Languages that a model may have at most; its matrix is broadcast and takes 256 KB for each.
 MOST_LANGUAGES = 400
 
+#: Text bytes judged at once: every character gives three buckets and as many sums for each language.
+SLICE_BYTES = 1 << 19
+
 _BITS = 16
 _SIZES = (1, 2, 3)
 _LETTERS = np.zeros(256, bool)
@@ -97,7 +100,7 @@ def fit(docs: DataFrame, learnable: Column, most_rows: int = MOST_ROWS, smoothin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), 1 << _BITS), np.int64)
         code = {name: i for i, name in enumerate(languages)}
-        for batch, data, offsets in tb.slices(batches):
+        for batch, data, offsets in tb.slices(batches, most=SLICE_BYTES):
             row_lang = np.array([code[x] for x in batch.column("lang").to_pylist()])
             for keys, edges in gram_buckets(data, offsets):
                 counts += np.bincount((np.repeat(row_lang, np.diff(edges)) << _BITS) | keys, minlength=counts.size).reshape(counts.shape)
@@ -138,7 +141,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = [*model.languages, "und"]
-        for batch, data, offsets in tb.slices(batches):
+        for batch, data, offsets in tb.slices(batches, most=SLICE_BYTES):
             best, score = _judge(model, data, offsets)
             pred = [names[b] for b in best.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
@@ -165,7 +168,7 @@ def in_known_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, data, offsets in tb.slices(batches):
+        for batch, data, offsets in tb.slices(batches, most=SLICE_BYTES):
             best, score = _judge(model, data, offsets)
             keep = (best >= 0) & (score >= least_score)
             yield batch.filter(pa.array(keep)).select(columns)
