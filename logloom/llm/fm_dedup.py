@@ -4,7 +4,9 @@ Every document against an index of the whole corpus would take documents times s
 rounds of repeats.py settle most of the corpus, and what is doubtful is dealt to shards by the string that
 all windows of a block have in common: a window and all its occurrences meet in one shard. Each shard builds
 a compressed FM-index over its passages and streams them through it: backward search over a wavelet matrix
-gives, for each end, how far back the match statistic of the passage reaches while it occurs twice.
+gives, for each end, how far back the match statistic of the passage reaches while it occurs twice. A string
+whose passages alone are more than a shard is meant to hold would make a shard that can't be split; their
+windows are counted under their names instead.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import textbatch as tb
-from logloom.llm.repeats import Units, blocks_of, collected, filter_of, in_filter, mapped, merged, narrowed, places, repeated, row_keys
+from logloom.llm.repeats import FILTER_KEYS, SPAN, Scan, Units, blocks_of, collected, filter_of, in_filter, merged, named, narrowed, repeated, row_keys
 from logloom.llm.shared import written
 
 #: Words a shard's index is meant to hold.
@@ -120,39 +122,11 @@ def repeated_windows(index: FMIndex, text: np.ndarray, start: np.ndarray, length
     return (np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])) if hits else (none, none)
 
 
-def _words_unit(data: np.ndarray, offsets: np.ndarray) -> Units:
-    start, end, row = tb.words(data, offsets, tb.NOT_SPACE)
-    return Units.of_words(tb.word_hashes(data, start, end, tb.EXACT), row, len(offsets) - 1)
+_PASSAGE = {"k1": "long", "k2": "long", "h": "long", "start": "int", "words": "array<long>"}
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 12, block: int = 8, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """k1, k2 (row_keys), spans: array of (start, end) in words whose union is covered by repeated windows."""
-    broadcast = docs.sparkSession.sparkContext.broadcast
-    docs = docs.filter(F.octet_length("text") >= 2 * window - 1)
-    rounds = narrowed(docs, _words_unit, window, gram)
-    sieve = rounds.sieve
-    doubtful = broadcast(filter_of(places(rounds.places), F.col("h")))
-
-    def cores(u: Units, batch: pa.RecordBatch):
-        row, _, _, _, _, core, _ = blocks_of(u, sieve.at(u, batch, doubtful.value), window, block)
-        return row, {"h": core}
-
-    common = broadcast(filter_of(repeated(mapped(docs, {"h": "long"}, cores, _words_unit), "h"), F.col("h")))
-
-    def passages(u: Units, batch: pa.RecordBatch):
-        found = sieve.at(u, batch, doubtful.value)
-        row, _, _, first, last, core, _ = blocks_of(u, found, window, block)
-        some = np.flatnonzero(in_filter(common.value, core))
-        row, first, last, core = row[some], first[some], last[some], core[some]
-        length = last + window - first
-        words = u.word[tb.ragged(first, length)].view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(words))
-        return row, {"h": core, "start": first - u.edges[row], "words": lists}
-
-    columns = {"k1": "long", "k2": "long", "h": "long", "start": "int", "words": "array<long>"}
-    dealt = written(mapped(docs, columns, passages, _words_unit), "passages")
-    total = dealt.agg(F.sum(F.size("words"))).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
+def _searched(passages: DataFrame, window: int) -> DataFrame:
+    """k1, k2, start, end of the repeated windows of passages, for each shard (partition) by its FM-index."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), schema=pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.int64()))]))
@@ -173,8 +147,59 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 12, block: int
                 [table.column("k1").combine_chunks().take(pa.array(passage)), table.column("k2").combine_chunks().take(pa.array(passage)), pa.array(at.astype(np.int32)), pa.array((at + window).astype(np.int32))], ["k1", "k2", "start", "end"]
             )
 
-    last = dealt.repartition(shards, "h").mapInArrow(search, "k1 long, k2 long, start int, end int")
-    return collected(rounds.whole.unionByName(last))
+    return passages.mapInArrow(search, "k1 long, k2 long, start int, end int")
+
+
+def _counted(passages: DataFrame, window: int) -> DataFrame:
+    """The rows of _searched(), by counting every window under its name: pre-aggregated, so of any frequency."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column("words")
+                edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                u = Units.of_hashes(lists.flatten().to_numpy().view(np.uint64), edges, window)
+                n = np.maximum(0, np.diff(edges) - window + 1)
+                at, row = tb.ragged(edges[:-1], n), np.repeat(np.arange(batch.num_rows), n)
+                name = named(u, at, at + window)
+                start = batch.column("start").to_numpy()[row] + at - edges[row]
+                arrays = [batch.column("k1").take(pa.array(row)), batch.column("k2").take(pa.array(row)), *(pa.array(x.view(np.int64)) for x in name.values()), *(pa.array(x.astype(np.int32)) for x in (start, start + window))]
+                yield pa.RecordBatch.from_arrays(arrays, list(SPAN))
+
+    each = written(passages.mapInArrow(windows, ", ".join(f"{c} {t}" for c, t in SPAN.items())), "windows")
+    return each.join(repeated(each, "h", "h2"), ["h", "h2"], "left_semi").select("k1", "k2", "start", "end")
+
+
+def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 12, block: int = 8, shard_words: int = SHARD_WORDS, most_keys: int = FILTER_KEYS) -> DataFrame:
+    """k1, k2 (row_keys), spans: array of (start, end) in words whose union is covered by repeated windows."""
+    broadcast, scan = docs.sparkSession.sparkContext.broadcast, Scan(window, gram, True)
+    block = min(block, window - gram + 1)  # what all windows of a block share is a gram at least
+    whole, doubtful, left = narrowed(docs.filter(F.octet_length("text") >= 2 * window - 1), scan, most_keys)
+
+    def cores(u: Units, batch: pa.RecordBatch, base: int):
+        row, _, _, _, _, core, _, _ = blocks_of(u, doubtful.at(u, batch, base), window, block)
+        return row, {"h": core}
+
+    common = broadcast(filter_of(repeated(scan.mapped(left, {"h": "long"}, cores), "h"), F.col("h"), most_keys))
+
+    def passages(u: Units, batch: pa.RecordBatch, base: int):
+        row, _, _, first, last, core, _, _ = blocks_of(u, doubtful.at(u, batch, base), window, block)
+        some = np.flatnonzero(in_filter(common.value, core))
+        row, first, last, core = row[some], first[some], last[some], core[some]
+        length = last + window - first
+        words = u.word[tb.ragged(first, length)].view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(words))
+        return row, {"h": core, "start": first - u.edges[row] + base, "words": lists}
+
+    dealt = written(scan.mapped(left, _PASSAGE, passages), "passages")
+    sizes = dealt.groupBy("h").agg(F.sum(F.size("words")).alias("n"))
+    frequent = written(sizes.filter(F.col("n") > shard_words).select("h"), "frequent")
+    rare = dealt.join(frequent, "h", "left_anti").select(*_PASSAGE)
+    total = dealt.agg(F.sum(F.size("words"))).first()[0] or 0
+    last = _searched(rare.repartition(max(1, -(-2 * total // shard_words)), "h"), window)
+    if not frequent.isEmpty():
+        last = last.unionByName(_counted(dealt.join(frequent, "h", "left_semi").select(*_PASSAGE), window))
+    return collected(whole.unionByName(last))
 
 
 def drop_repeated_word_spans(docs: DataFrame, window: int = 35, gram: int = 12) -> DataFrame:
@@ -189,21 +214,36 @@ def drop_repeated_word_spans(docs: DataFrame, window: int = 35, gram: int = 12)
     keyed = row_keys(docs)
     joined = keyed.join(repeated_spans(keyed, window, gram), ["k1", "k2"], "left").select("doc_id", "text", "spans")
 
+    def kept_of(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Words, words that stay, and the latter joined, of each row; a and b: edges of what goes, in words."""
+        n = len(offsets) - 1
+        start, end, row = tb.words(data, offsets, tb.NOT_SPACE)
+        base = np.searchsorted(row, np.arange(n + 1))
+        stays = np.flatnonzero(~tb.covered(a + base[of], b + base[of], len(row)))
+        # Copy each word that stays with one byte after it, make that a space, and leave out the last.
+        length = end[stays] - start[stays] + 1
+        out = np.append(data, np.uint8(0x20))[tb.ragged(start[stays], length)]
+        out[np.cumsum(length) - 1] = 0x20
+        sizes = np.bincount(row[stays], weights=length, minlength=n).astype(np.int64)
+        edges, raw = np.concatenate(([0], np.cumsum(sizes))).tolist(), out.tobytes()
+        return np.diff(base), tb.row_counts(row[stays], n), [raw[x : max(x, y - 1)] for x, y in zip(edges, edges[1:])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tb.slices(batches):
-            n = batch.num_rows
-            start, end, row = tb.words(data, offsets, tb.NOT_SPACE)
-            base = np.searchsorted(row, np.arange(n + 1))
-            of, a, b = merged(batch.column("spans"), n)
-            stays = np.flatnonzero(~tb.covered(a + base[of], b + base[of], len(row)))
-            # Copy each word that stays with one byte after it, make that a space, and leave out the last.
-            length = end[stays] - start[stays] + 1
-            out = np.append(data, np.uint8(0x20))[tb.ragged(start[stays], length)]
-            out[np.cumsum(length) - 1] = 0x20
-            sizes = np.bincount(row[stays], weights=length, minlength=n).astype(np.int64)
-            edges, raw = np.concatenate(([0], np.cumsum(sizes))).tolist(), out.tobytes()
-            kept = pa.array([raw[x : max(x, y - 1)].decode("utf-8", "replace") for x, y in zip(edges, edges[1:])], pa.string())
-            n_words = tb.row_counts(row, n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(n_words - tb.row_counts(row[stays], n)), kept], ["doc_id", "n_words", "n_removed", "kept"])
+            of, a, b = merged(batch.column("spans"), batch.num_rows)
+            if len(data) <= tb.SLICE_BYTES:
+                n_words, n_kept, kept = kept_of(data, offsets, of, a, b)
+            else:  # one long text, in parts
+                n, stay, texts = 0, 0, []
+                for x, y in tb.long_parts(data, tb.NOT_SPACE, tb.SLICE_BYTES, 0):
+                    part, edges = data[x:y], np.array([0, y - x])
+                    here = len(tb.words(part, edges, tb.NOT_SPACE)[0])
+                    low, high = np.clip(a - n, 0, here), np.clip(b - n, 0, here)
+                    some = low < high
+                    _, k, text = kept_of(part, edges, of[some], low[some], high[some])
+                    n, stay, texts = n + here, stay + int(k[0]), [*texts, *(t for t in text if t)]
+                n_words, n_kept, kept = np.array([n]), np.array([stay]), [b" ".join(texts)]
+            texts = pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(n_words - n_kept), texts], ["doc_id", "n_words", "n_removed", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")

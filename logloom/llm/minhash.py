@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm import textbatch as tb
 from logloom.llm.graph import components
-from logloom.llm.shared import written
+from logloom.llm.shared import unused, written
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(2**64 - 1)
@@ -20,7 +20,7 @@ _EMPTY = np.uint64(2**64 - 1)
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all rows, sorted within a row, and their rows."""
     start, end, row = tb.words(data, offsets, tb.NOT_SPACE)
-    word = tb.word_hashes(data, start, end, tb.FOLDED)
+    word = tb.word_hashes(data, start, end, folded=True)
     grams = tb.gram_hashes(word, k)
     full = row[: len(grams)] == row[k - 1 : k - 1 + len(grams)]
     hashes, rows = [grams[full]], [row[: len(grams)][full]]
@@ -29,9 +29,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     for n in range(1, k):
         short = np.flatnonzero(counts == n)
         if len(short):
-            total = np.zeros(len(short), np.uint64)
+            total = np.full(len(short), n * _GOLDEN % 2**64, np.uint64)
             for j in range(n):
-                total = tb.mixed(total + word[first[short] + j])
+                total = tb.mixed(total ^ word[first[short] + j])
             hashes.append(total)
             rows.append(short)
     h, r = np.concatenate(hashes), np.concatenate(rows)
@@ -67,6 +67,18 @@ def sketches(h: np.ndarray, r: np.ndarray, rows: int, t: int) -> np.ndarray:
     return out.reshape(rows, t)
 
 
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of rows with the shingle sets of their texts; a long text is worked off in parts."""
+    for batch, data, offsets in tb.slices(batches):
+        if len(data) <= tb.SLICE_BYTES:
+            yield batch, *shingle_sets(data, offsets, k)
+        else:
+            found = np.zeros(0, np.uint64)
+            for a, b in tb.long_parts(data, tb.NOT_SPACE, tb.SLICE_BYTES, k - 1):
+                found = np.union1d(found, shingle_sets(data[a:b], np.array([0, b - a]), k)[0])
+            yield batch, found, np.zeros(len(found), np.int64)
+
+
 _SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 
 
@@ -93,8 +105,8 @@ def _sketch_table(docs: DataFrame, k: int, bands: int, width: int) -> DataFrame:
     """doc_id, n_shingles, s1, s2 (128 bits that name the set), bands (a hash for each band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in tb.slices(batches):
-            yield _sketched(batch.column("doc_id"), *shingle_sets(data, offsets, k), bands, width)
+        for batch, h, r in _sets(batches, k):
+            yield _sketched(batch.column("doc_id"), h, r, bands, width)
 
     return docs.mapInArrow(run, _SKETCH)
 
@@ -118,8 +130,7 @@ def _set_table(docs: DataFrame, k: int) -> DataFrame:
     """doc_id and set (array of long): the full shingle set of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in tb.slices(batches):
-            h, r = shingle_sets(data, offsets, k)
+        for batch, h, r in _sets(batches, k):
             edges = np.searchsorted(r, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges), pa.array(h.view(np.int64)))], ["doc_id", "set"])
 
@@ -164,6 +175,8 @@ def _differing_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFr
     Ax + Ay <= 2 (100 + percent) (|Dx| - i): each place has a cap on its partner's A. Elements that can have
     no partner under their caps, by the least A and largest cap of all who have them, drop out before the
     join, so edits that nobody shares, and the pivot's own, which everybody shares, give no pairs.
+    Of two members of different components one at least isn't linked to the pivot, so Ax + Ay > 0 and linked
+    members do have a common element.
     """
     both = 100 + percent
     members = groups.select("pivot", "rep", "component", (F.col("component") != F.col("home")).alias("out"))
@@ -250,6 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document is kept by near_duplicates(); all columns stay."""
-    gone = near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of docs whose document is kept by near_duplicates(); all columns stay, whatever their names."""
+    (name,) = unused(docs, "gone")
+    gone = near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

@@ -17,44 +17,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import textbatch as tb
-from logloom.llm.shared import written
+from logloom.llm.shared import dropped, written
 
-#: 2**27 bits, 16 MB: a filter never grows, however many keys there are. A full one lets everything pass,
-#: which costs work but changes no result.
+#: 2**27 bits, 16 MB: filters that are broadcast never grow.
 FILTER_BITS = 27
+#: Most keys that a filter is made of (a quarter of its bits). What is more meets by a shuffle instead.
+FILTER_KEYS = 1 << 25
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A name for each pair of names, in order."""
+    h = left * _ODD
+    h += right
+    h ^= h >> np.uint64(32)
+    h *= _GOLDEN
+    return h
 
 
 @dataclass
 class Units:
-    """The units of a slice of rows: prefix sums of their fingerprints, and the rows' edges."""
+    """The units of a slice of rows: names of the strings of `width` units at every place, and the rows' edges.
 
-    sums: np.ndarray
-    down: np.ndarray
+    Names are made by doubling: that of 2 w units is the name of the pair of names of w units at places w
+    apart, up to the largest power of two within a gram. Equal strings have equal names, without a sort.
+    """
+
+    names: np.ndarray
+    width: int
     edges: np.ndarray
     word: np.ndarray | None = None
 
     @classmethod
-    def of_bytes(cls, data: np.ndarray, offsets: np.ndarray) -> "Units":
-        return cls(tb.prefix(data, tb.EXACT), tb.powers(len(data) + 1)[1], offsets)
+    def _doubled(cls, names: np.ndarray, width: int, gram: int, edges: np.ndarray, word: np.ndarray | None = None) -> "Units":
+        while 2 * width <= gram:
+            names = _pairs(names[:-width], names[width:]) if len(names) > width else names[:0]
+            width *= 2
+        return cls(names, width, edges, word)
+
+    @classmethod
+    def of_bytes(cls, data: np.ndarray, offsets: np.ndarray, gram: int) -> "Units":
+        if gram < 8:
+            return cls._doubled(tb.mixed(data.astype(np.uint64) + _GOLDEN), 1, gram, offsets)
+        first = tb.eights(data)[: max(0, len(data) - 7)] * _ODD
+        first ^= first >> np.uint64(32)
+        first *= _GOLDEN
+        return cls._doubled(first, 8, gram, offsets)
 
     @classmethod
-    def of_words(cls, word: np.ndarray, row: np.ndarray, rows: int) -> "Units":
-        up, down = tb.powers(len(word) + 1, tb._WORD_BASE)
-        sums = np.zeros(len(word) + 1, np.uint64)
-        np.cumsum(word * up[: len(word)], out=sums[1:])
-        return cls(sums, down, np.searchsorted(row, np.arange(rows + 1)), word)
+    def of_words(cls, data: np.ndarray, offsets: np.ndarray, gram: int) -> "Units":
+        start, end, row = tb.words(data, offsets, tb.NOT_SPACE)
+        return cls.of_hashes(tb.word_hashes(data, start, end), np.searchsorted(row, np.arange(len(offsets))), gram)
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Fingerprints of [start, end)."""
-        return tb.mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+    @classmethod
+    def of_hashes(cls, word: np.ndarray, edges: np.ndarray, gram: int) -> "Units":
+        return cls._doubled(word, 1, gram, edges, word)
+
+    def spans(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+        """Names of [start, end), each of a gram at least. Names with another salt are independent of these
+        but for equal names of `width` units."""
+        w = self.width
+        h = _pairs(tb.mixed((end - start).astype(np.uint64) + np.uint64(salt)), self.names[start])
+        at = start + w
+        live = np.flatnonzero(at + w < end)
+        while len(live):
+            h[live] = _pairs(h[live], self.names[at[live]])
+            at[live] += w
+            live = live[at[live] + w < end[live]]
+        return tb.mixed(_pairs(h, self.names[end - w]))
 
     def anchors(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, place, first and last window start of every anchor, in order."""
         none = np.zeros(0, np.int64)
-        n = len(self.sums) - 1
-        if n < window:
+        if len(self.names) + self.width - 1 < window:
             return none, none, none, none
-        least = tb.mixed((self.sums[gram:] - self.sums[: n - gram + 1]) * self.down[: n - gram + 1])
+        more = gram - self.width
+        least = tb.mixed(_pairs(self.names[: len(self.names) - more], self.names[more:]))
         least >>= np.uint64(32)
         least <<= np.uint64(32)
         least |= np.arange(len(least), dtype=np.uint64)
@@ -88,7 +128,9 @@ def slot(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def in_filter(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+def in_filter(bits: np.ndarray | None, key: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.ones(len(key), bool)
     at = slot(key)
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
@@ -105,9 +147,13 @@ def places(rows: DataFrame) -> DataFrame:
     return rows.select("k1", "start").mapInArrow(run, "h long")
 
 
-def filter_of(keys: DataFrame, column: Column) -> np.ndarray:
-    """A bit for the high bits of each key. What reaches the driver are at most 2**21 words of 64 bits."""
-    at = keys.select(F.shiftrightunsigned(column, 64 - FILTER_BITS).alias("s"))
+def filter_of(keys: DataFrame, column: Column, most: int = FILTER_KEYS) -> np.ndarray | None:
+    """A bit for the high bits of each key, or None if there are more than `most`. What reaches the driver are
+    at most 2**21 words of 64 bits."""
+    keys = keys.select(column.alias("k"))
+    if keys.count() > most:
+        return None
+    at = keys.select(F.shiftrightunsigned("k", 64 - FILTER_BITS).alias("s"))
     words = at.groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s & 63 AS INT)))").alias("b")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     if words.num_rows:
@@ -120,95 +166,147 @@ def place_key(k1: np.ndarray, start: np.ndarray) -> np.ndarray:
     return tb.mixed(k1.view(np.uint64) ^ (start.astype(np.uint64) << np.uint64(20)))
 
 
-def repeated(rows: DataFrame, key: str) -> DataFrame:
+def repeated(rows: DataFrame, *key: str) -> DataFrame:
     """The keys that more than one row has; counted before the shuffle, so a frequent key is one row a task."""
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
-
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+
+
+def parts(batches: Iterator[pa.RecordBatch], window: int, of_words: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """Slices of rows, their bytes and offsets, and the number of the first unit. A long text comes in parts
+    which have `window` - 1 units in common, so each window begins in one part and lies in it."""
+    for batch, data, offsets in tb.slices(batches):
+        if len(data) <= tb.SLICE_BYTES:
+            yield batch, data, offsets, 0
+        elif of_words:
+            base = 0
+            for a, b in tb.long_parts(data, tb.NOT_SPACE, tb.SLICE_BYTES, window - 1):
+                offsets = np.array([0, b - a])
+                yield batch, data[a:b], offsets, base
+                base += len(tb.words(data[a:b], offsets, tb.NOT_SPACE)[0]) - window + 1
+        else:
+            for a in range(0, len(data) - window + 1, tb.SLICE_BYTES):
+                b = min(len(data), a + tb.SLICE_BYTES + window - 1)
+                yield batch, data[a:b], np.array([0, b - a]), a
 
-def mapped(docs: DataFrame, columns: dict[str, str], make: Callable, unit: Callable) -> DataFrame:
-    """Rows of make(units, batch) over slices of docs. make gives row numbers of the slice and a dict of arrays;
-    k1 and k2 of those rows come first."""
-    arrow = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
-    schema = pa.schema([(c, arrow[t]) for c, t in columns.items()])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in tb.slices(batches):
-            rows, found = make(unit(data, offsets), batch)
-            if len(rows):
-                at = pa.array(rows)
-                if "k1" in columns:
-                    found = {"k1": batch.column("k1").take(at), "k2": batch.column("k2").take(at)} | found
-                arrays = [v if isinstance(v, pa.Array) else pa.array((v.view(np.int64) if v.dtype == np.uint64 else v).astype(schema.field(c).type.to_pandas_dtype(), copy=False)) for c, v in ((c, found[c]) for c in columns)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+@dataclass
+class Scan:
+    """Passes over texts for repeated windows of `window` bytes or words, found by grams of `gram` units."""
 
-    return docs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in columns.items()))
+    window: int
+    gram: int
+    of_words: bool
 
+    def mapped(self, docs: DataFrame, columns: dict[str, str], make: Callable) -> DataFrame:
+        """Rows of make(units, batch, base) over parts of docs. make gives row numbers of the slice and a dict of
+        arrays; k1 and k2 of those rows come first. base: the number of the first unit in the text."""
+        arrow = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+        schema = pa.schema([(c, arrow[t]) for c, t in columns.items()])
+        unit = Units.of_words if self.of_words else Units.of_bytes
 
-SPAN = {"k1": "long", "k2": "long", "h": "long", "start": "int", "end": "int"}
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, data, offsets, base in parts(batches, self.window, self.of_words):
+                rows, found = make(unit(data, offsets, self.gram), batch, base)
+                if len(rows):
+                    at = pa.array(rows)
+                    if "k1" in columns:
+                        found = {"k1": batch.column("k1").take(at), "k2": batch.column("k2").take(at)} | found
+                    arrays = [v if isinstance(v, pa.Array) else pa.array((v.view(np.int64) if v.dtype == np.uint64 else v).astype(schema.field(c).type.to_pandas_dtype(), copy=False)) for c, v in ((c, found[c]) for c in columns)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
+        return docs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in columns.items()))
 
-@dataclass
-class Sieve:
-    """What workers need to find again the anchors that two rounds left; grams is a broadcast filter."""
 
-    window: int
-    gram: int
-    grams: object
+SPAN = {"k1": "long", "k2": "long", "h": "long", "h2": "long", "start": "int", "end": "int"}
+_SALT = 0x5851F42D4C957F2D
 
-    def anchors(self, u: Units) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-        """The anchors whose gram occurs more than once (or that the filter lets pass), and their grams."""
-        found = u.anchors(self.window, self.gram)
-        key = u.spans(found[1], found[1] + self.gram)
-        some = np.flatnonzero(in_filter(self.grams.value, key))
-        return tuple(x[some] for x in found), key[some]
 
-    def at(self, u: Units, batch: pa.RecordBatch, bits: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The anchors whose places are in a filter."""
-        found, _ = self.anchors(u)
-        row, first = found[0], found[2]
-        some = np.flatnonzero(in_filter(bits, place_key(batch.column("k1").to_numpy()[row], first - u.edges[row])))
-        return tuple(x[some] for x in found)
+def named(u: Units, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    """The two names of spans, 128 bits together, by which they are taken to be equal."""
+    return {"h": u.spans(start, end), "h2": u.spans(start, end, _SALT)}
 
 
 @dataclass
-class Narrowed:
-    """What two rounds leave: spans known to be repeated, and the places whose windows are still doubtful.
+class Doubtful:
+    """The places whose windows two rounds leave open, as workers find them again: by a broadcast filter or, if
+    there are too many for one, by the column `marked` of docs, which holds the places of each text."""
 
-    places: h (the stretch), n (how often it occurs), k1, start, g. Of each stretch one place is there, if
-    its gram has a stretch that occurs once; a place with n = 1 is undecided, the others may be its partners.
-    """
+    scan: Scan
+    grams: object
+    bits: object
 
-    whole: DataFrame
-    places: DataFrame
-    sieve: Sieve
+    def at(self, u: Units, batch: pa.RecordBatch, base: int) -> tuple[np.ndarray, ...]:
+        found, _ = anchors_among(u, self.scan, self.grams.value)
+        row, first = found[0], found[2]
+        start = first - u.edges[row] + base
+        if self.bits is None:
+            marked = batch.column("marked").fill_null([])
+            of = np.repeat(np.arange(batch.num_rows), np.diff(marked.offsets.to_numpy()))
+            some = np.flatnonzero(np.isin((row << 32) | start, (of << 32) | marked.flatten().to_numpy().astype(np.int64)))
+        else:
+            some = np.flatnonzero(in_filter(self.bits.value, place_key(batch.column("k1").to_numpy()[row], start)))
+        return tuple(x[some] for x in found)
 
 
-def narrowed(docs: DataFrame, unit: Callable, window: int, gram: int) -> Narrowed:
-    """Rounds 1 and 2: anchors by their gram, and by the whole stretch of their windows."""
+def anchors_among(u: Units, scan: Scan, grams: np.ndarray | None) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The anchors whose gram occurs more than once (or that the filter lets pass), and their grams."""
+    found = u.anchors(scan.window, scan.gram)
+    key = u.spans(found[1], found[1] + scan.gram)
+    some = np.flatnonzero(in_filter(grams, key))
+    return tuple(x[some] for x in found), key[some]
 
-    def grams(u: Units, batch: pa.RecordBatch):
-        row, place, _, _ = u.anchors(window, gram)
-        return row, {"h": u.spans(place, place + gram)}
 
-    bits = docs.sparkSession.sparkContext.broadcast(filter_of(repeated(mapped(docs, {"h": "long"}, grams, unit), "h"), F.col("h")))
-    sieve = Sieve(window, gram, bits)
+def narrowed(docs: DataFrame, scan: Scan, most_keys: int = FILTER_KEYS) -> tuple[DataFrame, Doubtful, DataFrame]:
+    """Rounds 1 and 2: anchors by their gram, and by the whole stretch of their windows.
 
-    def stretches(u: Units, batch: pa.RecordBatch):
-        (row, _, first, last), key = sieve.anchors(u)
-        base = u.edges[row]
-        return row, {"h": u.spans(first, last + window), "g": key, "start": first - base, "end": last + window - base}
+    Returns k1, k2, start, end of the spans known to be repeated, what is still doubtful, and the docs to look
+    for that in. Of each different
+    stretch one place goes on, if its gram has a stretch that occurs once; it is undecided if its own
+    occurs once, and else the partner of others.
+    """
+    spark = docs.sparkSession
+
+    def grams(u: Units, batch: pa.RecordBatch, base: int):
+        row, place, _, _ = u.anchors(scan.window, scan.gram)
+        return row, {"h": u.spans(place, place + scan.gram)}
+
+    again = written(repeated(scan.mapped(docs, {"h": "long"}, grams), "h"), "grams")
+    passing = filter_of(again, F.col("h"), most_keys)
+    shared = spark.sparkContext.broadcast(passing)
+
+    def stretches(u: Units, batch: pa.RecordBatch, base: int):
+        (row, _, first, last), key = anchors_among(u, scan, shared.value)
+        base = u.edges[row] - base
+        return row, named(u, first, last + scan.window) | {"g": key, "start": first - base, "end": last + scan.window - base}
+
+    found = scan.mapped(docs, SPAN | {"g": "long"}, stretches)
+    if passing is None:
+        found = found.join(again.withColumnRenamed("h", "g"), "g", "left_semi")
+    found = written(found, "stretches")
+    dropped(spark, again)
+    one_each = written(found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "g")).alias("at")).select("h", "h2", "n", "at.*"), "places")
+    undecided = one_each.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
+    left = written(one_each.join(undecided, "g", "left_semi").select("k1", "k2", "start"), "doubtful")
+    whole = written(found.join(one_each.filter("n > 1"), ["h", "h2"], "left_semi").select("k1", "k2", "start", "end"), "whole")
+    dropped(spark, found)
+    dropped(spark, one_each)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                key = place_key(b.column("k1").to_numpy(), b.column("start").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["h"])
 
-    found = written(mapped(docs, SPAN | {"g": "long"}, stretches, unit), "stretches")
-    one_each = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "start", "g")).alias("at")).select("h", "n", "at.*"), "places")
-    doubtful = one_each.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
-    whole = found.join(one_each.filter("n > 1"), "h", "left_semi").select("k1", "k2", "start", "end")
-    return Narrowed(whole, written(one_each.join(doubtful, "g", "left_semi"), "doubtful"), sieve)
+    bits = filter_of(left.select("k1", "start").mapInArrow(keys, "h long"), F.col("h"), most_keys)
+    if bits is None:
+        docs = docs.join(left.groupBy("k1", "k2").agg(F.collect_set("start").alias("marked")), ["k1", "k2"])
+    return whole, Doubtful(scan, shared, None if bits is None else spark.sparkContext.broadcast(bits)), docs
 
 
 def blocks_of(u: Units, found: tuple[np.ndarray, ...], window: int, block: int) -> tuple[np.ndarray, ...]:
     """For each block of windows of the given anchors: row, the block's first and last window start, those of
-    its windows that the anchor owns, and names of the common and of the covering string (0 where that would
-    leave the document). Equal windows are in blocks of the same common string."""
+    its windows that the anchor owns, a name of the string common to all and two of the string that covers
+    all (0 where that would leave the part). Equal windows are in blocks of the same common string."""
     row, place, first, last = found
     low, high = (place - last) // block, (place - first) // block
     of = np.repeat(np.arange(len(row)), high - low + 1)
@@ -218,9 +316,10 @@ def blocks_of(u: Units, found: tuple[np.ndarray, ...], window: int, block: int)
     number = tb.mixed(k.astype(np.uint64) + np.uint64(1))
     core = tb.mixed(u.spans(right, left + window) ^ number)
     inside = (left >= u.edges[row[of]]) & (right + window <= u.edges[row[of] + 1])
-    whole = np.zeros(len(of), np.uint64)
-    whole[inside] = tb.mixed(u.spans(left[inside], right[inside] + window) ^ number[inside])
-    return row[of], left, right, np.maximum(left, first[of]), np.minimum(right, last[of]), core, whole
+    cover = [np.zeros(len(of), np.uint64), np.zeros(len(of), np.uint64)]
+    for whole, name in zip(cover, named(u, left[inside], right[inside] + window).values(), strict=True):
+        whole[inside] = tb.mixed(name ^ number[inside])
+    return row[of], left, right, np.maximum(left, first[of]), np.minimum(right, last[of]), core, *cover
 
 
 def collected(spans: DataFrame) -> DataFrame:

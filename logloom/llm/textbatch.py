@@ -1,4 +1,4 @@
-"""Arrow text batches as flat byte arrays: slices of bounded size, words, and rolling fingerprints in numpy.
+"""Arrow text batches as flat byte arrays: slices of bounded size, words, and their hashes in numpy.
 
 Bytes above 0x7F are never separators in any of the word classes used here, so all of it works on UTF-8
 bytes without decoding.
@@ -7,6 +7,7 @@ bytes without decoding.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +22,13 @@ NOT_SPACE = ~SPACES
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-EXACT = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FOLDED = EXACT.copy()
-FOLDED[0x41:0x5B] = EXACT[0x61:0x7B]
-_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i in 0..n, kept between calls up to a few slices' length."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + (1 << 16))
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, np.uint64(b), np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        have = (both[0], both[1])
-        if size <= 4 * SLICE_BYTES:
-            _POWERS[base] = have
-    return have
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+_GOLDEN = 0x9E3779B97F4A7C15
+#: What is left of eight bytes of which the first n count.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words above this many bytes are hashed one by one.
+_LONG_WORD = 1 << 10
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -96,41 +81,64 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, side="right") - 1
 
 
-def prefix(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash() takes the fingerprint of any span."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * powers(len(data))[0][: len(data)], out=sums[1:])
-    return sums
-
-
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of the spans [start, end): equal for equal bytes wherever they stand."""
-    down = powers(len(sums))[1]
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-
-
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return span_hash(prefix(data, table), start, end)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place (and the end) on as one number; past the end are zeros."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, folded: bool = False) -> np.ndarray:
+    """64-bit names of the spans [start, end), equal for equal bytes; folded: with A-Z in lower case.
+
+    Eight bytes at a time are mixed in by a bijection, so spans of one length up to eight bytes never share a
+    name, and no pattern of longer ones does by its form.
+    """
+    if folded:
+        data = _FOLD[data]
+    view, left = eights(data), end - start
+    out = mixed(left.astype(np.uint64) * np.uint64(_GOLDEN))
+    if len(out) == 0:
+        return out
+    out = mixed(out ^ (view[start] & _FIRST[np.minimum(left, 8)]))
+    live = np.flatnonzero((left > 8) & (left <= _LONG_WORD))
+    at, left = start[live] + 8, left[live] - 8
+    while len(live):
+        out[live] = mixed(out[live] ^ (view[at] & _FIRST[np.minimum(left, 8)]))
+        on = left > 8
+        live, at, left = live[on], at[on] + 8, left[on] - 8
+    for i in np.flatnonzero(end - start > _LONG_WORD).tolist():
+        out[i] = int.from_bytes(blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(word: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints of n consecutive word hashes, one for each first word up to len - n."""
+    """Names of n consecutive words by their hashes, one for each first word up to len - n."""
     count = max(0, len(word) - n + 1)
-    total = np.zeros(count, np.uint64)
-    factor = 1
+    total = np.full(count, n * _GOLDEN % (1 << 64), np.uint64)
     for j in range(n):
-        total += word[j : j + count] * np.uint64(factor)
-        factor = factor * _WORD_BASE % (1 << 64)
-    return mixed(total + np.uint64(n))
-
-
-def long_gram_hashes(word: np.ndarray, n: int) -> np.ndarray:
-    """As gram_hashes(), by prefix sums: the cost doesn't grow with n. The two give different values."""
-    up, down = powers(len(word), _WORD_BASE)
-    sums = np.zeros(len(word) + 1, np.uint64)
-    np.cumsum(word * up[: len(word)], out=sums[1:])
-    count = max(0, len(word) - n + 1)
-    return mixed((sums[n : n + count] - sums[:count]) * down[:count] + np.uint64(n))
+        total = mixed(total ^ word[j : j + count])
+    return total
+
+
+def long_parts(data: np.ndarray, is_word: np.ndarray, most: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Spans of a text of any length that hold whole words, about `most` bytes each. The last `overlap` words
+    of a span are the first of the next, so each run of overlap + 1 words begins in one span and lies in it."""
+    at = 0
+    while True:
+        step = most
+        while True:
+            if at + step >= len(data):
+                yield at, len(data)
+                return
+            gaps = np.flatnonzero(~is_word[data[at : at + step]])
+            if len(gaps):
+                to = at + int(gaps[-1])
+                start = words(data[at:to], np.array([0, to - at]), is_word)[0]
+                if len(start) > overlap:
+                    break
+            step *= 2
+        yield at, to
+        at = to if overlap == 0 else at + int(start[len(start) - overlap])
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -112,13 +112,13 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
         self.used = 0
 
-    def _add(self, keys: list[int], encoded: list) -> None:
+    def _add(self, keys: list[bytes], encoded: list) -> None:
         lengths = np.fromiter(map(len, encoded) if self.keeps_ids else encoded, np.int64, len(encoded))
         had = len(self.slot)
         if had + len(keys) > len(self.start):
@@ -139,21 +139,40 @@ class Pieces:
         if len(data) == 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         starts, ends, hard = pieces(data, offsets, self.encoder.spaced)
-        keys, at, of = np.unique(tb.span_hash(tb.prefix(data, tb.EXACT), starts, ends), return_index=True, return_inverse=True)
-        known = keys.tolist()
+        at, of = distinct(data, starts, ends)
+        raw = data.tobytes()
+        # Whether a piece is hard is told by its bytes.
+        known = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         if len(self.slot) > REMEMBERED:
             self.forget()
         slots = np.fromiter(map(self.slot.get, known, repeat(-1)), np.int64, len(known))
         missing = np.flatnonzero(slots < 0)
         if len(missing):
-            raw, first = data.tobytes(), at[missing]
-            new = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            had = len(self.slot)
-            self._add(keys[missing].tolist(), self.encoder(new, hard[first].tolist(), self.keeps_ids))
-            slots[missing] = np.arange(had, len(self.slot))
+            new = dict(zip((known[i] for i in missing.tolist()), hard[at[missing]].tolist()))
+            self._add(list(new), self.encoder(list(new), list(new.values()), self.keeps_ids))
+            slots[missing] = np.fromiter((self.slot[known[i]] for i in missing.tolist()), np.int64, len(missing))
         return slots[of], starts
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place for each distinct span, and for every span which of those it equals. Spans of one hash are
+    compared byte by byte; what differs from the first of its hash stands for itself."""
+    _, at, of = np.unique(tb.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    length, first = ends - starts, at[of]
+    same = length == length[first]
+    some = np.flatnonzero(same & (first != np.arange(len(starts))) & (length > 8))  # up to 8 bytes a hash tells all
+    n = length[some]
+    equal = data[tb.ragged(starts[some], n)] == data[tb.ragged(starts[first[some]], n)]
+    if len(some):
+        same[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    odd = np.flatnonzero(~same)
+    if len(odd):
+        of = of.copy()
+        of[odd] = len(at) + np.arange(len(odd))
+        at = np.concatenate((at, odd))
+    return at, of
+
+
 class PlainEncoder:
     """A tokenizers JSON file, without added tokens, truncation or padding.
 

@@ -41,6 +41,30 @@ def test_same_as_library(path, encoder):
     assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
 
 
+def thue_morse(a, b, n=1024):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize(("path", "encoder"), [(WORD, PlainEncoder(WORD, False)), (BYTE, TreeEncoder(BYTE))])
+@pytest.mark.parametrize("collide", [False, True])
+def test_pieces_of_one_hash_are_told_apart(path, encoder, collide, monkeypatch):
+    # Such words share any polynomial hash modulo 2**64; with collide, all of more than 8 bytes share theirs.
+    plain = tb.word_hashes
+    if collide:
+        monkeypatch.setattr(tb, "word_hashes", lambda data, start, end, folded=False: np.where(end - start > 8, np.uint64(7), plain(data, start, end, folded)))
+    tokenizer = Tokenizer.from_file(path)
+    for x, y in (("a", "b"), ("e", "q")):
+        words = [thue_morse(x, y), thue_morse(y, x)]
+        for texts in (words, words[::-1], [" ".join(words)], [" ".join(words[::-1])], ["same sameness sameness " + words[0] + " sameness"]):
+            known = Pieces(encoder)
+            for one in ([texts], [[t] for t in texts]):
+                for batch in one:
+                    data, offsets = tb.flat(pa.array(batch))
+                    slots, at = known.slots(data, offsets)
+                    ids = known.ids[tb.ragged(known.start[slots], known.length[slots])]
+                    assert ids.tolist() == [i for t in batch for i in tokenizer.encode(t, add_special_tokens=False).ids]
+
+
 def test_parts_of_long_texts():
     text = ("x y\n" * 50 + "q" * 300) * 40
     data, offsets = tb.flat(pa.array([text]))
