@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.shared import dropped, written
+from logloom.llm.shared import dropped, fresh_path, written
 
 _EDGE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,94 +20,125 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(_EDGE)), _UPPER, _LOWER)
 
 
-def _keyed(docs: DataFrame, least_chars: int) -> DataFrame:
-    """A row (doc_id, text_hash, line_no, k1, k2) for each line with a key of at least least_chars code points."""
+def _keyed(docs: DataFrame, least_chars: int, batches: int) -> DataFrame:
+    """A row (doc_id, text_hash, line_no, k1, k2, batch) for each line with a key of at least least_chars code points."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
     keys = lines.filter(F.length("line") >= least_chars).withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= least_chars)
-    return keys.select("doc_id", "text_hash", "line_no", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
+    return keys.select("doc_id", "text_hash", "line_no", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"), batch)
 
 
 @dataclass
 class LineRuns:
-    """Levelled runs of (k1, k2, n_docs, last_doc), each sorted by key and written once.
+    """Levelled runs of line keys: k1, k2, n_docs, last_doc, new.
 
-    add() aggregates a batch to one run at level 0, leaves out nothing, and returns the keys no earlier run
-    holds (a merge anti join). When a level holds `fanout` runs, they are merged to one run of the next.
-    A document belongs to one batch. State lives in the shared folder only; the driver holds file names.
+    Each run is written once, bucketed and sorted by its key, so that it merges with a batch without a
+    shuffle. add() joins a batch with the new keys of all runs: those that it holds beyond them are new in its
+    own run; of the others it has what the batch adds (documents, the last one). So each key is new in one
+    run. When a level holds `fanout` runs, compact() merges them to one of the next level. Every document
+    belongs to one batch. State lives in the shared folder; the driver holds names.
     """
 
     spark: SparkSession
     fanout: int = 4
-    levels: list[list[DataFrame]] = field(default_factory=list)
-
-    def _run(self, rows: DataFrame, level: int) -> DataFrame:
-        return written(rows.sortWithinPartitions("k1", "k2"), f"run{level}")
-
-    def all(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        return reduce(DataFrame.unionByName, runs) if runs else None
-
-    @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def add(self, keys: DataFrame) -> DataFrame:
-        """keys: doc_id, k1, k2 of a batch, repeated within a document or not. Returns its new keys, lazily."""
+    levels: list[list[str]] = field(default_factory=list)
+    paths: dict[str, str] = field(default_factory=dict)
+    merges: int = 0
+
+    def __post_init__(self) -> None:
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _run(self, rows: DataFrame) -> str:
+        name = f"line_run_{uuid4().hex}"
+        rows = rows.select("k1", "k2", "n_docs", "last_doc", "new").repartition(self.buckets, "k1", "k2")
+        self.paths[name] = fresh_path(self.spark, name)
+        rows.write.option("path", self.paths[name]).bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").saveAsTable(name)
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            dropped(self.spark, self.spark.table(name))
+            self.spark.sql(f"DROP TABLE {name}")
+            del self.paths[name]
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        # Read as plain files: a union of bucketed scans claims a partitioning by key that it doesn't have (Spark 4.1).
+        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(self.spark.table(n).schema).parquet(self.paths[n]) for n in names])
+        return rows.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("new").alias("new"))
+
+    def runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
+
+    def add(self, keys: DataFrame) -> str:
+        """keys: doc_id, k1, k2 of a batch, repeated within a document or not. Returns the name of its run."""
         once = keys.select("k1", "k2", "doc_id").distinct()
-        run = self._run(once.groupBy("k1", "k2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
-        before = self.all()
-        new = run if before is None else run.join(before, ["k1", "k2"], "left_anti")
+        rows = once.groupBy("k1", "k2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")).withColumn("new", F.lit(True))
+        for run in self.runs():
+            held = self.spark.table(run).filter("new").select("k1", "k2", F.lit(True).alias("held")).hint("merge")
+            rows = rows.join(held, ["k1", "k2"], "left").select("k1", "k2", "n_docs", "last_doc", (F.col("new") & F.col("held").isNull()).alias("new"))
+        name = self._run(rows)
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(run)
-        return new
+        self.levels[0].append(name)
+        return name
 
     def compact(self) -> None:
         """Merge every level that is full; runs that went into a merge are deleted."""
         for at in range(len(self.levels)):
             if len(self.levels[at]) >= self.fanout:
                 full = self.levels[at]
-                merged = self._run(self._merged(reduce(DataFrame.unionByName, full)), at + 1)
+                name = self._run(self._merged(full))
                 if at + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[at + 1].append(merged)
+                self.levels[at + 1].append(name)
                 self.levels[at] = []
-                for r in full:
-                    dropped(self.spark, r)
+                self.merges += 1
+                self._drop(full)
 
     def totals(self) -> DataFrame:
-        return self._merged(self.all())
+        return self._merged(self.runs()).drop("new")
 
+    def drop(self) -> None:
+        self._drop(self.runs())
+        self.levels = []
 
-def _with_lost(docs: DataFrame, least_chars: int, least_docs: int, batches: int, fanout: int) -> DataFrame:
-    """docs with `_lines` (all lines of the text) and `_lost` (sorted numbers of those to drop, or null)."""
+
+def _lost(docs: DataFrame, least_chars: int, least_docs: int, batches: int, fanout: int) -> DataFrame:
+    """d, t, lost: the sorted numbers of the lines to drop from the texts with the hash t of document d."""
     spark = docs.sparkSession
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    lines = written(_keyed(keys, least_chars), "lines")
+    lines = written(_keyed(keys, least_chars, batches), "lines", "batch")
     runs = LineRuns(spark, fanout)
     for b in range(batches):
-        runs.add(lines.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
+        runs.add(lines.filter(F.col("batch") == b))
         runs.compact()
     heavy = runs.totals().filter(F.col("n_docs") >= least_docs)
     lost = lines.join(heavy, ["k1", "k2"]).filter("doc_id < last_doc").select("doc_id", "k1", "k2").distinct()
     # Repeated rows of a doc_id may hold other lines, so what is lost goes by document and key.
-    lost = lines.join(lost, ["doc_id", "k1", "k2"], "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.array_sort(F.collect_set("line_no")).alias("_lost"))
-    joined = docs.withColumn("_k", F.xxhash64("text")).join(lost, (F.col("doc_id").cast("long") == F.col("_d")) & (F.col("_k") == F.col("_t")), "left")
-    return joined.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).drop("_d", "_t", "_k")
+    lost = lines.join(lost, ["doc_id", "k1", "k2"], "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.array_sort(F.collect_set("line_no")).alias("lost"))
+    lost = written(lost, "lost")
+    runs.drop()
+    dropped(spark, lines)
+    return lost
+
+
+def _with_lost(rows: DataFrame, doc_id: Column, text: Column, lost: DataFrame) -> DataFrame:
+    return rows.join(lost, (doc_id.cast("long") == F.col("d")) & (F.xxhash64(text) == F.col("t")), "left").drop("d", "t")
 
 
-def _kept() -> Column:
+def _kept(text: Column) -> Column:
     # Between two lost lines a slice stays; slicing costs what it copies, however many lines go.
-    gaps = F.arrays_zip(F.array_prepend("_lost", F.lit(-1)).alias("a"), F.array_append("_lost", F.size("_lines")).alias("b"))
-    return F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice("_lines", g["a"] + 2, g["b"] - g["a"] - 1))), "\n")
+    lines = F.split(text, "\n", -1)
+    gaps = F.arrays_zip(F.array_prepend("lost", F.lit(-1)).alias("a"), F.array_append("lost", F.size(lines)).alias("b"))
+    return F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["a"] + 2, g["b"] - g["a"] - 1))), "\n")
 
 
-def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 2, fanout: int = 4) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 5, fanout: int = 4) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept: whole texts without the lines that many documents share.
 
     Lines are what stands between line feeds. A key (line_key) of at least least_chars code points that at
     least least_docs documents hold loses all its lines except in the largest doc_id that holds it. The
-    documents go through the runs in `batches` (by a hash of doc_id), then their lines meet the totals.
+    documents go through the runs (LineRuns) in `batches`, by a hash of doc_id; then their lines meet the totals.
     Keys are compared by 128 bits of hash. Null and empty texts are one empty line; rows without doc_id
     are left as they are and hold no key; rows with the same doc_id are one document when keys are counted,
     and each gives a row; other columns are not read; no rows in, no rows out.
@@ -115,24 +147,26 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
     task; the join of lines and totals has unique keys on one side, so Spark can split a skewed key. Texts
     are shuffled once, by document.
     """
-    joined = _with_lost(docs.select("doc_id", "text"), least_chars, least_docs, batches, fanout)
-    none = F.col("_lost").isNull()
+    docs = docs.select("doc_id", "text")
+    joined = _with_lost(docs, F.col("doc_id"), F.col("text"), _lost(docs, least_chars, least_docs, batches, fanout))
+    none, text = F.col("lost").isNull(), F.coalesce("text", F.lit(""))
     return joined.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.when(none, 0).otherwise(F.size("_lost")).cast("long").alias("n_dropped"),
-        F.when(none, F.coalesce("text", F.lit(""))).otherwise(_kept()).alias("kept"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.when(none, 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"),
+        F.when(none, text).otherwise(_kept(text)).alias("kept"),
     )
 
 
-def without_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 2, fanout: int = 4) -> DataFrame:
-    """The rows and columns of docs, texts without the lines that drop_repeated_lines() drops, and n_chars,
-    if there, made to fit. Texts that lose nothing stay as they are, null too. Columns that begin with an
-    underscore and end up in the way (_lost, _lines) are not allowed."""
-    joined = _with_lost(docs, least_chars, least_docs, batches, fanout)
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(_kept())
-    changed = joined.withColumn("text", text)
+def without_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 5, fanout: int = 4) -> DataFrame:
+    """The rows and columns of docs, whatever their names, texts without the lines that drop_repeated_lines()
+    drops, and n_chars, if there, made to fit. Texts that lose nothing stay as they are, null too."""
+    lost = _lost(docs, least_chars, least_docs, batches, fanout)
+    row = lambda c: F.col("row").getField(c)
+    joined = _with_lost(docs.select(F.struct("*").alias("row")), row("doc_id"), row("text"), lost)
+    none = F.col("lost").isNull()
+    text = F.when(none, row("text")).otherwise(_kept(row("text")))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed = changed.withColumn("n_chars", F.when(F.col("_lost").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return changed.select(docs.columns)
+        changed["n_chars"] = F.when(none, row("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*(changed.get(c, row(c)).alias(c) for c in docs.columns))

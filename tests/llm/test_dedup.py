@@ -6,7 +6,7 @@ from helpers import documents, fold, multiset, rows, sentence, words
 
 from logloom.llm.fm_dedup import FMIndex, drop_repeated_word_spans, repeated_windows
 from logloom.llm import minhash
-from logloom.llm.line_dedup import drop_repeated_lines, without_repeated_lines
+from logloom.llm.line_dedup import LineRuns, drop_repeated_lines, without_repeated_lines
 from logloom.llm.minhash import keep_one, near_duplicates
 from logloom.llm.suffix_dedup import drop_repeated_substrings
 
@@ -107,8 +107,34 @@ def test_lines(spark):
     assert sum(x[2] for x in lines_by_force(given)) == 2
 
 
+def test_line_runs(spark):
+    # 6 batches of keys against counts by hand: each key is new once, runs are merged, and no run is shuffled.
+    r = random.Random(12)
+    batches = [[(d, r.randrange(40), 7) for d in range(100 * b, 100 * b + 30) for _ in range(3)] for b in range(6)]
+    runs, seen = LineRuns(spark, fanout=2), set()
+    for b, rows_of in enumerate(batches):
+        name = runs.add(spark.createDataFrame(rows_of, "doc_id long, k1 long, k2 long"))
+        got = {x["k1"]: (x["n_docs"], x["last_doc"], x["new"]) for x in spark.table(name).collect()}
+        docs_of = {k: {d for d, x, _ in rows_of if x == k} for _, k, _ in rows_of}
+        assert got == {k: (len(d), max(d), k not in seen) for k, d in docs_of.items()}
+        if b == 1:
+            held = spark.table(name)
+            plan = held.hint("merge").join(held.select("k1", "k2"), ["k1", "k2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        seen |= set(docs_of)
+        runs.compact()
+    assert runs.merges >= 4 and len(runs.levels) >= 3
+    every = defaultdict(set)
+    for d, k, _ in (x for b in batches for x in b):
+        every[k].add(d)
+    assert {x["k1"]: (x["n_docs"], x["last_doc"]) for x in runs.totals().collect()} == {k: (len(d), max(d)) for k, d in every.items()}
+    left = runs.runs()
+    runs.drop()
+    assert left and not any(spark.catalog.tableExists(t) for t in left)
+
+
 def test_lines_keep_columns(spark):
-    docs = documents(spark)
+    docs = documents(spark).selectExpr("*", "1 as d", "2 as t", "3 as lost", "4 as `row`", "5 as _k", "6 as _t", "7 as _lost", "8 as _lines")
     out = without_repeated_lines(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     changed = {r["doc_id"]: r["n_chars"] for r in out.collect() if r["doc_id"] in (5, 6)}
