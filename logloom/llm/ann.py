@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.llm import textbatch as tb
 from logloom.llm.shared import written
 
 _BLOCK = "ids binary, vectors binary, edges binary, rows binary, ranks binary"
@@ -37,8 +38,9 @@ def _units(x: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
-    """Up to n different vectors out of 8 n rows with the least hashes of their ids: a bounded sample.
+def choose_pivots(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to n different vectors out of 8 n rows with the least hashes of their ids, a bounded sample, and the
+    other ones of the sample; all of length 1.
 
     The width of most of the sample is that of the index; other vectors take no part.
     """
@@ -46,12 +48,33 @@ def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     rows = [np.array(r["embedding"], float) for r in sample.select("embedding").collect() if None not in r["embedding"]]
     rows = [r for r in rows if np.isfinite(r).all() and r.any()]
     if not rows:
-        return np.zeros((0, 0))
+        return np.zeros((0, 0)), np.zeros((0, 0))
     widths = [len(r) for r in rows]
     width = max(sorted(set(widths)), key=widths.count)
-    same = np.array([r for r in rows if len(r) == width])
-    _, first = np.unique(_units(same), axis=0, return_index=True)
-    return _units(same[np.sort(first)[:n]])
+    units = _units(np.array([r for r in rows if len(r) == width]))
+    _, first = np.unique(units, axis=0, return_index=True)
+    units = units[np.sort(first)]
+    return units[:n], units[n:]
+
+
+def share_for(recall: float, pivots: np.ndarray, others: np.ndarray, prefix: int, k: int, queries: int = 128) -> float:
+    """The share of vectors, by footrule distance, among which that part of the k nearest of a vector are, as
+    measured by brute force on a sample; half more than that, and at least one in a hundred."""
+    x = np.concatenate((others, pivots))
+    if len(x) <= 4 * k:
+        return 1.0
+    orders = _orders(x, pivots, prefix)
+    ranks = np.full((len(x), len(pivots)), prefix, np.int16)
+    np.put_along_axis(ranks, orders, np.arange(prefix, dtype=np.int16)[None, :], 1)
+    places = []
+    for q in range(min(queries, len(x))):
+        score = x @ x[q]
+        score[q] = -2
+        near = (prefix - np.maximum(ranks[:, orders[q]], np.arange(prefix, dtype=np.int16))).sum(axis=1, dtype=np.int64)
+        near[q] = -1
+        nearest = np.argpartition(-score, k - 1)[:k]
+        places.append((near[:, None] > near[nearest]).sum(axis=0) + 1)
+    return float(np.clip(1.5 * np.quantile(np.concatenate(places), recall) / len(x), 0.01, 1.0))
 
 
 def _orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -105,10 +128,10 @@ def _search_block(q_ids: np.ndarray, q: np.ndarray, orders: np.ndarray, row: dic
     for i in range(len(q_ids)):
         if want < len(distinct):
             # Footrule distance of the two prefixes is a constant less twice this sum over shared pivots.
-            near = np.zeros(len(ids), np.int32)
-            for rank, pivot in enumerate(orders[i].tolist()):
-                a, b = edges[pivot], edges[pivot + 1]
-                near[rows[a:b]] += prefix - np.maximum(rank, ranks[a:b])
+            first = edges[orders[i]]
+            n = edges[orders[i] + 1] - first
+            posted = tb.ragged(first, n)
+            near = np.bincount(rows[posted], weights=prefix - np.maximum(np.repeat(np.arange(prefix), n), ranks[posted]), minlength=len(ids))
             best_of = np.maximum.reduceat(near[by_id], heads) if repeats else near
             bar = np.partition(best_of, len(distinct) - want)[len(distinct) - want]
             some = np.flatnonzero(((best_of[of] if repeats else near) >= bar) & (ids != q_ids[i]))
@@ -124,26 +147,31 @@ def _search_block(q_ids: np.ndarray, q: np.ndarray, orders: np.ndarray, row: dic
             yield int(q_ids[i]), ids[some][best], score[best]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 256, prefix: int = 32, share: float = 0.3, least: int = 1024, query_block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 1024, prefix: int = 64, recall: float = 0.97, least: int = 32, query_block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which is_query holds, its k nearest other rows found.
 
     vectors: vec_id and embedding. Nearness is the cosine in double precision; ties go to the smaller vec_id.
-    All rows are indexed. In each block of the index the `share` of vec_ids (at least `least`, and all ties)
-    with the least footrule distance from the query are ranked by their cosine, with all their rows; with all
-    candidates, if there are no more. Each block gives its k best vec_ids. Vectors that are null, zero, of another width than most, or hold a null or non-finite
-    component take no part, nor do rows without vec_id. Rows with the vec_id of a query are its own; a
-    vec_id that is repeated counts once, by its best score. Other columns are not read.
+    All rows are indexed, by pivots of a sample of 8 n_pivots rows. From the lists of a query's pivots each
+    block of the index has the footrule distances of its vec_ids; a share of these, the nearest (at least
+    `least`, and all ties), are ranked by their cosine, with all their rows. The share is that by which
+    `recall` of the k nearest are found in the sample (share_for): it is small where vectors form groups, and
+    can't be where they don't. Each block gives its k best vec_ids. Vectors that are null, zero, of another
+    width than most, or hold a null or non-finite component take no part, nor do rows without vec_id. Rows with
+    the vec_id of a query are its own; a vec_id that is repeated counts once, by its best score, and rows that
+    repeat the vec_id of a query ask once, by the first of their vectors in order. Other columns are not read;
+    no rows in, no rows out.
 
     Queries are collected and broadcast in blocks of about query_block; each block scans the index once, and
     nothing else of the vectors moves.
     """
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score double"
-    pivots = choose_pivots(vectors, n_pivots)
+    pivots, others = choose_pivots(vectors, n_pivots)
     if len(pivots) == 0:
         found = spark.createDataFrame([], schema)
     else:
         prefix = min(prefix, len(pivots))
+        share = share_for(recall, pivots, others, prefix, k)
         index = written(build_index(vectors, pivots, prefix), "pivots")
         asked = vectors.filter(is_query).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
         blocks = max(1, -(-asked.count() // query_block))
@@ -153,8 +181,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 256
             parts = [_clean(x, pivots.shape[1]) for x in rows.to_batches() if x.num_rows]
             ids = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]])
             q = np.concatenate([np.zeros((0, pivots.shape[1])), *[p[1] for p in parts]])
-            ids, first = np.unique(ids, return_index=True)
-            q = q[first]
+            order = np.lexsort((*q.T[::-1], ids))
+            ids, first = np.unique(ids[order], return_index=True)
+            q = q[order][first]
             shared = spark.sparkContext.broadcast((ids, q, _orders(q, pivots, prefix) if len(q) else np.zeros((0, prefix), int)))
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

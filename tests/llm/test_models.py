@@ -48,6 +48,115 @@ def test_language_edges(spark):
     assert kept.columns == documents(spark).columns and 11 not in [r["doc_id"] for r in kept.collect()]
 
 
+def test_language_by_force(spark):
+    # Counts, log probabilities and posteriors with plain numbers.
+    import math
+    from collections import Counter
+    from zlib import crc32
+
+    def mix(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 % 2**64
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB % 2**64
+        return h ^ h >> 31
+
+    def grams(text):
+        low = [c.lower() if len(c.lower()) == 1 else c for c in text]
+        out = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                packed = 0
+                for c in low[i : i + n]:
+                    packed = (packed << 21 | ord(c)) % 2**64
+                out[mix(packed ^ n * 0x9E3779B97F4A7C15 % 2**64) >> 48] += 1
+        return out
+
+    given = [(r["doc_id"], r["text"], r["lang"]) for r in documents(spark).collect()]
+    learned = [(t, x) for d, t, x in given if d is not None and t is not None and x is not None and crc32(str(d).encode()) % 5 != 0]
+    languages = sorted({x for _, x in learned})
+    counts = {x: sum((grams(t) for t, y in learned if y == x), Counter()) for x in languages}
+    got = sorted(langid.identify(documents(spark)).collect(), key=repr)
+    want = []
+    for d, t, _ in given:
+        held = d is not None and crc32(str(d).encode()) % 5 == 0
+        if not any(c.isalpha() for c in t or ""):
+            want.append((d, held, "und", 0.0))
+            continue
+        total = []
+        for x in languages:
+            all_of = sum(counts[x].values()) + 0.5 * 2**16
+            total.append(math.log(sum(y == x for _, y in learned) / len(learned)) + sum(n * math.log((counts[x][b] + 0.5) / all_of) for b, n in grams(t).items()))
+        best = max(range(len(total)), key=lambda i: total[i])
+        want.append((d, held, languages[best], 1 / sum(math.exp(v - total[best]) for v in total)))
+    for g, w in zip(got, sorted(want, key=repr), strict=True):
+        assert (g["doc_id"], g["held_out"], g["lang_pred"]) == w[:3] and abs(g["score"] - w[3]) < 1e-4
+
+
+def test_language_and_quality_in_parts(monkeypatch):
+    # What a long text adds up to in parts is what it adds up to at once.
+    from logloom.llm import textbatch as tb
+
+    r = random.Random(11)
+    text = "".join(r.choice(["word", " ", "日本", "é", "\U0001f600", "A1!", "  "]) for _ in range(900))
+    data, edges = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    sums = lambda pairs: [np.bincount(np.concatenate([k for i, (k, _) in enumerate(pairs) if i % 3 == n]), minlength=1 << 16).tolist() for n in range(3)]
+    whole, features = sums(list(langid.grams_in_parts(data, edges, 16))), quality.features(data, edges)
+    monkeypatch.setattr(langid, "SLICE_BYTES", 100)
+    monkeypatch.setattr(tb, "SLICE_BYTES", 100)
+    pairs = list(langid.grams_in_parts(data, edges, 16))
+    assert len(pairs) > 60 and sums(pairs) == whole
+    assert all(np.allclose(a, b) for a, b in zip(features, quality.features(data, edges), strict=True))
+
+
+def test_more_languages_than_full_buckets(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_CELLS", 1 << 12)
+    given = [(i, chr(0x4E00 + i % 40) * 20, f"l{i % 40:02}") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(given, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model.languages) == 40 and model.grams.size <= 1 << 12
+    out = langid.predict(spark.createDataFrame(given, "doc_id long, text string, lang string"), model).collect()
+    assert np.mean([o["lang_pred"] == given[o["doc_id"]][2] for o in out]) > 0.9
+
+
+def rated(seed=3, rows=40):
+    r = np.random.default_rng(seed)
+    row = np.repeat(np.arange(rows), 6)
+    return quality._Rated(row, r.integers(0, quality._WIDTH, len(row)), r.random(len(row)), r.integers(0, 3, rows), 3)
+
+
+def test_quality_loss_by_force():
+    # The mean of -log(P(grade)), with P by sigmoids of plain numbers, and its slope by differences.
+    import math
+
+    x, r = rated(), np.random.default_rng(4)
+    p = x.start()
+    p[: quality._WIDTH] += r.normal(0, 1, quality._WIDTH)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    first, second = p[quality._WIDTH], p[quality._WIDTH] + math.exp(p[quality._WIDTH + 1])
+
+    def chance(i):
+        z = sum(p[c] * v for w, c, v in zip(x.row, x.column, x.value) if w == i)
+        above = [1.0, 1 - sigmoid(first - z), 1 - sigmoid(second - z), 0.0]
+        return above[x.grade[i]] - above[x.grade[i] + 1]
+
+    loss, slope = x.loss(p, True)
+    assert abs(loss + sum(math.log(chance(i)) for i in range(40)) / 40) < 1e-9
+    for j in [*x.column[:8].tolist(), quality._WIDTH, quality._WIDTH + 1]:
+        d = np.zeros_like(p)
+        d[j] = 1e-5
+        assert abs((x.loss(p + d, False)[0] - x.loss(p - d, False)[0]) / 2e-5 - slope[j]) < 1e-7
+
+
+def test_quality_penalty_leaves_out_what_tells_nothing():
+    # One column tells the grade, hundreds of others are noise: only few get a weight.
+    r = np.random.default_rng(6)
+    grade = r.integers(0, 3, 300)
+    row = np.repeat(np.arange(300), 31)
+    column = np.concatenate([[g, *(10 + r.integers(0, 400, 30))] for g in grade])
+    model = quality._fitted(quality._Rated(row, column, np.full(len(row), 0.3), grade, 3), 60)
+    assert model.weights[0] < 0 < model.weights[2] and (np.abs(model.weights[10:]) > 0.1 * abs(model.weights[2])).sum() < 40
+
+
 def test_quality(spark):
     r = random.Random(2)
     docs, labels, vocabulary = [], [], sentence(0, 300).split()
@@ -98,6 +207,33 @@ def test_neighbours_recall(spark):
     assert all([a for a, _, _ in sorted(g)] == [1, 2, 3, 4, 5] for g in got.values())
 
 
+def test_neighbours_recall_of_many(spark):
+    # 50,000 vectors without any groups, with the defaults of the query, against brute force.
+    r = np.random.default_rng(13)
+    x = r.normal(size=(50_000, 32))
+    import pandas as pd
+
+    v = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": list(x)}), "vec_id long, embedding array<double>").repartition(4)
+    asked = list(range(0, 50_000, 500))
+    got = {}
+    for row in search(v, F.col("vec_id") % 500 == 0).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = unit[asked] @ unit.T
+    scores[np.arange(len(asked)), asked] = -2
+    nearest = np.argsort(-scores, axis=1)[:, :5]
+    assert np.mean([len(got[q] & set(n.tolist())) / 5 for q, n in zip(asked, nearest)]) >= 0.9
+
+
+def test_share_is_small_among_groups():
+    r = np.random.default_rng(14)
+    spread = ann._units(r.normal(size=(2000, 24)))
+    centres = r.normal(size=(100, 24))
+    grouped = ann._units(np.repeat(centres, 20, axis=0) + 0.05 * r.normal(size=(2000, 24)))
+    shares = [ann.share_for(0.97, x[::8], np.delete(x, np.s_[::8], 0), 32, 5) for x in (grouped, spread)]
+    assert shares[0] < 0.05 < shares[1] < 0.6
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (9, []), (None, [1.0, 1.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("score", F.lit("y"))
