@@ -11,6 +11,7 @@ from datetime import datetime, timedelta
 
 # ---- Fixed values ----
 MOST_DEPTH, MOST_TOKENS, MOST_VALUES = 256, 1 << 20, 4096
+HIGHEST_TOKEN, CHUNK_END = 0x0F, 0x10000
 _INTS = {0x03: "<b", 0x04: "<B", 0x05: "<h", 0x06: "<H", 0x07: "<i", 0x08: "<I", 0x09: "<q", 0x0A: "<Q", 0x0B: "<f", 0x0C: "<d"}
 # ---- End of fixed values ----
 
@@ -209,6 +210,42 @@ class ChunkDecoder:
         return self._nodes(body, min(body + size, len(self.chunk)), values, depth + 1)[0], start
 
 
+def projected(e: Element) -> str | dict:
+    """An element as JSON knows it: its text, if that is all there is; else its children by name (a list where a
+    name repeats), its attributes after an @, and its text, if any, as #text."""
+    if not e.attributes and not e.elements():
+        return e.text()
+    out: dict[str, object] = {}
+    for c in e.elements():
+        out.setdefault(c.name, []).append(projected(c))
+    out = {name: found[0] if len(found) == 1 else found for name, found in out.items()}
+    out |= {f"@{k}": v for k, v in e.attributes.items()}
+    return out | {"#text": e.text()} if e.text() else out
+
+
+def problem(payload: bytes) -> tuple[str, int] | None:
+    """What is wrong with the form of a payload, and where; only the frame of tokens is looked at."""
+    if len(payload) < 4:
+        return "TOO_SHORT", len(payload)
+    if payload[0] != 0x0F:
+        return "INVALID_FRAGMENT_HEADER", 0
+    at = 4
+    for _ in range(MOST_TOKENS):
+        if at >= len(payload) or payload[at] == 0x00:
+            return None
+        if payload[at] > HIGHEST_TOKEN:
+            return "UNKNOWN_OPCODE", at
+        if payload[at] != 0x01:
+            at += 1
+            continue
+        if at + 10 > len(payload):
+            return "TRUNCATED", at
+        if struct.unpack_from("<I", payload, at + 6)[0] > CHUNK_END:
+            return "STRING_TABLE_OVERFLOW", at
+        at += 10
+    return "TOO_MANY_TOKENS", at
+
+
 def flattened(event: Element) -> dict[str, str]:
     """The fields of EventData and UserData: named Data, unnamed ones as Data0, Data1 ..., other leaves by name."""
     out: dict[str, str] = {}
@@ -290,3 +327,60 @@ def encode(element: Element, at: int) -> bytes:
     put(element)
     out.append(0x00)
     return bytes(out)
+
+
+def encode_template(element: Element, at: int, known: dict[bytes, int]) -> bytes:
+    """A fragment that fills a template with the texts and attributes of `element`, to stand at offset `at` of a
+    chunk. known: where the templates of this chunk stand, by their form; a new one is written in place."""
+    values: list[bytes] = []
+    form = _form(element)
+    place = known.get(form)
+    head = b"\x0f\x01\x01\x00\x0c\x01" + struct.pack("<I", 0)
+    if place is None:
+        place = known[form] = at + len(head) + 4
+        body = _template_body(element, place + 24, values)
+        definition = struct.pack("<I", 0) + bytes(16) + struct.pack("<I", len(body)) + body
+    else:
+        _template_body(element, 0, values)
+        definition = b""
+    items = b"".join(struct.pack("<HBB", len(v), 0x01, 0) for v in values)
+    return head + struct.pack("<I", place) + definition + struct.pack("<I", len(values)) + items + b"".join(values) + b"\x00"
+
+
+def _form(e: Element) -> bytes:
+    """Names and nesting, without the texts."""
+    inner = b"".join(b"\x01" if isinstance(c, str) else _form(c) for c in e.children)
+    return f"<{e.name}|{'|'.join(e.attributes)}>".encode() + inner + b"</>"
+
+
+def _template_body(element: Element, at: int, values: list[bytes]) -> bytes:
+    out = bytearray(b"\x0f\x01\x01\x00")
+
+    def name(text: str) -> None:
+        out.extend(struct.pack("<IIHH", at + len(out) + 4, 0, 0, len(text)) + text.encode("utf-16-le") + b"\x00\x00")
+
+    def slot(text: str) -> None:
+        out.extend(struct.pack("<BHB", 0x0D, len(values), 0x01))
+        values.append(text.encode("utf-16-le"))
+
+    def put(e: Element) -> None:
+        out.append(0x41 if e.attributes else 0x01)
+        out.extend(struct.pack("<H", 0xFFFF))
+        size_at = len(out)
+        out.extend(bytes(4))
+        name(e.name)
+        if e.attributes:
+            out.extend(bytes(4))
+            for i, (k, v) in enumerate(e.attributes.items()):
+                out.append(0x46 if i + 1 < len(e.attributes) else 0x06)
+                name(k)
+                slot(v)
+        out.append(0x02)
+        for c in e.children:
+            slot(c) if isinstance(c, str) else put(c)
+        out.append(0x04)
+        struct.pack_into("<I", out, size_at, len(out) - size_at - 4)
+
+    put(element)
+    out.append(0x00)
+    return bytes(out)

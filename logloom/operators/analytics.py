@@ -120,23 +120,35 @@ def rare_processes(evt: DataFrame, below: int) -> DataFrame:
 
 
 def field_values(evt: DataFrame, name: str) -> DataFrame:
-    """How often each value of a field occurs."""
-    value = F.col("data")[name]
+    """How often each value of a field occurs: one of the data, or with System. before it one of the System part."""
+    value = F.col(name.removeprefix("System.")).cast("string") if name.startswith("System.") else F.col("data")[name]
     return evt.filter(value.isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- search ----
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SAID = ("channel", "computer", "provider", "provider_guid", "user_sid")
+
+
+def _folded(text: Column | str) -> Column:
+    return F.translate(text, _UPPER, _LOWER)
+
+
 def search_text(df: DataFrame, columns: list[str], query: str) -> DataFrame:
     """Rows with the query in any of the text columns, whatever the case of ASCII letters."""
-    return df.filter(reduce(Column.__or__, [F.coalesce(F.lower(c).contains(query.lower()), F.lit(False)) for c in columns]))
+    wanted = _folded(F.lit(query))
+    return df.filter(reduce(Column.__or__, [F.coalesce(F.contains(_folded(c), wanted), F.lit(False)) for c in columns]))
 
 
 def search_events(evt: DataFrame, query: str, regex: bool = False) -> DataFrame:
-    """Events with the query in any value of their data."""
-    values = F.map_values("data")
+    """Events with the query in any of their strings: values of their data, and what the System part says. Without
+    regex, whatever the case of ASCII letters."""
     if regex:
-        return evt.filter(F.exists(values, lambda v: v.rlike(query)))
-    return evt.filter(F.exists(values, lambda v: F.lower(v).contains(query.lower())))
+        found = [F.coalesce(F.col(c).rlike(query), F.lit(False)) for c in _SAID]
+        return evt.filter(reduce(Column.__or__, found) | F.coalesce(F.exists(F.map_values("data"), lambda v: v.rlike(query)), F.lit(False)))
+    wanted = _folded(F.lit(query))
+    found = [F.coalesce(F.contains(_folded(c), wanted), F.lit(False)) for c in _SAID]
+    return evt.filter(reduce(Column.__or__, found) | F.coalesce(F.exists(F.map_values("data"), lambda v: F.contains(_folded(v), wanted)), F.lit(False)))
 
 
 def search_regex(df: DataFrame, columns: list[str], pattern: str) -> DataFrame:
@@ -166,14 +178,12 @@ def indicators(rows: DataFrame, text: str, record: str = "record_id", ts: str |
     hits = rows.select(F.col(record).alias("r"), (F.col(ts) if ts else F.lit(None).cast("timestamp_ntz")).alias("t"), F.explode(F.concat(*found)).alias("i")).select("r", "t", "i.*")
     hits = hits.filter(~((F.col("kind") == "ip_address") & F.col("value").isin("0.0.0.0", "255.255.255.255", "127.0.0.1")))
     by_record = hits.groupBy("kind", "value", "r").agg(F.count(F.lit(1)).alias("c"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    # The first records of a value are cut in every task before they meet, so no value gathers all of its rows in one.
     rank = F.row_number().over(Window.partitionBy("kind", "value").orderBy("t0", "r"))
-    ranked = by_record.withColumn("k", rank)
-    return ranked.groupBy("kind", "value").agg(
-        F.sum("c").cast("long").alias("n"),
-        F.min("t0").alias("first_seen"),
-        F.max("t1").alias("last_seen"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= keep_records, F.struct("k", "r")))), lambda s: s["r"]).alias("record_ids"),
-    )
+    first = by_record.withColumn("k", rank).filter(F.col("k") <= keep_records)
+    first = first.groupBy("kind", "value").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda s: s["r"]).alias("record_ids"))
+    counts = by_record.groupBy("kind", "value").agg(F.sum("c").cast("long").alias("n"), F.min("t0").alias("first_seen"), F.max("t1").alias("last_seen"))
+    return counts.join(first, ["kind", "value"])
 
 
 # ---- script blocks ----
@@ -205,3 +215,18 @@ def summary(evt: DataFrame, top: int = 5) -> DataFrame:
     counts = evt.groupBy("source", "event_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "event_id", "n"))), 1, top)
     return counts.groupBy("source").agg(F.sum("n").cast("long").alias("n_events"), F.min("t0").alias("first_ts"), F.max("t1").alias("last_ts"), F.transform(ranked, lambda s: F.struct(s["event_id"].alias("event_id"), s["n"].alias("n"))).alias("top_ids"))
+
+
+def info(logs: DataFrame, stats: DataFrame, evt: DataFrame, findings: DataFrame, iocs: DataFrame | None = None, top: int = 5) -> DataFrame:
+    """A row for each log (source, content): its SHA-256, counts of chunks and records, events, time range, most
+    frequent ids, integrity findings and distinct indicators. stats: sources.logs.carve_stats; findings: rows by
+    source; iocs: rows (source, kind, value), by default those in the values of evt's data."""
+    if iocs is None:
+        text = F.array_join(F.map_values("data"), "\n")
+        found = F.concat(*[_matches(text, kind) for kind in IOC_KINDS])
+        iocs = evt.select("source", F.explode(found).alias("i")).select("source", "i.*")
+        iocs = iocs.filter(~((F.col("kind") == "ip_address") & F.col("value").isin("0.0.0.0", "255.255.255.255", "127.0.0.1")))
+    counted = iocs.select("source", "kind", "value").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n_iocs"))
+    odd = findings.groupBy("source").agg(F.count(F.lit(1)).alias("n_findings"))
+    out = logs.select("source", F.sha2("content", 256).alias("sha256")).join(stats, "source", "left").join(summary(evt, top), "source", "left").join(odd, "source", "left").join(counted, "source", "left")
+    return out.fillna(0, ["n_events", "n_findings", "n_iocs"])

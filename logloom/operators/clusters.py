@@ -2,41 +2,72 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bursts(hits: DataFrame, width_us: int, least: int, by: list[str]) -> DataFrame:
     """by, start_ts, n, and event_id, channel, record_id of the last hit and `shown` of all hits of each burst.
 
     From the first hit on: if the hits up to width_us later (inclusive) are at least `least`, they are a
-    burst and the search goes on after them, else at the next hit. Runs of hits whose gaps are within
-    width_us can't affect each other, so each is searched by itself; with `by` (hosts, say) the runs are
-    found in parallel too. hits: ts, event_id, channel, record_id, shown.
+    burst and the search goes on after them, else at the next hit. hits: ts, event_id, channel, record_id,
+    shown; hits without ts take no part.
+
+    Runs of hits whose gaps are within width_us can't affect each other. Hits less than width_us apart are in
+    one bucket of time or in neighbouring ones, so runs are told from the first and last hit of each bucket:
+    what is ordered at once, for each value of `by`, is a row for each bucket with hits, not the hits. Runs
+    are then streamed through in order; a task holds the hits of one width at a time.
     """
     rows = hits.select(*by, "ts", "event_id", "channel", "record_id", "shown").filter("ts is not null").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy(*by).orderBy("us", "record_id") if by else Window.orderBy("us", "record_id")
-    gap = F.col("us") - F.lag("us").over(w) > width_us
-    runs = rows.withColumn("run", F.sum(F.when(gap, 1).otherwise(0)).over(w))
+    rows = rows.withColumn("bucket", F.floor(F.col("us") / (width_us + 1)))
+    w = Window.partitionBy(*by).orderBy("bucket")
+    buckets = rows.groupBy(*by, "bucket").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count(F.lit(1)).alias("size"))
+    apart = F.when(F.col("first") - F.lag("last").over(w) > width_us, 1).otherwise(0)
+    buckets = buckets.withColumn("run", F.sum(apart).over(w))
     # Runs that are too short can't hold a burst.
-    runs = runs.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*by, "run"))).filter(F.col("size") >= least)
-
-    def search(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values(["us", "record_id"])
-        us = run["us"].to_numpy()
-        ends = us.searchsorted(us + width_us, side="right")
-        out, i = [], 0
-        while i < len(us):
-            n = int(ends[i]) - i
-            if n >= least:
-                last = run.iloc[i + n - 1]
-                out.append([*[run.iloc[i][c] for c in by], run.iloc[i]["ts"], n, last["event_id"], last["channel"], last["record_id"], run["shown"].iloc[i : i + n].tolist()])
-                i += n
-            else:
-                i += 1
-        return pd.DataFrame(out, columns=[*by, "start_ts", "n", "event_id", "channel", "record_id", "shown"])
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "start_ts timestamp_ntz, n long, event_id int, channel string, record_id long, shown array<string>"])
-    return runs.groupBy(*by, "run").applyInPandas(search, schema)
+    long = buckets.groupBy(*by, "run").agg(F.sum("size").alias("size")).filter(F.col("size") >= least)
+    buckets = buckets.join(long.select(*by, "run"), [*by, "run"], "left_semi") if by else buckets.join(long.select("run"), "run", "left_semi")
+    runs = rows.join(buckets.select(*by, "bucket", "run"), [*by, "bucket"])
+    ordered = runs.repartition(*by, "run").sortWithinPartitions(*by, "run", "us", "record_id")
+    kinds = {f.name: f for f in rows.schema.fields}
+    fields = [*[kinds[c] for c in by], T.StructField("start_ts", T.TimestampNTZType()), T.StructField("n", T.LongType()), *[kinds[c] for c in ("event_id", "channel", "record_id")], T.StructField("shown", T.ArrayType(T.StringType()))]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_run, held, out, schema = None, [], [], None
+
+        def settle(now: int | None) -> None:
+            """Decide about all hits whose width is over."""
+            while held and (now is None or now > held[0]["us"] + width_us):
+                reach = held[0]["us"] + width_us
+                n = next((i for i, h in enumerate(held) if h["us"] > reach), len(held))
+                if n >= least:
+                    first, last = held[0], held[n - 1]
+                    out.append({c: first[c] for c in by} | {"start_ts": first["ts"], "n": n, "event_id": last["event_id"], "channel": last["channel"], "record_id": last["record_id"], "shown": [h["shown"] for h in held[:n]]})
+                del held[: n if n >= least else 1]
+
+        def done() -> pa.RecordBatch:
+            arrays = pa.RecordBatch.from_pylist(out, schema=schema)
+            out.clear()
+            return arrays
+
+        for batch in batches:
+            if schema is None:
+                of = batch.schema
+                schema = pa.schema([*[of.field(c) for c in by], ("start_ts", pa.timestamp("us")), ("n", pa.int64()), of.field("event_id"), of.field("channel"), of.field("record_id"), ("shown", pa.list_(pa.string()))])
+            for hit in batch.to_pylist():
+                run = (*[hit[c] for c in by], hit["run"])
+                settle(None if run != open_run else hit["us"])
+                open_run = run
+                held.append(hit)
+            if out:
+                yield done()
+        settle(None)
+        if out:
+            yield done()
+
+    ordered = ordered.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return ordered.mapInArrow(search, T.StructType(fields))

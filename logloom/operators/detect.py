@@ -158,19 +158,21 @@ RULES: tuple[Rule, ...] = (
 BURST_RULES = ("taskkill_av_cluster", "service_stop_avset")
 
 
-def _said(rule: Rule) -> Column:
-    shown = [F.when(F.col("data")[n].isNotNull(), F.concat(F.lit(f"{n}="), F.substring(F.col("data")[n], 1, 120))) for n in rule.evidence]
-    evidence = F.filter(F.array(*shown), lambda e: e.isNotNull()) if shown else F.array().cast("array<string>")
-    return F.struct(F.lit(rule.name).alias("kind"), F.lit(rule.technique).alias("technique"), F.lit(rule.tactic).alias("tactic"), F.lit(rule.name.replace("_", " ")).alias("description"), evidence.alias("evidence"))
-
-
 def detect_events(evt: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """What the rules of single events say: one scan, no shuffle. A field that is missing counts as empty."""
-    conditions = [F.coalesce(r.condition(), F.lit(False)) for r in rules]
-    some = evt.filter(_any(conditions))
-    said = F.filter(F.array(*[F.when(c, _said(r)) for c, r in zip(conditions, rules, strict=True)]), lambda x: x.isNotNull())
-    out = some.select(F.explode(said).alias("x"), "ts", "event_id", "channel", "record_id")
-    return out.select("x.kind", "x.technique", "x.tactic", "x.description", "x.evidence", "ts", "event_id", "channel", "record_id")
+    """What the rules of single events say: one scan, no shuffle. A field that is missing counts as empty.
+
+    Conditions give the numbers of the rules that hit; what a hit says comes from a constant table afterwards.
+    The conditions stand inside a higher-order function, which keeps them out of whole-stage code: there all of
+    them would have to be one method, of more than the 64 KB that the JVM takes; here each has its own.
+    """
+    hits = F.array(*[F.when(F.coalesce(r.condition(), F.lit(False)), F.lit(i)) for i, r in enumerate(rules)])
+    numbers = F.filter(hits, lambda i: i.isNotNull())
+    table = F.array(*[F.struct(F.lit(r.name).alias("kind"), F.lit(r.technique).alias("technique"), F.lit(r.tactic).alias("tactic"), F.array(*[F.lit(n) for n in r.evidence]).cast("array<string>").alias("names")) for r in rules])
+    some = evt.select(F.explode(numbers).alias("i"), "data", "ts", "event_id", "channel", "record_id")
+    out = some.withColumn("x", F.element_at(table, F.col("i") + 1))
+    shown = F.transform(F.col("x.names"), lambda n: F.concat(n, F.lit("="), F.substring(F.element_at(F.col("data"), n), 1, 120)))
+    evidence = F.filter(shown, lambda e: e.isNotNull())
+    return out.select("x.kind", "x.technique", "x.tactic", F.replace(F.col("x.kind"), F.lit("_"), F.lit(" ")).alias("description"), evidence.alias("evidence"), "ts", "event_id", "channel", "record_id")
 
 
 def kill_hits(evt: DataFrame) -> DataFrame:

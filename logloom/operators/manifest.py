@@ -9,27 +9,344 @@ from pyspark.sql import functions as F
 
 from logloom.functions.columns import normal_guid
 
-# ---- Fixed values ----
+# ---- Fixed values: field names in the order of the providers' templates ----
 SECURITY = "{54849625-5478-4994-a5ba-3e3b0328c30d}"
-_SUBJECT = ["SubjectUserSid", "SubjectUserName", "SubjectDomainName", "SubjectLogonId"]
-_TARGET = ["TargetUserSid", "TargetUserName", "TargetDomainName"]
+EVENTLOG = "{fc65ddd8-d6ef-4962-83d5-6e5cfe9ce148}"
+POWERSHELL = "{a0c1853b-5c40-4b15-8766-3cf1c58f985a}"
+WMI_ACTIVITY = "{1418ef04-b0b4-4623-bf7e-d74ab47bbdaa}"
+SYSMON = "{5770385f-c22a-43e0-bf4c-06f5698ffbd9}"
+TASK_SCHEDULER = "{de7b24ea-73c8-4a09-985d-5bdadcfa9017}"
+REMOTE_CONNECTIONS = "{c76baa63-ae81-421c-b425-340b4b24157f}"
+DEFENDER = "{11cd958a-c507-4ef3-b3f2-5fd9dfbd2c78}"
 FIELDS = {
-    (SECURITY, 4634): [*_TARGET, "TargetLogonId", "LogonType"],
-    (SECURITY, 4648): [*_SUBJECT, "LogonGuid", "TargetUserName", "TargetDomainName", "TargetLogonGuid", "TargetServerName", "TargetInfo", "ProcessId", "ProcessName", "IpAddress", "IpPort"],
-    (SECURITY, 4672): [*_SUBJECT, "PrivilegeList"],
-    (SECURITY, 4688): [*_SUBJECT, "NewProcessId", "NewProcessName", "TokenElevationType", "ProcessId", "CommandLine", *_TARGET, "TargetLogonId", "ParentProcessName", "MandatoryLabel"],
-    (SECURITY, 4689): [*_SUBJECT, "Status", "ProcessId", "ProcessName"],
-    (SECURITY, 4698): [*_SUBJECT, "TaskName", "TaskContent"],
-    (SECURITY, 4702): [*_SUBJECT, "TaskName", "TaskContentNew"],
+    (SECURITY, 4624): [
+        "SubjectUserSid",
+        "SubjectUserName",
+        "SubjectDomainName",
+        "SubjectLogonId",
+        "TargetUserSid",
+        "TargetUserName",
+        "TargetDomainName",
+        "TargetLogonId",
+        "LogonType",
+        "LogonProcessName",
+        "AuthenticationPackageName",
+        "WorkstationName",
+        "LogonGuid",
+        "TransmittedServices",
+        "LmPackageName",
+        "KeyLength",
+        "ProcessId",
+        "ProcessName",
+        "IpAddress",
+        "IpPort",
+        "ImpersonationLevel",
+        "RestrictedAdminMode",
+        "TargetOutboundUserName",
+        "TargetOutboundDomainName",
+        "VirtualAccount",
+        "TargetLinkedLogonId",
+        "ElevatedToken",
+    ],
+    (SECURITY, 4625): [
+        "SubjectUserSid",
+        "SubjectUserName",
+        "SubjectDomainName",
+        "SubjectLogonId",
+        "TargetUserSid",
+        "TargetUserName",
+        "TargetDomainName",
+        "Status",
+        "FailureReason",
+        "SubStatus",
+        "LogonType",
+        "LogonProcessName",
+        "AuthenticationPackageName",
+        "WorkstationName",
+        "TransmittedServices",
+        "LmPackageName",
+        "KeyLength",
+        "ProcessId",
+        "ProcessName",
+        "IpAddress",
+        "IpPort",
+    ],
+    (SECURITY, 4634): ["TargetUserSid", "TargetUserName", "TargetDomainName", "TargetLogonId", "LogonType"],
+    (SECURITY, 4648): [
+        "SubjectUserSid",
+        "SubjectUserName",
+        "SubjectDomainName",
+        "SubjectLogonId",
+        "LogonGuid",
+        "TargetUserName",
+        "TargetDomainName",
+        "TargetLogonGuid",
+        "TargetServerName",
+        "TargetInfo",
+        "ProcessId",
+        "ProcessName",
+        "IpAddress",
+        "IpPort",
+    ],
+    (SECURITY, 4656): [
+        "SubjectUserSid",
+        "SubjectUserName",
+        "SubjectDomainName",
+        "SubjectLogonId",
+        "ObjectServer",
+        "ObjectType",
+        "ObjectName",
+        "HandleId",
+        "TransactionId",
+        "AccessList",
+        "AccessReason",
+        "AccessMask",
+        "PrivilegeList",
+        "RestrictedSidCount",
+        "ProcessId",
+        "ProcessName",
+        "ResourceAttributes",
+    ],
+    (SECURITY, 4663): [
+        "SubjectUserSid",
+        "SubjectUserName",
+        "SubjectDomainName",
+        "SubjectLogonId",
+        "ObjectServer",
+        "ObjectType",
+        "ObjectName",
+        "HandleId",
+        "AccessList",
+        "AccessMask",
+        "ProcessId",
+        "ProcessName",
+        "ResourceAttributes",
+    ],
+    (SECURITY, 4672): ["SubjectUserSid", "SubjectUserName", "SubjectDomainName", "SubjectLogonId", "PrivilegeList"],
+    (SECURITY, 4688): [
+        "SubjectUserSid",
+        "SubjectUserName",
+        "SubjectDomainName",
+        "SubjectLogonId",
+        "NewProcessId",
+        "NewProcessName",
+        "TokenElevationType",
+        "ProcessId",
+        "CommandLine",
+        "TargetUserSid",
+        "TargetUserName",
+        "TargetDomainName",
+        "TargetLogonId",
+        "ParentProcessName",
+        "MandatoryLabel",
+    ],
+    (SECURITY, 4689): [
+        "SubjectUserSid",
+        "SubjectUserName",
+        "SubjectDomainName",
+        "SubjectLogonId",
+        "Status",
+        "ProcessId",
+        "ProcessName",
+    ],
+    (SECURITY, 4698): ["SubjectUserSid", "SubjectUserName", "SubjectDomainName", "SubjectLogonId", "TaskName", "TaskContent"],
+    (SECURITY, 4702): ["SubjectUserSid", "SubjectUserName", "SubjectDomainName", "SubjectLogonId", "TaskName", "TaskContentNew"],
+    (SECURITY, 4720): [
+        "TargetUserName",
+        "TargetDomainName",
+        "TargetSid",
+        "SubjectUserSid",
+        "SubjectUserName",
+        "SubjectDomainName",
+        "SubjectLogonId",
+        "PrivilegeList",
+        "SamAccountName",
+        "DisplayName",
+        "UserPrincipalName",
+        "HomeDirectory",
+        "HomePath",
+        "ScriptPath",
+        "ProfilePath",
+        "UserWorkstations",
+        "PasswordLastSet",
+        "AccountExpires",
+        "PrimaryGroupId",
+        "AllowedToDelegateTo",
+        "OldUacValue",
+        "NewUacValue",
+        "UserAccountControl",
+        "UserParameters",
+        "SidHistory",
+        "LogonHours",
+    ],
+    (SECURITY, 4732): [
+        "MemberName",
+        "MemberSid",
+        "TargetUserName",
+        "TargetDomainName",
+        "TargetSid",
+        "SubjectUserSid",
+        "SubjectUserName",
+        "SubjectDomainName",
+        "SubjectLogonId",
+        "PrivilegeList",
+    ],
+    (SECURITY, 4768): [
+        "TargetUserName",
+        "TargetDomainName",
+        "TargetSid",
+        "ServiceName",
+        "ServiceSid",
+        "TicketOptions",
+        "Status",
+        "TicketEncryptionType",
+        "PreAuthType",
+        "IpAddress",
+        "IpPort",
+        "CertIssuerName",
+        "CertSerialNumber",
+        "CertThumbprint",
+    ],
+    (SECURITY, 4769): [
+        "TargetUserName",
+        "TargetDomainName",
+        "ServiceName",
+        "ServiceSid",
+        "TicketOptions",
+        "TicketEncryptionType",
+        "IpAddress",
+        "IpPort",
+        "Status",
+        "LogonGuid",
+        "TransmittedServices",
+    ],
     (SECURITY, 4776): ["PackageName", "TargetUserName", "Workstation", "Status"],
-    (SECURITY, 1102): _SUBJECT,
-    ("{fc65ddd8-d6ef-4962-83d5-6e5cfe9ce148}", 104): ["SubjectUserName", "SubjectDomainName"],
-    ("{a0c1853b-5c40-4b15-8766-3cf1c58f985a}", 4104): ["MessageNumber", "MessageTotal", "ScriptBlockText", "ScriptBlockId", "Path"],
-    ("{1418ef04-b0b4-4623-bf7e-d74ab47bbdaa}", 5861): ["NamespaceName", "Query", "Consumer", "PossibleCause"],
-    ("{5770385f-c22a-43e0-bf4c-06f5698ffbd9}", 11): ["RuleName", "UtcTime", "ProcessGuid", "ProcessId", "Image", "TargetFilename", "CreationUtcTime", "User"],
-    ("{de7b24ea-73c8-4a09-985d-5bdadcfa9017}", 106): ["TaskName", "UserContext"],
-    ("{de7b24ea-73c8-4a09-985d-5bdadcfa9017}", 200): ["TaskName", "TaskInstanceId", "ActionName", "UserContext"],
-    ("{de7b24ea-73c8-4a09-985d-5bdadcfa9017}", 201): ["TaskName", "TaskInstanceId", "ActionName", "ResultCode"],
+    (SECURITY, 1102): ["SubjectUserSid", "SubjectUserName", "SubjectDomainName", "SubjectLogonId"],
+    (EVENTLOG, 104): ["SubjectUserName", "SubjectDomainName"],
+    (POWERSHELL, 4104): ["MessageNumber", "MessageTotal", "ScriptBlockText", "ScriptBlockId", "Path"],
+    (POWERSHELL, 4103): ["ContextInfo", "UserData"],
+    (WMI_ACTIVITY, 5857): ["ProviderName", "Code", "HostProcess", "ProviderGUID", "IsProvider"],
+    (WMI_ACTIVITY, 5858): [
+        "NamespaceName",
+        "UserName",
+        "ClientMachine",
+        "ClientMachineFQDN",
+        "ClientProcessId",
+        "Component",
+        "Operation",
+        "ResultCode",
+        "PossibleCause",
+    ],
+    (WMI_ACTIVITY, 5860): ["NamespaceName", "Query", "User", "ClientMachine"],
+    (WMI_ACTIVITY, 5861): ["NamespaceName", "Query", "Consumer", "PossibleCause"],
+    (SYSMON, 1): [
+        "RuleName",
+        "UtcTime",
+        "ProcessGuid",
+        "ProcessId",
+        "Image",
+        "FileVersion",
+        "Description",
+        "Product",
+        "Company",
+        "OriginalFileName",
+        "CommandLine",
+        "CurrentDirectory",
+        "User",
+        "LogonGuid",
+        "LogonId",
+        "TerminalSessionId",
+        "IntegrityLevel",
+        "Hashes",
+        "ParentProcessGuid",
+        "ParentProcessId",
+        "ParentImage",
+        "ParentCommandLine",
+        "ParentUser",
+    ],
+    (SYSMON, 3): [
+        "RuleName",
+        "UtcTime",
+        "ProcessGuid",
+        "ProcessId",
+        "Image",
+        "User",
+        "Protocol",
+        "Initiated",
+        "SourceIsIpv6",
+        "SourceIp",
+        "SourceHostname",
+        "SourcePort",
+        "SourcePortName",
+        "DestinationIsIpv6",
+        "DestinationIp",
+        "DestinationHostname",
+        "DestinationPort",
+        "DestinationPortName",
+    ],
+    (SYSMON, 7): [
+        "RuleName",
+        "UtcTime",
+        "ProcessGuid",
+        "ProcessId",
+        "Image",
+        "ImageLoaded",
+        "FileVersion",
+        "Description",
+        "Product",
+        "Company",
+        "OriginalFileName",
+        "Hashes",
+        "Signed",
+        "Signature",
+        "SignatureStatus",
+        "User",
+    ],
+    (SYSMON, 11): ["RuleName", "UtcTime", "ProcessGuid", "ProcessId", "Image", "TargetFilename", "CreationUtcTime", "User"],
+    (TASK_SCHEDULER, 106): ["TaskName", "UserContext"],
+    (TASK_SCHEDULER, 200): ["TaskName", "TaskInstanceId", "ActionName", "UserContext"],
+    (TASK_SCHEDULER, 201): ["TaskName", "TaskInstanceId", "ActionName", "ResultCode"],
+    (REMOTE_CONNECTIONS, 1149): ["Param1", "Param2", "Param3"],
+    (DEFENDER, 1116): [
+        "Product Name",
+        "Product Version",
+        "Detection ID",
+        "Detection Time",
+        "Threat ID",
+        "Threat Name",
+        "Severity ID",
+        "Severity Name",
+        "Category ID",
+        "Category Name",
+        "FWLink",
+        "Status Code",
+        "Status Description",
+        "State",
+        "Source ID",
+        "Source Name",
+        "Process Name",
+        "Detection User",
+        "Path",
+        "Origin ID",
+        "Origin Name",
+        "Execution ID",
+        "Execution Name",
+        "Type ID",
+        "Type Name",
+        "Pre Execution Status",
+        "Action ID",
+        "Action Name",
+        "Remediation User",
+        "Error Code",
+        "Error Description",
+        "Post Clean Status",
+        "Additional Actions ID",
+        "Additional Actions String",
+        "Remediation Type ID",
+        "Remediation Type String",
+        "Security intelligence Version",
+        "Engine Version",
+    ],
 }
 # ---- End of fixed values ----
 

@@ -21,9 +21,12 @@ RECORDS = "source string, chunk_offset long, state string, record_offset int, si
 
 
 def files(spark: SparkSession, *paths: str) -> DataFrame:
-    """source, length, content and sha256 of logs: files, or all *.evtx below folders, each once."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[eE][vV][tT][xX]").load(list(paths))
-    return found.dropDuplicates(["path"]).select(F.col("path").alias("source"), "length", "content", F.sha2("content", 256).alias("sha256"))
+    """source, length, content and sha256 of logs: files, or all *.evtx below folders, each once however many of
+    the paths lead to it. Only the listing is compared; contents aren't shuffled."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[eE][vV][tT][xX]")
+    once = sorted(set(reader.load(list(paths)).inputFiles()))
+    found = reader.load(once) if once else reader.load(list(paths)).limit(0)
+    return found.select(F.col("path").alias("source"), "length", "content", F.sha2("content", 256).alias("sha256"))
 
 
 def is_ewf(content: Column) -> Column:
@@ -47,18 +50,20 @@ def _signed(x: int) -> int:
 
 
 def chunks(logs: DataFrame, carve: bool = False) -> DataFrame:
-    """A row for each chunk: at its place in a log, or with carve wherever its magic stands in a blob."""
+    """A row for each chunk: at its place in a log, or with carve wherever its magic stands in a blob. A column
+    offset_base of logs, where a slice begins in a larger image, is added to the offsets."""
+    base = F.coalesce(F.col("offset_base").cast("long"), F.lit(0)) if "offset_base" in logs.columns else F.lit(0).cast("long")
     schema = pa.schema([("source", pa.string()), ("chunk_offset", pa.int64()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source, content in zip(batch.column("source").to_pylist(), batch.column("content"), strict=True):
+            for source, base, content in zip(batch.column("source").to_pylist(), batch.column("base").to_pylist(), batch.column("content"), strict=True):
                 b = content.as_py() or b""
                 at = evtx.find_chunks(b) if carve else range(evtx.HEADER_BLOCK, len(b), evtx.CHUNK)
                 for x in at:
-                    yield pa.RecordBatch.from_pylist([{"source": source, "chunk_offset": x, "content": b[x : x + evtx.CHUNK]}], schema=schema)
+                    yield pa.RecordBatch.from_pylist([{"source": source, "chunk_offset": base + x, "content": b[x : x + evtx.CHUNK]}], schema=schema)
 
-    return logs.select("source", "content").mapInArrow(run, CHUNKS)
+    return logs.select("source", base.alias("base"), "content").mapInArrow(run, CHUNKS)
 
 
 def records(found: DataFrame, free: bool = False) -> DataFrame:
@@ -75,6 +80,70 @@ def records(found: DataFrame, free: bool = False) -> DataFrame:
     return found.mapInArrow(lambda b: _batched(rows(b), schema), RECORDS)
 
 
+def carve_stats(found: DataFrame) -> DataFrame:
+    """source, chunks_found, chunks_valid, chunks_corrupt, records_recovered, records_corrupt (those that were
+    carved from a damaged chunk) of chunk rows. Cut-off chunks are found, but neither valid nor corrupt."""
+    schema = pa.schema([("source", pa.string()), ("state", pa.string()), ("n", pa.int64()), ("carved", pa.int64())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                header, state, got = evtx.records_of(x["content"])
+                if header is not None:
+                    yield {"source": x["source"], "state": state, "n": len(got), "carved": sum(r.how == "carved" for r in got)}
+
+    each = found.mapInArrow(lambda b: _batched(rows(b), schema), "source string, state string, n long, carved long")
+    return each.groupBy("source").agg(
+        F.count(F.lit(1)).alias("chunks_found"),
+        F.count_if(F.col("state") == "valid").alias("chunks_valid"),
+        F.count_if(F.col("state") == "header_corrupt").alias("chunks_corrupt"),
+        F.sum("n").alias("records_recovered"),
+        F.sum("carved").alias("records_corrupt"),
+    )
+
+
+def swept(images: DataFrame, stride: int = 1 << 26) -> DataFrame:
+    """chunk rows of images of any size (source, content), carved in strides that overlap by a chunk, so that the
+    strides of one image are worked off in parallel. After a whole chunk the search goes on behind it, within a
+    stride, so a magic inside a chunk that begins in the former stride may be reported too."""
+    n = F.ceil(F.octet_length("content") / stride).cast("int")
+    at = images.select("source", "content", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).alias("i"))
+    at = at.repartition("source", "i").select("source", (F.col("i").cast("long") * stride).alias("offset_base"), F.substring("content", (F.col("i") * stride + 1).cast("int"), F.lit(stride + evtx.CHUNK)).alias("content"))
+    return chunks(at, carve=True).dropDuplicates(["source", "chunk_offset"])
+
+
+def problems(rows: DataFrame, column: str = "payload") -> DataFrame:
+    """rows with problem and problem_at: what is wrong with the form of a binary XML payload, null if nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [binxml.problem(x or b"") for x in b.column(column).to_pylist()]
+            arrays = [pa.array([f and f[0] for f in found], pa.string()), pa.array([f and f[1] for f in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, "problem", "problem_at"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("problem", T.StringType()), T.StructField("problem_at", T.IntegerType())]))
+
+
+def json_records(found: DataFrame) -> DataFrame:
+    """source, chunk_offset, record_id, json of the records of chunk rows: the whole record as JSON. Records that
+    can't be decoded are left out."""
+    schema = pa.schema([("source", pa.string()), ("chunk_offset", pa.int64()), ("record_id", pa.int64()), ("json", pa.string())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                decoder = binxml.ChunkDecoder(x["content"])
+                for r in evtx.records_of(x["content"])[2]:
+                    try:
+                        event = decoder.decode(r.offset + 24, r.offset + r.size - 4)
+                    except binxml.BadXml:
+                        continue
+                    text = json.dumps({event.name: binxml.projected(event)}, ensure_ascii=False, separators=(",", ":"))
+                    yield {"source": x["source"], "chunk_offset": x["chunk_offset"], "record_id": _signed(r.record_id), "json": text}
+
+    return found.mapInArrow(lambda b: _batched(rows(b), schema), "source string, chunk_offset long, record_id long, json string")
+
+
 def memory_records(images: DataFrame) -> DataFrame:
     """source, record_offset, size, record_id, filetime, how of records anywhere in memory images (source, content)."""
     schema = pa.schema([("source", pa.string()), ("record_offset", pa.int64()), ("size", pa.int32()), ("record_id", pa.int64()), ("filetime", pa.int64()), ("how", pa.string())])
