@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from helpers import documents, sentence
 from pyspark.sql import functions as F
 
@@ -211,9 +212,8 @@ def test_neighbours_recall_of_many(spark):
     # 50,000 vectors without any groups, with the defaults of the query, against brute force.
     r = np.random.default_rng(13)
     x = r.normal(size=(50_000, 32))
-    import pandas as pd
-
-    v = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": list(x)}), "vec_id long, embedding array<double>").repartition(4)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 32).cast(pa.list_(pa.float64()))
+    v = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": lists})).repartition(4)
     asked = list(range(0, 50_000, 500))
     got = {}
     for row in search(v, F.col("vec_id") % 500 == 0).collect():
