@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.columns import normal_guid
+from logloom.functions.columns import normal_guid, number
 from logloom.schema import EPOCH_TICKS
 
 ANOMALY = ("source", "code", "severity", "verify_severity", "chunk_offset", "record_id", "expected", "found", "details")
@@ -38,29 +38,24 @@ PROVIDERS = [
         "Microsoft-Windows-Security-Auditing",
         "54849625-5478-4994-A5BA-3E3B0328C30D",
         "Security",
-        [1100, 1102, 1104, 4608, 4616, 4624, 4625, 4634, 4647, 4648, 4649, 4656, 4657, 4660, 4663, 4670, 4672, 4673, 4674, 4688, 4689, 4698, 4699, 4700, 4702]
-        + [4719, 4720, 4722, 4723, 4724, 4725, 4726, 4728, 4729, 4732, 4733, 4740, 4741, 4742, 4743, 4756, 4757, 4767, 4768, 4769, 4770, 4771, 4776, 4798, 4799],
+        [
+            1100, 1102, 1104, 4608, 4616, 4624, 4625, 4634, 4647, 4648, 4649, 4656, 4657, 4660, 4663, 4670, 4672, 4673, 4674, 4688, 4689, 4698, 4699, 4700, 4702,
+            4719, 4720, 4722, 4723, 4724, 4725, 4726, 4728, 4729, 4732, 4733, 4740, 4741, 4742, 4743, 4756, 4757, 4767, 4768, 4769, 4770, 4771, 4776, 4798, 4799,
+        ],
     ),
-    ("Microsoft-Windows-PowerShell", "A0C1853B-5C40-4B15-8766-3CF1C58F985A", "Microsoft-Windows-PowerShell/Operational", [4100, *range(4103, 4107)]),
-    ("Microsoft-Windows-Sysmon", "5770385F-C22A-43E0-BF4C-06F5698FFBD9", "Microsoft-Windows-Sysmon/Operational", list(range(1, 30))),
+    ("Microsoft-Windows-PowerShell", "A0C1853B-5C40-4B15-8766-3CF1C58F985A", "Microsoft-Windows-PowerShell/Operational", [4100, 4103, 4104, 4105, 4106]),
+    ("Microsoft-Windows-Sysmon", "5770385F-C22A-43E0-BF4C-06F5698FFBD9", "Microsoft-Windows-Sysmon/Operational", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29]),
     (
         "Microsoft-Windows-TaskScheduler",
         "DE7B24EA-73C8-4A09-985D-5BDADCFA9017",
         "Microsoft-Windows-TaskScheduler/Operational",
-        [100, 101, 102, 103, 104, 106, 107, 108, 110, 111, *range(118, 128), 129, 130, 140, 141, 200, 201, 202, 203],
+        [100, 101, 102, 103, 104, 106, 107, 108, 110, 111, 118, 119, 120, 121, 122, 123, 124, 125, 126, 127, 129, 130, 140, 141, 200, 201, 202, 203],
     ),
 ]
 ETW_SESSIONS = ("EventLog-Application", "EventLog-Security", "EventLog-System")
 # ---- End of fixed values ----
 
 
-def number(content: Column, at: int, size: int) -> Column:
-    """A little-endian unsigned number of up to 4 bytes, or 8 as decimal(20,0), in bytes."""
-    h = F.hex(F.substring(content, at + 1, size))
-    turned = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))])
-    return F.conv(turned, 16, 10).cast("long" if size <= 4 else "decimal(20,0)")
-
-
 def _anomaly(df: DataFrame, code: str, chunk: object = None, record: object = None, expected: object = None, found: object = None, details: object = None) -> DataFrame:
     a, b = SEVERITY[code]
 

@@ -24,7 +24,7 @@ STAGING_PARENTS = ("pcalua.exe", "wmiprvse.exe")
 BROWSER_TASKS = ("GoogleUpdateTask", "MicrosoftEdgeUpdate", "MozillaMaintenance", "BraveSoftwareUpdate")
 WORKER_SUFFIX = ".workers.dev"
 BROWSERS = ("chrome.exe", "msedge.exe", "firefox.exe", "brave.exe")
-# The lists of sections 6.1 and 6.2 of docs/ransomware-ttp-gap-report.md, and parts of names that tests of the reference find.
+# Processes and services that ransomware is known to stop, and parts of such names.
 KILLED_PARTS = ("sqlservr", "veeam", "msmpeng", "sophos", "mbam")
 STOPPED_PARTS = ("veeambackupsvc", "gxvss", "sqlserveragent", "mssqlserver")
 KILLED_PROCESSES = (

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.container import binxml, evtx
 from logloom.functions import columns as C
 from logloom.operators import analytics as A
 from logloom.operators import detect as D
@@ -15,28 +12,8 @@ from logloom.operators import extract as X
 from logloom.operators import integrity as I
 from logloom.operators.clusters import bursts
 from logloom.operators.manifest import named_fields
-from logloom.plans.adapter import EVT, events, silver
-from logloom.sinks.writers import logs_of, repaired
-from logloom.sources import logs as L
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Register a function of (spark, sf_dir) under its name; sql may use `evt` and begins after WITH evt."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = f"WITH {EVT}\n{sql}" if "evt" in sql and not sql.lstrip().upper().startswith("WITH") else sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from logloom.plans.adapter import events, silver
+from logloom.plans.registry import query, table
 
 
 # ---- counts, timelines ----
@@ -215,10 +192,10 @@ def ts_monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.backward_clocks(ordered, ["user_id"], "at", "ts").select("event_id", "ts", "previous_ts")
 
 
-@query("SELECT event_id, missing, delta_ns FROM (SELECT event_id, event_id - lag(event_id) OVER w - 1 AS missing, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) * 1000 AS delta_ns FROM events WHERE event_id % 6 <> 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE missing > 0 AND (delta_ns <= 0 OR delta_ns / missing < 30000000000)")
+@query("SELECT event_id, missing, delta_ns FROM (SELECT event_id, event_id - lag(event_id) OVER w - 1 AS missing, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) * 1000 AS delta_ns FROM events WHERE event_id % 6 <> 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE missing > 0 AND (delta_ns <= 0 OR delta_ns / missing < 200000000000)")
 def phantom_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).filter("event_id % 6 <> 0").withColumn("ts_ns", F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
-    return I.phantom_gaps(rows, ["user_id"], "event_id", "ts_ns", 30_000_000_000).select("event_id", "missing", "delta_ns")
+    return I.phantom_gaps(rows, ["user_id"], "event_id", "ts_ns", 200_000_000_000).select("event_id", "missing", "delta_ns")
 
 
 @query("SELECT record_id, target_user, first_value FROM (SELECT record_id, target_user, first_value(target_user) OVER (PARTITION BY computer ORDER BY record_id) AS first_value FROM evt) WHERE target_user <> first_value")
@@ -274,10 +251,6 @@ _hunt("kerberoast", "event_id = 4769 AND cipher IN ('0x17', '0x12')")
 _hunt("asrep", "event_id = 4768 AND preauth = '0'")
 _hunt("lateral-smb", "event_id IN (5140, 5145) AND regexp_matches(share, 'ADMIN\\$|\\\\C\\$|IPC\\$')")
 _hunt("scheduled-task", "event_id IN (4698, 4702)")
-_hunt("dcsync", "event_id = 4662")
-_hunt("wmi-persistence", "event_id IN (5860, 5861)")
-_hunt("lsass-access", "event_id = 10")
-_hunt("defender-tamper", "event_id IN (5007, 5001)")
 
 _TAGS = ", ".join(f"({k}, '{v[0]}', '{v[2]}')" for k, v in X.ATTACK.items())
 
@@ -315,12 +288,6 @@ def logon_type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("code", C.logon_type_name(F.col("code")).alias("name"))
 
 
-@query("SELECT DISTINCT name, code FROM (VALUES ('EventLog-Security', 'SESSION_MISSING'), ('EventLog-Application', 'EVENTS_LOST'), ('EventLog-System', 'SESSION_STOPPED'), ('Other', 'LOG_MODE_ZERO'), ('Other', 'NO_BUFFERS')) AS t(name, code)")
-def etw_tamper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("EventLog-Application", True, 5000, 1, 4), ("EventLog-System", False, 0, 1, 0), ("Other", True, 0, 0, 0)]
-    return I.tracing_tampering(spark.createDataFrame(rows, "name string, running boolean, events_lost long, log_mode int, buffers int"))
-
-
 # ---- detections ----
 _BASE = "regexp_extract(lower({}), '[^\\\\]*$')"
 _RULES = {
@@ -343,89 +310,3 @@ def detect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT technique, tactic, count(*) AS n FROM (SELECT CASE kind {' '.join(f'''WHEN '{r.name}' THEN '{r.technique}' ''' for r in D.RULES)} END AS technique, CASE kind {' '.join(f'''WHEN '{r.name}' THEN '{r.tactic}' ''' for r in D.RULES)} END AS tactic FROM ({' UNION ALL '.join(f'''SELECT record_id, '{k}' AS kind FROM evt WHERE {v}''' for k, v in _RULES.items())})) GROUP BY ALL")
 def detect_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.detect_events(silver(spark, sf_dir)).groupBy("technique", "tactic").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.detect_all(silver(spark, sf_dir))
-
-
-# ---- binary logs ----
-def _event(event_id: int, computer: str, user: str) -> binxml.Element:
-    text = lambda name, x: binxml.Element(name, {}, [x])
-    system = binxml.Element("System", {}, [binxml.Element("Provider", {"Name": "Made-Up"}), text("EventID", str(event_id)), text("Channel", "Security"), text("Computer", computer)])
-    return binxml.Element("Event", {}, [system, binxml.Element("EventData", {}, [binxml.Element("Data", {"Name": "TargetUserName"}, [user])])])
-
-
-def made_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, content: binary logs of the events of every user, made by our own writer.
-
-    A plain fragment holds offsets of names, so each record is encoded for the place it gets."""
-    import pandas as pd
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        packed, chunk, used, number = [], [], 0, 1
-        for r in group.sort_values("record_id").itertuples():
-            e = _event(int(r.event_id), r.computer, r.user)
-            raw = evtx.record_bytes(int(r.record_id), int(r.ts_ticks), binxml.encode(e, evtx.RECORDS_AT + used + 24))
-            if evtx.RECORDS_AT + used + len(raw) > evtx.CHUNK:
-                packed.append(evtx.chunk_bytes(chunk, number))
-                number, chunk, used = number + len(chunk), [], 0
-                raw = evtx.record_bytes(int(r.record_id), int(r.ts_ticks), binxml.encode(e, evtx.RECORDS_AT + 24))
-            chunk.append(raw)
-            used += len(raw)
-        packed.append(evtx.chunk_bytes(chunk, number))
-        return pd.DataFrame({"source": [group["source"].iloc[0]], "content": [evtx.file_header(len(packed), int(group["record_id"].max()) + 1) + b"".join(packed)]})
-
-    rows = silver(spark, sf_dir).select(F.col("data")["TargetLogonId"].alias("source"), "record_id", "ts_ticks", "event_id", "computer", F.col("data")["TargetUserName"].alias("user"))
-    return rows.groupBy("source").applyInPandas(build, "source string, content binary")
-
-
-@query("SELECT logon_id AS source, record_id, ts, CAST(event_id AS INT) AS event_id, computer, target_user FROM evt")
-def evtx_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = L.decoded(L.chunks(made_logs(spark, sf_dir)), "FAILFAST")
-    return found.select("source", "record_id", "ts", "event_id", "computer", F.col("data")["TargetUserName"].alias("target_user"))
-
-
-@query("SELECT logon_id AS source, count(*) AS n, min(record_id) AS first_id, max(record_id) AS last_id FROM evt GROUP BY logon_id")
-def evtx_carve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blobs = made_logs(spark, sf_dir).withColumn("content", F.concat(F.unhex(F.lit("00" * 40)), F.substring("content", 4097, 1 << 30)))
-    recs = L.records(L.chunks(blobs, carve=True))
-    return recs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
-
-
-@query("SELECT DISTINCT logon_id AS source, 'FILE_HEADER_CHECKSUM_MISMATCH' AS code FROM evt")
-def evtx_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flag bit is flipped in every file header; nothing else is wrong but the clocks, which are left out."""
-    logs = made_logs(spark, sf_dir).withColumn("content", F.concat(F.substring("content", 1, 36), F.unhex(F.lit("FF")), F.substring("content", 38, 1 << 30)))
-    found = L.chunks(logs)
-    return I.verify(logs, found, L.records(found), mode="carve").select("source", "code")
-
-
-@query("SELECT DISTINCT logon_id AS source, TRUE AS header_repaired, CAST(0 AS BIGINT) AS chunks_repaired FROM evt")
-def evtx_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = made_logs(spark, sf_dir).withColumn("content", F.concat(F.substring("content", 1, 36), F.unhex(F.lit("FF")), F.substring("content", 38, 1 << 30)))
-    return repaired(logs).select("source", "header_repaired", "chunks_repaired")
-
-
-@query("SELECT logon_id AS source, count(*) AS n FROM evt GROUP BY logon_id")
-def evtx_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = silver(spark, sf_dir).select(F.col("data")["TargetLogonId"].alias("source"), "record_id", F.col("ts_ticks").alias("filetime"), F.unhex(F.lit("0F010200")).alias("payload"))
-    return L.records(L.chunks(logs_of(rows))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT logon_id AS source, count(*) AS n FROM evt GROUP BY logon_id")
-def memory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.memory_records(made_logs(spark, sf_dir)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT record_id, CAST(event_id AS INT) AS event_id, computer, target_user, CAST(logon_type AS VARCHAR) AS logon_type FROM evt")
-def evtx_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both ways of writing attributes, by turns, are read back alike."""
-    d = F.col("data")
-    evt = silver(spark, sf_dir).withColumn("user", d["TargetUserName"]).withColumn("type", d["LogonType"])
-    head = F.concat(F.lit('{"Event":{"System":{"EventID":'), F.when(F.col("record_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit('{"#text":'), F.col("event_id"), F.lit("}"))), F.lit(',"Computer":"'), F.col("computer"), F.lit('"},"EventData":{"Data":'))
-    at = F.concat(F.lit('[{"@Name":"TargetUserName","#text":"'), F.col("user"), F.lit('"},{"@Name":"LogonType","#text":'), F.col("type"), F.lit("}]}}}"))
-    inner = F.concat(F.lit('[{"#attributes":{"Name":"TargetUserName"},"#text":"'), F.col("user"), F.lit('"},{"#attributes":{"Name":"LogonType"},"#text":"'), F.col("type"), F.lit('"}]}}}'))
-    rows = evt.select("record_id", F.concat(head, F.when(F.col("record_id") % 2 == 0, at).otherwise(inner)).alias("json"))
-    return L.from_json(rows).select("record_id", "event_id", "computer", F.col("data")["TargetUserName"].alias("target_user"), F.col("data")["LogonType"].alias("logon_type"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.container import evtx
 from logloom.functions.columns import guarded_cell
 
 
-def _flat(df: DataFrame) -> DataFrame:
+def flattened_for_csv(df: DataFrame) -> DataFrame:
     """Strings guarded against formulas; maps, arrays and structs as JSON."""
     out = []
     for f in df.schema.fields:
@@ -22,7 +22,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    _flat(df).write.option("header", "true").option("escape", '"').mode("overwrite").csv(path)
+    flattened_for_csv(df).write.option("header", "true").option("escape", '"').mode("overwrite").csv(path)
 
 
 def write_ndjson(df: DataFrame, path: str) -> None:
@@ -55,10 +55,17 @@ def _node(text: object) -> str:
     return "".join(c if c.isalnum() or c in "-_. " else "_" for c in str(text)) or "_"
 
 
+def mermaid_edges(edges: DataFrame) -> DataFrame:
+    """line: edges (source, target, label) as Mermaid writes them, as a DataFrame, for graphs of any size."""
+    name = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "_").otherwise(F.regexp_replace(c, r"[^\p{L}\p{N}\-_.]", "_"))
+    return edges.select(F.concat(name(F.col("source")), F.lit(' -->|"'), F.col("label"), F.lit('"| '), name(F.col("target"))).alias("line"))
+
+
 def mermaid_logons(edges: DataFrame) -> str:
     """A graph of logon edges (source, target, logon_type, n): a report, so its edges pass the driver."""
-    rows: list[Row] = edges.orderBy("source", "target", "logon_type").collect()
-    return "\n".join(["graph LR", *[f'    {_node(r["source"]).replace(" ", "_")} -->|"type {r["logon_type"]} x{r["n"]}"| {_node(r["target"]).replace(" ", "_")}' for r in rows]])
+    label = F.concat(F.lit("type "), F.col("logon_type"), F.lit(" x"), F.col("n")).alias("label")
+    rows = mermaid_edges(edges.orderBy("source", "target", "logon_type").select("source", "target", label)).collect()
+    return "\n".join(["graph LR", *[f"    {r['line']}" for r in rows]])
 
 
 def mermaid_processes(nodes: DataFrame) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.container import binxml, evtx
+from logloom.functions.columns import number
 from logloom.schema import SILVER, conform
 
 #: What a task hands on at once; keeps decoded rows of many chunks from piling up.
@@ -112,6 +113,17 @@ def swept(images: DataFrame, stride: int = 1 << 26) -> DataFrame:
     return chunks(at, carve=True).dropDuplicates(["source", "chunk_offset"])
 
 
+def ntfs_partitions(images: DataFrame) -> DataFrame:
+    """source, first_sector, offset_base, content: the first partition of a kind that NTFS uses of each disk image
+    (source, content), by its boot record; images without one are left out. chunks() gives offsets in the image."""
+    c = F.col("content")
+    at = [446 + 16 * i for i in range(4)]
+    first = F.coalesce(*[F.when(F.hex(F.substring(c, a + 5, 1)).isin("07", "17", "27"), number(c, a + 8, 4)) for a in at])
+    found = images.filter((F.length(c) >= 512) & (F.hex(F.substring(c, 511, 2)) == "55AA")).select("source", first.alias("first_sector"), "content").filter("first_sector is not null")
+    offset = F.col("first_sector") * 512
+    return found.filter(offset < F.length(c)).select("source", "first_sector", offset.alias("offset_base"), c.substr((offset + 1).cast("int"), F.length(c)).alias("content"))
+
+
 def problems(rows: DataFrame, column: str = "payload") -> DataFrame:
     """rows with problem and problem_at: what is wrong with the form of a binary XML payload, null if nothing."""
 
