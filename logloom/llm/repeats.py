@@ -135,18 +135,6 @@ def in_filter(bits: np.ndarray | None, key: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def places(rows: DataFrame) -> DataFrame:
-    """h: place_key() of k1 and start of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                key = place_key(b.column("k1").to_numpy(), b.column("start").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["h"])
-
-    return rows.select("k1", "start").mapInArrow(run, "h long")
-
-
 def filter_of(keys: DataFrame, column: Column, most: int = FILTER_KEYS) -> np.ndarray | None:
     """A bit for the high bits of each key, or None if there are more than `most`. What reaches the driver are
     at most 2**21 words of 64 bits."""
