@@ -32,7 +32,8 @@ def bursts(hits: DataFrame, width_us: int, least: int, by: list[str]) -> DataFra
     long = buckets.groupBy(*by, "run").agg(F.sum("size").alias("size")).filter(F.col("size") >= least)
     buckets = buckets.join(long.select(*by, "run"), [*by, "run"], "left_semi") if by else buckets.join(long.select("run"), "run", "left_semi")
     runs = rows.join(buckets.select(*by, "bucket", "run"), [*by, "bucket"])
-    ordered = runs.repartition(*by, "run").sortWithinPartitions(*by, "run", "us", "record_id")
+    # A fixed number: what is small in bytes may still be much work, and adaptive execution only sees bytes.
+    ordered = runs.repartition(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "run").sortWithinPartitions(*by, "run", "us", "record_id")
     kinds = {f.name: f for f in rows.schema.fields}
     fields = [*[kinds[c] for c in by], T.StructField("start_ts", T.TimestampNTZType()), T.StructField("n", T.LongType()), *[kinds[c] for c in ("event_id", "channel", "record_id")], T.StructField("shown", T.ArrayType(T.StringType()))]
 

@@ -48,6 +48,8 @@ def made_logs(spark: SparkSession, sf_dir: str, templates: bool = False) -> Data
 
     d = F.col("data")
     rows = silver(spark, sf_dir).select(d["TargetLogonId"].alias("source"), "record_id", "ts_ticks", "event_id", "computer", d["TargetUserName"].alias("user"), d["IpAddress"].alias("ip"))
+    # A fixed number: few bytes, but much work, which adaptive execution would put into one task.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source")
     return rows.groupBy("source").applyInPandas(build, "source string, content binary")
 
 

@@ -100,7 +100,8 @@ def logs_of(records: DataFrame) -> DataFrame:
         log = evtx.write_log((int(i), int(t), bytes(p)) for i, t, p in zip(group["record_id"], group["filetime"], group["payload"], strict=True))
         return pd.DataFrame({"source": [group["source"].iloc[0]], "content": [log]})
 
-    return records.select("source", "record_id", "filetime", "payload").groupBy("source").applyInPandas(build, "source string, content binary")
+    dealt = records.select("source", "record_id", "filetime", "payload").repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source")
+    return dealt.groupBy("source").applyInPandas(build, "source string, content binary")
 
 
 def repaired(logs: DataFrame) -> DataFrame:
