@@ -203,6 +203,7 @@ def detect_bursts(evt: DataFrame, by: list[str] | None = None) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-def detect_all(evt: DataFrame) -> DataFrame:
-    """All detections; sort by ts and technique to read them."""
-    return detect_events(evt).unionByName(detect_bursts(evt))
+def detect_all(evt: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All detections, by these rules (RULES and some of your own, say) and of bursts; sort by ts and technique to
+    read them."""
+    return detect_events(evt, rules).unionByName(detect_bursts(evt))

@@ -103,14 +103,19 @@ def carve_stats(found: DataFrame) -> DataFrame:
     )
 
 
-def swept(images: DataFrame, stride: int = 1 << 26) -> DataFrame:
-    """chunk rows of images of any size (source, content), carved in strides that overlap by a chunk, so that the
-    strides of one image are worked off in parallel. After a whole chunk the search goes on behind it, within a
-    stride, so a magic inside a chunk that begins in the former stride may be reported too."""
+def strides(images: DataFrame, stride: int, overlap: int) -> DataFrame:
+    """source, offset_base, content: images (source, content) cut into strides, each with the first `overlap` bytes
+    of the next, so that the strides of one image are worked off in parallel."""
     n = F.ceil(F.octet_length("content") / stride).cast("int")
-    at = images.select("source", "content", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).alias("i"))
-    at = at.repartition("source", "i").select("source", (F.col("i").cast("long") * stride).alias("offset_base"), F.substring("content", (F.col("i") * stride + 1).cast("int"), F.lit(stride + evtx.CHUNK)).alias("content"))
-    return chunks(at, carve=True).dropDuplicates(["source", "chunk_offset"])
+    at = images.select("source", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).alias("i"), "content")
+    cut = at.select("source", (F.col("i").cast("long") * stride).alias("offset_base"), F.substring("content", (F.col("i") * stride + 1).cast("int"), F.lit(stride + overlap)).alias("content"))
+    return cut.repartition("source", "offset_base")
+
+
+def swept(images: DataFrame, stride: int = 1 << 26) -> DataFrame:
+    """chunk rows of images, carved in strides that overlap by a chunk. After a whole chunk the search goes on
+    behind it, within a stride, so a magic inside a chunk that begins in the former stride may be reported too."""
+    return chunks(strides(images, stride, evtx.CHUNK), carve=True).dropDuplicates(["source", "chunk_offset"])
 
 
 def ntfs_partitions(images: DataFrame) -> DataFrame:
@@ -156,17 +161,21 @@ def json_records(found: DataFrame) -> DataFrame:
     return found.mapInArrow(lambda b: _batched(rows(b), schema), "source string, chunk_offset long, record_id long, json string")
 
 
-def memory_records(images: DataFrame) -> DataFrame:
-    """source, record_offset, size, record_id, filetime, how of records anywhere in memory images (source, content)."""
+def memory_records(images: DataFrame, stride: int = 1 << 26) -> DataFrame:
+    """source, record_offset, size, record_id, filetime, how of records anywhere in memory images (source, content),
+    which are scanned in strides that overlap by the longest record. Behind a record the search goes on after its
+    end, within a stride, so one inside a record that began in the former stride may be reported too."""
     schema = pa.schema([("source", pa.string()), ("record_offset", pa.int64()), ("size", pa.int32()), ("record_id", pa.int64()), ("filetime", pa.int64()), ("how", pa.string())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for x in batch.to_pylist():
                 for r in evtx.scan_memory(x["content"] or b""):
-                    yield {"source": x["source"], "record_offset": r.offset, "size": r.size, "record_id": _signed(r.record_id), "filetime": _signed(r.filetime), "how": r.how}
+                    if r.offset >= stride:
+                        break  # the next stride's
+                    yield {"source": x["source"], "record_offset": x["offset_base"] + r.offset, "size": r.size, "record_id": _signed(r.record_id), "filetime": _signed(r.filetime), "how": r.how}
 
-    return images.mapInArrow(lambda b: _batched(rows(b), schema), "source string, record_offset long, size int, record_id long, filetime long, how string")
+    return strides(images, stride, evtx.MOST_RECORD).mapInArrow(lambda b: _batched(rows(b), schema), "source string, record_offset long, size int, record_id long, filetime long, how string")
 
 
 def _time(ticks: int) -> datetime | None:
