@@ -9,6 +9,7 @@ from logloom.llm import langid, quality
 from logloom.llm.ann import search
 from logloom.llm.bpe import encode_decode
 from logloom.llm.decontam import benchmark_of, find_leaks
+from logloom.llm.divergence import divergence_audit
 from logloom.llm.fm_dedup import drop_repeated_word_spans
 from logloom.llm.line_dedup import drop_repeated_lines
 from logloom.llm.minhash import near_duplicates
@@ -84,6 +85,10 @@ def op10_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_near_duplicates": op2_near_duplicates,
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_fm_dedup": op10_fm_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLES: dict[str, str] = {}
@@ -132,3 +138,19 @@ m AS (SELECT l.r, l.doc_id, l.line_no, l.line, h.k IS NOT NULL AND l.doc_id < h.
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (lost) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT lost), '')) AS kept_sha256
 FROM m GROUP BY r
 """
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_n FROM k GROUP BY lang),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k ON k.lang = o.lang AND k.term = o.term GROUP BY o.lang, o.source, o.term),
+g AS (SELECT x.lang, x.source, coalesce(t.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) t ON t.lang = x.lang AND t.source = x.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + l.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.lang_n + 1)) // (l.lang_n + l.v)::HUGEINT AS q
+  FROM g JOIN l ON l.lang = g.lang JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
+"""

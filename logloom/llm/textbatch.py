@@ -31,6 +31,11 @@ _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _LONG_WORD = 1 << 10
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _FOLD[data]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finaliser of splitmix64)."""
     h = h ^ (h >> np.uint64(30))
