@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm import langid, quality
 from logloom.llm.ann import search
+from logloom.llm.balltree import centroid_clusters
 from logloom.llm.bpe import encode_decode
 from logloom.llm.decontam import benchmark_of, find_leaks
 from logloom.llm.divergence import divergence_audit
@@ -89,6 +90,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(documents(spark, sf_dir))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    centre = F.sha2(F.array_join(F.col("center").cast("array<string>"), ","), 256)
+    return assigned.join(F.broadcast(centroids.select("cluster", "cluster_inertia", "inertia", centre.alias("centroid_sha256"))), "cluster")
+
+
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_near_duplicates": op2_near_duplicates,
@@ -101,6 +108,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_fm_dedup": op10_fm_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLES: dict[str, str] = {}
@@ -154,3 +162,25 @@ u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s
 SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u
 QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
 """
+
+
+def _kmeans_sql(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds over (vector, component) rows, all distances computed."""
+    out = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+x AS (SELECT r, unnest(v) AS a, generate_subscripts(v, 1) AS i FROM v),
+s AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v QUALIFY c < """ + str(k) + """),
+m0 AS (SELECT c, unnest(v) AS b, generate_subscripts(v, 1) AS i FROM s)"""
+    for t in range(rounds + 1):
+        out += f""",
+a{t} AS (SELECT r, c, d FROM (SELECT x.r, m.c, sum((x.a - m.b) * (x.a - m.b)) AS d FROM x JOIN m{t} m ON m.i = x.i GROUP BY x.r, m.c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1),
+t{t} AS (SELECT a.c, x.i, sum(x.a) AS s, count(*) AS n FROM a{t} a JOIN x ON x.r = a.r GROUP BY a.c, x.i),
+m{t + 1} AS (SELECT m.c, m.i, coalesce((t.s - ((t.s % t.n) + t.n) % t.n) // t.n, m.b) AS b FROM m{t} m LEFT JOIN t{t} t ON t.c = m.c AND t.i = m.i)"""
+    return out + f"""
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+FROM a{rounds} a JOIN v ON v.r = a.r JOIN (SELECT c, sha256(string_agg(CAST(b AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c) h ON h.c = a.c
+"""
+
+
+ORACLES["op13_centroid_clusters"] = _kmeans_sql()
