@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import langid, quality
+from logloom.llm import quality_rules as rules
 from logloom.llm.ann import search
 from logloom.llm.balltree import centroid_clusters
 from logloom.llm.bpe import encode_decode
@@ -90,6 +91,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(documents(spark, sf_dir))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(documents(spark, sf_dir)).drop("distance")
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, centroids = centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     centre = F.sha2(F.array_join(F.col("center").cast("array<string>"), ","), 256)
@@ -108,6 +113,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_fm_dedup": op10_fm_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_quality_rules": op12_quality_rules,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 
@@ -184,3 +190,46 @@ FROM a{rounds} a JOIN v ON v.r = a.r JOIN (SELECT c, sha256(string_agg(CAST(b AS
 
 
 ORACLES["op13_centroid_clusters"] = _kmeans_sql()
+
+
+def _rules_sql() -> str:
+    """The counts by unnesting words and lines; the estimates as unrolled steps with the operator's formulas, so that no rounding differs."""
+    steps = lambda x: "".join(f", {s}" for s in x)
+    own = [f"{name}" for name in ("m1", "m2", "m3", "m4", "m5")] + [f"l{i}{j}" for i in range(1, 6) for j in range(1, i + 1)]
+    estimates = lambda of: f"SELECT grp, start, {', '.join(own)}, {rules.size_of_ellipsoid()} FROM (SELECT *{steps(rules.centre())}{steps(rules.covariance())}{steps(sum(rules.triangle(), []))} FROM {of})"
+    long = lambda c: f"CAST({c} AS BIGINT)"
+    out = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT r, i FROM wins QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS k FROM twice) GROUP BY r),
+dup AS (SELECT r, count(*) - count(DISTINCT s) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS s FROM d) WHERE regexp_matches(s, '[^\x20\x09-\x0D]') GROUP BY r),
+b0 AS (SELECT d.r, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN dup ON dup.r = d.r LEFT JOIN rep ON rep.r = d.r),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b0),
+sz AS (SELECT lang, source, count(*) FILTER (NOT base_failed) AS n FROM b GROUP BY lang, source),
+lz AS (SELECT lang, sum(n) AS n FROM sz WHERE n < 50 GROUP BY lang),
+rz AS (SELECT coalesce(sum(n), 0) AS n FROM lz WHERE n < 50),
+nm AS (SELECT sz.lang, sz.source, CASE WHEN sz.n >= 50 THEN '2:' || length(sz.lang) || ':' || sz.lang || sz.source WHEN lz.n >= 50 THEN '1:' || sz.lang WHEN rz.n >= 50 THEN '0:' END AS grp FROM sz CROSS JOIN rz LEFT JOIN lz ON lz.lang = sz.lang),
+f AS (SELECT b.*, nm.grp FROM b JOIN nm ON nm.lang = b.lang AND nm.source = b.source WHERE NOT base_failed AND nm.grp IS NOT NULL),
+x AS (SELECT r, grp""" + "".join(f", CAST(floor({e} * {rules.STEPS} + 0.5) AS BIGINT) AS x{i}" for i, e in enumerate(rules.STATISTICS, 1)) + """ FROM f),
+h AS (SELECT grp, unnest([1, 2, 3, 4, 5]) AS k, unnest([x1, x2, x3, x4, x5]) AS x FROM x),
+hb AS (SELECT grp, k, min(x) AS b FROM (SELECT *, count(*) OVER (PARTITION BY grp, k ORDER BY x) AS upto, count(*) OVER (PARTITION BY grp, k) AS al FROM h) WHERE 2 * upto >= al GROUP BY grp, k),
+hw AS (SELECT grp, k, min(x) AS w FROM (SELECT *, count(*) OVER (PARTITION BY grp, k ORDER BY x) AS upto, count(*) OVER (PARTITION BY grp, k) AS al FROM (SELECT h.grp, h.k, abs(h.x - hb.b) AS x FROM h JOIN hb ON hb.grp = h.grp AND hb.k = h.k)) WHERE 2 * upto >= al GROUP BY grp, k),
+md AS (SELECT hb.grp""" + "".join(f", max(b) FILTER (hb.k = {i}) AS b{i}, max(w) FILTER (hb.k = {i}) AS w{i}" for i in range(1, 6)) + f""" FROM hb JOIN hw ON hw.grp = hb.grp AND hw.k = hb.k GROUP BY hb.grp),
+ss AS (SELECT x.grp, start, {", ".join(rules.moments())} FROM x JOIN md ON md.grp = x.grp JOIN (VALUES (1), (2)) v(start) ON start = 1 OR {rules.in_box()} GROUP BY x.grp, start),
+e0 AS (SELECT *, {rules.size_of_ellipsoid()} FROM (SELECT grp, 0 AS start{steps(rules.diagonal())} FROM md) UNION ALL {estimates("ss")})"""
+    sums = ["n", *(f"s{i}" for i in range(1, 6)), *(f"p{i}{j}" for i in range(1, 6) for j in range(1, i + 1))]
+    for t in range(rules.ROUNDS):
+        out += f""",
+s{t} AS (SELECT grp, start, bin, {", ".join(rules.moments())} FROM (SELECT *{steps(rules.distance())}, {rules.bin_of()} FROM x JOIN e{t} USING (grp)) GROUP BY grp, start, bin),
+n{t} AS (SELECT grp, start, {", ".join(f"{long(f'sum({c})')} AS {c}" for c in sums)} FROM (SELECT *, sum(n) OVER (PARTITION BY grp, start ORDER BY bin) - n AS before, sum(n) OVER (PARTITION BY grp, start) AS al FROM s{t}) WHERE before < {rules.HALF} * al GROUP BY grp, start),
+e{t + 1} AS ({estimates(f"n{t}")})"""
+    return out + f""",
+best AS (SELECT * FROM e{rules.ROUNDS} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY det, start) = 1),
+z AS (SELECT r, d2 FROM (SELECT *{steps(rules.distance())} FROM x JOIN best USING (grp)))
+SELECT b.doc_id, {", ".join(f"{long(f'b.{c}')} AS {c}" for c in rules.BASE)}, base_failed, NOT base_failed AND (z.d2 IS NULL OR z.d2 <= {rules.cut_off()!r}) AS kept FROM b LEFT JOIN z ON z.r = b.r
+"""
+
+
+ORACLES["op12_quality_rules"] = _rules_sql()
