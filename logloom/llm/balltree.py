@@ -46,8 +46,10 @@ class BallTree:
             if split:
                 pole = rows[away.argmax()].astype(float)
                 other = rows[np.linalg.norm(rows - pole, axis=1).argmax()]
-                order[a:b] = order[a:b][np.argsort((rows - pole) @ (other - pole), kind="stable")]
-                half = (a + b) // 2
+                towards, n = (rows - pole) @ (other - pole), b - a
+                order[a:b] = order[a:b][np.argsort(towards, kind="stable")]
+                # By the nearer pole, but an eighth to each side at least: so the tree stays shallow.
+                half = a + min(max(int((2 * towards < (other - pole) @ (other - pole)).sum()), n // 8 + 1), n - n // 8 - 1)
                 open_nodes += [(half, b, len(nodes) - 1), (a, half, len(nodes) - 1)]
         first, end, parents, leaves, radius, sums = zip(*nodes, strict=True)
         return BallTree(vectors[order], np.array(first), np.array(end), np.array(parents), np.array(leaves), np.array(radius), np.array(sums)), order
