@@ -10,8 +10,10 @@ from logloom.operators import analytics as A
 from logloom.operators import integrity as I
 from logloom.plans.adapter import events, silver
 from logloom.plans.registry import query
-from logloom.sinks.writers import logs_of, repaired
+from logloom.session import work_folder
+from logloom.sinks.writers import logs_of, repaired, write_files
 from logloom.sources import logs as L
+from logloom.sources import ranges as R
 
 
 def _event(event_id: int, computer: str, user: str, ip: str) -> binxml.Element:
@@ -124,12 +126,67 @@ def carve_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT logon_id AS source, count(*) AS n, min(record_id) AS first_id, max(record_id) AS last_id FROM evt GROUP BY logon_id")
 def evtx_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs as images that are swept in small strides, the first of which begins amid zeros."""
+    """Logs as images that begin amid zeros."""
     blobs = made_logs(spark, sf_dir).withColumn("content", F.concat(F.unhex(F.lit("00" * 64)), F.col("content")))
-    recs = L.records(L.swept(blobs, stride=1 << 14)).dropDuplicates(["source", "record_id"])
+    recs = L.records(L.swept(blobs))
     return recs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
 
 
+def _in_files(rows: DataFrame, name: str, ending: str = "") -> str:
+    """The folder in which the contents of rows were written, a file each."""
+    folder = work_folder(rows.sparkSession, name)
+    write_files(rows, folder, ending).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("SELECT concat(logon_id, '.evtx') AS source, record_id, ts, CAST(event_id AS INT) AS event_id, computer, target_user, ip FROM evt")
+def evtx_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs as files, read by ranges of one chunk a task."""
+    found = R.log_ranges(spark, _in_files(made_logs(spark, sf_dir), "logs", ".evtx"), mode="FAILFAST", chunksPerTask="8")
+    d = F.col("data")
+    return found.select(F.regexp_extract("source", "[^/]*$", 0).alias("source"), "record_id", "ts", "event_id", "computer", d["TargetUserName"].alias("target_user"), d["IpAddress"].alias("ip"))
+
+
+@query("SELECT concat('image', user_id % 5) AS source, count(*) AS n, min(record_id) AS first_id, max(record_id) AS last_id FROM evt GROUP BY user_id % 5")
+def image_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of many logs in strides a quarter of a chunk long. The unused end of a log's last chunk holds a chunk's
+    magic, which a search that comes from the chunk's beginning, three strides before, must not find."""
+    size, zeros = F.octet_length("content"), F.unhex(F.lit("00" * 16))
+    spare = F.substring("content", size - 15, F.lit(16)) == zeros
+    logs = made_logs(spark, sf_dir).withColumn("content", F.when(spare, F.concat(F.substring("content", F.lit(1), size - 16), F.lit(evtx.CHUNK_MAGIC), F.unhex(F.lit("00" * 8)))).otherwise(F.col("content")))
+    recs = L.records(R.sweep_chunks(spark, _in_files(_images(logs), "images"), stride=1 << 14))
+    return recs.groupBy(F.regexp_extract("source", "[^/]*$", 0).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
+
+
+def _images(logs: DataFrame) -> DataFrame:
+    """source, content: the logs of every fifth user one behind the other, in five images."""
+    user = F.regexp_extract("source", "x([0-9]+)", 1).cast("int") % 5
+    parts = logs.groupBy(F.concat(F.lit("image"), user).alias("source")).agg(F.array_sort(F.collect_list(F.struct("source", "content"))).alias("x"))
+    return parts.select("source", F.aggregate(F.transform("x", lambda x: x["content"]), F.unhex(F.lit("00" * 64)), lambda a, b: F.concat(a, b)).alias("content"))
+
+
+@query("SELECT concat('image', user_id % 5) AS source, count(*) AS n, CAST(sum(record_id) AS BIGINT) AS ids FROM evt GROUP BY user_id % 5")
+def memory_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of records in strides of 1,000 bytes; each record holds a whole one with another id in its body, often
+    in another stride, which a search that comes from the outer one's beginning must not find."""
+    inner = F.concat(F.unhex(F.lit("2A2A000020000000" + "FF" * 16 + "0F010100")), F.unhex(F.lit("20000000")))
+    filler = F.substring(F.unhex(F.repeat(F.lit("AB"), 700)), 1, (F.col("record_id") % 700).cast("int"))
+    rows = silver(spark, sf_dir).select(F.col("data")["TargetLogonId"].alias("source"), "record_id", F.col("ts_ticks").alias("filetime"), F.concat(F.unhex(F.lit("0F010100")), filler, inner).alias("payload"))
+    found = R.sweep_records(spark, _in_files(_images(logs_of(rows)), "memory"), stride=1000)
+    return found.groupBy(F.regexp_extract("source", "[^/]*$", 0).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum("record_id").alias("ids"))
+
+
+@query("SELECT concat('image', user_id % 5) AS source, 'evtx-chunk' AS format, 'memory' AS method, CAST(0.95 AS DOUBLE) AS confidence, count(DISTINCT user_id) AS logs FROM evt WHERE user_id % 3 <> 0 GROUP BY user_id % 5")
+def image_carvers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First chunks and file headers by two carvers in one sweep. Where a bit of the chunk's header is flipped (every third user), its checksum keeps it out."""
+    third = F.regexp_extract("source", "x([0-9]+)", 1).cast("int") % 3 == 0
+    logs = made_logs(spark, sf_dir).withColumn("content", F.substring("content", 1, evtx.HEADER_BLOCK + evtx.CHUNK))
+    logs = logs.withColumn("content", F.when(third, F.concat(F.substring("content", 1, 4096 + 0x60), F.unhex(F.lit("5A")), F.substring("content", F.lit(4096 + 0x62), F.lit(1 << 30)))).otherwise(F.col("content")))
+    heads = R.Carver("evtx-header", (evtx.FILE_MAGIC,), evtx.HEADER_BLOCK, lambda b: [("header", 0.9)] if evtx.FileHeader.parse(b) else [])
+    found = R.carve(spark, _in_files(_images(logs), "carved"), carvers=(R.EVTX_CHUNK, heads), method="memory", stride=1 << 15)
+    return found.filter("format = 'evtx-chunk'").groupBy(F.regexp_extract("source", "[^/]*$", 0).alias("source"), "format", "method", "confidence").agg(F.count(F.lit(1)).alias("logs"))
+
+
 @query("""SELECT source, CAST(sum(n) AS BIGINT) AS n_events, min(t0) AS first_ts, max(t1) AS last_ts, string_agg(concat(event_id, ':', n), ',' ORDER BY n DESC, event_id) FILTER (r <= 5) AS top_ids, any_value(n_iocs) AS n_iocs, CAST(sum(n) AS BIGINT) AS records_recovered, CAST(1 AS BIGINT) AS n_findings
 FROM (SELECT logon_id AS source, event_id, count(*) AS n, min(ts) AS t0, max(ts) AS t1, row_number() OVER (PARTITION BY logon_id ORDER BY count(*) DESC, event_id) AS r FROM evt GROUP BY logon_id, event_id)
 JOIN (SELECT logon_id AS source, count(DISTINCT ip) FILTER (ip <> '-') AS n_iocs FROM evt GROUP BY ALL) USING (source) GROUP BY source""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.integrity import verify
 from logloom.sources import logs as L
+from logloom.sources import ranges
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -31,8 +32,7 @@ def evidence(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path} is an EWF image: mount it or give its logs")
     if kind != "blob":
         return L.files(spark, path).select("source", F.lit("filesystem").alias("how"), "content")
-    blob = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), "content")
-    found = L.swept(blob)
+    found = ranges.sweep_chunks(spark, path) if ranges.readable(path) else L.swept(spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), "content"))
     return found.select(F.concat("source", F.lit("#"), "chunk_offset").alias("source"), F.lit("carved").alias("how"), "content")
 
 

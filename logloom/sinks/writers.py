@@ -104,6 +104,35 @@ def logs_of(records: DataFrame) -> DataFrame:
     return dealt.groupBy("source").applyInPandas(build, "source string, content binary")
 
 
+def write_files(rows: DataFrame, folder: str, ending: str = "") -> DataFrame:
+    """path, length: a file in the folder for each row (source, content), written by the tasks that hold them.
+
+    A file appears whole, under its name, when its last byte is there; a task that runs again writes the same.
+    Names are sources as far as file names hold them, with their hash where not."""
+    import os
+    import uuid
+
+    import pyarrow as pa
+
+    from logloom.sources.ranges import opened
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = opened(folder)
+        system.create_dir(inner)
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
+                at, part = os.path.join(inner, name), os.path.join(inner, f".{uuid.uuid4().hex}")
+                data = content.as_buffer() or pa.py_buffer(b"")
+                with system.open_output_stream(part) as out:
+                    out.write(data)
+                system.move(part, at)
+                yield pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"], "length": [data.size]})
+
+    plain = F.regexp_replace("source", r"[^A-Za-z0-9._-]", "_")
+    name = F.concat(F.when((plain == F.col("source")) & (F.length("source") < 200), plain).otherwise(F.concat(F.substring(plain, 1, 100), F.lit("-"), F.sha2("source", 256))), F.lit(ending))
+    return rows.select(name.alias("name"), "content").mapInArrow(run, "path string, length long")
+
+
 def repaired(logs: DataFrame) -> DataFrame:
     """source, content, chunks_checked, chunks_repaired, header_repaired of logs with right checksums."""
     import pyarrow as pa

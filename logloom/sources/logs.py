@@ -18,6 +18,11 @@ from logloom.schema import SILVER, conform
 #: What a task hands on at once; keeps decoded rows of many chunks from piling up.
 ROWS = 2000
 CHUNKS = "source string, chunk_offset long, content binary"
+CHUNK_SCHEMA = pa.schema([("source", pa.string()), ("chunk_offset", pa.int64()), ("content", pa.binary())])
+MEMORY_RECORDS = "source string, record_offset long, size int, record_id long, filetime long, how string"
+MEMORY_SCHEMA = pa.schema([("source", pa.string()), ("record_offset", pa.int64()), ("size", pa.int32()), ("record_id", pa.int64()), ("filetime", pa.int64()), ("how", pa.string())])
+_KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "timestamp_ntz": pa.timestamp("us"), "map<string,string>": pa.map_(pa.string(), pa.string())}
+SILVER_SCHEMA = pa.schema([(f.name, _KINDS[f.dataType.simpleString()]) for f in SILVER.fields])
 RECORDS = "source string, chunk_offset long, state string, record_offset int, size int, record_id long, filetime long, how string, nested_at int, payload binary"
 
 
@@ -35,18 +40,18 @@ def is_ewf(content: Column) -> Column:
     return F.substring(content, 1, 8) == F.unhex(F.lit("455646090D0AFF00"))
 
 
-def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def batched(rows: Iterator[dict], schema: pa.Schema, most: int = ROWS) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     for r in rows:
         held.append(r)
-        if len(held) >= ROWS:
+        if len(held) >= most:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
             held = []
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
@@ -54,7 +59,6 @@ def chunks(logs: DataFrame, carve: bool = False) -> DataFrame:
     """A row for each chunk: at its place in a log, or with carve wherever its magic stands in a blob. A column
     offset_base of logs, where a slice begins in a larger image, is added to the offsets."""
     base = F.coalesce(F.col("offset_base").cast("long"), F.lit(0)) if "offset_base" in logs.columns else F.lit(0).cast("long")
-    schema = pa.schema([("source", pa.string()), ("chunk_offset", pa.int64()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +66,7 @@ def chunks(logs: DataFrame, carve: bool = False) -> DataFrame:
                 b = content.as_py() or b""
                 at = evtx.find_chunks(b) if carve else range(evtx.HEADER_BLOCK, len(b), evtx.CHUNK)
                 for x in at:
-                    yield pa.RecordBatch.from_pylist([{"source": source, "chunk_offset": base + x, "content": b[x : x + evtx.CHUNK]}], schema=schema)
+                    yield pa.RecordBatch.from_pylist([{"source": source, "chunk_offset": base + x, "content": b[x : x + evtx.CHUNK]}], schema=CHUNK_SCHEMA)
 
     return logs.select("source", base.alias("base"), "content").mapInArrow(run, CHUNKS)
 
@@ -76,9 +80,9 @@ def records(found: DataFrame, free: bool = False) -> DataFrame:
             for x in batch.to_pylist():
                 _, state, got = evtx.records_of(x["content"], free)
                 for r in got:
-                    yield {"source": x["source"], "chunk_offset": x["chunk_offset"], "state": state, "record_offset": r.offset, "size": r.size, "record_id": _signed(r.record_id), "filetime": _signed(r.filetime), "how": r.how, "nested_at": evtx.nested_record(x["content"], r), "payload": r.payload}
+                    yield {"source": x["source"], "chunk_offset": x["chunk_offset"], "state": state, "record_offset": r.offset, "size": r.size, "record_id": signed(r.record_id), "filetime": signed(r.filetime), "how": r.how, "nested_at": evtx.nested_record(x["content"], r), "payload": r.payload}
 
-    return found.mapInArrow(lambda b: _batched(rows(b), schema), RECORDS)
+    return found.mapInArrow(lambda b: batched(rows(b), schema), RECORDS)
 
 
 def carve_stats(found: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def carve_stats(found: DataFrame) -> DataFrame:
                 if header is not None:
                     yield {"source": x["source"], "state": state, "n": len(got), "carved": sum(r.how == "carved" for r in got)}
 
-    each = found.mapInArrow(lambda b: _batched(rows(b), schema), "source string, state string, n long, carved long")
+    each = found.mapInArrow(lambda b: batched(rows(b), schema), "source string, state string, n long, carved long")
     return each.groupBy("source").agg(
         F.count(F.lit(1)).alias("chunks_found"),
         F.count_if(F.col("state") == "valid").alias("chunks_valid"),
@@ -103,19 +107,10 @@ def carve_stats(found: DataFrame) -> DataFrame:
     )
 
 
-def strides(images: DataFrame, stride: int, overlap: int) -> DataFrame:
-    """source, offset_base, content: images (source, content) cut into strides, each with the first `overlap` bytes
-    of the next, so that the strides of one image are worked off in parallel."""
-    n = F.ceil(F.octet_length("content") / stride).cast("int")
-    at = images.select("source", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).alias("i"), "content")
-    cut = at.select("source", (F.col("i").cast("long") * stride).alias("offset_base"), F.substring("content", (F.col("i") * stride + 1).cast("int"), F.lit(stride + overlap)).alias("content"))
-    return cut.repartition("source", "offset_base")
-
-
-def swept(images: DataFrame, stride: int = 1 << 26) -> DataFrame:
-    """chunk rows of images, carved in strides that overlap by a chunk. After a whole chunk the search goes on
-    behind it, within a stride, so a magic inside a chunk that begins in the former stride may be reported too."""
-    return chunks(strides(images, stride, evtx.CHUNK), carve=True).dropDuplicates(["source", "chunk_offset"])
+def swept(images: DataFrame) -> DataFrame:
+    """Chunk rows of images (source, content), each searched from its first byte on; for files of any size there is
+    ranges.sweep_chunks()."""
+    return chunks(images, carve=True)
 
 
 def ntfs_partitions(images: DataFrame) -> DataFrame:
@@ -156,26 +151,22 @@ def json_records(found: DataFrame) -> DataFrame:
                     except binxml.BadXml:
                         continue
                     text = json.dumps({event.name: binxml.projected(event)}, ensure_ascii=False, separators=(",", ":"))
-                    yield {"source": x["source"], "chunk_offset": x["chunk_offset"], "record_id": _signed(r.record_id), "json": text}
+                    yield {"source": x["source"], "chunk_offset": x["chunk_offset"], "record_id": signed(r.record_id), "json": text}
 
-    return found.mapInArrow(lambda b: _batched(rows(b), schema), "source string, chunk_offset long, record_id long, json string")
+    return found.mapInArrow(lambda b: batched(rows(b), schema), "source string, chunk_offset long, record_id long, json string")
 
 
-def memory_records(images: DataFrame, stride: int = 1 << 26) -> DataFrame:
-    """source, record_offset, size, record_id, filetime, how of records anywhere in memory images (source, content),
-    which are scanned in strides that overlap by the longest record. Behind a record the search goes on after its
-    end, within a stride, so one inside a record that began in the former stride may be reported too."""
-    schema = pa.schema([("source", pa.string()), ("record_offset", pa.int64()), ("size", pa.int32()), ("record_id", pa.int64()), ("filetime", pa.int64()), ("how", pa.string())])
+def memory_records(images: DataFrame) -> DataFrame:
+    """source, record_offset, size, record_id, filetime, how of records anywhere in memory images (source, content).
+    Behind a record the search goes on after its end; for files of any size there is ranges.sweep_records()."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for x in batch.to_pylist():
                 for r in evtx.scan_memory(x["content"] or b""):
-                    if r.offset >= stride:
-                        break  # the next stride's
-                    yield {"source": x["source"], "record_offset": x["offset_base"] + r.offset, "size": r.size, "record_id": _signed(r.record_id), "filetime": _signed(r.filetime), "how": r.how}
+                    yield {"source": x["source"], "record_offset": r.offset, "size": r.size, "record_id": signed(r.record_id), "filetime": signed(r.filetime), "how": r.how}
 
-    return strides(images, stride, evtx.MOST_RECORD).mapInArrow(lambda b: _batched(rows(b), schema), "source string, record_offset long, size int, record_id long, filetime long, how string")
+    return images.select("source", "content").mapInArrow(lambda b: batched(rows(b), MEMORY_SCHEMA), MEMORY_RECORDS)
 
 
 def _time(ticks: int) -> datetime | None:
@@ -185,30 +176,40 @@ def _time(ticks: int) -> datetime | None:
         return None
 
 
+def events_of(source: str, chunk_offset: int, content: bytes, mode: str) -> Iterator[dict]:
+    """The silver rows of a chunk."""
+    decoder = binxml.ChunkDecoder(content)
+    for r in evtx.records_of(content)[2]:
+        try:
+            event = decoder.decode(r.offset + 24, r.offset + r.size - 4)
+        except binxml.BadXml:
+            if mode == "FAILFAST":
+                raise
+            continue
+        ids = {"source": source, "record_id": signed(r.record_id), "ts": _time(r.filetime), "ts_ticks": signed(r.filetime), "seq": chunk_offset + r.offset}
+        yield ids | binxml.envelope(event) | {"data": list(binxml.flattened(event).items())}
+
+
 def decoded(found: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """The silver table of chunk rows. Records that can't be decoded are left out, or with FAILFAST stop the query."""
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "timestamp_ntz": pa.timestamp("us"), "map<string,string>": pa.map_(pa.string(), pa.string())}
-    schema = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in SILVER.fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for x in batch.to_pylist():
-                decoder = binxml.ChunkDecoder(x["content"])
-                for r in evtx.records_of(x["content"])[2]:
-                    try:
-                        event = decoder.decode(r.offset + 24, r.offset + r.size - 4)
-                    except binxml.BadXml:
-                        if mode == "FAILFAST":
-                            raise
-                        continue
-                    ids = {"source": x["source"], "record_id": _signed(r.record_id), "ts": _time(r.filetime), "ts_ticks": _signed(r.filetime), "seq": x["chunk_offset"] + r.offset}
-                    yield ids | binxml.envelope(event) | {"data": list(binxml.flattened(event).items())}
+                yield from events_of(x["source"], x["chunk_offset"], x["content"], mode)
 
-    return found.mapInArrow(lambda b: _batched(rows(b), schema), SILVER)
+    return found.mapInArrow(lambda b: batched(rows(b), SILVER_SCHEMA), SILVER)
 
 
 def read_logs(spark: SparkSession, *paths: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """The silver table of all logs at the paths; with FAILFAST a file that is no log stops the query."""
+    """The silver table of all logs at the paths; with FAILFAST a file that is no log stops the query.
+
+    Logs are read by ranges (ranges.LogSource) where executors can open the paths themselves. Elsewhere Spark
+    reads each as one row, which holds up to 2 GB."""
+    from logloom.sources import ranges
+
+    if ranges.readable(*paths):
+        return ranges.log_ranges(spark, *paths, mode=mode)
     logs = files(spark, *paths)
     good = F.substring("content", 1, 8) == F.lit(evtx.FILE_MAGIC)
     logs = logs.filter(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("not an event log: "), "source")))) if mode == "FAILFAST" else logs.filter(good)

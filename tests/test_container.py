@@ -69,8 +69,7 @@ def test_carving_and_memory(spark):
     image = b"z" * 13 + evtx.record_bytes(7, 1, b"\x0f\x01") + b"z" * 5 + evtx.record_bytes(8, 1, b"zz")
     assert [(r.record_id, r.how) for r in evtx.scan_memory(image)] == [(7, "memory"), (8, "memory_unsure")]
     many = b"".join(b"z" * (i % 7) + evtx.record_bytes(i, i, bytes(i % 50)) for i in range(1, 200))
-    whole, cut = ({tuple(r) for r in L.memory_records(frame(spark, many), stride).collect()} for stride in (1 << 26, 100))
-    assert len(whole) == 199 and whole == cut
+    assert L.memory_records(frame(spark, many)).count() == 199
 
 
 def test_repair(spark):
