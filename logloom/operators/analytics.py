@@ -31,16 +31,42 @@ def first_events(evt: DataFrame, n: int) -> DataFrame:
 
 
 # ---- sessions ----
-def logon_sessions(evt: DataFrame, by_host: bool = False) -> DataFrame:
+def _with_next(rows: DataFrame, by: list[str], hot_rows: int) -> DataFrame:
+    """rows with next_id and next_ts: event_id and ts of the next row of the same key, by ts and record_id.
+
+    One shuffle by key, but for keys with more than hot_rows rows. Those are cut into slices of time of about
+    hot_rows rows each; a slice gives its first row, and the next slice's first row follows a slice's last.
+    So what is ordered for a whole hot key is one row a slice. At most count / hot_rows keys are hot, and
+    broadcast. Rows at one instant stay in one slice.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    slices = F.ceil(F.col("_n") / hot_rows)
+    hot = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_from"), F.max(us).alias("_to")).filter(F.col("_n") > hot_rows)
+    hot = F.broadcast(hot.select(*by, "_from", F.greatest(F.ceil((F.col("_to") - F.col("_from") + 1) / slices), F.lit(1)).alias("_width")))
+
+    def following(df: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("ts", "record_id")
+        return df.withColumn("_next", F.lead(F.struct("event_id", "ts")).over(w))
+
+    plain = following(rows.join(hot, by, "left_anti"), *by)
+    cut = rows.join(hot, by).withColumn("_slice", F.coalesce(F.floor((us - F.col("_from")) / F.col("_width")), F.lit(-1))).drop("_from", "_width")
+    firsts = cut.groupBy(*by, "_slice").agg(F.min_by(F.struct("event_id", "ts"), F.struct("ts", "record_id")).alias("_first"))
+    firsts = firsts.select(*by, "_slice", F.lead("_first").over(Window.partitionBy(*by).orderBy("_slice")).alias("_first"))
+    sliced = following(cut, *by, "_slice").join(firsts, [*by, "_slice"]).withColumn("_next", F.coalesce("_next", "_first"))
+    both = plain.unionByName(sliced.select(*plain.columns))
+    return both.withColumn("next_id", F.col("_next.event_id")).withColumn("next_ts", F.col("_next.ts")).drop("_next")
+
+
+def logon_sessions(evt: DataFrame, by_host: bool = False, hot_rows: int = 1_000_000) -> DataFrame:
     """Logons with the logoff that ends them, if any.
 
     A logon with the same id before a logoff discards the earlier one; logoffs without logon or id are
-    dropped. One shuffle by id (and computer, with by_host, which also keeps well-known ids apart).
+    dropped. One shuffle by id (and computer, with by_host, which also keeps well-known ids apart); ids with
+    more than hot_rows events are paired in slices of time (_with_next).
     """
     key = F.coalesce(F.col("data")["TargetLogonId"], F.when(F.col("event_id") == LOGON, F.lit("-")))
     rows = evt.filter(F.col("event_id").isin(LOGON, *LOGOFF)).withColumn("logon_id", key).filter("logon_id is not null")
-    w = Window.partitionBy("logon_id", *(["computer"] if by_host else [])).orderBy("ts", "record_id")
-    rows = rows.withColumn("next_id", F.lead("event_id").over(w)).withColumn("next_ts", F.lead("ts").over(w))
+    rows = _with_next(rows, ["logon_id", *(["computer"] if by_host else [])], hot_rows)
     rows = rows.filter((F.col("event_id") == LOGON) & (F.col("next_id").isNull() | (F.col("next_id") != LOGON)))
     ip = F.col("data")["IpAddress"]
     return rows.select(

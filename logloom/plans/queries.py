@@ -73,6 +73,12 @@ def logon_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.logon_sessions(silver(spark, sf_dir)).select("logon_id", "logon_type", "logon_ts", "logoff_ts", "duration_secs")
 
 
+@query(_SESSIONS.format(by="logon_id"))
+def logon_sessions_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids with more than ten events are paired in slices of time."""
+    return A.logon_sessions(silver(spark, sf_dir), hot_rows=10).select("logon_id", "logon_type", "logon_ts", "logoff_ts", "duration_secs")
+
+
 @query(_SESSIONS.format(by="logon_id, computer"))
 def logon_sessions_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.logon_sessions(silver(spark, sf_dir), by_host=True).select("logon_id", "logon_type", "logon_ts", "logoff_ts", "duration_secs")
@@ -204,13 +210,25 @@ def guid_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.changed_values(rows, ["computer"], "record_id", "target_user").select("record_id", "target_user", "first_value")
 
 
-@query("""WITH RECURSIVE b AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'error'),
+_BURSTS = """WITH RECURSIVE b AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'error'),
 w AS (SELECT b.user_id, b.i, b.t, count(*) AS n FROM b JOIN b c ON c.user_id = b.user_id AND c.i >= b.i AND c.t <= b.t + 86400000000 GROUP BY ALL),
 r AS (SELECT user_id, i, t, n FROM w WHERE i = 1 UNION ALL SELECT w.user_id, w.i, w.t, w.n FROM r JOIN w ON w.user_id = r.user_id AND w.i = r.i + CASE WHEN r.n >= 3 THEN r.n ELSE 1 END)
-SELECT user_id, make_timestamp(t) AS start_ts, n FROM r WHERE n >= 3""")
+SELECT user_id, make_timestamp(t) AS start_ts, n FROM r WHERE n >= 3"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).filter("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("record_id"), F.lit(4634).alias("event_id"), F.lit("Security").alias("channel"), F.lit("").alias("shown"))
+
+
+@query(_BURSTS)
 def burst_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = events(spark, sf_dir).filter("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("record_id"), F.lit(4634).alias("event_id"), F.lit("Security").alias("channel"), F.lit("").alias("shown"))
-    return bursts(hits, 86_400_000_000, 3, ["user_id"]).select("user_id", "start_ts", "n")
+    return bursts(_hits(spark, sf_dir), 86_400_000_000, 3, ["user_id"]).select("user_id", "start_ts", "n")
+
+
+@query(_BURSTS)
+def burst_cluster_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of more than five hits are searched by pointer doubling."""
+    return bursts(_hits(spark, sf_dir), 86_400_000_000, 3, ["user_id"], long_run=5).select("user_id", "start_ts", "n")
 
 
 # ---- typed extraction, hunts, tags ----

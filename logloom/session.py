@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "logloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,3 +31,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
     system.mkdirs(target)
     system.deleteOnExit(target)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in a work folder, read again: its lineage ends there."""
+    path = f"{work_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

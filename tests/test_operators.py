@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import analytics as A
+from logloom.operators import clusters
 from logloom.operators import detect as D
 from logloom.operators import extract as X
 from logloom.operators import integrity as I
@@ -102,6 +103,60 @@ def test_stop_bursts(spark):
     assert D.detect_all(silver(spark, stop(0), stop(1))).count() == 0
 
 
+def greedy(times, width, least):
+    """(start, count) of each burst, one hit after the other."""
+    out, i = [], 0
+    times = sorted(times)
+    while i < len(times):
+        n = sum(times[i] <= t <= times[i] + width for t in times)
+        n -= sum(t == times[i] for t in times[:i])
+        if n >= least:
+            out.append((times[i], n))
+        i += n if n >= least else 1
+    return out
+
+
+def test_long_runs_by_doubling(spark):
+    import random
+
+    r = random.Random(9)
+    times = {k: [r.randint(0, span) for _ in range(n)] for k, (n, span) in {"dense": (150, 300), "thin": (60, 3000), "ties": (40, 3), "one": (1, 1)}.items()}
+    times["gaps"] = [t + 10_000 * (t % 3) for t in times["dense"]]
+    rows = [(k, T0 + timedelta(seconds=t), i, 7, "c", f"{k}{i}") for k, ts in times.items() for i, t in enumerate(ts)] + [("one", None, 5, 7, "c", "no time")]
+    hits = spark.createDataFrame(rows, "who string, ts timestamp_ntz, record_id long, event_id int, channel string, shown string")
+    want = sorted((k, T0 + timedelta(seconds=t), n) for k, ts in times.items() for t, n in greedy(ts, 20, 4))
+    found = [clusters.bursts(hits, 20_000_000, 4, ["who"], long_run=x).collect() for x in (0, 50, 1 << 18)]
+    for f in found:
+        assert sorted((x["who"], x["start_ts"], x["n"]) for x in f) == want
+        assert all(len(x["shown"]) == x["n"] and x["shown"][-1] == f"{x['who']}{x['record_id']}" for x in f)
+    assert len({repr(sorted(f)) for f in found}) == 1
+    everyone = sorted((T0 + timedelta(seconds=t), n) for t, n in greedy([t for ts in times.values() for t in ts], 20, 4))
+    for x in (0, 1 << 18):
+        assert sorted((b["start_ts"], b["n"]) for b in clusters.bursts(hits, 20_000_000, 4, [], long_run=x).collect()) == everyone
+
+
+def test_runs_over_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BUCKETS", 3)
+    times = [*range(0, 400, 7), *range(1000, 1100, 9), 5000]
+    hits = spark.createDataFrame([(T0 + timedelta(seconds=t), i, 7, "c", "") for i, t in enumerate(times)], "ts timestamp_ntz, record_id long, event_id int, channel string, shown string")
+    for x in (0, 1 << 18):
+        got = sorted((b["start_ts"], b["n"]) for b in clusters.bursts(hits, 10_000_000, 2, [], long_run=x).collect())
+        assert got == sorted((T0 + timedelta(seconds=t), n) for t, n in greedy(times, 10, 2))
+
+
+def test_hot_logon_ids_are_paired_in_slices(spark):
+    import random
+
+    r = random.Random(2)
+    events = [(r.choice([4624, 4624, 4634, 4647]), "Security", {"TargetLogonId": "0x3e7" if i % 3 else f"0x{i % 40}"}, r.choice([i, i // 40, 5])) for i in range(400)]
+    evt = silver(spark, *events)
+    plain = sorted(map(repr, A.logon_sessions(evt, hot_rows=1 << 30).collect()))
+    for hot in (7, 50, 200):
+        assert sorted(map(repr, A.logon_sessions(evt, hot_rows=hot).collect())) == plain
+    host = sorted(map(repr, A.logon_sessions(evt, by_host=True, hot_rows=7).collect()))
+    assert host == sorted(map(repr, A.logon_sessions(evt, by_host=True).collect())) and len(plain) > 50
+
+
 def burst_kinds(spark, image, commands):
     rows = [(1, SYSMON, {"Image": f"C:\\{image}", "CommandLine": c}, i) for i, c in enumerate(commands)]
     return {r["kind"] for r in D.detect_bursts(silver(spark, *rows)).collect()}
