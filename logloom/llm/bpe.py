@@ -15,8 +15,13 @@ from logloom.llm.tokens import Pieces, TreeEncoder, byte_table, parts
 
 
 @lru_cache(2)
-def _pieces(path: str) -> Pieces:
-    return Pieces(TreeEncoder(path))
+def _pieces(path: str, workers: int) -> Pieces:
+    return Pieces(TreeEncoder(path, workers=workers))
+
+
+def _cores(docs: DataFrame) -> int:
+    """The cores that a task of this session has."""
+    return int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
 
 
 @lru_cache(2)
@@ -30,9 +35,9 @@ def _list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values))
 
 
-def _encoded(tokenizer: str, batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def _encoded(tokenizer: str, batches: Iterator[pa.RecordBatch], slice_bytes: int, workers: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """For slices of rows: doc_id, the ids of all texts, and how many each has."""
-    known = _pieces(tokenizer)
+    known = _pieces(tokenizer, workers)
     for batch, data, offsets in tb.slices(batches, most=slice_bytes):
         ids, lengths = [np.zeros(0, np.int32)], np.zeros(batch.num_rows, np.int64)
         for piece, edges, rows in parts(data, offsets, slice_bytes):
@@ -57,11 +62,13 @@ def encode(docs: DataFrame, tokenizer: str, slice_bytes: int = tb.SLICE_BYTES) -
     those of the library with add_special_tokens=False; special strings inside texts give their own ids.
     Distinct pieces are encoded once; unsplit text longer than a leaf goes by tree concatenation
     (tokens.TreeEncoder). Null and empty texts give an empty array; a null doc_id stays null; repeated rows
-    each give a row; other columns are not read. There is no shuffle.
+    each give a row; other columns are not read. There is no shuffle. A task encodes with as many threads as
+    spark.task.cpus gives it.
     """
+    workers = _cores(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, ids, lengths in _encoded(tokenizer, batches, slice_bytes):
+        for doc_id, ids, lengths in _encoded(tokenizer, batches, slice_bytes, workers):
             yield pa.RecordBatch.from_arrays([doc_id, _list_array(ids, lengths)], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -85,9 +92,10 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 def encode_decode(docs: DataFrame, tokenizer: str, slice_bytes: int = tb.SLICE_BYTES) -> DataFrame:
     """doc_id, ids and decoded of every text, in one pass: encode() and then decode() of the ids it gave."""
+    workers = _cores(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, ids, lengths in _encoded(tokenizer, batches, slice_bytes):
+        for doc_id, ids, lengths in _encoded(tokenizer, batches, slice_bytes, workers):
             yield pa.RecordBatch.from_arrays([doc_id, _list_array(ids, lengths), _decoded(tokenizer, ids, lengths)], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

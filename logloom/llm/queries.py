@@ -69,6 +69,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: digests of bpe.encode_decode(). Null and empty texts
+    have no tokens and the digests of the empty text; no rows in, no rows out."""
     coded = encode_decode(docs, tokenizer_path("byte_bpe_50k.json"))
     return coded.select(
         "doc_id",

@@ -24,7 +24,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, slice_bytes
 
     tokenizer: a tokenizers JSON file that every worker can open, with the pre-tokenizer of word_bpe_49k.json. Special strings inside texts are special
     tokens, as the library has it. Batches are cut by bytes, and texts longer than slice_bytes are encoded
-    part by part at safe boundaries; only lengths leave the worker. There is no shuffle.
+    part by part at safe boundaries (tokens.chunk_starts): white space, and East Asian stops before letters. A
+    longer stretch without any of them is one part, and the library holds it whole. A worker remembers pieces
+    up to a number of bytes (tokens.REMEMBERED). Only lengths leave the worker. There is no shuffle.
     Null and empty texts have 0 bytes and tokens; a null doc_id stays null; repeated rows each give a row;
     columns besides doc_id and text are not read, so their names can't clash; no rows in, no rows out.
     """

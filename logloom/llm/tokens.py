@@ -1,7 +1,9 @@
 """Tokenizing whole texts by their distinct pieces, cut where no token can cross.
 
-A chunk begins where ASCII white space follows a byte that isn't white space. Both pre-tokenizers used here
-start a new pre-token there whatever stands before, and neither NFC nor the special strings reach across.
+A chunk begins where ASCII white space follows a byte that isn't white space, and where an ideograph or a kana
+follows an East Asian comma or full stop. Both pre-tokenizers used here start a new pre-token there whatever
+stands before, and neither NFC nor the special strings reach across. A stretch without any such place (Thai, an
+endless word) is one chunk and goes through the library whole, so memory grows with the longest one.
 So the tokens of a text are those of its chunks in order, and a text of any length is worked off in parts.
 Chunks of plain Latin text are cut further, into their pre-tokens, in numpy; any other chunk ("hard": other
 scripts, apostrophes, what may begin a special string) goes through the library whole. Each distinct piece
@@ -10,7 +12,6 @@ is encoded once.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -19,8 +20,14 @@ import numpy as np
 
 from logloom.llm import textbatch as tb
 
-#: Pieces whose tokens one Python worker remembers.
-REMEMBERED = 600_000
+#: Bytes that the pieces one Python worker remembers may take, about, with their tokens; longer pieces than LONG are not remembered.
+REMEMBERED, LONG = 96 << 20, 1 << 10
+#: What a remembered piece takes besides its bytes and ids: the object, its place in the table, three numbers.
+_EACH = 120
+#: Letters that Unicode had from the start: ideographs of U+5000 to U+8FFF by their first byte, kana by their second.
+_IDEOGRAPH = np.isin(np.arange(256), np.arange(0xE5, 0xE9))
+#: Ideographic comma and full stop; full-width comma, exclamation and question mark.
+_STOPS = ((0xE3, 0x80, (0x81, 0x82)), (0xEF, 0xBC, (0x81, 0x8C, 0x9F)))
 
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -38,10 +45,23 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     first[1:] &= ~((data[:-1] >= 0x1C) & (data[:-1] <= 0x1F))
     first[2:] &= ~((data[1:-1] >= 0x80) & (data[:-2] == 0xC2))
     first[3:] &= ~((data[2:-1] >= 0x80) & (data[:-3] >= 0xE1) & (data[:-3] <= 0xE3))
+    first[3:] |= _after_stop(data)
     first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     return np.flatnonzero(first)
 
 
+def _after_stop(data: np.ndarray) -> np.ndarray:
+    """For every byte from the fourth on, whether it begins an ideograph or a kana that follows an East Asian stop.
+
+    No mark stands between, so NFC changes neither side's class."""
+    a, b, c = data[:-3], data[1:-2], data[2:-1]
+    stop = np.zeros(max(0, len(data) - 3), bool)
+    for x, y, ends in _STOPS:
+        stop |= (a == x) & (b == y) & np.isin(c, ends)
+    padded = np.append(data, (0, 0)).astype(np.uint8)
+    return stop & (_IDEOGRAPH[data[3:]] | (data[3:] == 0xE3) & (padded[4:-1] == 0x81) & (padded[5:] >= 0x81))
+
+
 def _hard_bytes(data: np.ndarray) -> np.ndarray:
     """Bytes that make a chunk hard: all but ASCII and the letters of U+00C0 to U+00FF, and some of ASCII."""
     after = np.append(data[1:], 0)
@@ -102,7 +122,8 @@ def parts(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[np
 
 
 class Pieces:
-    """Remembers the tokens of pieces; forgets all when it holds too many.
+    """Remembers the tokens of pieces; forgets all when they take more than REMEMBERED bytes. Those longer than
+    LONG bytes have a slot until the next call only.
 
     encoder(pieces, hard) gives the ids of each piece, or with ids=False their number.
     """
@@ -116,23 +137,25 @@ class Pieces:
         self.ids = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.count = self.used = self.held = 0
+        self.lasting = (0, 0)
 
-    def _add(self, keys: list[bytes], encoded: list) -> None:
+    def _add(self, keys: list[bytes], encoded: list) -> range:
+        """New slots for keys, which the caller enters in the table or not."""
         lengths = np.fromiter(map(len, encoded) if self.keeps_ids else encoded, np.int64, len(encoded))
-        had = len(self.slot)
-        if had + len(keys) > len(self.start):
-            grow = np.zeros(2 * (had + len(keys)) - had, np.int64)
+        had, self.count = self.count, self.count + len(keys)
+        if self.count > len(self.start):
+            grow = np.zeros(2 * self.count - had, np.int64)
             self.start, self.length = np.concatenate((self.start[:had], grow)), np.concatenate((self.length[:had], grow))
         if self.keeps_ids:
             new = self.used + int(lengths.sum())
             if new > len(self.ids):
                 self.ids = np.concatenate((self.ids[: self.used], np.zeros(2 * new - self.used, np.int32)))
             self.ids[self.used : new] = np.fromiter(chain.from_iterable(encoded), np.int32, new - self.used)
-            self.start[had : had + len(keys)] = self.used + np.cumsum(lengths) - lengths
+            self.start[had : self.count] = self.used + np.cumsum(lengths) - lengths
             self.used = new
-        self.length[had : had + len(keys)] = lengths
-        self.slot.update(zip(keys, range(had, had + len(keys)), strict=True))
+        self.length[had : self.count] = lengths
+        return range(had, self.count)
 
     def slots(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot and first byte of each piece; its ids are self.ids[start[slot] : start[slot] + length[slot]]."""
@@ -143,14 +166,19 @@ class Pieces:
         raw = data.tobytes()
         # Whether a piece is hard is told by its bytes.
         known = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        if len(self.slot) > REMEMBERED:
+        self.count, self.used = self.lasting
+        if self.held + 4 * len(self.ids) > REMEMBERED:
             self.forget()
         slots = np.fromiter(map(self.slot.get, known, repeat(-1)), np.int64, len(known))
         missing = np.flatnonzero(slots < 0)
         if len(missing):
             new = dict(zip((known[i] for i in missing.tolist()), hard[at[missing]].tolist()))
-            self._add(list(new), self.encoder(list(new), list(new.values()), self.keeps_ids))
-            slots[missing] = np.fromiter((self.slot[known[i]] for i in missing.tolist()), np.int64, len(missing))
+            short, long = ({k: h for k, h in new.items() if (len(k) > LONG) == x} for x in (False, True))
+            self.slot.update(zip(short, self._add(list(short), self.encoder(list(short), list(short.values()), self.keeps_ids)), strict=True))
+            self.held += sum(map(len, short)) + _EACH * len(short)
+            self.lasting = (self.count, self.used)
+            passing = dict(zip(long, self._add(list(long), self.encoder(list(long), list(long.values()), self.keeps_ids)), strict=True))
+            slots[missing] = np.fromiter((self.slot[known[i]] if known[i] in self.slot else passing[known[i]] for i in missing.tolist()), np.int64, len(missing))
         return slots[of], starts
 
 
@@ -232,12 +260,12 @@ class TreeEncoder(PlainEncoder):
     bytes exactly if every two neighbours are the encoding of their own bytes, so then the join is exact.
     """
 
-    def __init__(self, path: str, leaf: int = 2048, workers: int | None = None):
-        """workers: the cores of this machine if None; with more than one, the library's own threads encode."""
+    def __init__(self, path: str, leaf: int = 2048, workers: int = 1):
+        """workers: the cores that a task has; with more than one, the library's own threads encode leaves and joins."""
         from tokenizers import Tokenizer
 
         super().__init__(path, spaced=True)
-        self.leaf, self.workers = leaf, workers or len(os.sched_getaffinity(0))
+        self.leaf, self.workers = leaf, workers
         self.bare = Tokenizer(self.model)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = {t: self.tokenizer.token_to_id(t) for t in special}

@@ -1,4 +1,3 @@
-import os
 import random
 
 import numpy as np
@@ -8,7 +7,7 @@ import pytest
 from helpers import documents, multiset, rows
 from tokenizers import Tokenizer
 
-from logloom.llm import bpe
+from logloom.llm import bpe, tokens
 from logloom.llm import textbatch as tb
 from logloom.llm.bpe import decode, encode, encode_decode
 from logloom.llm.token_count import count_tokens
@@ -41,6 +40,41 @@ def test_same_as_library(path, encoder):
     assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
 
 
+def east_asian():
+    r = random.Random(8)
+    alphabet = [*"日本語漢字倉侮かながぱアー々〆。、，！？・「」　é a1'゙゚́‍한글ไทย〇㐀龍", "。、", "，的", "<|endoftext|>"]
+    return ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+
+
+@pytest.mark.parametrize(("path", "encoder"), [(WORD, PlainEncoder(WORD, False)), (BYTE, TreeEncoder(BYTE, leaf=64))])
+def test_cuts_at_east_asian_stops(path, encoder):
+    texts = east_asian()
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    known = Pieces(encoder)
+    data, offsets = tb.flat(pa.array(texts))
+    assert len(tokens.chunk_starts(data, offsets)) > 1.5 * len(texts)
+    slots, at = known.slots(data, offsets)
+    ids = known.ids[tb.ragged(known.start[slots], known.length[slots])]
+    counts = np.bincount(np.searchsorted(offsets, at, side="right") - 1, weights=known.length[slots], minlength=len(texts)).astype(int)
+    edges = np.concatenate(([0], np.cumsum(counts)))
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
+
+
+@pytest.mark.parametrize("ids", [True, False])
+def test_cache_is_bounded_in_bytes(ids, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 1 << 20)
+    r, known, tokenizer = random.Random(3), Pieces(PlainEncoder(WORD, False), ids=ids), Tokenizer.from_file(WORD)
+    for _ in range(30):
+        texts = ["".join(chr(r.randint(0x5000, 0x8FFF)) for _ in range(r.choice([20, 300, 900]))) for _ in range(60)] + ["的。" * 300]
+        data, offsets = tb.flat(pa.array(texts))
+        slots, at = known.slots(data, offsets)
+        counts = np.bincount(np.searchsorted(offsets, at, side="right") - 1, weights=known.length[slots], minlength=len(texts)).astype(int)
+        assert counts.tolist() == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert all(len(k) <= tokens.LONG for k in known.slot)
+        # At most the limit and what one call adds.
+        assert sum(map(len, known.slot)) + 120 * len(known.slot) <= (1 << 20) + 300_000 and known.ids.nbytes <= 4 << 20
+
+
 def thue_morse(a, b, n=1024):
     return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
 
@@ -94,7 +128,7 @@ def test_round_trip(spark):
 
 def test_default_encoder_takes_leaves_together():
     # The encoder of the query: a long text's leaves, and the joins of a level, go to the library in batches.
-    encoder = bpe._pieces(BYTE).encoder
+    encoder = bpe._pieces(BYTE, 3).encoder  # as with spark.task.cpus=3
     batches, leaves = [], encoder.leaves
     encoder.workers, had = max(2, encoder.workers), encoder.workers
     encoder.leaves = lambda words: batches.append(len(words)) or leaves(words)
@@ -104,4 +138,4 @@ def test_default_encoder_takes_leaves_together():
     finally:
         del encoder.leaves
         encoder.workers = had
-    assert batches[:2] == [8, 4] and had == len(os.sched_getaffinity(0))
+    assert batches[:2] == [8, 4] and had == 3
