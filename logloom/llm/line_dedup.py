@@ -30,17 +30,18 @@ def _keyed(docs: DataFrame, least_chars: int, batches: int) -> DataFrame:
 
 @dataclass
 class LineRuns:
-    """Levelled runs of line keys: k1, k2, n_docs, last_doc, new.
+    """Levelled runs of line keys: k1, k2, n_docs, last_doc.
 
-    Each run is written once, bucketed and sorted by its key, so that it merges with a batch without a
-    shuffle. add() joins a batch with the new keys of all runs: those that it holds beyond them are new in its
-    own run; of the others it has what the batch adds (documents, the last one). So each key is new in one
-    run. When a level holds `fanout` runs, compact() merges them to one of the next level. Every document
+    Each run is written once, bucketed and sorted by its key, so runs merge with a batch, and with each other,
+    bucket by bucket without a shuffle. add() merges a batch with all runs: keys that none holds come with what
+    the batch says; of the others the new run holds what all batches so far say together, and what older
+    runs say of them is out of date. So a key's largest row is its last, and what a key comes to is known when its last batch is
+    added. When a level holds `fanout` runs, compact() merges them to one of the next level. Every document
     belongs to one batch. State lives in the shared folder; the driver holds names.
     """
 
     spark: SparkSession
-    fanout: int = 4
+    fanout: int = 2
     levels: list[list[str]] = field(default_factory=list)
     paths: dict[str, str] = field(default_factory=dict)
     merges: int = 0
@@ -49,10 +50,10 @@ class LineRuns:
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _run(self, rows: DataFrame) -> str:
+        """Write a run. Its rows are dealt by key already: no further exchange."""
         name = f"line_run_{uuid4().hex}"
-        rows = rows.select("k1", "k2", "n_docs", "last_doc", "new").repartition(self.buckets, "k1", "k2")
         self.paths[name] = fresh_path(self.spark, name)
-        rows.write.option("path", self.paths[name]).bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").saveAsTable(name)
+        rows.select("k1", "k2", "n_docs", "last_doc").write.option("path", self.paths[name]).bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").saveAsTable(name)
         return name
 
     def _drop(self, names: list[str]) -> None:
@@ -61,10 +62,8 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE {name}")
             del self.paths[name]
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        # Read as plain files: a union of bucketed scans claims a partitioning by key that it doesn't have (Spark 4.1).
-        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(self.spark.table(n).schema).parquet(self.paths[n]) for n in names])
-        return rows.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("new").alias("new"))
+    def _held(self, name: str, i: int) -> DataFrame:
+        return self.spark.table(name).select("k1", "k2", F.col("n_docs").alias(f"n{i}"), F.col("last_doc").alias(f"d{i}")).hint("merge")
 
     def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
@@ -72,10 +71,14 @@ class LineRuns:
     def add(self, keys: DataFrame) -> str:
         """keys: doc_id, k1, k2 of a batch, repeated within a document or not. Returns the name of its run."""
         once = keys.select("k1", "k2", "doc_id").distinct()
-        rows = once.groupBy("k1", "k2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")).withColumn("new", F.lit(True))
-        for run in self.runs():
-            held = self.spark.table(run).filter("new").select("k1", "k2", F.lit(True).alias("held")).hint("merge")
-            rows = rows.join(held, ["k1", "k2"], "left").select("k1", "k2", "n_docs", "last_doc", (F.col("new") & F.col("held").isNull()).alias("new"))
+        rows = once.groupBy("k1", "k2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        names = self.runs()
+        for i, run in enumerate(names):
+            rows = rows.join(self._held(run, i), ["k1", "k2"], "left")
+        if names:
+            # The newest row of a key counts most documents.
+            before = F.coalesce(F.greatest(*(f"n{i}" for i in range(len(names)))) if len(names) > 1 else F.col("n0"), F.lit(0))
+            rows = rows.select("k1", "k2", (F.col("n_docs") + before).alias("n_docs"), F.greatest("last_doc", *(f"d{i}" for i in range(len(names)))).alias("last_doc"))
         name = self._run(rows)
         if not self.levels:
             self.levels.append([])
@@ -83,11 +86,14 @@ class LineRuns:
         return name
 
     def compact(self) -> None:
-        """Merge every level that is full; runs that went into a merge are deleted."""
+        """Merge every level that is full, by full outer merge joins; runs that went into a merge are deleted."""
         for at in range(len(self.levels)):
             if len(self.levels[at]) >= self.fanout:
                 full = self.levels[at]
-                name = self._run(self._merged(full))
+                rows = self.spark.table(full[0])
+                for run in full[1:]:
+                    rows = rows.join(self._held(run, 0), ["k1", "k2"], "full").select("k1", "k2", F.greatest("n_docs", "n0").alias("n_docs"), F.greatest("last_doc", "d0").alias("last_doc"))
+                name = self._run(rows)
                 if at + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[at + 1].append(name)
@@ -95,8 +101,12 @@ class LineRuns:
                 self.merges += 1
                 self._drop(full)
 
-    def totals(self) -> DataFrame:
-        return self._merged(self.runs()).drop("new")
+    def heavy(self, least_docs: int) -> DataFrame:
+        """k1, k2, last_doc of the keys that at least least_docs documents hold; of keys in fewer, no row is read
+        beyond a filter. Rows of a key in several runs become one, so of heavy keys alone are there any to combine."""
+        # Read as plain files: a union of bucketed scans claims a partitioning by key that it doesn't have (Spark 4.1).
+        some = [self.spark.read.schema(self.spark.table(n).schema).parquet(self.paths[n]).filter(F.col("n_docs") >= least_docs) for n in self.runs()]
+        return reduce(DataFrame.unionByName, some).groupBy("k1", "k2").agg(F.max("last_doc").alias("last_doc"))
 
     def drop(self) -> None:
         self._drop(self.runs())
@@ -112,7 +122,7 @@ def _lost(docs: DataFrame, least_chars: int, least_docs: int, batches: int, fano
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b))
         runs.compact()
-    heavy = runs.totals().filter(F.col("n_docs") >= least_docs)
+    heavy = runs.heavy(least_docs)
     lost = lines.join(heavy, ["k1", "k2"]).filter("doc_id < last_doc").select("doc_id", "k1", "k2").distinct()
     # Repeated rows of a doc_id may hold other lines, so what is lost goes by document and key.
     lost = lines.join(lost, ["doc_id", "k1", "k2"], "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.array_sort(F.collect_set("line_no")).alias("lost"))
@@ -133,12 +143,13 @@ def _kept(text: Column) -> Column:
     return F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["a"] + 2, g["b"] - g["a"] - 1))), "\n")
 
 
-def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 5, fanout: int = 4) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 3, fanout: int = 2) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept: whole texts without the lines that many documents share.
 
     Lines are what stands between line feeds. A key (line_key) of at least least_chars code points that at
     least least_docs documents hold loses all its lines except in the largest doc_id that holds it. The
-    documents go through the runs (LineRuns) in `batches`, by a hash of doc_id; then their lines meet the totals.
+    documents go through the runs (LineRuns) in `batches`, by a hash of doc_id; then their lines meet the keys that
+    the runs say are heavy.
     Keys are compared by 128 bits of hash. Null and empty texts are one empty line; rows without doc_id
     are left as they are and hold no key; rows with the same doc_id are one document when keys are counted,
     and each gives a row; other columns are not read; no rows in, no rows out.
@@ -158,7 +169,7 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
     )
 
 
-def without_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 5, fanout: int = 4) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 3, fanout: int = 2) -> DataFrame:
     """The rows and columns of docs, whatever their names, texts without the lines that drop_repeated_lines()
     drops, and n_chars, if there, made to fit. Texts that lose nothing stay as they are, null too."""
     lost = _lost(docs, least_chars, least_docs, batches, fanout)

@@ -108,31 +108,38 @@ def test_lines(spark):
 
 
 def test_line_runs(spark):
-    # 6 batches of keys against counts by hand: each key is new once, runs are merged, and no run is shuffled.
+    # 6 batches of keys against counts by hand: each run has what all batches so far say of its keys, and runs merge without a shuffle.
     r = random.Random(12)
-    batches = [[(d, r.randrange(40), 7) for d in range(100 * b, 100 * b + 30) for _ in range(3)] for b in range(6)]
-    runs, seen = LineRuns(spark, fanout=2), set()
+    batches = [[(d, r.randrange(400), 7) for d in range(100 * b, 100 * b + 30) for _ in range(6)] for b in range(6)]
+    runs, every = LineRuns(spark, fanout=2), defaultdict(set)
     for b, rows_of in enumerate(batches):
         name = runs.add(spark.createDataFrame(rows_of, "doc_id long, k1 long, k2 long"))
-        got = {x["k1"]: (x["n_docs"], x["last_doc"], x["new"]) for x in spark.table(name).collect()}
-        docs_of = {k: {d for d, x, _ in rows_of if x == k} for _, k, _ in rows_of}
-        assert got == {k: (len(d), max(d), k not in seen) for k, d in docs_of.items()}
+        for d, k, _ in rows_of:
+            every[k].add(d)
+        got = {x["k1"]: (x["n_docs"], x["last_doc"]) for x in spark.table(name).collect()}
+        assert got == {k: (len(every[k]), max(every[k])) for _, k, _ in rows_of}
         if b == 1:
-            held = spark.table(name)
-            plan = held.hint("merge").join(held.select("k1", "k2"), ["k1", "k2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
-            assert "SortMergeJoin" in plan and "Exchange" not in plan
-        seen |= set(docs_of)
+            held = [runs._held(n, i) for i, n in enumerate(runs.runs())]
+            for how in ("left", "full"):
+                plan = held[0].join(held[1], ["k1", "k2"], how)._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" in plan and "Exchange" not in plan
         runs.compact()
     assert runs.merges >= 4 and len(runs.levels) >= 3
-    every = defaultdict(set)
-    for d, k, _ in (x for b in batches for x in b):
-        every[k].add(d)
-    assert {x["k1"]: (x["n_docs"], x["last_doc"]) for x in runs.totals().collect()} == {k: (len(d), max(d)) for k, d in every.items()}
+    for least in (1, 3, 5):
+        assert {x["k1"]: x["last_doc"] for x in runs.heavy(least).collect()} == {k: max(d) for k, d in every.items() if len(d) >= least}
     left = runs.runs()
     runs.drop()
     assert left and not any(spark.catalog.tableExists(t) for t in left)
 
 
+def test_merge_with_the_runs_decides(spark, monkeypatch):
+    # Three documents in three batches share a line: without the runs no batch knows of the others.
+    docs = spark.createDataFrame([(i, "a line that is long enough\nown %d" % i) for i in range(12)], "doc_id long, text string")
+    assert sorted(r["n_dropped"] for r in drop_repeated_lines(docs, batches=12, least_docs=12).collect()) == [0] + [1] * 11
+    monkeypatch.setattr(LineRuns, "_held", lambda self, name, i: spark.createDataFrame([], f"k1 long, k2 long, n{i} long, d{i} long"))
+    assert {r["n_dropped"] for r in drop_repeated_lines(docs, batches=12, least_docs=12, fanout=99).collect()} == {0}
+
+
 def test_lines_keep_columns(spark):
     docs = documents(spark).selectExpr("*", "1 as d", "2 as t", "3 as lost", "4 as `row`", "5 as _k", "6 as _t", "7 as _lost", "8 as _lines")
     out = without_repeated_lines(docs)
