@@ -156,16 +156,51 @@ def _linked(percent: int) -> Column:
 
 
 def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows (pivot, rep, ...) of groups with component and home, the components of rep and of pivot by the
-    links so far, for the pivots whose members aren't all of one component."""
-    label = components(links)
-    groups = groups.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    groups = groups.join(label.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    mixed = groups.filter("component <> home").select("pivot").distinct()
-    return groups.join(mixed, "pivot", "left_semi")
+    """pivot, rep, component, out of groups, for the pivots whose members aren't all of one component by the links
+    so far; out tells the members that aren't of the group's largest component."""
+    label = components(links).select(F.col("node").alias("rep"), "component")
+    groups = groups.select("pivot", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = groups.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n"))
+    homes = sizes.groupBy("pivot").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("home"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    return groups.join(homes, "pivot").select("pivot", "rep", "component", (F.col("component") != F.col("home")).alias("out"))
+
+
+def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pivot, rep, n, d, nd, a: the size of a member's set, its symmetric difference d from the pivot's, with its size
+    nd, and a = (100 + percent) nd - (100 - percent) n."""
+    held = groups.select("pivot", "rep").join(sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("mine")), "rep").join(sets.select(F.col("doc_id").alias("pivot"), "set"), "pivot")
+    differing = F.array_union(F.array_except("mine", "set"), F.array_except("set", "mine"))
+    held = held.select("pivot", "rep", F.size("mine").cast("long").alias("n"), differing.alias("d")).withColumn("nd", F.size("d").cast("long"))
+    return held.withColumn("a", (100 + percent) * F.col("nd") - (100 - percent) * F.col("n"))
+
+
+#: Bands, and coordinates of each, of the second sketch: members of a group by what they differ in from the pivot.
+NEAR_BANDS, NEAR_WIDTH = 32, 3
+
+
+def _near_pairs(groups: DataFrame, differences: DataFrame) -> DataFrame:
+    """a, b: members of one pivot, of different components, with the first of a band of the sketches of their
+    differences; NEAR_BANDS pairs for each member and pivot at most. Two that are linked have many differences in
+    common, others of their group few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                column = batch.column("d")
+                h = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                r = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+                bands = _sketched(batch.column("rep"), h, r, NEAR_BANDS, NEAR_WIDTH).column("bands")
+                yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("rep"), bands], ["pivot", "rep", "bands"])
+
+    banded = differences.filter("nd > 0").select("pivot", "rep", "d").mapInArrow(run, "pivot long, rep long, bands array<long>")
+    each = written(banded.join(groups.select("pivot", "rep", "component"), ["pivot", "rep"]).select("pivot", "rep", "component", F.explode("bands").alias("band")), "near")
+    first = each.groupBy("pivot", "band").agg(F.min(F.struct("rep", "component")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = each.join(first.select("pivot", "band", F.col("f.rep").alias("first"), F.col("f.component").alias("of")), ["pivot", "band"]).filter("component <> of")
+    return pairs.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _differing_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _differing_pairs(groups: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of members (rep) of one pivot, of different components, that may be linked; exact.
 
     With D the symmetric difference of a set and its pivot's, two sets of x and y elements are linked if and
@@ -176,15 +211,10 @@ def _differing_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFr
     no partner under their caps, by the least A and largest cap of all who have them, drop out before the
     join, so edits that nobody shares, and the pivot's own, which everybody shares, give no pairs.
     Of two members of different components one at least isn't linked to the pivot, so Ax + Ay > 0 and linked
-    members do have a common element.
+    members do have a common element. One at least isn't of the largest component, and only those (out) look for partners.
     """
     both = 100 + percent
-    members = groups.select("pivot", "rep", "component", (F.col("component") != F.col("home")).alias("out"))
-    held = members.join(sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("mine")), "rep").join(sets.select(F.col("doc_id").alias("pivot"), "set"), "pivot")
-    differing = F.array_union(F.array_except("mine", "set"), F.array_except("set", "mine"))
-    held = held.select("pivot", "rep", "component", "out", F.size("mine").cast("long").alias("n"), differing.alias("d"))
-    held = held.withColumn("nd", F.size("d").cast("long")).withColumn("a", both * F.col("nd") - (100 - percent) * F.col("n"))
-    held = written(held, "differing")
+    held = written(groups.join(differences, ["pivot", "rep"]), "differing")
     least = held.groupBy("pivot").agg(F.min("a").alias("floor"))
     each = held.select("pivot", "rep", "component", "out", "nd", "a", F.explode("d").alias("s"))
     common = each.groupBy("pivot", "s").agg(F.count(F.lit(1)).alias("df"), (F.min("component") != F.max("component")).alias("mixed"))
@@ -219,8 +249,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Sets that are equal are one class (by a pre-aggregated key). Class representatives meet in `bands`
     buckets; in a bucket all are compared with one pivot, the member that shares most buckets, so a pivot's
-    group are the members of its buckets. Where a group isn't one component yet, an exact filter on what
-    members differ in from their pivot (_differing_pairs) gives the other pairs. So no bucket is capped, none
+    group are the members of its buckets. Where a group isn't one component yet, a second sketch of what members
+    differ in from their pivot links most of them in a number of pairs that grows with the members (_near_pairs);
+    for those outside the group's largest component an exact filter (_differing_pairs) gives all other pairs. So no bucket is capped, none
     emits all its pairs, and no link between different components is lost that shares a band: a pair at the
     threshold of 80 % (85 %) shares none of 32 bands of 4 with probability 5e-8 (6e-11).
     """
@@ -253,7 +284,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = written(near.select("a", "b"), "links")
     # A member that shares hardly anything with the pivot may still be near another member: all go on.
     apart = written(_labelled(groups, links), "apart")
-    last = _measured(_differing_pairs(apart, sets, percent), sets).filter(_linked(percent)).select("a", "b")
+    differences = written(_differences(apart, sets, percent), "differences")
+    near = _measured(_near_pairs(apart, differences), sets).filter(_linked(percent))
+    links = written(links.unionByName(near.select("a", "b")), "links")
+    # By now nearly all that belongs together is: what is compared with all others of its group is what is left over.
+    apart = written(_labelled(apart, links), "apart")
+    last = _measured(_differing_pairs(apart, differences, percent), sets).filter(_linked(percent)).select("a", "b")
     labels = components(links.unionByName(last))
     class_of = classes.select("n_shingles", "s1", "s2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     class_of = class_of.select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))

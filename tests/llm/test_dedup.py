@@ -253,3 +253,20 @@ def test_empty_tables(spark):
     docs = documents(spark, [])
     for f in (drop_repeated_substrings, drop_repeated_word_spans, drop_repeated_lines, near_duplicates, keep_one, without_repeated_lines):
         assert f(docs).count() == 0
+
+
+def test_group_of_word_swaps_is_not_compared_in_full(spark, monkeypatch):
+    # One text with 9 of 40 fixed swaps each: all share buckets, few are linked, hardly any with the pivot.
+    r = random.Random(1)
+    base, places = [f"w{r.randrange(10**6)}" for _ in range(300)], r.sample(range(300), 40)
+    given = []
+    for i in range(240):
+        w = list(base)
+        for p in r.sample(places, 9):
+            w[p] = f"swap{p}"
+        given.append((i, " ".join(w)))
+    tried, measured = [], minhash._measured
+    monkeypatch.setattr(minhash, "_measured", lambda pairs, sets: (tried.append(pairs.count()), measured(pairs, sets))[1])
+    got = near_duplicates(spark.createDataFrame(given, "doc_id long, text string"), 3, 85)
+    assert sorted(multiset(got, "doc_id", "n_shingles", "component_id")) == sorted((d, *x) for d, x in near_by_force(given, 3, 85).items())
+    assert len(tried) == 3 and tried[2] < 240 * 20 and sum(tried) < 240 * 120
