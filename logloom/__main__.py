@@ -15,19 +15,20 @@ from pyspark.sql import functions as F
 from logloom.operators import analytics as A
 from logloom.operators import detect as D
 from logloom.operators import extract as X
-from logloom.operators.integrity import verify
+from logloom.operators.integrity import findings, verify
 from logloom.plans.triage import exists, triage
 from logloom.session import session
 from logloom.sinks import writers as W
 from logloom.sources import logs as L
+from logloom.sources import ranges as R
 
 CLEAN, FOUND, ERROR, MISSING = 0, 1, 2, 3
 
 
 def _verify(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    logs = L.files(spark, *a.paths)
-    chunks = L.chunks(logs)
-    return verify(logs, chunks, L.records(chunks), least=a.least)
+    if R.readable(*a.paths):
+        return findings(R.log_ranges(spark, *a.paths, rows="facts"), least=a.least)
+    return verify(L.files(spark, *a.paths), least=a.least)
 
 
 def _timeline(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -53,7 +54,7 @@ def _diff(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 def _info(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     logs = L.files(spark, *a.paths)
     chunks = L.chunks(logs)
-    return A.info(logs, L.carve_stats(chunks), L.decoded(chunks), verify(logs, chunks, L.records(chunks)))
+    return A.info(logs, L.carve_stats(chunks), L.decoded(chunks), verify(logs))
 
 
 def _extract(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

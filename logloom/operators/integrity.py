@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.columns import normal_guid, number
+from logloom.functions.columns import normal_guid
 from logloom.schema import EPOCH_TICKS
+from logloom.sources import logs as L
 
 ANOMALY = ("source", "code", "severity", "verify_severity", "chunk_offset", "record_id", "expected", "found", "details")
 
@@ -24,6 +25,8 @@ SEVERITY = {
     "CHUNK_COUNT_MISMATCH": ("High", "warning"),
     "INVALID_CHUNK_DATA_LENGTH": ("High", "warning"),
     "TRUNCATED_FILE": ("High", "warning"),
+    "TRAILING_DATA": ("High", "warning"),
+    "OVERLAPPING_CHUNKS": ("High", "warning"),
     "PHANTOM_RECORD_INJECTION": ("High", "error"),
     "TIMESTAMP_ANOMALY": ("Medium", "critical"),
     "EXPORT_TIMESTAMP_CORRUPTION": ("Medium", "info"),
@@ -56,18 +59,6 @@ ETW_SESSIONS = ("EventLog-Application", "EventLog-Security", "EventLog-System")
 # ---- End of fixed values ----
 
 
-def _anomaly(df: DataFrame, code: str, chunk: object = None, record: object = None, expected: object = None, found: object = None, details: object = None) -> DataFrame:
-    a, b = SEVERITY[code]
-
-    def col(x: object, kind: str) -> Column:
-        return (x if isinstance(x, Column) else F.lit(x)).cast(kind)
-
-    return df.select(
-        "source", F.lit(code).alias("code"), F.lit(a).alias("severity"), F.lit(b).alias("verify_severity"), col(chunk, "long").alias("chunk_offset"), col(record, "long").alias("record_id"),
-        col(expected, "string").alias("expected"), col(found, "string").alias("found"), col(details, "string").alias("details"),
-    )
-
-
 # ---- gaps, clocks: windows over one ordering each ----
 def id_gaps(rows: DataFrame, by: list[str], order: str, first: str, last: str) -> DataFrame:
     """Neighbours in `order` where `first` isn't the `last` before plus one: expected and found."""
@@ -97,93 +88,104 @@ def changed_values(rows: DataFrame, by: list[str], order: str, column: str) -> D
 
 
 # ---- whole logs ----
-def file_anomalies(logs: DataFrame, found_chunks: DataFrame) -> DataFrame:
-    """What headers of logs (source, content) say against themselves and against their chunks."""
-    c = F.col("content")
-    long_enough = logs.filter(F.length("content") >= 128)
-    heads = long_enough.select(
-        "source",
-        number(c, 0x18, 8).alias("next_id"),
-        number(c, 0x2A, 2).alias("chunk_count"),
-        number(c, 0x78, 4).alias("flags"),
-        number(c, 0x7C, 4).alias("checksum"),
-        F.crc32(F.substring(c, 1, 0x78)).alias("computed"),
-    )
-    chunk = F.col("content")
-    seen = found_chunks.filter(F.length("content") >= 128).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.max(number(chunk, 0x20, 8)).alias("top"))
-    heads = heads.join(seen, "source", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
-    parts = [
-        _anomaly(logs.filter(F.length("content") < 128), "TRUNCATED_FILE"),
-        _anomaly(heads.filter("checksum <> computed"), "FILE_HEADER_CHECKSUM_MISMATCH", expected=F.col("computed"), found=F.col("checksum")),
-        _anomaly(heads.filter("(flags & 1) <> 0"), "FILE_NOT_CLEANLY_SHUTDOWN"),
-        _anomaly(heads.filter("(flags & 2) <> 0"), "FILE_FULL"),
-        _anomaly(heads.filter("chunk_count = 0"), "EMPTY_LOG"),
-        _anomaly(heads.filter("chunk_count <> chunks"), "CHUNK_COUNT_MISMATCH", expected=F.col("chunk_count"), found=F.col("chunks")),
-        _anomaly(heads.filter("next_id <= top"), "NEXT_RECORD_ID_INCONSISTENCY", expected=F.col("top") + 1, found=F.col("next_id")),
+def _finding(code: str, when: Column, expected: Column | None = None, found: Column | None = None) -> Column:
+    said = [F.lit(None).cast("string") if x is None else x.cast("string") for x in (expected, found)]
+    return F.when(when, F.struct(F.lit(code).alias("code"), *(F.lit(x).alias(n) for x, n in zip(SEVERITY[code], ("severity", "verify_severity"), strict=True)), said[0].alias("expected"), said[1].alias("found")))
+
+
+def _of_file() -> list[Column]:
+    c = F.col
+    return [
+        _finding("TRUNCATED_FILE", c("length") < 128),
+        _finding("FILE_HEADER_CHECKSUM_MISMATCH", c("checksum") != c("computed"), c("computed"), c("checksum")),
+        _finding("FILE_NOT_CLEANLY_SHUTDOWN", c("flags").bitwiseAND(1) != 0),
+        _finding("FILE_FULL", c("flags").bitwiseAND(2) != 0),
+        _finding("EMPTY_LOG", c("chunk_count") == 0),
+        _finding("CHUNK_COUNT_MISMATCH", c("chunk_count") != c("chunks"), c("chunk_count"), c("chunks")),
+        _finding("NEXT_RECORD_ID_INCONSISTENCY", c("next_id") <= c("top"), c("top") + 1, c("next_id")),
+        _finding("TRAILING_DATA", c("used_end") > c("chunks_end"), c("chunks_end"), c("length") - c("chunks_end")),
     ]
-    return reduce(DataFrame.unionByName, parts)
 
 
-def chunk_anomalies(found_chunks: DataFrame) -> DataFrame:
-    """Checksums, extents, record numbers and log GUIDs of chunks (source, chunk_offset, content)."""
-    c = F.col("content")
-    heads = found_chunks.filter((F.length("content") == 65536) & (F.substring(c, 1, 8) == F.unhex(F.lit("456C6643686E6B00")))).select(
-        "source",
-        "chunk_offset",
-        number(c, 0x08, 8).alias("first_number"),
-        number(c, 0x10, 8).alias("last_number"),
-        number(c, 0x30, 4).alias("free_at"),
-        number(c, 0x34, 4).alias("records_sum"),
-        F.hex(F.substring(c, 97, 16)).alias("guid"),
-        number(c, 0x78, 4).alias("head_sum"),
-        F.crc32(F.substring(c, 1, 0x78)).alias("head_computed"),
-        F.when(number(c, 0x30, 4).between(512, 65536), F.crc32(c.substr(F.lit(513), (number(c, 0x30, 4) - 512).cast("int")))).alias("records_computed"),
-    )
-    at = F.col("chunk_offset")
-    gaps = id_gaps(heads, ["source"], "chunk_offset", "first_number", "last_number")
-    guids = changed_values(heads, ["source"], "chunk_offset", "guid")
-    parts = [
-        _anomaly(heads.filter("head_sum <> head_computed"), "CHUNK_CHECKSUM_MISMATCH", at, None, F.col("head_computed"), F.col("head_sum")),
-        _anomaly(heads.filter("records_sum <> records_computed"), "RECORD_CHECKSUM_MISMATCH", at, None, F.col("records_computed"), F.col("records_sum")),
-        _anomaly(heads.filter("free_at < 512 or free_at > 65536"), "INVALID_CHUNK_DATA_LENGTH", at, None, None, F.col("free_at")),
-        _anomaly(gaps, "RECORD_ID_GAP", at, None, F.col("expected"), F.col("found")),
-        _anomaly(guids, "LOG_FILE_GUID_MISMATCH", at, None, F.col("first_value"), F.col("guid")),
+def _of_chunk() -> list[Column]:
+    c, whole = F.col, F.col("whole")
+    return [
+        _finding("CHUNK_CHECKSUM_MISMATCH", whole & (c("head_sum") != c("head_computed")), c("head_computed"), c("head_sum")),
+        _finding("RECORD_CHECKSUM_MISMATCH", whole & (c("records_sum") != c("records_computed")), c("records_computed"), c("records_sum")),
+        _finding("INVALID_CHUNK_DATA_LENGTH", whole & ~c("free_at").between(512, 65536), None, c("free_at")),
+        _finding("RECORD_ID_GAP", whole & (c("first_number") != c("before") + 1), c("before") + 1, c("first_number")),
+        _finding("LOG_FILE_GUID_MISMATCH", whole & (c("guid") != c("first_guid")), c("first_guid"), c("guid")),
+        _finding("OVERLAPPING_CHUNKS", c("covered") > c("chunk_offset"), c("covered"), c("chunk_offset")),
     ]
-    return reduce(DataFrame.unionByName, parts)
 
 
-def record_anomalies(recs: DataFrame, full: bool = True) -> DataFrame:
-    """Records (of sources.logs.records) that hide another, have no time, or, with full, break the clock."""
-    parts = [
-        _anomaly(recs.filter("nested_at is not null"), "SURGICAL_RECORD_DELETION", F.col("chunk_offset"), F.col("record_id"), None, F.col("nested_at")),
-        _anomaly(recs.filter("filetime = 0"), "EXPORT_TIMESTAMP_CORRUPTION", F.col("chunk_offset"), F.col("record_id")),
+def _of_record() -> list[Column]:
+    c, delta = F.col, F.col("ts_ns") - F.col("prev.ts_ns")
+    missing = F.col("record_id") - F.col("prev.record_id") - 1
+    return [
+        _finding("SURGICAL_RECORD_DELETION", c("nested_at").isNotNull(), None, c("nested_at")),
+        _finding("EXPORT_TIMESTAMP_CORRUPTION", c("filetime") == 0),
+        _finding("TIMESTAMP_ANOMALY", (c("filetime") != 0) & (c("earlier.chunk_offset") == c("chunk_offset")) & (c("filetime") < c("earlier.filetime")), c("earlier.filetime"), c("filetime")),
+        _finding("PHANTOM_RECORD_INJECTION", (missing > 0) & ((delta <= 0) | (delta / missing < 1_000_000)), missing, delta),
     ]
-    if full:
-        timed = recs.filter("filetime <> 0")
-        clocks = backward_clocks(timed, ["source", "chunk_offset"], "record_offset", "filetime")
-        # From 1970, so that nanoseconds fit; times too far away to fit say nothing about gaps.
-        ns = F.try_multiply(F.try_subtract("filetime", F.lit(EPOCH_TICKS)), F.lit(100).cast("long"))
-        phantom = phantom_gaps(timed.withColumn("ts_ns", ns).filter("ts_ns is not null"), ["source"])
-        parts += [
-            _anomaly(clocks, "TIMESTAMP_ANOMALY", F.col("chunk_offset"), F.col("record_id"), F.col("previous_ts"), F.col("filetime")),
-            _anomaly(phantom, "PHANTOM_RECORD_INJECTION", F.col("chunk_offset"), F.col("record_id"), F.col("missing"), F.col("delta_ns")),
-        ]
-    return reduce(DataFrame.unionByName, parts)
-
 
-def verify(logs: DataFrame, found_chunks: DataFrame, recs: DataFrame, mode: str = "full", least: str | None = None) -> DataFrame:
-    """All anomalies, each once. mode "carve" leaves out clocks, phantom gaps, GUIDs, extents and empty logs.
 
-    least: the lowest severity to report, on either scale (High, say, or warning)."""
-    found = file_anomalies(logs, found_chunks).unionByName(chunk_anomalies(found_chunks)).unionByName(record_anomalies(recs, mode == "full"))
+_FULL_ONLY = ("EMPTY_LOG", "LOG_FILE_GUID_MISMATCH", "INVALID_CHUNK_DATA_LENGTH", "TIMESTAMP_ANOMALY", "PHANTOM_RECORD_INJECTION")
+
+
+def findings(facts: DataFrame, mode: str = "full", least: str | None = None) -> DataFrame:
+    """source, code, severity, verify_severity, chunk_offset, record_id, expected, found, details: all anomalies, each once,
+    of the rows that sources.logs.facts() and its like give of files, chunks and records.
+
+    One pass: rows meet their neighbours in windows over one shuffle by source, then each yields an array of what is
+    wrong with it. Among chunks these are the one before (numbers), the first (GUID) and the furthest end of all
+    before (overlaps); of a file, its chunks; among records those with a time, by place within a chunk (clocks) and by id (gaps
+    that the clock has no room for; times too far away to fit into nanoseconds say nothing of gaps).
+    mode "carve" leaves out clocks, phantom gaps, GUIDs, extents and empty logs. least: the lowest severity to
+    report, on either scale (High, say, or warning).
+    """
+    if least is not None and least not in RANK:
+        raise ValueError(f"no severity {least!r}; there are {', '.join(RANK)}")
+    a_chunk, whole = F.col("kind") == 1, F.col("whole")
+    timed = (F.col("kind") == 2) & (F.col("filetime") != 0)
+    # From 1970, so that nanoseconds fit.
+    ns = F.when(timed, F.try_multiply(F.try_subtract("filetime", F.lit(EPOCH_TICKS)), F.lit(100).cast("long")))
+    rows = facts.withColumn("ts_ns", ns)
+    log = Window.partitionBy("source")
+    place = Window.partitionBy("source", "kind").orderBy("chunk_offset", "record_offset")
+    before = place.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns(
+        {
+            "before": F.last(F.when(whole, F.col("last_number")), ignorenulls=True).over(before),
+            "first_guid": F.first(F.when(whole, F.col("guid")), ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0)),
+            "covered": F.max(F.when(whole, F.col("chunk_offset") + F.col("size"))).over(before),
+            "earlier": F.last(F.when(timed, F.struct("chunk_offset", "filetime")), ignorenulls=True).over(before),
+        }
+    )
+    fits = F.col("ts_ns").isNotNull()
+    by_id = Window.partitionBy("source", "kind", fits).orderBy("record_id")
+    rows = rows.withColumn("prev", F.when(fits, F.lag(F.struct("record_id", "ts_ns")).over(by_id)))
+    rows = rows.withColumns({"chunks": F.count_if(a_chunk).over(log), "top": F.max(F.when(a_chunk, F.col("last_id"))).over(log), "chunks_end": F.max(F.when(whole, F.col("chunk_offset") + F.col("size"))).over(log)})
+    said = F.when(F.col("kind") == 0, F.array(*_of_file())).when(a_chunk, F.array(*_of_chunk())).otherwise(F.array(*_of_record()))
+    out = rows.select("source", "chunk_offset", "record_id", F.inline(F.array_compact(said)))
+    out = out.select("source", "code", "severity", "verify_severity", "chunk_offset", "record_id", "expected", "found", F.lit(None).cast("string").alias("details"))
     if mode == "carve":
-        found = found.filter(~F.col("code").isin("EMPTY_LOG", "LOG_FILE_GUID_MISMATCH", "INVALID_CHUNK_DATA_LENGTH"))
-    found = found.dropDuplicates()
+        out = out.filter(~F.col("code").isin(*_FULL_ONLY))
     if least is not None:
         scale = "severity" if least in ("Critical", "High", "Medium") else "verify_severity"
-        keep = [s for s in {v[0 if scale == "severity" else 1] for v in SEVERITY.values()} if RANK[s] >= RANK[least]]
-        found = found.filter(F.col(scale).isin(keep))
-    return found
+        out = out.filter(F.col(scale).isin([s for s in {v[0 if scale == "severity" else 1] for v in SEVERITY.values()} if RANK[s] >= RANK[least]]))
+    return out.dropDuplicates()
+
+
+def verify(logs: DataFrame, found_chunks: DataFrame | None = None, recs: DataFrame | None = None, mode: str = "full", least: str | None = None) -> DataFrame:
+    """findings() of logs (source, content), which are read once. Where chunk rows are given, they and their records
+    (those of recs, if given) count instead of the logs' own: chunks that were carved, say."""
+    facts = L.facts(logs, inside=found_chunks is None)
+    if found_chunks is not None:
+        facts = facts.unionByName(L.facts_of_chunks(found_chunks).filter("kind = 1" if recs is not None else "true"))
+    if recs is not None:
+        facts = facts.unionByName(recs.select("source", F.lit(2).alias("kind"), "chunk_offset", "record_offset", "record_id", "filetime", "nested_at"), allowMissingColumns=True)
+    return findings(facts, mode, least)
 
 
 def cleared_logs(evt: DataFrame) -> DataFrame:

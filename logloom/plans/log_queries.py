@@ -72,8 +72,7 @@ def evtx_carve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evtx_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flag bit is flipped in every file header; nothing else is wrong but the clocks, which are left out."""
     logs = _with_bytes(made_logs(spark, sf_dir), 36, "FF")
-    found = L.chunks(logs)
-    return I.verify(logs, found, L.records(found), mode="carve").select("source", "code")
+    return I.verify(logs, mode="carve").select("source", "code")
 
 
 @query("SELECT DISTINCT logon_id AS source, TRUE AS header_repaired, CAST(0 AS BIGINT) AS chunks_repaired FROM evt")
@@ -194,7 +193,7 @@ def info_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that is known of each log, after a bit of its header was flipped. Hashes of made logs have no SQL."""
     logs = _with_bytes(made_logs(spark, sf_dir), 36, "FF")
     found = L.chunks(logs)
-    findings = I.verify(logs, found, L.records(found), mode="carve")
+    findings = I.verify(logs, mode="carve")
     shown = A.info(logs, L.carve_stats(found), L.decoded(found), findings)
     top = F.array_join(F.transform("top_ids", lambda x: F.concat(x["event_id"], F.lit(":"), x["n"])), ",")
     return shown.select("source", "n_events", "first_ts", "last_ts", top.alias("top_ids"), "n_iocs", "records_recovered", "n_findings")
@@ -228,9 +227,69 @@ def evtx_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(digits).alias("digits")) for at, digits, _ in DAMAGE], F.struct(F.lit(0).alias("at"), F.lit("").alias("digits")))
     logs = made_logs(spark, sf_dir).withColumn("x", F.element_at(done, kind + 1))
     logs = _with_bytes(logs, F.col("x.at"), F.col("x.digits")).withColumn("content", F.substring("content", F.lit(1), F.when(kind == 9, 100).otherwise(1 << 30)))
-    found = L.chunks(logs)
     codes = sorted({c for d in DAMAGE for c in d[2]} | {"TRUNCATED_FILE"})
-    return I.verify(logs, found, L.records(found), mode="full").filter(F.col("code").isin(codes)).select("source", "code").distinct()
+    return I.verify(logs).filter(F.col("code").isin(codes)).select("source", "code").distinct()
+
+
+def _user(source: str = "source") -> Column:
+    return F.regexp_extract(source, "x([0-9]+)", 1).cast("int")
+
+
+@query("SELECT DISTINCT logon_id AS source, 'TRAILING_DATA' AS code, '48' AS found FROM evt WHERE user_id % 3 = 1")
+def evtx_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs with 48 bytes behind the last chunk, which in every third are all zero: room that was set aside."""
+    more = F.unhex(F.when(_user() % 3 == 1, "00" * 8 + "5A" * 40).when(_user() % 3 == 2, "00" * 48).otherwise(""))
+    logs = made_logs(spark, sf_dir).withColumn("content", F.concat("content", more))
+    return I.verify(logs).filter("code = 'TRAILING_DATA'").select("source", "code", "found")
+
+
+@query("SELECT DISTINCT logon_id AS source, 'OVERLAPPING_CHUNKS' AS code, CAST(4096 + 24 AS BIGINT) AS chunk_offset FROM evt WHERE user_id % 4 = 1")
+def evtx_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of which one, in every fourth log, was found 24 bytes behind the first's beginning."""
+    logs = made_logs(spark, sf_dir)
+    found = L.chunks(logs)
+    other = found.filter((F.col("chunk_offset") == 4096) & (_user() % 4 == 1)).withColumn("chunk_offset", F.col("chunk_offset") + 24)
+    return I.verify(logs, found.unionByName(other)).filter("code = 'OVERLAPPING_CHUNKS' and chunk_offset < 65536").select("source", "code", "chunk_offset")
+
+
+@query("SELECT DISTINCT logon_id AS source, code FROM evt, (VALUES ('RECORD_ID_GAP'), ('LOG_FILE_GUID_MISMATCH'), ('CHUNK_CHECKSUM_MISMATCH'), ('CHUNK_COUNT_MISMATCH')) AS t(code)")
+def evtx_transplants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs to whose end a copy of their first chunk was added, with another log's GUID."""
+    chunk = lambda at, n: F.substring("content", 4097 + at, n)
+    copy = F.concat(chunk(0, 96), F.unhex(F.lit("5A" * 16)), chunk(112, 65536 - 112))
+    logs = made_logs(spark, sf_dir).withColumn("content", F.concat("content", copy))
+    codes = ("RECORD_ID_GAP", "LOG_FILE_GUID_MISMATCH", "CHUNK_CHECKSUM_MISMATCH", "CHUNK_COUNT_MISMATCH")
+    return I.verify(logs).filter(F.col("code").isin(*codes)).select("source", "code").distinct()
+
+
+@query("SELECT logon_id AS source, 'SURGICAL_RECORD_DELETION' AS code, 'Critical' AS severity, count(*) AS n FROM evt WHERE record_id % 5 = 0 GROUP BY logon_id")
+def evtx_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, one in five, that took in the one behind them."""
+    inner = F.when(F.col("record_id") % 5 == 0, F.unhex(F.lit("2A2A000020000000" + "01" * 16 + "0F010100" + "20000000"))).otherwise(F.unhex(F.lit("")))
+    rows = silver(spark, sf_dir).select(F.col("data")["TargetLogonId"].alias("source"), "record_id", F.col("ts_ticks").alias("filetime"), F.concat(F.unhex(F.lit("0F010100")), inner).alias("payload"))
+    found = I.verify(logs_of(rows), least="Critical")
+    return found.groupBy("source", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT logon_id AS source, 'carved' AS how, count(*) AS n, min(record_id) AS first_id, max(record_id) AS last_id FROM evt GROUP BY logon_id")
+def evtx_carve_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's header is damaged, so records are searched for at every fourth byte and judged by their payloads."""
+    rows = silver(spark, sf_dir).select(F.col("data")["TargetLogonId"].alias("source"), "record_id", F.col("ts_ticks").alias("filetime"), F.unhex(F.lit("0F01010001020304")).alias("payload"))
+    found = L.chunks(logs_of(rows))
+    found = found.withColumn("content", F.concat(F.substring("content", 1, 0x60), F.unhex(F.lit("5A")), F.substring("content", 0x62, 1 << 16)))
+    return L.records(found).groupBy("source", "how").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
+
+
+@query("SELECT logon_id AS source, max(record_id) AS record_id, 'free' AS how FROM evt GROUP BY logon_id")
+def evtx_free_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last record of each log is cut off from its chunk: the header ends the records before it, and is right."""
+    found = L.chunks(made_logs(spark, sf_dir))
+    last = L.records(found).groupBy("source").agg(F.max(F.struct("chunk_offset", "record_offset")).alias("x")).select("source", "x.*")
+    cut = found.join(last, ["source", "chunk_offset"])
+    four = lambda n: F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(255)), 2, "0") for i in range(4))))
+    cut = cut.withColumn("content", F.concat(F.substring("content", 1, 0x30), four(F.col("record_offset").cast("long")), F.substring("content", 0x35, 1 << 16)))
+    cut = cut.withColumn("content", F.concat(F.substring("content", 1, 0x78), four(F.crc32(F.substring("content", 1, 0x78))), F.substring("content", 0x7D, 1 << 16)))
+    return L.records(cut, free=True).filter("how like 'free%'").select("source", "record_id", "how")
 
 
 @query("""SELECT event_id AS record_id, CASE event_id % 6 WHEN 0 THEN 'TOO_SHORT' WHEN 1 THEN 'INVALID_FRAGMENT_HEADER' WHEN 2 THEN 'UNKNOWN_OPCODE' WHEN 3 THEN 'STRING_TABLE_OVERFLOW' WHEN 4 THEN 'TRUNCATED' END AS problem,

@@ -40,9 +40,8 @@ def triage(spark: SparkSession, path: str) -> DataFrame:
     """source, how, size, sha256, chunks, records and integrity codes (array) of every log at a path."""
     logs = evidence(spark, path)
     chunks = L.chunks(logs.filter("how = 'filesystem'")).unionByName(logs.filter("how = 'carved'").select("source", F.lit(0).cast("long").alias("chunk_offset"), "content"))
-    records = L.records(chunks)
     heads = logs.filter("how = 'filesystem'")
-    codes = verify(heads.select("source", "content"), chunks, records).groupBy("source").agg(F.array_sort(F.collect_set("code")).alias("findings"))
+    codes = verify(heads.select("source", "content"), chunks).groupBy("source").agg(F.array_sort(F.collect_set("code")).alias("findings"))
     stats = L.carve_stats(chunks).select("source", F.col("chunks_found").alias("chunks"), F.col("records_recovered").alias("records"))
     shown = logs.select("source", "how", F.length("content").alias("size"), F.sha2("content", 256).alias("sha256"))
     out = shown.join(stats, "source", "left").join(codes, "source", "left").fillna(0, ["chunks", "records"])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
@@ -85,6 +87,63 @@ def records(found: DataFrame, free: bool = False) -> DataFrame:
     return found.mapInArrow(lambda b: batched(rows(b), schema), RECORDS)
 
 
+#: What verification needs of a log, by kind of row: 0 a file, 1 a chunk, 2 a record.
+FACTS = (
+    "source string, kind int, length long, used_end long, next_id long, chunk_count long, flags long, checksum long, computed long, chunk_offset long, size long, whole boolean, first_number long, last_number long, last_id long, "
+    "free_at long, records_sum long, records_computed long, guid string, head_sum long, head_computed long, record_offset int, record_id long, filetime long, nested_at int"
+)
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+FACT_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in FACTS.split(", "))])
+
+
+def file_fact(source: str, head: bytes, length: int, used_end: int) -> dict:
+    """The row of a file by its first 128 bytes (fewer, and nothing is said of them)."""
+    out = {"source": source, "kind": 0, "length": length, "used_end": used_end}
+    if len(head) >= 128:
+        flags, checksum = struct.unpack_from("<II", head, 0x78)
+        out |= {"next_id": signed(struct.unpack_from("<Q", head, 0x18)[0]), "chunk_count": struct.unpack_from("<H", head, 0x2A)[0], "flags": flags, "checksum": checksum, "computed": zlib.crc32(head[:0x78])}
+    return out
+
+
+def chunk_facts(source: str, chunk_offset: int, content: bytes) -> Iterator[dict]:
+    """The rows of what stands at a chunk's place, and of its records."""
+    at = {"source": source, "chunk_offset": chunk_offset}
+    if len(content) >= 128:
+        first_number, last_number = struct.unpack_from("<QQ", content, 8)
+        free_at, records_sum = struct.unpack_from("<II", content, 0x30)
+        row = at | {"kind": 1, "size": len(content), "whole": len(content) == evtx.CHUNK and content[:8] == evtx.CHUNK_MAGIC, "last_id": signed(struct.unpack_from("<Q", content, 0x20)[0])}
+        row |= {"first_number": signed(first_number), "last_number": signed(last_number), "free_at": free_at, "records_sum": records_sum, "guid": content[96:112].hex().upper()}
+        row |= {"head_sum": struct.unpack_from("<I", content, 0x78)[0], "head_computed": zlib.crc32(content[:0x78])}
+        yield row | ({"records_computed": zlib.crc32(content[evtx.RECORDS_AT : free_at])} if evtx.RECORDS_AT <= free_at <= evtx.CHUNK else {})
+    for r in evtx.records_of(content)[2]:
+        yield at | {"kind": 2, "record_offset": r.offset, "record_id": signed(r.record_id), "filetime": signed(r.filetime), "nested_at": evtx.nested_record(content, r)}
+
+
+def facts(logs: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows (FACTS) of logs (source, content) and, with inside, of their chunks and records, in one pass over the contents."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for source, content in zip(batch.column("source").to_pylist(), batch.column("content"), strict=True):
+                b = content.as_py() or b""
+                yield file_fact(source, b[:128], len(b), len(b.rstrip(b"\0")))
+                for x in range(evtx.HEADER_BLOCK, len(b) if inside else 0, evtx.CHUNK):
+                    yield from chunk_facts(source, x, b[x : x + evtx.CHUNK])
+
+    return logs.select("source", "content").mapInArrow(lambda b: batched(rows(b), FACT_SCHEMA), FACTS)
+
+
+def facts_of_chunks(found: DataFrame) -> DataFrame:
+    """The rows (FACTS) of chunk rows, wherever they come from, and of their records; there are none of files."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                yield from chunk_facts(x["source"], x["chunk_offset"], x["content"] or b"")
+
+    return found.select("source", "chunk_offset", "content").mapInArrow(lambda b: batched(rows(b), FACT_SCHEMA), FACTS)
+
+
 def carve_stats(found: DataFrame) -> DataFrame:
     """source, chunks_found, chunks_valid, chunks_corrupt, records_recovered, records_corrupt (those that were
     carved from a damaged chunk) of chunk rows. Cut-off chunks are found, but neither valid nor corrupt."""

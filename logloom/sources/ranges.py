@@ -74,7 +74,7 @@ class ChunkRanges(InputPartition):
 class LogReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict[str, str]) -> None:
         self.schema, self.mode = schema, options.get("mode", "PERMISSIVE")
-        self.chunk_rows = options.get("rows", "events") == "chunks"
+        self.rows = options.get("rows", "events")
         self.per_task = int(options.get("chunkspertask", TASK // evtx.CHUNK))
         self.paths = json.loads(options["paths"]) if options.get("paths") else [options["path"]]
         self.least_id, self.most_id = None, None
@@ -103,7 +103,7 @@ class LogReader(DataSourceReader):
         for path, first, end in ranges:
             system, inner = opened(path)
             with system.open_input_file(inner) as file:
-                if bytes_at(file, 0, 8) != evtx.FILE_MAGIC:
+                if self.rows != "facts" and bytes_at(file, 0, 8) != evtx.FILE_MAGIC:
                     if self.mode == "FAILFAST":
                         raise ValueError(f"not an event log: {path}")
                     continue
@@ -113,9 +113,23 @@ class LogReader(DataSourceReader):
                         if self._wanted(held[x : x + evtx.CHUNK]):
                             yield path, evtx.HEADER_BLOCK + at * evtx.CHUNK + x, held[x : x + evtx.CHUNK]
 
+    def _facts(self, ranges: list[tuple[str, int, int]]) -> Iterator[dict]:
+        for path, first, _ in ranges:
+            if first == 0:
+                system, inner = opened(path)
+                with system.open_input_file(inner) as file:
+                    end = length = file.size()
+                    while end and not (tail := bytes_at(file, max(0, end - HELD), min(end, HELD)).rstrip(b"\0")):
+                        end = max(0, end - HELD)
+                    yield L.file_fact(path, bytes_at(file, 0, 128), length, max(0, end - HELD) + len(tail) if end else 0)
+        for source, at, content in self._chunks(ranges):
+            yield from L.chunk_facts(source, at, content)
+
     def read(self, partition: ChunkRanges) -> Iterator[pa.RecordBatch]:
         names, found = self.schema.fieldNames(), self._chunks(partition.ranges)
-        if self.chunk_rows:
+        if self.rows == "facts":
+            yield from (b.select(names) for b in L.batched(self._facts(partition.ranges), L.FACT_SCHEMA))
+        elif self.rows == "chunks":
             for source, at, content in found:
                 yield pa.RecordBatch.from_pylist([{"source": source, "chunk_offset": at, "content": content}], schema=L.CHUNK_SCHEMA).select(names)
         else:
@@ -138,7 +152,8 @@ class FilteredLogReader(LogReader):
 
 
 class LogSource(DataSource):
-    """spark.read.format("evtx"): the silver table, or with rows=chunks the chunk rows, of logs or folders of them.
+    """spark.read.format("evtx"): the silver table of logs or folders of them, or with rows=chunks their chunk rows,
+    with rows=facts what verification needs of them.
 
     A task reads chunksPerTask chunks of 64 KiB by their offsets, so one log is many tasks and has no greatest
     length; small logs share tasks. A schema with some of the columns makes only those. With
@@ -151,7 +166,7 @@ class LogSource(DataSource):
         return "evtx"
 
     def schema(self) -> T.StructType | str:
-        return L.CHUNKS if self.options.get("rows", "events") == "chunks" else SILVER
+        return {"chunks": L.CHUNKS, "facts": L.FACTS}.get(self.options.get("rows", "events"), SILVER)
 
     def reader(self, schema: T.StructType) -> LogReader:
         options = {k.lower(): v for k, v in self.options.items()}

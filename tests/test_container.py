@@ -126,6 +126,34 @@ def test_chunk_order(spark):
     assert codes(spark, cut) == ["CHUNK_COUNT_MISMATCH", "PHANTOM_RECORD_INJECTION", "RECORD_ID_GAP"] or codes(spark, cut) == ["CHUNK_COUNT_MISMATCH", "RECORD_ID_GAP"]
 
 
+def test_trailing_and_overlapping(spark):
+    b = log(3000)
+    end = len(b)
+    row = lambda x, code: next(((r["expected"], r["found"], r["chunk_offset"]) for r in x.collect() if r["code"] == code), None)
+    assert row(I.verify(frame(spark, b + b"\0" * 7 + b"junk")), "TRAILING_DATA") == (str(end), "11", None)
+    assert codes(spark, b + b"\0" * 5000) == ["CHUNK_COUNT_MISMATCH"] or codes(spark, b + b"\0" * 5000) == []
+    logs = frame(spark, b)
+    found = L.chunks(logs)
+    moved = found.filter("chunk_offset = 4096").selectExpr("source", "chunk_offset + 100 as chunk_offset", "content")
+    rows = [r for r in I.verify(logs, found.unionByName(moved)).collect() if r["code"] == "OVERLAPPING_CHUNKS"]
+    # The one that was moved begins in the first; the next begins in it.
+    assert sorted((r["chunk_offset"], r["expected"]) for r in rows) == [(4196, "69632"), (69632, "69732")]
+
+
+def test_verification_is_one_pass(spark):
+    plan = I.verify(frame(spark, log(10)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    b = bytearray(log(3000))
+    b[4096 + 0x78] ^= 1
+    b[4096 + 65536 + 96] ^= 1
+    logs = frame(spark, bytes(b), b"", b"short")
+    found = L.chunks(logs)
+    whole, parts, given = (sorted(map(repr, x.collect())) for x in (I.verify(logs), I.verify(logs, found), I.verify(logs, found, L.records(found))))
+    assert whole == parts == given and len(whole) >= 5
+    with pytest.raises(ValueError, match="severity"):
+        I.verify(logs, least="Low")
+
+
 def event(data, event_id="4624"):
     text = lambda n, x: binxml.Element(n, {}, [x])
     system = binxml.Element("System", {}, [binxml.Element("Provider", {"Name": "P", "Guid": "{G}"}), text("EventID", event_id), text("Level", "4"), text("Channel", "Security"), text("Computer", "pc"), binxml.Element("Execution", {"ProcessID": "12", "ThreadID": "13"})])

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from logloom.container import binxml, evtx
+from logloom.operators.integrity import findings
 from logloom.session import work_folder
 from logloom.sinks.writers import write_files
 from logloom.sources import logs as L
@@ -152,3 +153,16 @@ def test_files_are_written_whole(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1][:4]: r["length"] for r in write_files(rows, folder, ".bin").collect()}
     assert got == {"a.bi": 3, "b_c-": 0, "dddd": 0}
     assert len(R.listed([folder])) == 3 and sorted(n for _, n in R.listed([folder])) == [0, 0, 3]
+
+
+def test_facts_by_ranges_are_those_of_whole_files(spark, tmp_path):
+    damaged = bytearray(log(1, 400))
+    damaged[4096 + 0x78] ^= 1
+    damaged[0x7C] ^= 1
+    folder = stored(tmp_path, a__evtx=bytes(damaged) + b"trailing" + b"\0" * 100, b__evtx=log(7, 60), c__evtx=b"short")
+    by_range = findings(R.log_ranges(spark, folder, rows="facts", chunksPerTask="3"))
+    whole = findings(L.facts(L.files(spark, folder)))
+    plain = lambda df: sorted((r["source"].rsplit("/", 1)[1], *map(str, r[1:])) for r in df.collect())
+    assert plain(by_range) == plain(whole) and {"TRAILING_DATA", "CHUNK_CHECKSUM_MISMATCH", "TRUNCATED_FILE"} <= {x[1] for x in plain(whole)}
+    (tmp_path / "d.evtx").write_bytes(b"")
+    assert [x["code"] for x in findings(R.log_ranges(spark, f"{folder}/d.evtx", rows="facts")).collect()] == ["TRUNCATED_FILE"]
