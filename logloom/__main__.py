@@ -70,7 +70,7 @@ COMMANDS: dict[str, tuple[Callable[[SparkSession, argparse.Namespace], DataFrame
     "graph": (lambda spark, a: A.logon_edges(L.read_logs(spark, *a.paths)), False),
     "frequency": (_frequency, False),
     "rare": (lambda spark, a: A.rare_processes(L.read_logs(spark, *a.paths), a.below), False),
-    "search": (lambda spark, a: A.search_events(L.read_logs(spark, *a.paths), a.query, a.regex), True),
+    "search": (lambda spark, a: A.search_events(L.read_logs(spark, *a.paths, leaves=True), a.query, a.regex), True),
     "hunt": (lambda spark, a: X.hunt(L.read_logs(spark, *a.paths), a.what), True),
     "diff": (_diff, True),
     "processes": (lambda spark, a: A.process_nodes(L.read_logs(spark, *a.paths)), False),

@@ -6,6 +6,7 @@ A decoder belongs to a chunk: names and templates are referred to by their offse
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -223,6 +224,19 @@ def projected(e: Element) -> str | dict:
     return out | {"#text": e.text()} if e.text() else out
 
 
+def leaves(tree: object, name: str = "", path: str = "") -> Iterator[tuple[str, str, str]]:
+    """name, path and value of every string of a projected element (or any JSON), at any depth. Names in paths are
+    joined by dots; items of a list have the name and path of the list."""
+    if isinstance(tree, str):
+        yield name, path, tree
+    elif isinstance(tree, dict):
+        for k, x in tree.items():
+            yield from leaves(x, k, f"{path}.{k}" if path else k)
+    elif isinstance(tree, list):
+        for x in tree:
+            yield from leaves(x, name, path)
+
+
 def problem(payload: bytes) -> tuple[str, int] | None:
     """What is wrong with the form of a payload, and where; only the frame of tokens is looked at."""
     if len(payload) < 4:

@@ -146,35 +146,42 @@ def rare_processes(evt: DataFrame, below: int) -> DataFrame:
 
 
 def field_values(evt: DataFrame, name: str) -> DataFrame:
-    """How often each value of a field occurs: one of the data, or with System. before it one of the System part."""
+    """How often each value of a field occurs: one of the data, or with System. before it one of the System part.
+    With a column leaves (sources.logs) it is any string of that name, or path, at any depth."""
+    if "leaves" in evt.columns:
+        each = evt.select(F.explode(F.filter("leaves", lambda x: (x["name"] == name) | (x["path"] == name))).alias("x"))
+        return each.groupBy(F.col("x.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     value = F.col(name.removeprefix("System.")).cast("string") if name.startswith("System.") else F.col("data")[name]
     return evt.filter(value.isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- search ----
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SAID = ("channel", "computer", "provider", "provider_guid", "user_sid")
 
 
-def _folded(text: Column | str) -> Column:
-    return F.translate(text, _UPPER, _LOWER)
+def _holds(text: Column | str, query: str) -> Column:
+    """Whether text holds the query, whatever the case of ASCII letters: what Java's flag without Unicode folds."""
+    return F.rlike(text, F.lit("(?i)\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E"))
 
 
 def search_text(df: DataFrame, columns: list[str], query: str) -> DataFrame:
     """Rows with the query in any of the text columns, whatever the case of ASCII letters."""
-    wanted = _folded(F.lit(query))
-    return df.filter(reduce(Column.__or__, [F.coalesce(F.contains(_folded(c), wanted), F.lit(False)) for c in columns]))
+    return df.filter(reduce(Column.__or__, [F.coalesce(_holds(F.col(c), query), F.lit(False)) for c in columns]))
 
 
 def search_events(evt: DataFrame, query: str, regex: bool = False) -> DataFrame:
-    """Events with the query in any of their strings: values of their data, and what the System part says. Without
-    regex, whatever the case of ASCII letters."""
-    if regex:
-        found = [F.coalesce(F.col(c).rlike(query), F.lit(False)) for c in _SAID]
-        return evt.filter(reduce(Column.__or__, found) | F.coalesce(F.exists(F.map_values("data"), lambda v: v.rlike(query)), F.lit(False)))
-    wanted = _folded(F.lit(query))
-    found = [F.coalesce(F.contains(_folded(c), wanted), F.lit(False)) for c in _SAID]
-    return evt.filter(reduce(Column.__or__, found) | F.coalesce(F.exists(F.map_values("data"), lambda v: F.contains(_folded(v), wanted)), F.lit(False)))
+    """Events with the query in any of their strings. Without regex, whatever the case of ASCII letters.
+
+    With a column leaves (sources.logs) those are all strings at any depth, names given as attributes too; without
+    it, values of data and what the System part says."""
+
+    def hit(text: Column) -> Column:
+        return text.rlike(query) if regex else _holds(text, query)
+
+    if "leaves" in evt.columns:
+        return evt.filter(F.exists("leaves", lambda x: hit(x["value"])))
+    found = [F.coalesce(hit(F.col(c)), F.lit(False)) for c in _SAID]
+    return evt.filter(reduce(Column.__or__, found) | F.coalesce(F.exists(F.map_values("data"), hit), F.lit(False)))
 
 
 def search_regex(df: DataFrame, columns: list[str], pattern: str) -> DataFrame:

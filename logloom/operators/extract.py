@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,11 +16,27 @@ def _d(name: str) -> Column:
     return F.col("data")[name]
 
 
-def _of(evt: DataFrame, ids: tuple[int, ...], *columns: Column, needs_data: bool = True) -> DataFrame:
-    rows = evt.filter(F.col("event_id").isin(*ids))
-    if needs_data:
-        rows = rows.filter("data is not null")
-    return rows.select("record_id", "ts", "event_id", *columns)
+@dataclass(frozen=True)
+class Extractor:
+    """A kind of event: ids, what else must hold, and the columns that it is told by. Called with events it gives
+    record_id, ts, event_id and those columns, by one filter and projection."""
+
+    ids: tuple[int, ...]
+    columns: Callable[[], dict[str, Column]]
+    where: Callable[[], Column] | None = None
+    needs_data: bool = True
+
+    def condition(self) -> Column:
+        c = F.col("event_id").isin(*self.ids)
+        c = c & F.col("data").isNotNull() if self.needs_data else c
+        return c & self.where() if self.where else c
+
+    def __call__(self, evt: DataFrame) -> DataFrame:
+        return evt.filter(self.condition()).select("record_id", "ts", "event_id", *(c.alias(n) for n, c in self.columns().items()))
+
+
+def typed(*ids: int, where: Callable[[], Column] | None = None, needs_data: bool = True) -> Callable[[Callable[[], dict[str, Column]]], Extractor]:
+    return lambda columns: Extractor(ids, columns, where, needs_data)
 
 
 def ticket_encryption(code: Column) -> Column:
@@ -28,103 +45,97 @@ def ticket_encryption(code: Column) -> Column:
     return F.when(c.isin("0x17", "23"), "RC4").when(c.isin("0x1", "0x3", "1", "3"), "DES").when(c.isin("0x11", "0x12", "17", "18"), "AES").otherwise(code)
 
 
-def lateral_movement(evt: DataFrame) -> DataFrame:
+@typed(4648, 4769, 4776)
+def lateral_movement() -> dict[str, Column]:
     e = F.col("event_id")
-    return _of(
-        evt,
-        (4648, 4769, 4776),
-        F.when(e == 4648, _d("SubjectUserName")).alias("source_user"),
-        _d("TargetUserName").alias("target_user"),
-        F.when(e == 4648, _d("TargetServerName")).when(e == 4769, _d("ServiceName")).otherwise(_d("Workstation")).alias("target_host"),
-        F.when(e == 4648, _d("LogonType").try_cast("int")).alias("logon_type"),
-        F.when(e == 4769, F.lit("Kerberos")).when(e == 4776, _d("PackageName")).alias("auth_package"),
-        F.when(e == 4769, ticket_encryption(_d("TicketEncryptionType"))).alias("encryption_type"),
-        F.when(e == 4769, _d("ClientAddress")).alias("source_ip"),
-    )
-
-
-def rdp_sessions(evt: DataFrame) -> DataFrame:
-    return _of(evt, (4778, 4779), _d("AccountName").alias("user"), _d("SessionID").try_cast("int").alias("session_id"), _d("ClientAddress").alias("source_ip"))
-
-
-def smb_access(evt: DataFrame) -> DataFrame:
-    return _of(
-        evt,
-        (5140, 5145),
-        _d("SubjectUserName").alias("subject_user"),
-        _d("ShareName").alias("share_name"),
-        _d("ShareLocalPath").alias("share_path"),
-        _d("RelativeTargetName").alias("relative_target"),
-        _d("IpAddress").alias("ip_address"),
-    )
-
-
-def defender_events(evt: DataFrame) -> DataFrame:
-    return _of(
-        evt.filter(F.coalesce(F.col("provider"), F.lit("")) != "Microsoft-Windows-Partition"),
-        (1006, 1116, 1117),
-        C.first_field(F.col("data"), "Threat Name", "ThreatName").alias("threat_name"),
-        C.first_field(F.col("data"), "Severity Name", "Severity").alias("severity"),
-        _d("Path").alias("path"),
-        C.first_field(F.col("data"), "Action Name", "Action").alias("action_taken"),
-        C.first_field(F.col("data"), "Process Name", "ProcessName").alias("process_name"),
-    )
-
-
-def wmi_events(evt: DataFrame) -> DataFrame:
+    return {
+        "source_user": F.when(e == 4648, _d("SubjectUserName")),
+        "target_user": _d("TargetUserName"),
+        "target_host": F.when(e == 4648, _d("TargetServerName")).when(e == 4769, _d("ServiceName")).otherwise(_d("Workstation")),
+        "logon_type": F.when(e == 4648, _d("LogonType").try_cast("int")),
+        "auth_package": F.when(e == 4769, F.lit("Kerberos")).when(e == 4776, _d("PackageName")),
+        "encryption_type": F.when(e == 4769, ticket_encryption(_d("TicketEncryptionType"))),
+        "source_ip": F.when(e == 4769, _d("ClientAddress")),
+    }
+
+
+@typed(4778, 4779)
+def rdp_sessions() -> dict[str, Column]:
+    return {"user": _d("AccountName"), "session_id": _d("SessionID").try_cast("int"), "source_ip": _d("ClientAddress")}
+
+
+@typed(5140, 5145)
+def smb_access() -> dict[str, Column]:
+    return {
+        "subject_user": _d("SubjectUserName"),
+        "share_name": _d("ShareName"),
+        "share_path": _d("ShareLocalPath"),
+        "relative_target": _d("RelativeTargetName"),
+        "ip_address": _d("IpAddress"),
+    }
+
+
+@typed(1006, 1116, 1117, where=lambda: F.coalesce(F.col("provider"), F.lit("")) != "Microsoft-Windows-Partition")
+def defender_events() -> dict[str, Column]:
+    return {
+        "threat_name": C.first_field(F.col("data"), "Threat Name", "ThreatName"),
+        "severity": C.first_field(F.col("data"), "Severity Name", "Severity"),
+        "path": _d("Path"),
+        "action_taken": C.first_field(F.col("data"), "Action Name", "Action"),
+        "process_name": C.first_field(F.col("data"), "Process Name", "ProcessName"),
+    }
+
+
+@typed(5857, 5858, 5860, 5861, 19, 20, 21, needs_data=False)
+def wmi_events() -> dict[str, Column]:
     e = F.col("event_id")
     named = lambda own, name, last: F.coalesce(_d("ESS" if own == "filter" else "CONSUMER"), _d("FilterName" if own == "filter" else "ConsumerName"), last, F.when(e.isin(*name), F.coalesce(_d("Name"), _d("Filter" if own == "filter" else "Consumer"))))
-    return _of(
-        evt,
-        (5857, 5858, 5860, 5861, 19, 20, 21),
-        _d("ProviderName").alias("wmi_provider"),
-        named("filter", (19, 21), _d("PossibleCause")).alias("filter_name"),
-        named("consumer", (20, 21), F.lit(None).cast("string")).alias("consumer_name"),
-        _d("Query").alias("query"),
-        needs_data=False,
-    )
+    return {
+        "wmi_provider": _d("ProviderName"),
+        "filter_name": named("filter", (19, 21), _d("PossibleCause")),
+        "consumer_name": named("consumer", (20, 21), F.lit(None).cast("string")),
+        "query": _d("Query"),
+    }
 
 
-def scheduled_tasks(evt: DataFrame) -> DataFrame:
-    return _of(evt, (4698, 4702), _d("TaskName").alias("task_name"), _d("TaskContent").alias("task_content"), _d("SubjectUserName").alias("subject_user"))
+@typed(4698, 4702)
+def scheduled_tasks() -> dict[str, Column]:
+    return {"task_name": _d("TaskName"), "task_content": _d("TaskContent"), "subject_user": _d("SubjectUserName")}
 
 
-def process_executions(evt: DataFrame) -> DataFrame:
+@typed(4688, 1)
+def process_executions() -> dict[str, Column]:
     audit = F.col("event_id") == 4688
     image = F.coalesce(F.when(audit, _d("NewProcessName")).otherwise(_d("Image")), F.lit("-"))
-    return _of(
-        evt,
-        (4688, 1),
-        F.when(audit, C.hex_number(_d("NewProcessId"))).otherwise(C.decimal_number(_d("ProcessId"))).alias("pid"),
-        F.when(audit, C.hex_number(_d("ProcessId"))).otherwise(C.decimal_number(_d("ParentProcessId"))).alias("parent_pid"),
-        image.alias("image"),
-        F.coalesce(_d("CommandLine"), F.lit("")).alias("command_line"),
-        F.when(audit, _d("ParentProcessName")).otherwise(_d("ParentImage")).alias("parent_image"),
-        C.is_lolbin(image).alias("is_lolbin"),
-    )
-
-
-def partition_diagnostics(evt: DataFrame) -> DataFrame:
+    return {
+        "pid": F.when(audit, C.hex_number(_d("NewProcessId"))).otherwise(C.decimal_number(_d("ProcessId"))),
+        "parent_pid": F.when(audit, C.hex_number(_d("ProcessId"))).otherwise(C.decimal_number(_d("ParentProcessId"))),
+        "image": image,
+        "command_line": F.coalesce(_d("CommandLine"), F.lit("")),
+        "parent_image": F.when(audit, _d("ParentProcessName")).otherwise(_d("ParentImage")),
+        "is_lolbin": C.is_lolbin(image),
+    }
+
+
+@typed(1006, where=lambda: F.col("provider") == "Microsoft-Windows-Partition")
+def partition_diagnostics() -> dict[str, Column]:
     """Disks that were attached, with the volume serials that their boot sectors hold."""
-    rows = evt.filter(F.col("provider") == "Microsoft-Windows-Partition")
     vbr = _d("Vbr0")
-    return _of(
-        rows,
-        (1006,),
-        _d("DiskNumber").try_cast("long").alias("disk_number"),
-        _d("BusType").try_cast("long").alias("bus_type"),
-        _d("Model").alias("model"),
-        F.nullif(F.trim(_d("SerialNumber")), F.lit("")).alias("serial"),
-        _d("DiskId").alias("disk_id"),
-        _d("Capacity").try_cast("decimal(20,0)").alias("capacity"),
-        _d("ParentId").alias("parent_id"),
-        vbr.alias("vbr0_hex"),
-        C.ntfs_serial(vbr).alias("ntfs_serial"),
-        C.fat_serial(vbr).alias("fat_serial"),
-    )
-
-
-EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    return {
+        "disk_number": _d("DiskNumber").try_cast("long"),
+        "bus_type": _d("BusType").try_cast("long"),
+        "model": _d("Model"),
+        "serial": F.nullif(F.trim(_d("SerialNumber")), F.lit("")),
+        "disk_id": _d("DiskId"),
+        "capacity": _d("Capacity").try_cast("decimal(20,0)"),
+        "parent_id": _d("ParentId"),
+        "vbr0_hex": vbr,
+        "ntfs_serial": C.ntfs_serial(vbr),
+        "fat_serial": C.fat_serial(vbr),
+    }
+
+
+EXTRACTORS: dict[str, Extractor] = {
     "LateralMovement": lateral_movement,
     "RdpSession": rdp_sessions,
     "SmbAccess": smb_access,
@@ -136,9 +147,13 @@ EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def extract_all(evt: DataFrame) -> DataFrame:
-    """All typed events under one wide schema, told apart by `kind`. Persist evt if it is costly to compute."""
-    parts = [f(evt).withColumn("kind", F.lit(k)) for k, f in EXTRACTORS.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """All typed events under one wide schema, told apart by `kind`: one filter and one projection, as no event id
+    is of two kinds."""
+    parts = {k: x.columns() for k, x in EXTRACTORS.items()}
+    kind = reduce(lambda c, k: c.when(EXTRACTORS[k].condition(), k), EXTRACTORS, F)
+    rows = evt.withColumn("kind", kind).filter("kind is not null")
+    wide = {n: [(k, c[n]) for k, c in parts.items() if n in c] for c in parts.values() for n in c}
+    return rows.select("record_id", "ts", "event_id", *(reduce(lambda w, x: w.when(F.col("kind") == x[0], x[1]), of, F).alias(n) for n, of in wide.items()), "kind")
 
 
 # ---- hunts ----

@@ -193,17 +193,20 @@ def cleared_logs(evt: DataFrame) -> DataFrame:
 
 
 def provider_inconsistencies(evt: DataFrame) -> DataFrame:
-    """record_id, code, expected, found: providers whose GUID, event id or channel is not theirs."""
-    spark = evt.sparkSession
-    known = F.broadcast(spark.createDataFrame([(n, "{" + g.lower() + "}", c, i) for n, g, c, i in PROVIDERS], "k_name string, k_guid string, k_channel string, k_ids array<int>"))
-    guid = normal_guid(F.col("provider_guid"))
-    named = evt.join(known, F.col("provider") == F.col("k_name"))
-    by_guid = evt.join(known, guid == F.col("k_guid"))
-    columns = lambda df, code, expected, found: df.select("record_id", F.lit(code).alias("code"), expected.cast("string").alias("expected"), found.cast("string").alias("found"))
-    spoofed = columns(named.filter(guid != F.col("k_guid")), "GUID_SPOOFING", F.col("k_guid"), guid)
-    odd = columns(named.filter(~F.array_contains("k_ids", F.col("event_id"))), "UNEXPECTED_EVENT_ID", F.lit(None), F.col("event_id"))
-    moved = columns(by_guid.filter(F.col("channel") != F.col("k_channel")), "CHANNEL_MISMATCH", F.col("k_channel"), F.col("channel"))
-    return spoofed.unionByName(odd).unionByName(moved)
+    """record_id, code, expected, found: providers whose GUID, event id or channel is not theirs. One pass: each event
+    meets what is known of its provider's name and of its GUID, a constant table of a few rows."""
+    known = evt.sparkSession.createDataFrame([(n, "{" + g.lower() + "}", c, i) for n, g, c, i in PROVIDERS], "name string, guid string, channel string, ids array<int>")
+    by_name = F.broadcast(known.select(F.col("name").alias("n_name"), F.col("guid").alias("n_guid"), F.col("ids").alias("n_ids")))
+    by_guid = F.broadcast(known.select(F.col("guid").alias("g_guid"), F.col("channel").alias("g_channel")))
+    rows = evt.select("record_id", "event_id", "provider", "channel", normal_guid(F.col("provider_guid")).alias("own_guid"))
+    rows = rows.join(by_name, F.col("provider") == F.col("n_name"), "left").join(by_guid, F.col("own_guid") == F.col("g_guid"), "left")
+    said = lambda code, when, expected, found: F.when(when, F.struct(F.lit(code).alias("code"), expected.cast("string").alias("expected"), F.col(found).cast("string").alias("found")))
+    odd = F.array(
+        said("GUID_SPOOFING", F.col("own_guid") != F.col("n_guid"), F.col("n_guid"), "own_guid"),
+        said("UNEXPECTED_EVENT_ID", ~F.array_contains("n_ids", F.col("event_id")), F.lit(None), "event_id"),
+        said("CHANNEL_MISMATCH", F.col("channel") != F.col("g_channel"), F.col("g_channel"), "channel"),
+    )
+    return rows.select("record_id", F.inline(F.array_compact(odd)))
 
 
 def tracing_tampering(sessions: DataFrame) -> DataFrame:

@@ -112,6 +112,26 @@ def evtx_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "record_id", "ts", "event_id", "computer", d["TargetUserName"].alias("target_user"), d["IpAddress"].alias("ip"))
 
 
+@query("SELECT record_id FROM evt WHERE contains(target_user, 'ser3') OR contains(ip, 'SER3') OR contains(computer, 'ser3')")
+def leaves_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary logs searched in all their strings, by a query in other letters."""
+    evt = L.decoded(L.chunks(made_logs(spark, sf_dir)), leaves=True)
+    return A.search_events(evt, "SeR3").select("record_id")
+
+
+@query("SELECT record_id FROM evt")
+def leaves_search_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name that every record gives as an attribute, which data has as a key only."""
+    return A.search_events(L.decoded(L.chunks(made_logs(spark, sf_dir)), leaves=True), "^IpAddre.s$", regex=True).select("record_id")
+
+
+@query("SELECT value, count(*) AS n FROM (SELECT target_user AS value FROM evt UNION ALL SELECT ip FROM evt) GROUP BY value")
+def field_values_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of a name that stands inside list items of the JSON form."""
+    json = L.json_records(L.chunks(made_logs(spark, sf_dir)))
+    return A.field_values(L.with_leaves(json.select("json")), "#text")
+
+
 @query("SELECT logon_id AS source, record_id, concat('{\"Event\":{\"System\":{\"Provider\":{\"@Name\":\"Made-Up\"},\"EventID\":\"', event_id, '\",\"Channel\":\"Security\",\"Computer\":\"', computer, '\"},\"EventData\":{\"Data\":[{\"@Name\":\"TargetUserName\",\"#text\":\"', target_user, '\"},{\"@Name\":\"IpAddress\",\"#text\":\"', ip, '\"}]}}}') AS json FROM evt")
 def evtx_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.json_records(L.chunks(made_logs(spark, sf_dir))).select("source", "record_id", "json")

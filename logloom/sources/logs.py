@@ -235,8 +235,17 @@ def _time(ticks: int) -> datetime | None:
         return None
 
 
-def events_of(source: str, chunk_offset: int, content: bytes, mode: str) -> Iterator[dict]:
-    """The silver rows of a chunk."""
+LEAVES = T.StructField("leaves", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "path", "value")])))
+_LEAVES = pa.field("leaves", pa.list_(pa.struct([(n, pa.string()) for n in ("name", "path", "value")])))
+SILVER_LEAVES, LEAVES_SCHEMA = T.StructType([*SILVER.fields, LEAVES]), SILVER_SCHEMA.append(_LEAVES)
+
+
+def _leaves(tree: object) -> list[dict]:
+    return [dict(zip(("name", "path", "value"), x, strict=True)) for x in binxml.leaves(tree)]
+
+
+def events_of(source: str, chunk_offset: int, content: bytes, mode: str, leaves: bool = False) -> Iterator[dict]:
+    """The silver rows of a chunk; with leaves, also all strings of each record's JSON form."""
     decoder = binxml.ChunkDecoder(content)
     for r in evtx.records_of(content)[2]:
         try:
@@ -246,33 +255,52 @@ def events_of(source: str, chunk_offset: int, content: bytes, mode: str) -> Iter
                 raise
             continue
         ids = {"source": source, "record_id": signed(r.record_id), "ts": _time(r.filetime), "ts_ticks": signed(r.filetime), "seq": chunk_offset + r.offset}
-        yield ids | binxml.envelope(event) | {"data": list(binxml.flattened(event).items())}
+        ids |= binxml.envelope(event) | {"data": list(binxml.flattened(event).items())}
+        yield ids | {"leaves": _leaves({event.name: binxml.projected(event)})} if leaves else ids
 
 
-def decoded(found: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
-    """The silver table of chunk rows. Records that can't be decoded are left out, or with FAILFAST stop the query."""
+def decoded(found: DataFrame, mode: str = "PERMISSIVE", leaves: bool = False) -> DataFrame:
+    """The silver table of chunk rows. Records that can't be decoded are left out, or with FAILFAST stop the query.
+    leaves: with a column of that name, (name, path, value) of every string of a record at any depth."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for x in batch.to_pylist():
-                yield from events_of(x["source"], x["chunk_offset"], x["content"], mode)
+                yield from events_of(x["source"], x["chunk_offset"], x["content"], mode, leaves)
+
+    return found.mapInArrow(lambda b: batched(rows(b), LEAVES_SCHEMA if leaves else SILVER_SCHEMA), SILVER_LEAVES if leaves else SILVER)
+
+
+def with_leaves(rows: DataFrame, column: str = "json") -> DataFrame:
+    """rows with leaves: (name, path, value) of every string of decoded records as JSON text; what is no JSON has none."""
+
+    def strings(text: str | None) -> list[dict]:
+        try:
+            return _leaves(json.loads(text or ""))
+        except (ValueError, RecursionError):
+            return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([strings(x) for x in b.column(column).to_pylist()], _LEAVES.type)
+            yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, "leaves"])
 
-    return found.mapInArrow(lambda b: batched(rows(b), SILVER_SCHEMA), SILVER)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, LEAVES]))
 
 
-def read_logs(spark: SparkSession, *paths: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """The silver table of all logs at the paths; with FAILFAST a file that is no log stops the query.
+def read_logs(spark: SparkSession, *paths: str, mode: str = "PERMISSIVE", leaves: bool = False) -> DataFrame:
+    """The silver table of all logs at the paths, with leaves as decoded() has them; with FAILFAST a file that is no log stops the query.
 
     Logs are read by ranges (ranges.LogSource) where executors can open the paths themselves. Elsewhere Spark
     reads each as one row, which holds up to 2 GB."""
     from logloom.sources import ranges
 
     if ranges.readable(*paths):
-        return ranges.log_ranges(spark, *paths, mode=mode)
+        return ranges.log_ranges(spark, *paths, mode=mode, rows="leaves" if leaves else "events")
     logs = files(spark, *paths)
     good = F.substring("content", 1, 8) == F.lit(evtx.FILE_MAGIC)
     logs = logs.filter(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("not an event log: "), "source")))) if mode == "FAILFAST" else logs.filter(good)
-    return decoded(chunks(logs).repartition("source", "chunk_offset"), mode)
+    return decoded(chunks(logs).repartition("source", "chunk_offset"), mode, leaves)
 
 
 # ---- decoded JSON ----

@@ -133,8 +133,9 @@ class LogReader(DataSourceReader):
             for source, at, content in found:
                 yield pa.RecordBatch.from_pylist([{"source": source, "chunk_offset": at, "content": content}], schema=L.CHUNK_SCHEMA).select(names)
         else:
-            rows = (r for source, at, content in found for r in L.events_of(source, at, content, self.mode))
-            yield from (b.select(names) for b in L.batched(rows, L.SILVER_SCHEMA))
+            leaves = self.rows == "leaves"
+            rows = (r for source, at, content in found for r in L.events_of(source, at, content, self.mode, leaves))
+            yield from (b.select(names) for b in L.batched(rows, L.LEAVES_SCHEMA if leaves else L.SILVER_SCHEMA))
 
 
 class FilteredLogReader(LogReader):
@@ -152,7 +153,7 @@ class FilteredLogReader(LogReader):
 
 
 class LogSource(DataSource):
-    """spark.read.format("evtx"): the silver table of logs or folders of them, or with rows=chunks their chunk rows,
+    """spark.read.format("evtx"): the silver table of logs or folders of them, or with rows=leaves that and all their strings, with rows=chunks their chunk rows,
     with rows=facts what verification needs of them.
 
     A task reads chunksPerTask chunks of 64 KiB by their offsets, so one log is many tasks and has no greatest
@@ -166,7 +167,7 @@ class LogSource(DataSource):
         return "evtx"
 
     def schema(self) -> T.StructType | str:
-        return {"chunks": L.CHUNKS, "facts": L.FACTS}.get(self.options.get("rows", "events"), SILVER)
+        return {"chunks": L.CHUNKS, "facts": L.FACTS, "leaves": L.SILVER_LEAVES}.get(self.options.get("rows", "events"), SILVER)
 
     def reader(self, schema: T.StructType) -> LogReader:
         options = {k.lower(): v for k, v in self.options.items()}

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logloom.container import binxml, evtx
+from logloom.operators import analytics as A
 from logloom.operators import integrity as I
 from logloom.sinks.writers import logs_of, repaired
 from logloom.sources import logs as L
@@ -169,6 +170,26 @@ def test_decoding(spark):
     assert r["data"] == {"TargetUserName": "Jürgen", "Data0": "first", "Data1": "second", "Leaf": "deep"}
 
 
+def test_leaves(spark):
+    named = [binxml.Element("Data", {"Name": "TargetUserName"}, ["J\u00fcrgen"]), binxml.Element("Data", {}, ["first"]), binxml.Element("Nested", {"Kind": "Odd"}, [binxml.Element("Leaf", {}, ["Deep (1)"])])]
+    b = evtx.write_log([(9, TICKS, binxml.encode(event(named), evtx.RECORDS_AT + 24))])
+    evt = L.decoded(L.chunks(frame(spark, b)), leaves=True)
+    got = {(x["name"], x["path"], x["value"]) for x in evt.first()["leaves"]}
+    assert {("Leaf", "Event.EventData.Nested.Leaf", "Deep (1)"), ("@Kind", "Event.EventData.Nested.@Kind", "Odd"), ("Data", "Event.EventData.Data", "first"), ("@Name", "Event.System.Provider.@Name", "P")} <= got
+    for query, n in (("deep (1)", 1), ("ODD", 1), ("J\u00dcRGEN", 0), ("rgen", 1), ("", 1), ("\\E", 0), ("none", 0)):
+        assert A.search_events(evt, query).count() == n, query
+    assert A.search_events(evt, r"^Deep \(\d\)$", regex=True).count() == 1
+    assert [tuple(r) for r in A.field_values(evt, "Leaf").collect()] == [("Deep (1)", 1)] and A.field_values(evt, "Event.System.Computer").first()["value"] == "pc"
+    json = spark.createDataFrame([('{"a": [{"b": "x"}, {"b": ["y", 1, null, "x"]}], "c": {"b": "z"}}',), ("no json",), (None,)], "json string")
+    assert sorted(tuple(r) for r in A.field_values(L.with_leaves(json), "b").collect()) == [("x", 2), ("y", 1), ("z", 1)]
+    assert A.field_values(L.with_leaves(json), "c.b").count() == 1
+
+
+def test_quoted_queries(spark):
+    rows = spark.createDataFrame([("a\\Eb.C",), ("A\nb",), (None,)], "t string")
+    assert [A.search_text(rows, ["t"], q).count() for q in ("\\eB.c", "b.c", "a\nB", "bxc", "")] == [1, 1, 1, 0, 2]
+
+
 def test_templates():
     names, chunk = {}, bytearray(65536)
 
