@@ -304,74 +304,68 @@ def read_logs(spark: SparkSession, *paths: str, mode: str = "PERMISSIVE", leaves
 
 
 # ---- decoded JSON ----
-def flat_json(text: str | None) -> dict[str, str]:
-    """The fields of a decoded record as JSON: EventData, then UserData; both ways of writing attributes.
+#: Levels of elements within elements that are told apart; what lies deeper stays JSON, as the text of its element.
+LEVELS = 12
 
-    Numbers and booleans become text, nulls are left out, a Data item without text is empty, unnamed ones
-    are Data0, Data1 ..., lists of scalars get numbered names; what isn't an event gives nothing.
+
+def _text(x: str, path: str = "$") -> str:
+    return f"try_variant_get({x}, '{path}', 'string')"
+
+
+def _object(x: str) -> str:
+    return f"try_variant_get({x}, '$', 'map<string,variant>')"
+
+
+def _list(x: str) -> str:
+    return f"try_variant_get({x}, '$', 'array<variant>')"
+
+
+def _leaf(key: str, text: str) -> str:
+    return f"named_struct('key', {key}, 'text', {text}, 'inner', CAST(NULL AS VARIANT))"
+
+
+def _inner(key: str, x: str) -> str:
+    return f"named_struct('key', {key}, 'text', CAST(NULL AS STRING), 'inner', {x})"
+
+
+def _children(x: str) -> str:
+    """SQL of what an object (a VARIANT) holds: leaves with their text, and objects that are to be gone into."""
+    name = f"nullif(coalesce(nullif({_text('i', '$[\"@Name\"]')}, ''), {_text('i', '$[\"#attributes\"].Name')}), '')"
+    shown = lambda of: f"coalesce({_text(of, '$[\"#text\"]')}, '')"
+    data = f"IF({_object('i')} IS NOT NULL, {_leaf(name, shown('i'))}, {_leaf('CAST(NULL AS STRING)', _text('i'))})"
+    each = f"""CASE
+      WHEN e.key = 'Data' THEN transform(filter(coalesce({_list("e.value")}, array(e.value)), i -> NOT is_variant_null(i)), i -> {data})
+      WHEN {_list("e.value")} IS NOT NULL THEN filter(transform({_list("e.value")}, (i, k) -> CASE WHEN is_variant_null(i) THEN NULL WHEN {_object("i")} IS NOT NULL THEN {_inner("e.key", "i")} ELSE {_leaf("concat(e.key, k)", _text("i"))} END), y -> y IS NOT NULL)
+      WHEN {_object("e.value")} IS NULL THEN array({_leaf("e.key", _text("e.value"))})
+      WHEN map_contains_key({_object("e.value")}, '#text') THEN array({_leaf("e.key", shown("e.value"))})
+      ELSE array({_inner("e.key", "e.value")}) END"""
+    said = "NOT startswith(e.key, '@') AND e.key NOT IN ('#text', '#attributes') AND NOT is_variant_null(e.value)"
+    return f"flatten(transform(filter(map_entries({_object(x)}), e -> {said}), e -> {each}))"
+
+
+def with_fields(rows: DataFrame, column: str = "json") -> DataFrame:
+    """rows with data: the fields of decoded records as JSON text, EventData's and then UserData's; both ways of
+    writing attributes. In the JVM throughout, a level of elements at a time.
+
+    Numbers and booleans become text as Spark writes them, nulls are left out, a Data item without text is empty,
+    unnamed ones are Data0, Data1 ..., lists of scalars get numbered names, the last field of a name counts; what
+    isn't an event, or repeats a key within an object, gives nothing. Fields of one element come in the order of their names.
     """
-    out: dict[str, str] = {}
-    try:
-        event = json.loads(text or "")["Event"]
-        parts = [event.get("EventData"), event.get("UserData")]
-    except (ValueError, KeyError, TypeError, AttributeError):
-        return out
-
-    def plain(v: object) -> str:
-        return v if isinstance(v, str) else json.dumps(v)
-
-    def item(v: object, unnamed: list[int]) -> None:
-        if isinstance(v, dict):
-            inner = v.get("#attributes")
-            name = v.get("@Name") or (inner.get("Name") if isinstance(inner, dict) else None)
-            shown = v.get("#text")
-            value = "" if shown is None else plain(shown)
-        else:
-            name, value = None, plain(v)
-        if name is None:
-            name = f"Data{unnamed[0]}"
-            unnamed[0] += 1
-        out[name] = value
-
-    def visit(node: object, unnamed: list[int]) -> None:
-        if not isinstance(node, dict):
-            return
-        for k, v in node.items():
-            if k.startswith("@") or k in ("#text", "#attributes") or v is None:
-                continue
-            if k == "Data":
-                for x in v if isinstance(v, list) else [v]:
-                    if x is not None:
-                        item(x, unnamed)
-            elif isinstance(v, dict):
-                if "#text" in v:
-                    out[k] = "" if v["#text"] is None else plain(v["#text"])
-                else:
-                    visit(v, unnamed)
-            elif isinstance(v, list):
-                for i, x in enumerate(v):
-                    if isinstance(x, dict):
-                        visit(x, unnamed)
-                    elif x is not None:
-                        out[f"{k}{i}"] = plain(x)
-            else:
-                out[k] = plain(v)
-
-    unnamed = [0]
-    for p in parts:
-        visit(p, unnamed)
-    return out
+    parts = ", ".join(f"try_variant_get(v, '$.Event.{p}', 'variant')" for p in ("EventData", "UserData"))
+    found = rows.withColumn("_n", F.expr(f"transform(filter(transform(array(try_parse_json({column})), v -> array({parts})), a -> a IS NOT NULL)[0], p -> {_inner('CAST(NULL AS STRING)', 'p')})"))
+    found = found.withColumn("_n", F.expr(f"filter(_n, n -> {_object('n.inner')} IS NOT NULL)"))
+    for _ in range(LEVELS):
+        found = found.withColumn("_n", F.expr(f"IF(exists(_n, n -> n.inner IS NOT NULL), flatten(transform(_n, n -> IF(n.inner IS NULL, array(n), {_children('n.inner')}))), _n)"))
+    unnamed = "concat('Data', size(filter(slice(_n, 1, k), m -> m.key IS NULL AND m.inner IS NULL)))"
+    entries = f"transform(_n, (n, k) -> named_struct('key', IF(n.key IS NULL, {unnamed}, n.key), 'value', coalesce(n.text, {_text('n.inner')})))"
+    found = found.withColumn("_n", F.expr(entries))
+    last = F.expr("map_from_entries(filter(_n, (e, k) -> NOT exists(slice(_n, k + 2, size(_n)), x -> x.key = e.key)))")
+    return found.withColumn("data", F.coalesce(last, F.create_map().cast("map<string,string>"))).drop("_n")
 
 
 def from_json(rows: DataFrame, column: str = "json") -> DataFrame:
     """The silver table of decoded records as JSON text (a column of `rows`; source, record_id if there)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = pa.array([list(flat_json(x).items()) for x in b.column(column).to_pylist()], pa.map_(pa.string(), pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, values], [*b.schema.names, "data"])
-
-    with_data = rows.mapInArrow(run, T.StructType([*rows.schema.fields, SILVER["data"]]))
+    with_data = with_fields(rows, column)
     j = lambda *paths: F.coalesce(*[F.get_json_object(column, f"$.Event.System.{p}") for p in paths])
     system = with_data.select(
         *rows.columns,

@@ -13,9 +13,70 @@ from logloom.operators import signatures as S
 from logloom.operators.manifest import named_fields, parse_manifest
 from logloom.schema import DEFENDER, HYPERV, POWERSHELL, SILVER, SYSMON, TASK_SCHEDULER, WMI_ACTIVITY, conform
 from logloom.sinks import writers as W
-from logloom.sources.logs import flat_json, from_json
+from logloom.sources.logs import from_json, with_fields
 from logloom.streaming import tail
 
+
+
+def flat_json(text: str | None) -> dict[str, str]:
+    """The fields of a decoded record as JSON: EventData, then UserData; both ways of writing attributes.
+
+    Numbers and booleans become text, nulls are left out, a Data item without text is empty, unnamed ones
+    are Data0, Data1 ..., lists of scalars get numbered names; what isn't an event gives nothing.
+    """
+    out: dict[str, str] = {}
+    try:
+        event = json.loads(text or "")["Event"]
+        parts = [event.get("EventData"), event.get("UserData")]
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return out
+
+    def plain(v: object) -> str:
+        return v if isinstance(v, str) else json.dumps(v)
+
+    def item(v: object, unnamed: list[int]) -> None:
+        if isinstance(v, dict):
+            inner = v.get("#attributes")
+            name = v.get("@Name") or (inner.get("Name") if isinstance(inner, dict) else None)
+            shown = v.get("#text")
+            value = "" if shown is None else plain(shown)
+        else:
+            name, value = None, plain(v)
+        if name is None:
+            name = f"Data{unnamed[0]}"
+            unnamed[0] += 1
+        out[name] = value
+
+    def visit(node: object, unnamed: list[int]) -> None:
+        if not isinstance(node, dict):
+            return
+        for k, v in node.items():
+            if k.startswith("@") or k in ("#text", "#attributes") or v is None:
+                continue
+            if k == "Data":
+                for x in v if isinstance(v, list) else [v]:
+                    if x is not None:
+                        item(x, unnamed)
+            elif isinstance(v, dict):
+                if "#text" in v:
+                    out[k] = "" if v["#text"] is None else plain(v["#text"])
+                else:
+                    visit(v, unnamed)
+            elif isinstance(v, list):
+                for i, x in enumerate(v):
+                    if isinstance(x, dict):
+                        visit(x, unnamed)
+                    elif x is not None:
+                        out[f"{k}{i}"] = plain(x)
+            else:
+                out[k] = plain(v)
+
+    unnamed = [0]
+    for p in parts:
+        visit(p, unnamed)
+    return out
+
+
 T0 = datetime(2023, 11, 14, 22, 13, 20)
 
 
@@ -257,6 +318,48 @@ def test_flat_json(event, flat):
     assert flat_json("garbage") == {} and flat_json(None) == {}
 
 
+def test_fields_in_the_jvm(spark):
+    import random
+
+    r = random.Random(6)
+
+    def value(depth):
+        kind = r.randint(0, 6 if depth < 4 else 3)
+        if kind == 4:
+            return [value(depth + 1) if r.random() < 0.5 else r.choice(["i", None, 3]) for _ in range(r.randint(0, 3))]
+        if kind >= 5:
+            return node(depth + 1)
+        return ["t", 7, True, None][kind]
+
+    def node(depth):
+        out = {r.choice(["A", "b", "@x", "#text", "#attributes", "Data", "é"]): value(depth) for _ in range(r.randint(0, 4))}
+        out |= {"Data": [r.choice([{"@Name": "N", "#text": "v"}, {"#attributes": {"Name": "M"}, "#text": 5}, {"@Name": "", "#text": None}, "plain", None, 1, {"@Name": "O"}]) for _ in range(r.randint(0, 4))]} if r.random() < 0.5 else {}
+        return dict(sorted(out.items())) if depth else out
+
+    def plain(x):
+        """As a VARIANT has it: keys in order, no list or object where a text is meant."""
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in sorted(x.items()) if not (k in ("#text", "@Name") and isinstance(v, (list, dict)))}
+        return [plain(v) for v in x if not isinstance(v, list)] if isinstance(x, list) else x
+
+    events = [{"Event": {p: plain(node(0)) for p in r.sample(["EventData", "UserData", "System"], 2)}} for _ in range(300)]
+    texts = [json.dumps(e) for e in events] + ["garbage", "[1]", '{"Event": 5}', '{"Event": {"EventData": [1]}}', None]
+    got = with_fields(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, json string"))
+    # What stands deeper, or under a name that comes again, must agree too.
+    for x in got.collect():
+        assert x["data"] == flat_json(x["json"]), x["json"]
+    plan = from_json(got.select("json"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_deeper_elements_stay_json(spark):
+    tree = {"leaf": "x"}
+    for _ in range(20):
+        tree = {"a": tree}
+    (row,) = with_fields(spark.createDataFrame([(json.dumps({"Event": {"EventData": tree}}),)], "json string")).collect()
+    assert list(row["data"]) == ["a"] and json.loads(row["data"]["a"]) and row["data"]["a"].endswith('{"leaf":"x"}}}}}}}}}')
+
+
 def test_from_json(spark):
     text = json.dumps({"Event": {"System": {"EventID": {"#text": 4624, "#attributes": {"Qualifiers": 0}}, "Computer": "pc", "Provider": {"#attributes": {"Name": "P"}}, "TimeCreated": {"#attributes": {"SystemTime": "2024-01-02T03:04:05.678901Z"}}}, "EventData": {"A": 1}}})
     r = from_json(spark.createDataFrame([(text, 5)], "json string, record_id long")).first()
