@@ -97,6 +97,16 @@ def _long_bursts(rows: DataFrame, width_us: int, least: int, by: list[str]) -> D
     return members.groupBy(*by, "start").agg(F.min("ts").cast("timestamp_ntz").alias("start_ts"), F.count(F.lit(1)).alias("n"), *last.values(), shown).drop("start")
 
 
+def settled(held: list[dict], now: int | None, width_us: int, least: int) -> Iterator[list[dict]]:
+    """Decide about the hits of held (in order of us) whose width is over at `now`, or with None about all; they leave
+    held, and those that are a burst come out together."""
+    while held and (now is None or now > held[0]["us"] + width_us):
+        n = next((i for i, h in enumerate(held) if h["us"] > held[0]["us"] + width_us), len(held))
+        if n >= least:
+            yield held[:n]
+        del held[: n if n >= least else 1]
+
+
 def _short_bursts(runs: DataFrame, width_us: int, least: int, by: list[str]) -> DataFrame:
     """The bursts of rows with their run; runs are streamed through, a task holds the hits of one width at a time."""
     rows = runs.drop("bucket")
@@ -109,14 +119,9 @@ def _short_bursts(runs: DataFrame, width_us: int, least: int, by: list[str]) ->
         open_run, held, out, schema = None, [], [], None
 
         def settle(now: int | None) -> None:
-            """Decide about all hits whose width is over."""
-            while held and (now is None or now > held[0]["us"] + width_us):
-                reach = held[0]["us"] + width_us
-                n = next((i for i, h in enumerate(held) if h["us"] > reach), len(held))
-                if n >= least:
-                    first, last = held[0], held[n - 1]
-                    out.append({c: first[c] for c in by} | {"start_ts": first["ts"], "n": n, "event_id": last["event_id"], "channel": last["channel"], "record_id": last["record_id"], "shown": [h["shown"] for h in held[:n]]})
-                del held[: n if n >= least else 1]
+            for burst in settled(held, now, width_us, least):
+                first, last = burst[0], burst[-1]
+                out.append({c: first[c] for c in by} | {"start_ts": first["ts"], "n": len(burst), "event_id": last["event_id"], "channel": last["channel"], "record_id": last["record_id"], "shown": [h["shown"] for h in burst]})
 
         def done() -> pa.RecordBatch:
             arrays = pa.RecordBatch.from_pylist(out, schema=schema)

@@ -9,9 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def session(name: str = "logloom", master: str | None = None, **conf: str) -> SparkSession:
-    """UTC, adaptive execution; anything else comes from the cluster or from conf (dots written as __)."""
-    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    """UTC, adaptive execution, and the state store that streams with timers need; anything else comes from the
+    cluster or from conf (dots written as __)."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     if master:
         builder = builder.master(master)
     for k, v in conf.items():

@@ -395,3 +395,62 @@ def test_streaming(spark, tmp_path):
     assert [(r["logon_id"], r["logoff_us"] - r["logon_us"]) for r in spark.table("pairs").collect()] == [("a", 7_000_000)]
     assert {(r["event_id"], r["n"]) for r in spark.table("freq").collect()} == {(4624, 1), (4634, 1)}
     assert SILVER.fieldNames()[0] == "source"
+
+
+def drained(df, tmp_path, name):
+    """Run a stream until all that is there has been worked off; rows so far."""
+    q = df.writeStream.format("parquet").option("path", f"file://{tmp_path}/{name}").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/{name}-cp").start()
+    q.processAllAvailable()
+    q.stop()
+    return df.sparkSession.read.schema(df.schema).parquet(f"file://{tmp_path}/{name}").collect()
+
+
+def test_pairs_of_late_events_and_after_a_restart(spark, tmp_path):
+    def more(*events):
+        rows = silver(spark, *((k, "Security", {"TargetLogonId": i}, at) for i, k, at in events))
+        rows.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/silver")
+
+    def pairs():
+        evt = tail.silver_stream(spark, f"file://{tmp_path}/silver")
+        return sorted((r["logon_id"], r["logon_us"] // 10**6 - start, r["logoff_us"] // 10**6 - start) for r in drained(tail.logon_pairs(evt, "60 seconds", timedelta(seconds=5000)), tmp_path, "pairs"))
+
+    start = int((T0 - datetime(1970, 1, 1)).total_seconds())
+    # The logoff comes before its logon, within the time that is waited for.
+    more(("a", 4634, 30), ("b", 4624, 5), ("z", 4624, 50))
+    assert pairs() == []
+    more(("a", 4624, 10), ("z", 4624, 200))
+    assert pairs() == [("a", 10, 30)]
+    # After a restart b is still open; what is too late is dropped.
+    more(("a", 4624, 20), ("b", 4647, 205), ("z", 4624, 400))
+    more(("a", 4634, 390), ("z", 4624, 700))
+    assert pairs() == [("a", 10, 30), ("b", 5, 205)]
+    # An open logon is forgotten in the end.
+    more(("z", 4634, 9000), ("y", 4624, 20000))
+    assert pairs() == [("a", 10, 30), ("b", 5, 205)]
+
+
+def test_burst_alarms_are_the_bursts(spark, tmp_path):
+    import random
+
+    r = random.Random(5)
+    rows = [(f"pc{r.randint(0, 2)}", T0 + timedelta(seconds=r.randint(0, 900)), i, f"s{i}") for i in range(150)] + [("pc0", T0 + timedelta(seconds=99_999), 999, "end")]
+    hits = spark.createDataFrame(rows, "computer string, ts timestamp_ntz, record_id long, shown string")
+    want = clusters.bursts(hits.withColumn("event_id", F.lit(1)).withColumn("channel", F.lit("c")), 60_000_000, 4, ["computer"]).collect()
+    order = sorted(rows, key=lambda x: x[1] + timedelta(seconds=r.randint(0, 100)))
+    for k in range(0, len(order), 40):
+        spark.createDataFrame(order[k : k + 40], hits.schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/hits")
+    stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/hits")
+    got = drained(tail.burst_alarms(stream, 60_000_000, 4, "1000 seconds"), tmp_path, "alarms")
+    assert sorted((x["computer"], x["n"], x["record_id"], x["shown"]) for x in got) == sorted((x["computer"], x["n"], x["record_id"], x["shown"]) for x in want) and len(got) > 5
+
+
+def test_logs_as_a_stream(spark, tmp_path):
+    from logloom.container import binxml, evtx
+
+    (tmp_path / "logs").mkdir()
+    system = binxml.Element("System", {}, [binxml.Element("EventID", {}, ["4624"])])
+    payload = binxml.encode(binxml.Element("Event", {}, [system]), evtx.RECORDS_AT + 24)
+    for i in (1, 2):
+        (tmp_path / "logs" / f"{i}.evtx").write_bytes(evtx.write_log([(i, 132_700_000_000_000_000, payload)]))
+        got = drained(tail.log_stream(spark, f"file://{tmp_path}/logs").select("record_id", "event_id"), tmp_path, "out")
+        assert sorted(map(tuple, got)) == [(k, 4624) for k in range(1, i + 1)]
