@@ -5,6 +5,7 @@ A decoder belongs to a chunk: names and templates are referred to by their offse
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ from datetime import datetime, timedelta
 
 # ---- Fixed values ----
 MOST_DEPTH, MOST_TOKENS, MOST_VALUES = 256, 1 << 20, 4096
-HIGHEST_TOKEN, CHUNK_END = 0x0F, 0x10000
+CHUNK_END = 0x10000
 _INTS = {0x03: "<b", 0x04: "<B", 0x05: "<h", 0x06: "<H", 0x07: "<i", 0x08: "<I", 0x09: "<q", 0x0A: "<Q", 0x0B: "<f", 0x0C: "<d"}
 # ---- End of fixed values ----
 
@@ -237,27 +238,20 @@ def leaves(tree: object, name: str = "", path: str = "") -> Iterator[tuple[str,
             yield from leaves(x, name, path)
 
 
+#: What a payload may hold by its form alone, behind its header of four bytes: tokens of one byte, and open elements, whose
+#: names stand within the chunk (an offset of 0 to CHUNK_END, little-endian).
+_FORM = re.compile(rb"(?:[\x02-\x0F]|\x01.{5}(?:..\x00\x00|\x00\x00\x01\x00))*+", re.DOTALL)
+
+
 def problem(payload: bytes) -> tuple[str, int] | None:
-    """What is wrong with the form of a payload, and where; only the frame of tokens is looked at."""
-    if len(payload) < 4:
-        return "TOO_SHORT", len(payload)
-    if payload[0] != 0x0F:
-        return "INVALID_FRAGMENT_HEADER", 0
-    at = 4
-    for _ in range(MOST_TOKENS):
-        if at >= len(payload) or payload[at] == 0x00:
-            return None
-        if payload[at] > HIGHEST_TOKEN:
-            return "UNKNOWN_OPCODE", at
-        if payload[at] != 0x01:
-            at += 1
-            continue
-        if at + 10 > len(payload):
-            return "TRUNCATED", at
-        if struct.unpack_from("<I", payload, at + 6)[0] > CHUNK_END:
-            return "STRING_TABLE_OVERFLOW", at
-        at += 10
-    return "TOO_MANY_TOKENS", at
+    """What is wrong with the form of a payload, and where: what stands behind the longest beginning of the right form."""
+    if len(payload) < 4 or payload[0] != 0x0F:
+        return ("TOO_SHORT", len(payload)) if len(payload) < 4 else ("INVALID_FRAGMENT_HEADER", 0)
+    at = _FORM.match(payload, 4).end()
+    rest = payload[at : at + 10]
+    if rest[:1] in (b"", b"\x00"):
+        return None
+    return (("TRUNCATED" if len(rest) < 10 else "STRING_TABLE_OVERFLOW") if rest[0] == 0x01 else "UNKNOWN_OPCODE"), at
 
 
 def flattened(event: Element) -> dict[str, str]:

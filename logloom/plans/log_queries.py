@@ -11,7 +11,7 @@ from logloom.operators import integrity as I
 from logloom.plans.adapter import events, silver
 from logloom.plans.registry import query
 from logloom.session import work_folder
-from logloom.sinks.writers import logs_of, repaired, write_files
+from logloom.sinks.writers import log_parts, logs_of, repaired, write_files
 from logloom.sources import logs as L
 from logloom.sources import ranges as R
 
@@ -87,6 +87,14 @@ def evtx_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.records(L.chunks(logs_of(rows))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT concat('src', user_id % 3) AS source, count(*) AS n, min(record_id) AS first_id, CAST(sum(record_id) AS BIGINT) AS ids FROM evt GROUP BY user_id % 3")
+def evtx_write_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three long logs, each built by many tasks, chunk by chunk."""
+    rows = silver(spark, sf_dir).select("source", "record_id", F.col("ts_ticks").alias("filetime"), F.unhex(F.concat(F.lit("0F010200"), F.repeat(F.lit("AB"), (F.col("record_id") % 90).cast("int")))).alias("payload"))
+    parts = log_parts(rows).filter("part > 0").select("source", ((F.col("part") - 1) * evtx.CHUNK + evtx.HEADER_BLOCK).alias("chunk_offset"), "content")
+    return L.records(parts).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_id"), F.sum("record_id").alias("ids"))
+
+
 @query("SELECT logon_id AS source, count(*) AS n FROM evt GROUP BY logon_id")
 def memory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.memory_records(made_logs(spark, sf_dir)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))

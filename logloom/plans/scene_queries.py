@@ -10,11 +10,11 @@ from logloom.operators import analytics as A
 from logloom.operators import detect as D
 from logloom.operators import extract as X
 from logloom.operators import integrity as I
-from logloom.plans.adapter import events
+from logloom.plans.adapter import events, silver
 from logloom.plans.registry import query, table
 from logloom.plans.scenes import SC, scenes
 from logloom.schema import DEFENDER, HYPERV, POWERSHELL, SYSMON, WMI_ACTIVITY
-from logloom.sinks.writers import flattened_for_csv, mermaid_edges
+from logloom.sinks.writers import flattened_for_csv, mermaid_edges, mermaid_processes
 
 _SYSMON = f"channel = '{SYSMON}'"
 _STARTED = f"((event_id = 4688 AND channel = 'Security') OR (event_id = 1 AND {_SYSMON}))"
@@ -206,3 +206,8 @@ def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = scenes(spark, sf_dir).select(F.col("computer").alias("source"), F.col("source").alias("target"), F.concat(F.lit("type "), F.length("channel")).alias("label")).distinct()
     return mermaid_edges(edges)
+
+
+@query("""SELECT concat('PID_', ppid, ' --> PID_', pid, '["', replace(replace(image, ':', '_'), chr(92), '_'), '"]') AS line FROM evt WHERE event_id = 4688""")
+def mermaid_process_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mermaid_processes(A.process_nodes(silver(spark, sf_dir)))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.container import evtx
@@ -51,26 +52,29 @@ def table(df: DataFrame, rows: int = 1000, width: int = 48) -> str:
     return "\n".join([shown[0], "  ".join("-" * w for w in widths), *shown[1:], f"{min(len(held), rows)} records" + " or more" * (len(held) > rows)])
 
 
-def _node(text: object) -> str:
-    return "".join(c if c.isalnum() or c in "-_. " else "_" for c in str(text)) or "_"
-
-
 def mermaid_edges(edges: DataFrame) -> DataFrame:
     """line: edges (source, target, label) as Mermaid writes them, as a DataFrame, for graphs of any size."""
     name = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "_").otherwise(F.regexp_replace(c, r"[^\p{L}\p{N}\-_.]", "_"))
     return edges.select(F.concat(name(F.col("source")), F.lit(' -->|"'), F.col("label"), F.lit('"| '), name(F.col("target"))).alias("line"))
 
 
-def mermaid_logons(edges: DataFrame) -> str:
-    """A graph of logon edges (source, target, logon_type, n): a report, so its edges pass the driver."""
-    label = F.concat(F.lit("type "), F.col("logon_type"), F.lit(" x"), F.col("n")).alias("label")
-    rows = mermaid_edges(edges.orderBy("source", "target", "logon_type").select("source", "target", label)).collect()
-    return "\n".join(["graph LR", *[f"    {r['line']}" for r in rows]])
+def mermaid_processes(nodes: DataFrame) -> DataFrame:
+    """line: processes (pid, ppid, image) under their parents as Mermaid writes them, for trees of any size."""
+    image = F.regexp_replace(F.coalesce("image", F.lit("")), r"[^\p{L}\p{N}\-_. ]", "_")
+    return nodes.select(F.format_string('PID_%s --> PID_%s["%s"]', "ppid", "pid", F.when(image == "", "_").otherwise(image)).alias("line"))
 
 
-def mermaid_processes(nodes: DataFrame) -> str:
-    rows = nodes.orderBy("ts", "record_id").collect()
-    return "\n".join(["graph LR", *[f'    PID_{r["ppid"]} --> PID_{r["pid"]}["{_node(r["image"])}"]' for r in rows]])
+def write_mermaid(lines: DataFrame, path: str) -> None:
+    """A graph's lines as text files in a folder, written by the tasks that hold them; `graph LR` goes in front of all."""
+    lines.select("line").write.mode("overwrite").text(path)
+
+
+def mermaid_logons(edges: DataFrame, most: int = 2000) -> str:
+    """A graph of the first `most` logon edges (source, target, logon_type, n) as text: a report. All edges of a graph of any
+    size are written by write_mermaid()."""
+    label = F.concat(F.lit("type "), F.col("logon_type"), F.lit(" x"), F.col("n")).alias("label")
+    rows = mermaid_edges(edges.orderBy("source", "target", "logon_type").limit(most).select("source", "target", label)).collect()
+    return "\n".join(["graph LR", *[f"    {r['line']}" for r in rows]])
 
 
 def markdown_report(title: str, sections: dict[str, DataFrame], rows: int = 50) -> str:
@@ -87,11 +91,94 @@ def markdown_report(title: str, sections: dict[str, DataFrame], rows: int = 50)
     return "\n".join(out)
 
 
+#: Bytes of records that are packed at once (a chunk at least), and record ids whose places are counted at once.
+PACKED, COUNTED = 1 << 20, 1 << 12
+_ROOM = evtx.CHUNK - evtx.RECORDS_AT
+
+
+def _placed(records: DataFrame) -> DataFrame:
+    """records with start (bytes before a record among its source's, in the order of ids), end, number (from 1) and i,
+    the stride of PACKED bytes that start is in. Running sums on two levels: no source is ordered as a whole."""
+    size = 28 + F.octet_length("payload")
+    fits = F.when(size <= _ROOM, size).otherwise(F.raise_error(F.concat(F.lit("doesn't fit into a chunk: record "), F.col("record_id"))).cast("int"))
+    rows = records.select("source", "record_id", "filetime", F.coalesce("payload", F.unhex(F.lit(""))).alias("payload")).withColumn("size", fits.cast("long")).withColumn("part", F.floor(F.col("record_id") / COUNTED))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    parts = parts.select("source", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
+    inside = Window.partitionBy("source", "part").orderBy("record_id", "filetime", "payload").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", F.sum("size").over(inside).alias("upto"), F.count(F.lit(1)).over(inside).alias("k")).join(parts, ["source", "part"])
+    rows = rows.withColumn("end", F.col("bytes") + F.col("upto")).withColumn("start", F.col("end") - F.col("size")).withColumn("number", F.col("n") + F.col("k"))
+    return rows.select("source", "record_id", "filetime", "payload", "start", "end", "number", F.expr(f"start div {PACKED}").alias("i"))
+
+
+def _chunk_starts(placed: DataFrame) -> DataFrame:
+    """source, i, chunks_before, chunk_starts: at which bytes of each stride a chunk begins if chunks are filled one after
+    the other, each with as many records as it has room for.
+
+    Which record follows a chunk is known for every record that might begin one. So each stride of records tells
+    where the packing enters the next one, for every place at which it may enter this one; as in a sweep of
+    an image (sources.ranges), only these functions are gone through in order."""
+    import pyarrow as pa
+
+    from logloom.sources.ranges import chain, entered, jumps
+
+    near = placed.filter(F.col("start") - F.col("i") * PACKED <= _ROOM).filter("i > 0").select("source", (F.col("i") - 1).alias("i"), "start", "end", F.lit(False).alias("own"))
+    every = placed.select("source", "i", "start", "end", F.lit(True).alias("own")).unionByName(near)
+    strides = every.groupBy("source", "i").agg(F.array_sort(F.collect_list(F.struct("start", "end", "own"))).alias("r"))
+    schema = pa.schema([("source", pa.string()), ("i", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("places", "nexts", "starts", "exits")), ("same", pa.bool_())])
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                base, ends = x["i"] * PACKED, [r["end"] for r in x["r"]]
+                hits = [(r["start"] - base, ends[bisect_right(ends, r["start"] + _ROOM) - 1] - base) for r in x["r"] if r["own"]]
+                starts, exits = jumps(hits, PACKED, _ROOM + 1)
+                row = {"source": x["source"], "i": x["i"], "places": [p for p, _ in hits], "nexts": [n for _, n in hits], "starts": starts, "exits": exits, "same": False}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                found = [x["i"] * PACKED + p for p in chain(list(zip(x["places"], x["nexts"], strict=True)), x["entry"])]
+                yield pa.RecordBatch.from_arrays([pa.array([x["source"]]), pa.array([x["i"]], pa.int64()), pa.array([found], pa.list_(pa.int64()))], ["source", "i", "chunk_starts"])
+
+    known = strides.mapInArrow(functions, "source string, i long, places array<long>, nexts array<long>, starts array<long>, exits array<long>, same boolean")
+    entries = entered(known.select("source", "i", "starts", "exits", "same"), PACKED, "source")
+    found = known.select("source", "i", "places", "nexts").join(entries, ["source", "i"]).mapInArrow(chains, "source string, i long, chunk_starts array<long>")
+    before = Window.partitionBy("source").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("chunks_before", F.coalesce(F.sum(F.size("chunk_starts")).over(before), F.lit(0)))
+
+
+def log_parts(records: DataFrame) -> DataFrame:
+    """source, part, content: the parts of a binary log for each source of records (source, record_id, filetime,
+    payload), in the order of record ids: the file's header (0), and its chunks. A log's chunks are built by as many tasks as there are;
+    one behind the other the parts are the file. A null payload is an empty one."""
+    import pandas as pd
+
+    placed = _placed(records)
+    within = F.size(F.filter("chunk_starts", lambda s: s <= F.col("start")))
+    rows = placed.join(_chunk_starts(placed), ["source", "i"]).withColumn("part", (F.col("chunks_before") + within).cast("long"))
+
+    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("number")
+        raw = [evtx.record_bytes(int(i), int(t), bytes(p)) for i, t, p in zip(group["record_id"], group["filetime"], group["payload"], strict=True)]
+        return pd.DataFrame({"source": [key[0]], "part": [key[1]], "content": [evtx.chunk_bytes(raw, int(group["number"].iloc[0]))]})
+
+    def head(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"source": part["source"], "part": 0, "content": [evtx.file_header(int(n), int(top) + 1) for n, top in zip(part["n"], part["top"], strict=True)]})
+
+    heads = rows.groupBy("source").agg(F.max("part").alias("n"), F.max("record_id").alias("top")).mapInPandas(head, "source string, part long, content binary")
+    # A fixed number: few bytes, but much work, which adaptive execution would put into one task.
+    dealt = rows.select("source", "part", "number", "record_id", "filetime", "payload").repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "part")
+    return heads.unionByName(dealt.groupBy("source", "part").applyInPandas(build, "source string, part long, content binary"))
+
+
 def logs_of(records: DataFrame) -> DataFrame:
-    """source, content: a binary log for each source of records (source, record_id, filetime, payload).
+    """source, content: a binary log for each source of records (source, record_id, filetime, payload), as one row.
 
-    A log is built in one task in the order of record ids, since its chunks are numbered through; sources
-    are independent of each other.
+    What is one row is built in one task; sources are independent of each other. Logs of any size are the parts
+    of log_parts().
     """
     import pandas as pd
 

@@ -269,12 +269,18 @@ def entries(spark: SparkSession, paths: list[str], stride: int, scan: Scan) -> D
 
     schema = pa.schema([("source", pa.string()), ("size", pa.int64()), ("i", pa.int64()), ("starts", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64())), ("same", pa.bool_())])
     functions = _strides(spark, paths, stride).mapInArrow(run, "source string, size long, i long, starts array<long>, exits array<long>, same boolean")
-    order = W.partitionBy("source").orderBy("i")
+    return entered(functions, stride, "source", "size")
+
+
+def entered(functions: DataFrame, stride: int, *by: str) -> DataFrame:
+    """by, i, entry: where a search that begins at 0 enters each stride i (all from 0 on), by the strides' functions
+    (starts, exits of jumps(); same: whether it leads to 0 from every entry)."""
+    order = W.partitionBy(*by).orderBy("i")
     functions = functions.withColumn("run", F.sum(F.coalesce(F.lag("same").over(order), F.lit(True)).cast("long")).over(order))
-    runs = functions.groupBy("source", "size", "run").agg(F.array_sort(F.collect_list(F.struct("i", "starts", "exits"))).alias("f"))
+    runs = functions.groupBy(*by, "run").agg(F.array_sort(F.collect_list(F.struct("i", "starts", "exits"))).alias("f"))
     following = f"if(a.entry >= {stride}L, a.entry - {stride}L, coalesce(get(x.exits, size(filter(x.starts, s -> s < a.entry))), 0L))"
     walk = f"aggregate(f, named_struct('entry', 0L, 'found', cast(array() AS array<struct<i: bigint, entry: bigint>>)), (a, x) -> named_struct('entry', {following}, 'found', array_append(a.found, named_struct('i', x.i, 'entry', a.entry))), a -> a.found)"
-    return runs.select("source", "size", F.inline(F.expr(walk)))
+    return runs.select(*by, F.inline(F.expr(walk)))
 
 
 def _swept(spark: SparkSession, paths: list[str], stride: int, scan: Scan, row: Callable[[str, int, bytes], dict], need: int, schema: pa.Schema, kinds: str) -> DataFrame:

@@ -258,6 +258,28 @@ def test_mbr():
     assert evtx.ntfs_partition(bytes(mbr)) == 1026048 and evtx.ntfs_partition(b"\x00" * 512) is None
 
 
+def test_parallel_writer_is_byte_equal(spark, monkeypatch):
+    from logloom.sinks import writers
+
+    r = random.Random(7)
+    for packed, counted in ((1 << 20, 1 << 12), (70_000, 5), (65_100, 100)):
+        monkeypatch.setattr(writers, "PACKED", packed)
+        monkeypatch.setattr(writers, "COUNTED", counted)
+        logs = {s: [(i * step, TICKS + i, r.randbytes(r.choice([0, 5, 300, 3000, 30_000, 64_990]))) for i in range(n)] for s, n, step in (("one", 1, 1), ("many", 150, 3), ("hot", 400, 1))}
+        logs["exact"] = [(i, 1, b"x" * (65024 // 4 - 28)) for i in range(9)]
+        rows = [(s, i, t, bytearray(p)) for s, of in logs.items() for i, t, p in of]
+        r.shuffle(rows)
+        frame_of = spark.createDataFrame(rows, "source string, record_id long, filetime long, payload binary")
+        got = {s: b"" for s in logs}
+        for x in sorted(writers.log_parts(frame_of).collect(), key=lambda x: x["part"]):
+            got[x["source"]] += bytes(x["content"])
+        assert got == {s: evtx.write_log(of) for s, of in logs.items()}
+        assert {x["source"]: bytes(x["content"]) for x in logs_of(frame_of).collect()} == got
+    assert (len(got["hot"]) - 4096) // 65536 > 10
+    with pytest.raises(Exception, match="doesn't fit"):
+        writers.log_parts(spark.createDataFrame([("a", 1, 1, bytearray(65_000))], "source string, record_id long, filetime long, payload binary")).collect()
+
+
 def test_writer_frame(spark):
     rows = spark.createDataFrame([("a", i, TICKS, bytearray(b"\x0f\x01")) for i in range(10)] + [("b", 5, TICKS, bytearray(b"x"))], "source string, record_id long, filetime long, payload binary")
     out = L.records(L.chunks(logs_of(rows))).groupBy("source").agg(F.count("*").alias("n"))

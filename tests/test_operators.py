@@ -380,6 +380,9 @@ def test_sinks(spark, tmp_path):
     assert "a b" in W.table(df) and W.table(df).endswith("2 records") and W.table(df.limit(0)) == "(no records)"
     edges = spark.createDataFrame([('W"S', "host", 3, 2)], "source string, target string, logon_type int, n long")
     assert W.mermaid_logons(edges).splitlines()[1].strip() == 'W_S -->|"type 3 x2"| host'
+    nodes = spark.createDataFrame([(1, 2, 'C:\\a "b".exe'), (3, 4, None)], "ppid int, pid int, image string")
+    W.write_mermaid(W.mermaid_processes(nodes), f"file://{tmp_path}/graph")
+    assert {r["value"] for r in spark.read.text(f"file://{tmp_path}/graph").collect()} == {'PID_1 --> PID_2["C__a _b_.exe"]', 'PID_3 --> PID_4["_"]'}
     assert "| t | n | m |" in W.markdown_report("R", {"S": df}) and "none" in W.markdown_report("R", {"S": df.limit(0)})
 
 
