@@ -30,6 +30,8 @@ def _clean(batch: pa.RecordBatch, width: int | None) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.int64), np.zeros((0, width))
     kept = lists.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
     good = np.isfinite(kept).all(axis=1) & (kept != 0).any(axis=1)
+    # By a power of two, which changes no cosine: squares of very large or small components stay in range.
+    kept = np.ldexp(kept, -np.frexp(np.abs(kept).max(axis=1, keepdims=True))[1])
     return batch.column("vec_id").filter(pa.array(valid)).to_numpy()[good], kept[good]
 
 

@@ -267,3 +267,16 @@ def test_repeated_ids_take_one_place_each():
     q = np.array([[1.0, *[0.0] * 7]])
     ((_, found, score),) = ann._search_block(np.array([0]), q, ann._orders(q, pivots, 8), row, 5, 0.1, 20)
     assert found[0] == 1 and len(set(found.tolist())) == 5 and (np.diff(score) <= 0).all()
+
+
+def test_neighbours_of_extreme_vectors(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(60, 5)) * 10.0 ** r.choice([-300, -200, 0, 200, 300], size=(60, 1))
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    want = exact(list(range(60)), unit, [0, 1, 2], 4)
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") < 3, k=4)
+    found = {}
+    for row in got.orderBy("query_id", "rank").collect():
+        found.setdefault(row["query_id"], []).append(row["vec_id"])
+        assert abs(row["score"]) <= 1 + 1e-9
+    assert found == want
