@@ -156,13 +156,13 @@ def _linked(percent: int) -> Column:
 
 
 def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """pivot, rep, component, out of groups, for the pivots whose members aren't all of one component by the links
-    so far; out tells the members that aren't of the group's largest component."""
+    """pivot, rep, component, home of groups, for the pivots whose members aren't all of one component by the links
+    so far; home is the group's largest component."""
     label = components(links).select(F.col("node").alias("rep"), "component")
     groups = groups.select("pivot", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = groups.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n"))
     homes = sizes.groupBy("pivot").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("home"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    return groups.join(homes, "pivot").select("pivot", "rep", "component", (F.col("component") != F.col("home")).alias("out"))
+    return groups.join(homes, "pivot").select("pivot", "rep", "component", "home")
 
 
 def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,8 +200,9 @@ def _near_pairs(groups: DataFrame, differences: DataFrame) -> DataFrame:
     return pairs.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _differing_pairs(groups: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of members (rep) of one pivot, of different components, that may be linked; exact.
+def _differing_pairs(groups: DataFrame, sets: DataFrame, percent: int, differences: DataFrame | None = None) -> DataFrame:
+    """a, b: pairs of members (rep) of one pivot, of different components, that may be linked; exact. differences:
+    those of the groups, if they are known already.
 
     With D the symmetric difference of a set and its pivot's, two sets of x and y elements are linked if and
     only if 2 (100 + percent) |Dx & Dy| >= Ax + Ay, where A = (100 + percent) |D| - (100 - percent) |set|.
@@ -211,10 +212,12 @@ def _differing_pairs(groups: DataFrame, differences: DataFrame, percent: int) ->
     no partner under their caps, by the least A and largest cap of all who have them, drop out before the
     join, so edits that nobody shares, and the pivot's own, which everybody shares, give no pairs.
     Of two members of different components one at least isn't linked to the pivot, so Ax + Ay > 0 and linked
-    members do have a common element. One at least isn't of the largest component, and only those (out) look for partners.
+    members do have a common element. One at least isn't of the group's home, and only those (out) look for partners.
     """
     both = 100 + percent
-    held = written(groups.join(differences, ["pivot", "rep"]), "differing")
+    differences = _differences(groups, sets, percent) if differences is None else differences
+    held = groups.select("pivot", "rep", "component", (F.col("component") != F.col("home")).alias("out"))
+    held = written(held.join(differences, ["pivot", "rep"]), "differing")
     least = held.groupBy("pivot").agg(F.min("a").alias("floor"))
     each = held.select("pivot", "rep", "component", "out", "nd", "a", F.explode("d").alias("s"))
     common = each.groupBy("pivot", "s").agg(F.count(F.lit(1)).alias("df"), (F.min("component") != F.max("component")).alias("mixed"))
@@ -289,7 +292,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = written(links.unionByName(near.select("a", "b")), "links")
     # By now nearly all that belongs together is: what is compared with all others of its group is what is left over.
     apart = written(_labelled(apart, links), "apart")
-    last = _measured(_differing_pairs(apart, differences, percent), sets).filter(_linked(percent)).select("a", "b")
+    last = _measured(_differing_pairs(apart, sets, percent, differences), sets).filter(_linked(percent)).select("a", "b")
     labels = components(links.unionByName(last))
     class_of = classes.select("n_shingles", "s1", "s2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     class_of = class_of.select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
