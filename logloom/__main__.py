@@ -37,8 +37,7 @@ def _timeline(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def _sessions(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    found = A.logon_sessions(L.read_logs(spark, *a.paths), by_host=True)
-    return found.filter(F.col("logon_type") == a.logon_type) if a.logon_type is not None else found
+    return A.logon_sessions(L.read_logs(spark, *a.paths), by_host=True, logon_type=a.logon_type)
 
 
 def _frequency(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -62,6 +61,19 @@ def _extract(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return X.extract_all(evt) if a.what is None else X.EXTRACTORS[a.what](evt)
 
 
+def _repair(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    if not R.readable(*a.paths):
+        if a.repaired:
+            raise ValueError("logs that Spark's readers alone can open are checked, but not written")
+        return W.repaired(L.files(spark, *a.paths)).drop("content")
+    parts = W.repaired_parts(spark, *a.paths)
+    if a.repaired:
+        W.write_parts(parts, a.repaired, ".evtx", "chunk_offset").write.format("noop").mode("overwrite").save()
+    of_chunk = F.col("chunk_offset") > 0
+    counts = [F.count_if(of_chunk & F.col("mended").isNotNull()).alias("chunks_checked"), F.count_if(of_chunk & F.col("mended")).alias("chunks_repaired")]
+    return parts.groupBy("source").agg(*counts, F.coalesce(F.bool_or(~of_chunk & F.col("mended")), F.lit(False)).alias("header_repaired"))
+
+
 #: What a command gives, and whether rows of it are findings.
 COMMANDS: dict[str, tuple[Callable[[SparkSession, argparse.Namespace], DataFrame], bool]] = {
     "verify": (_verify, True),
@@ -78,7 +90,7 @@ COMMANDS: dict[str, tuple[Callable[[SparkSession, argparse.Namespace], DataFrame
     "extract": (_extract, False),
     "detect": (lambda spark, a: D.detect_all(L.read_logs(spark, *a.paths)), True),
     "info": (_info, False),
-    "repair": (lambda spark, a: W.repaired(L.files(spark, *a.paths)).drop("content"), False),
+    "repair": (_repair, False),
     "report": (lambda spark, a: triage(spark, a.paths[0]), False),
 }
 
@@ -89,6 +101,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("paths", nargs="+", help="logs, or folders that hold some")
     p.add_argument("--format", choices=["jsonl", "table", "csv", "markdown"], default="jsonl")
     p.add_argument("--out", help="a folder to write to (jsonl and csv), whatever the size of the result")
+    p.add_argument("--repaired", help="a folder to write repaired logs to (repair)")
     p.add_argument("--event-id", type=int, action="append")
     p.add_argument("--after")
     p.add_argument("--before")

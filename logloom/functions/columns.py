@@ -156,3 +156,14 @@ def number(content: Column, at: int, size: int) -> Column:
     h = F.hex(F.substring(content, at + 1, size))
     turned = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))])
     return F.conv(turned, 16, 10).cast("long" if size <= 4 else "decimal(20,0)")
+
+
+def number_bytes(n: Column, size: int) -> Column:
+    """A number as little-endian bytes, the counterpart of number()."""
+    h = F.lpad(F.hex(n.cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(h, 17 - 2 * i, 2) for i in range(1, size + 1)]))
+
+
+def overlaid(content: Column, at: int, over: Column, size: int) -> Column:
+    """Bytes with others of that size laid over them at an offset."""
+    return F.concat(F.substring(content, 1, at), over, F.substring(content, at + size + 1, (1 << 31) - 1))

@@ -57,8 +57,8 @@ def _with_next(rows: DataFrame, by: list[str], hot_rows: int) -> DataFrame:
     return both.withColumn("next_id", F.col("_next.event_id")).withColumn("next_ts", F.col("_next.ts")).drop("_next")
 
 
-def logon_sessions(evt: DataFrame, by_host: bool = False, hot_rows: int = 1_000_000) -> DataFrame:
-    """Logons with the logoff that ends them, if any.
+def logon_sessions(evt: DataFrame, by_host: bool = False, hot_rows: int = 1_000_000, logon_type: int | None = None) -> DataFrame:
+    """Logons (of a type, if given) with the logoff that ends them, if any.
 
     A logon with the same id before a logoff discards the earlier one; logoffs without logon or id are
     dropped. One shuffle by id (and computer, with by_host, which also keeps well-known ids apart); ids with
@@ -68,13 +68,16 @@ def logon_sessions(evt: DataFrame, by_host: bool = False, hot_rows: int = 1_000_
     rows = evt.filter(F.col("event_id").isin(LOGON, *LOGOFF)).withColumn("logon_id", key).filter("logon_id is not null")
     rows = _with_next(rows, ["logon_id", *(["computer"] if by_host else [])], hot_rows)
     rows = rows.filter((F.col("event_id") == LOGON) & (F.col("next_id").isNull() | (F.col("next_id") != LOGON)))
+    kind = F.coalesce(F.col("data")["LogonType"].try_cast("int"), F.lit(0))
+    if logon_type is not None:
+        rows = rows.filter(kind == logon_type)
     ip = F.col("data")["IpAddress"]
     return rows.select(
         "logon_id",
         "computer",
         F.col("data")["TargetUserName"].alias("username"),
         F.col("data")["TargetDomainName"].alias("domain"),
-        F.coalesce(F.col("data")["LogonType"].try_cast("int"), F.lit(0)).alias("logon_type"),
+        kind.alias("logon_type"),
         F.when(~ip.isin("", "-"), ip).alias("ip_address"),
         F.col("ts").alias("logon_ts"),
         F.when(F.col("next_id").isNotNull(), F.col("next_ts")).alias("logoff_ts"),

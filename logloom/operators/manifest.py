@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -368,21 +369,33 @@ def parse_manifest(xml: str) -> dict[tuple[str, int], list[str]]:
     return out
 
 
-def load_manifests(spark: SparkSession, folder: str) -> dict[tuple[str, int], list[str]]:
-    """All *.man files of a folder, read through Spark; there are a few hundred of them at most."""
-    out: dict[tuple[str, int], list[str]] = {}
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.man").load(folder).orderBy("path").select("content")
-    for r in rows.toLocalIterator():
-        raw = bytes(r["content"])
-        for key, fields in parse_manifest(raw.decode("utf-16" if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8", "replace")).items():
-            out.setdefault(key, fields)
-    return out
+def load_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """guid, event_id, fields of all *.man files of a folder, parsed by the tasks that read them. What several
+    files define is as in the first of them by path; files that are broken, or no manifests, give nothing."""
+    import pyarrow as pa
+
+    schema = pa.schema([("path", pa.string()), ("guid", pa.string()), ("event_id", pa.int32()), ("fields", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                raw = content.as_py() or b""
+                found = parse_manifest(raw.decode("utf-16" if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8", "replace"))
+                yield pa.RecordBatch.from_pylist([{"path": path, "guid": g, "event_id": i, "fields": f} for (g, i), f in found.items() if i < 1 << 31], schema=schema)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.man").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    rows = files.mapInArrow(run, "path string, guid string, event_id int, fields array<string>")
+    return rows.groupBy("guid", "event_id").agg(F.min_by("fields", "path").alias("fields"))
 
 
-def named_fields(evt: DataFrame, fields: dict[tuple[str, int], list[str]] | None = None) -> DataFrame:
-    """evt with Param1, Param2 ... in data renamed to the fields of its provider and event; others stay."""
-    rows = [(g, i, f) for (g, i), f in (FIELDS if fields is None else fields).items()]
-    table = F.broadcast(evt.sparkSession.createDataFrame(rows, "m_guid string, m_id int, m_fields array<string>"))
+def named_fields(evt: DataFrame, fields: DataFrame | dict[tuple[str, int], list[str]] | None = None) -> DataFrame:
+    """evt with Param1, Param2 ... in data renamed to the fields of its provider and event; others stay. fields: the
+    bundled ones, a dict, or rows as those of load_manifests(), whose join is Spark's to choose by their size."""
+    if isinstance(fields, DataFrame):
+        table = fields.select(F.col("guid").alias("m_guid"), F.col("event_id").alias("m_id"), F.col("fields").alias("m_fields"))
+    else:
+        rows = [(g, i, f) for (g, i), f in (FIELDS if fields is None else fields).items()]
+        table = F.broadcast(evt.sparkSession.createDataFrame(rows, "m_guid string, m_id int, m_fields array<string>"))
     joined = evt.join(table, (normal_guid(F.col("provider_guid")) == F.col("m_guid")) & (F.col("event_id") == F.col("m_id")), "left")
 
     def name(k: Column, _v: Column) -> Column:

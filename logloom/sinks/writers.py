@@ -5,11 +5,11 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.container import evtx
-from logloom.functions.columns import guarded_cell
+from logloom.functions.columns import guarded_cell, number, number_bytes, overlaid
 
 
 def flattened_for_csv(df: DataFrame) -> DataFrame:
@@ -215,9 +215,54 @@ def write_files(rows: DataFrame, folder: str, ending: str = "") -> DataFrame:
                 system.move(part, at)
                 yield pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"], "length": [data.size]})
 
+    return rows.select(_file_name(ending), "content").mapInArrow(run, "path string, length long")
+
+
+def _file_name(ending: str) -> Column:
     plain = F.regexp_replace("source", r"[^A-Za-z0-9._-]", "_")
-    name = F.concat(F.when((plain == F.col("source")) & (F.length("source") < 200), plain).otherwise(F.concat(F.substring(plain, 1, 100), F.lit("-"), F.sha2("source", 256))), F.lit(ending))
-    return rows.select(name.alias("name"), "content").mapInArrow(run, "path string, length long")
+    own = F.when((plain == F.col("source")) & (F.length("source") < 200), plain)
+    return F.concat(own.otherwise(F.concat(F.substring(plain, 1, 100), F.lit("-"), F.sha2("source", 256))), F.lit(ending)).alias("name")
+
+
+def write_parts(parts: DataFrame, folder: str, ending: str = "", order: str = "part") -> DataFrame:
+    """path, length: a file in the folder for each source of parts (source, content, and a column they are ordered by),
+    its parts one behind the other: those of log_parts(), say, or with order="chunk_offset" of repaired_parts().
+
+    A file is written front to back by one task, which holds a batch of parts at a time; Spark sorts them, on disk if
+    need be. Like those of write_files(), files appear whole, under the same names."""
+    import os
+    import uuid
+
+    import pyarrow as pa
+
+    from logloom.sources.ranges import opened
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = opened(folder)
+        system.create_dir(inner)
+        name, out, at, length = None, None, "", 0
+
+        def ended() -> pa.RecordBatch:
+            out.close()
+            system.move(at, os.path.join(inner, name))
+            return pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"], "length": [length]})
+
+        for b in batches:
+            for this, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
+                if this != name:
+                    if out is not None:
+                        yield ended()
+                    at, length = os.path.join(inner, f".{uuid.uuid4().hex}"), 0
+                    name, out = this, system.open_output_stream(at)
+                data = content.as_buffer() or pa.py_buffer(b"")
+                out.write(data)
+                length += data.size
+        if out is not None:
+            yield ended()
+
+    named = parts.select(_file_name(ending), order, "content")
+    dealt = named.repartition("name").sortWithinPartitions("name", order).select("name", "content")
+    return dealt.mapInArrow(run, "path string, length long")
 
 
 def repaired(logs: DataFrame) -> DataFrame:
@@ -231,3 +276,30 @@ def repaired(logs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"source": [source], "content": pa.array([out], pa.binary()), "chunks_checked": [looked], "chunks_repaired": [mended], "header_repaired": [header]})
 
     return logs.select("source", "content").mapInArrow(run, "source string, content binary, chunks_checked long, chunks_repaired long, header_repaired boolean")
+
+
+def mended_parts(parts: DataFrame) -> DataFrame:
+    """parts of logs (source, chunk_offset, content) with right checksums, and mended: whether one was wrong. The part at
+    offset 0 is the file's header, others are chunks; what has no magic, or isn't whole, stays as it is, and has mended null.
+
+    Row by row and in the JVM: nothing is shuffled, and a log is as many tasks as it was read by."""
+    c = F.col("content")
+    head = (F.col("chunk_offset") == 0) & (F.substring(c, 1, 8) == F.lit(evtx.FILE_MAGIC)) & (F.octet_length(c) >= 128)
+    chunk = (F.col("chunk_offset") > 0) & (F.substring(c, 1, 8) == F.lit(evtx.CHUNK_MAGIC)) & (F.octet_length(c) == evtx.CHUNK)
+    rows = parts.select("source", "chunk_offset", "content", head.alias("is_head"), chunk.alias("is_chunk"), number(c, 0x30, 4).alias("free_at"))
+    records = F.crc32(F.substring(c, F.lit(evtx.RECORDS_AT + 1), (F.col("free_at") - evtx.RECORDS_AT).cast("int")))
+    summed = F.when(F.col("is_chunk") & F.col("free_at").between(evtx.RECORDS_AT, evtx.CHUNK), overlaid(c, 0x34, number_bytes(records, 4), 4)).otherwise(c)
+    rows = rows.withColumn("summed", summed)
+    own = number_bytes(F.crc32(F.substring("summed", 1, 0x78)), 4)
+    right = F.when(F.col("is_head"), overlaid(F.col("summed"), 0x7C, own, 4)).when(F.col("is_chunk"), overlaid(F.col("summed"), 0x78, own, 4)).otherwise(c)
+    rows = rows.withColumn("right", right)
+    mended = F.when(F.col("is_head") | F.col("is_chunk"), F.substring("right", 1, 128) != F.substring(c, 1, 128))
+    return rows.select("source", "chunk_offset", F.col("right").alias("content"), mended.alias("mended"))
+
+
+def repaired_parts(spark: SparkSession, *paths: str, **options: str) -> DataFrame:
+    """mended_parts() of logs of any size, read by ranges. In the order of chunk_offset they are the repaired files,
+    which write_parts() writes."""
+    from logloom.sources.ranges import log_ranges
+
+    return mended_parts(log_ranges(spark, *paths, rows="parts", **options))

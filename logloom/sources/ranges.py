@@ -125,12 +125,22 @@ class LogReader(DataSourceReader):
         for source, at, content in self._chunks(ranges):
             yield from L.chunk_facts(source, at, content)
 
+    def _parts(self, ranges: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, bytes]]:
+        for path, first, end in ranges:
+            if first == 0:
+                system, inner = opened(path)
+                with system.open_input_file(inner) as file:
+                    head = bytes_at(file, 0, evtx.HEADER_BLOCK)
+                if head[:8] == evtx.FILE_MAGIC or self.mode == "FAILFAST":
+                    yield path, 0, head
+            yield from self._chunks([(path, first, end)])
+
     def read(self, partition: ChunkRanges) -> Iterator[pa.RecordBatch]:
         names, found = self.schema.fieldNames(), self._chunks(partition.ranges)
         if self.rows == "facts":
             yield from (b.select(names) for b in L.batched(self._facts(partition.ranges), L.FACT_SCHEMA))
-        elif self.rows == "chunks":
-            for source, at, content in found:
+        elif self.rows in ("chunks", "parts"):
+            for source, at, content in found if self.rows == "chunks" else self._parts(partition.ranges):
                 yield pa.RecordBatch.from_pylist([{"source": source, "chunk_offset": at, "content": content}], schema=L.CHUNK_SCHEMA).select(names)
         else:
             leaves = self.rows == "leaves"
@@ -154,7 +164,7 @@ class FilteredLogReader(LogReader):
 
 class LogSource(DataSource):
     """spark.read.format("evtx"): the silver table of logs or folders of them, or with rows=leaves that and all their strings, with rows=chunks their chunk rows,
-    with rows=facts what verification needs of them.
+    with rows=parts these and their headers (at offset 0), with rows=facts what verification needs of them.
 
     A task reads chunksPerTask chunks of 64 KiB by their offsets, so one log is many tasks and has no greatest
     length; small logs share tasks. A schema with some of the columns makes only those. With
@@ -167,7 +177,7 @@ class LogSource(DataSource):
         return "evtx"
 
     def schema(self) -> T.StructType | str:
-        return {"chunks": L.CHUNKS, "facts": L.FACTS, "leaves": L.SILVER_LEAVES}.get(self.options.get("rows", "events"), SILVER)
+        return {"chunks": L.CHUNKS, "parts": L.CHUNKS, "facts": L.FACTS, "leaves": L.SILVER_LEAVES}.get(self.options.get("rows", "events"), SILVER)
 
     def reader(self, schema: T.StructType) -> LogReader:
         options = {k.lower(): v for k, v in self.options.items()}

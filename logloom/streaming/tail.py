@@ -20,6 +20,15 @@ def silver_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(SILVER).parquet(folder)
 
 
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream (in append mode) has given so far, after all that is there now was worked off. The folder holds its
+    rows and its checkpoint: the same stream over the same folder goes on where it ended."""
+    rows = f"{folder.rstrip('/')}/rows"
+    run = stream.writeStream.format("parquet").outputMode("append").option("path", rows).option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(rows)
+
+
 def log_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The silver rows of binary logs as they appear in a folder, a file whole and once."""
     found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.[eE][vV][tT][xX]").load(folder)

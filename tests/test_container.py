@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logloom.container import binxml, evtx
 from logloom.operators import analytics as A
 from logloom.operators import integrity as I
+from logloom.sinks import writers
 from logloom.sinks.writers import logs_of, repaired
 from logloom.sources import logs as L
 
@@ -259,7 +260,6 @@ def test_mbr():
 
 
 def test_parallel_writer_is_byte_equal(spark, monkeypatch):
-    from logloom.sinks import writers
 
     r = random.Random(7)
     for packed, counted in ((1 << 20, 1 << 12), (70_000, 5), (65_100, 100)):
@@ -284,3 +284,38 @@ def test_writer_frame(spark):
     rows = spark.createDataFrame([("a", i, TICKS, bytearray(b"\x0f\x01")) for i in range(10)] + [("b", 5, TICKS, bytearray(b"x"))], "source string, record_id long, filetime long, payload binary")
     out = L.records(L.chunks(logs_of(rows))).groupBy("source").agg(F.count("*").alias("n"))
     assert {r["source"]: r["n"] for r in out.collect()} == {"a": 10, "b": 1}
+
+
+def test_repair_by_parts(spark, tmp_path):
+    """Logs repaired by ranges are those repaired whole, byte for byte, and files written by parts are the parts."""
+    (tmp_path / "in").mkdir()
+    whole = log(5000)
+    assert len(whole) > 4096 + 2 * 65536
+    for name, changes, cut in (("sound", (), 0), ("head", (0x25, 0x7C), 0), ("chunks", (4096 + 0x78, 4096 + 65536 + 0x34), 0), ("size", (4096 + 0x32,), 0), ("magic", (4096,), 0), ("short", (4096 + 0x78,), 70)):
+        b = bytearray(whole)
+        for at in changes:
+            b[at] ^= 0xFF
+        (tmp_path / "in" / f"{name}.evtx").write_bytes(bytes(b[: len(b) - cut]))
+    (tmp_path / "in" / "none.evtx").write_bytes(b"no log at all" * 1000)
+    (tmp_path / "in" / "empty.evtx").write_bytes(b"")
+    parts = writers.repaired_parts(spark, f"file://{tmp_path}/in", chunksPerTask="1")
+    assert "MapInArrow" not in parts._jdf.queryExecution().toString() and "Exchange" not in parts._jdf.queryExecution().toString()
+    named = parts.withColumn("source", F.regexp_extract("source", "[^/]*$", 0))
+    done = {r["path"].rsplit("/", 1)[-1]: r["length"] for r in writers.write_parts(named, f"file://{tmp_path}/out", order="chunk_offset").collect()}
+    counts = {r["source"]: r["n"] for r in named.groupBy("source").agg(F.count_if("mended").alias("n")).collect()}
+    for name in ("sound", "head", "chunks", "size", "magic", "short"):
+        raw = (tmp_path / "in" / f"{name}.evtx").read_bytes()
+        right, _, chunks, header = evtx.repair(raw)
+        assert (tmp_path / "out" / f"{name}.evtx").read_bytes() == right and done[f"{name}.evtx"] == len(raw), name
+        assert counts[f"{name}.evtx"] == chunks + header, name
+    assert sorted(done) == sorted(f"{n}.evtx" for n in ("sound", "head", "chunks", "size", "magic", "short"))
+
+
+def test_parts_become_one_file(spark, tmp_path):
+    """Sources in no order, names that no file may have, empty parts, a source of one part, no rows."""
+    rows = [("a", p, bytes([p]) * p) for p in (3, 0, 2, 1)] + [("b/c", 0, b"x"), ("n", 5, None)]
+    parts = spark.createDataFrame(rows, "source string, part long, content binary").repartition(3)
+    found = {r["path"].rsplit("/", 1)[-1]: r["length"] for r in writers.write_parts(parts, f"file://{tmp_path}/out").collect()}
+    assert found["a"] == 6 and (tmp_path / "out" / "a").read_bytes() == b"\x01\x02\x02\x03\x03\x03"
+    assert sorted(found.values()) == [0, 1, 6] and len(list((tmp_path / "out").iterdir())) == 3
+    assert writers.write_parts(parts.limit(0), f"file://{tmp_path}/none").collect() == []

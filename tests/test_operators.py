@@ -10,7 +10,7 @@ from logloom.operators import detect as D
 from logloom.operators import extract as X
 from logloom.operators import integrity as I
 from logloom.operators import signatures as S
-from logloom.operators.manifest import named_fields, parse_manifest
+from logloom.operators.manifest import load_manifests, named_fields, parse_manifest
 from logloom.schema import DEFENDER, HYPERV, POWERSHELL, SILVER, SYSMON, TASK_SCHEDULER, WMI_ACTIVITY, conform
 from logloom.sinks import writers as W
 from logloom.sources.logs import from_json, with_fields
@@ -300,6 +300,30 @@ def test_manifests(spark):
     assert [r["data"] for r in named_fields(rows, parse_manifest(xml)).orderBy("event_id").collect()] == [{"First": "x", "Second": "y", "Param3": "z", "Own": "o"}, {"Param1": "x"}]
 
 
+def test_manifest_folders(spark, tmp_path):
+    """UTF-16, folders below, broken files, the first definition by path; renaming by a join that Spark chooses."""
+    made = lambda guid, *events: '<m><provider guid="%s"><events>%s</events><templates>%s</templates></provider></m>' % (
+        guid,
+        "".join(f'<event value="{i}" template="t{i}"/>' for i, _ in events),
+        "".join(f'<template tid="t{i}">' + "".join(f'<data name="{n}"/>' for n in names) + "</template>" for i, names in events),
+    )
+    (tmp_path / "below").mkdir()
+    (tmp_path / "a.man").write_bytes(made("{ABC}", (7, ["First"]), (8, ["Own", "Other"])).encode("utf-16"))
+    (tmp_path / "b.man").write_text(made("abc", (7, ["Later"]), (9, ["Nine"])))
+    (tmp_path / "below" / "c.man").write_text(made("{def}", (7, [])))
+    (tmp_path / "broken.man").write_text("<m><provider")
+    (tmp_path / "empty.man").write_text("")
+    (tmp_path / "other.txt").write_text(made("{xyz}", (1, ["No"])))
+    known = load_manifests(spark, f"file://{tmp_path}")
+    assert sorted((r["guid"], r["event_id"], r["fields"]) for r in known.collect()) == [("{abc}", 7, ["First"]), ("{abc}", 8, ["Own", "Other"]), ("{abc}", 9, ["Nine"]), ("{def}", 7, [])]
+    events = [(7, "{ABC}", {"Param1": "x"}), (8, "abc", {"Param2": "y", "Param3": "z"}), (7, None, {"Param1": "n"}), (7, "def", {"Param1": "d"}), (5, "abc", None)]
+    rows = spark.createDataFrame(events, "event_id int, provider_guid string, data map<string,string>")
+    got = named_fields(rows, known).select("event_id", "provider_guid", "data").collect()
+    want = [(7, "{ABC}", {"First": "x"}), (8, "abc", {"Other": "y", "Param3": "z"}), (7, None, {"Param1": "n"}), (7, "def", {"Param1": "d"}), (5, "abc", None)]
+    plain = lambda rows: sorted(str((i, g, sorted((d or {}).items()))) for i, g, d in rows)
+    assert plain(got) == plain(want)
+
+
 @pytest.mark.parametrize(
     ("event", "flat"),
     [

@@ -18,6 +18,8 @@ NAMES = [
     *("extract_rdp", "extract_defender", "extract_wmi", "extract_partitions", "extract_all_kinds", "search_computers", "search_channels", "field_values_system"),
     *("ioc_scenes", "cleared_logs", "logon_failure_names", "etw_tamper", "csv_guard", "mermaid_lines", "phantom_gap"),
     *("evtx_templates", "evtx_projection", "carve_stats", "evtx_sweep", "info_full", "evtx_damage", "evtx_validate", "disk_partitions"),
+    *("evtx_repair_parts", "source_files", "evtx_lenient", "triage_folder", "manifest_files", "logons_of_type", "detect_own_rules", "ndjson_read_back", "csv_read_back"),
+    *("stream_frequency", "stream_logons", "stream_logs"),
 ]
 
 
@@ -110,5 +112,12 @@ def test_triage_and_shell(spark, tmp_path, capsys):
     code, out = run("timeline", f"file://{tmp_path}/logs", "--limit", "2", "--format", "csv")
     assert code == 0 and len(out) == 3 and out[0].startswith("record_id,ts")
     assert run("search", f"file://{tmp_path}/logs", "--query", "USER3")[0] == 1
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "b.evtx").write_bytes(log[:0x7C] + bytes(4) + log[0x80 : 4096 + 0x78] + bytes(4) + log[4096 + 0x7C :])
+    code, out = run("repair", f"file://{tmp_path}/broken", "--repaired", f"file://{tmp_path}/mended")
+    assert code == 0 and [(r["chunks_checked"], r["chunks_repaired"], r["header_repaired"]) for r in map(json.loads, out)] == [(1, 1, True)]
+    assert [p.read_bytes() for p in (tmp_path / "mended").iterdir()] == [log]
+    code, out = run("repair", f"file://{tmp_path}/mended")
+    assert code == 0 and [(r["chunks_checked"], r["chunks_repaired"], r["header_repaired"]) for r in map(json.loads, out)] == [(1, 0, False)]
     assert run("timeline", f"file://{tmp_path}/none")[0] == 3
     assert main(["no-such-command", "x"], spark) == 2
