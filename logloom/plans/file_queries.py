@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.container import evtx
+from logloom.functions.columns import overlaid
 from logloom.operators import analytics as A
 from logloom.operators import detect as D
 from logloom.operators import integrity as I
@@ -16,7 +17,6 @@ from logloom.plans.adapter import silver
 from logloom.plans.log_queries import _in_files, _user, _with_bytes, made_logs
 from logloom.plans.registry import query
 from logloom.plans.triage import triage
-from logloom.schema import conform
 from logloom.session import STATE_STORE, work_folder
 from logloom.sinks import writers as W
 from logloom.sources import logs as L
@@ -79,6 +79,16 @@ def triage_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_name(), "how", "records", F.array_join(shown, ",").alias("findings"))
 
 
+@query("SELECT logon_id AS source, record_id, CASE record_id % 7 WHEN 0 THEN 'TOO_SHORT' WHEN 1 THEN 'INVALID_FRAGMENT_HEADER' WHEN 2 THEN 'UNKNOWN_OPCODE' WHEN 3 THEN 'STRING_TABLE_OVERFLOW' WHEN 4 THEN 'TRUNCATED' END AS problem, CASE record_id % 7 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 2 THEN 4 WHEN 3 THEN 4 WHEN 4 THEN 4 END AS problem_at FROM evt")
+def evtx_payload_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads of all records of binary logs, of which five in seven are cut off or have bytes laid over them."""
+    p, kind = F.col("payload"), F.pmod("record_id", F.lit(7))
+    over = lambda at, digits: overlaid(p, at, F.unhex(F.lit(digits)), len(digits) // 2)
+    done = F.when(kind == 0, F.substring(p, 1, 2)).when(kind == 1, over(0, "AA")).when(kind == 2, over(4, "FF")).when(kind == 3, over(10, "FFFFFFFF")).when(kind == 4, F.substring(p, 1, 12)).otherwise(p)
+    found = L.problems(L.records(L.chunks(made_logs(spark, sf_dir))).select("source", "record_id", done.alias("payload")))
+    return found.select("source", "record_id", "problem", "problem_at")
+
+
 # ---- manifests ----
 @query("SELECT record_id, CASE WHEN event_id % 2 = 0 THEN concat('A', user_id % 3, '-', event_id) ELSE 'Param1' END AS name, target_user AS value, ip AS other FROM evt")
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +184,17 @@ def stream_logons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_two_runs(spark, sf_dir, "logons", lambda evt: tail.logon_pairs(evt, keep=timedelta(days=3)))
 
 
+@query("""WITH RECURSIVE b AS (SELECT user_id % 5 AS host, event_id AS record_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'error'),
+w AS (SELECT b.host, b.i, b.t, count(*) AS n, max(c.i) AS last_i FROM b JOIN b c ON c.host = b.host AND c.i >= b.i AND c.t <= b.t + 43200000000 GROUP BY ALL),
+r AS (SELECT host, i, t, n, last_i FROM w WHERE i = 1 UNION ALL SELECT w.host, w.i, w.t, w.n, w.last_i FROM r JOIN w ON w.host = r.host AND w.i = r.i + CASE WHEN r.n >= 5 THEN r.n ELSE 1 END)
+SELECT concat('host', r.host) AS computer, r.t AS start_us, r.n, b.record_id FROM r JOIN b ON b.host = r.host AND b.i = r.last_i
+WHERE r.n >= 5 AND r.t + 43200000000 < (SELECT max(t) // 1000 * 1000 - 600000000 FROM b)""")
+def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five logoffs or more of a computer within half a day, once the watermark has passed the half day, over a restart."""
+    hits = lambda evt: evt.filter("event_id in (4634, 4647)").select("computer", "ts", "record_id", F.lit("").alias("shown"))
+    return _in_two_runs(spark, sf_dir, "bursts", lambda evt: tail.burst_alarms(hits(evt), 43_200_000_000, 5)).select("computer", "start_us", "n", "record_id")
+
+
 @query("SELECT concat(logon_id, '.evtx') AS source, record_id, ts, CAST(event_id AS INT) AS event_id, target_user FROM evt")
 def stream_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary logs as a stream over a folder that gets them in two goes."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,13 +31,24 @@ RECORDS = "source string, chunk_offset long, state string, record_offset int, si
 
 def files(spark: SparkSession, *paths: str) -> DataFrame:
     """source, length, content and sha256 of logs: files, or all *.evtx below folders, each once however many of
-    the paths lead to it. Only the listing is compared; contents aren't shuffled."""
+    the paths lead to it. Paths below other paths are left out; where patterns may meet, the listing is compared. Contents
+    aren't shuffled."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[eE][vV][tT][xX]")
-    once = sorted(set(reader.load(list(paths)).inputFiles()))
-    found = reader.load(once) if once else reader.load(list(paths)).limit(0)
+    own = _outermost(spark, *paths)
+    found = reader.load(own)
+    if len(own) > 1 and any(re.search(r"[*?\[{]", p) for p in own):
+        once = sorted(set(found.inputFiles()))
+        found = reader.load(once) if once else found.limit(0)
     return found.select(F.col("path").alias("source"), "length", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def _outermost(spark: SparkSession, *paths: str) -> list[str]:
+    """The paths with their file system, without those that others of them are, or are above of."""
+    jvm, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    full = sorted({p.getFileSystem(conf).makeQualified(p).toString() for p in map(jvm.Path, paths)})
+    return [p for p in full if not any(p.startswith(f"{other.rstrip('/')}/") for other in full if other != p)]
+
+
 def is_ewf(content: Column) -> Column:
     """Whether bytes begin like an EWF image."""
     return F.substring(content, 1, 8) == F.unhex(F.lit("455646090D0AFF00"))

@@ -19,7 +19,7 @@ NAMES = [
     *("ioc_scenes", "cleared_logs", "logon_failure_names", "etw_tamper", "csv_guard", "mermaid_lines", "phantom_gap"),
     *("evtx_templates", "evtx_projection", "carve_stats", "evtx_sweep", "info_full", "evtx_damage", "evtx_validate", "disk_partitions"),
     *("evtx_repair_parts", "source_files", "evtx_lenient", "triage_folder", "manifest_files", "logons_of_type", "detect_own_rules", "ndjson_read_back", "csv_read_back"),
-    *("stream_frequency", "stream_logons", "stream_logs"),
+    *("stream_frequency", "stream_logons", "stream_bursts", "stream_logs", "evtx_payload_problems"),
 ]
 
 
@@ -73,6 +73,9 @@ def test_files_once_each(spark, tmp_path):
         (tmp_path / name).write_bytes(b"ElfFile\x00" + name.encode())
     found = L.files(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/a/b")
     assert sorted((r["source"].rsplit("/", 1)[-1], r["length"], len(r["sha256"])) for r in found.collect()) == [("TWO.EVTX", 20, 64), ("one.evtx", 18, 64)]
+    for paths in (["a"], ["a/one.evtx", "a/b"], ["a/*", "a"], ["a/*.evtx", "a/on*", "a/b/"], ["a/b/../b", "a/b", "a/one.evtx"]):
+        names = sorted(r["source"].rsplit("/", 1)[-1] for r in L.files(spark, *(f"{tmp_path}/{p}" for p in paths)).select("source").collect())
+        assert names == ["TWO.EVTX", "one.evtx"], paths
 
 
 def test_triage_and_shell(spark, tmp_path, capsys):
