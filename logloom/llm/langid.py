@@ -192,7 +192,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def in_known_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The rows of docs, all columns kept, whose text has a letter and a likeliest language with at least
     least_score. Fitted as in identify(); rows without doc_id are judged by their text like all others; other
-    columns, whatever their names, go through."""
+    columns, whatever their names, go through. Where no row has a language to learn from, none is kept; no rows in,
+    no rows out."""
     model = fit(docs, ~held_out() & F.col("doc_id").isNotNull())
     columns, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
 

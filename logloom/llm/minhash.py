@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document is kept by near_duplicates(); all columns stay, whatever their names."""
+    """The rows of docs whose document is kept by near_duplicates(); all columns stay, whatever their names. Rows
+    without doc_id stay, and rows that repeat one go or stay together; no rows in, no rows out."""
     (name,) = unused(docs, "gone")
     gone = near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
