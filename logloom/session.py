@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,6 +26,19 @@ def session(name: str = "logloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+#: Bytes after which a batch of rows for a Python task ends; Spark's own bound is a number of rows, 10,000 contents of 64 KiB or more.
+BATCH = 1 << 24
+
+
+def mapped(rows: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """rows.mapInArrow() in batches that end at BATCH bytes too, so that a worker's memory follows the largest row and not
+    the number of rows of its task. The bound is a setting of the session; one that is set stays."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH))
+    return rows.mapInArrow(f, schema)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for files made on the way, in spark.checkpoint.dir; where that is unset, in a temporary folder in
     local mode (tests), and an error on a cluster, whose executors have no folder in common then. It goes with the driver's JVM."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.container import evtx
 from logloom.functions.columns import guarded_cell, number, number_bytes, overlaid
+from logloom.session import mapped
 
 
 def flattened_for_csv(df: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def _chunk_starts(placed: DataFrame) -> DataFrame:
     near = placed.filter(F.col("start") - F.col("i") * PACKED <= _ROOM).filter("i > 0").select("source", (F.col("i") - 1).alias("i"), "start", "end", F.lit(False).alias("own"))
     every = placed.select("source", "i", "start", "end", F.lit(True).alias("own")).unionByName(near)
     strides = every.groupBy("source", "i").agg(F.array_sort(F.collect_list(F.struct("start", "end", "own"))).alias("r"))
-    schema = pa.schema([("source", pa.string()), ("i", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("places", "nexts", "starts", "exits")), ("same", pa.bool_())])
+    schema = pa.schema([("source", pa.string()), ("i", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("places", "nexts", "starts", "exits"))])
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +134,7 @@ def _chunk_starts(placed: DataFrame) -> DataFrame:
                 base, ends = x["i"] * PACKED, [r["end"] for r in x["r"]]
                 hits = [(r["start"] - base, ends[bisect_right(ends, r["start"] + _ROOM) - 1] - base) for r in x["r"] if r["own"]]
                 starts, exits = jumps(hits, PACKED, _ROOM + 1)
-                row = {"source": x["source"], "i": x["i"], "places": [p for p, _ in hits], "nexts": [n for _, n in hits], "starts": starts, "exits": exits, "same": False}
+                row = {"source": x["source"], "i": x["i"], "places": [p for p, _ in hits], "nexts": [n for _, n in hits], "starts": starts, "exits": exits}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +143,9 @@ def _chunk_starts(placed: DataFrame) -> DataFrame:
                 found = [x["i"] * PACKED + p for p in chain(list(zip(x["places"], x["nexts"], strict=True)), x["entry"])]
                 yield pa.RecordBatch.from_arrays([pa.array([x["source"]]), pa.array([x["i"]], pa.int64()), pa.array([found], pa.list_(pa.int64()))], ["source", "i", "chunk_starts"])
 
-    known = strides.mapInArrow(functions, "source string, i long, places array<long>, nexts array<long>, starts array<long>, exits array<long>, same boolean")
-    entries = entered(known.select("source", "i", "starts", "exits", "same"), PACKED, "source")
-    found = known.select("source", "i", "places", "nexts").join(entries, ["source", "i"]).mapInArrow(chains, "source string, i long, chunk_starts array<long>")
+    known = mapped(strides, functions, "source string, i long, places array<long>, nexts array<long>, starts array<long>, exits array<long>")
+    entries = entered(known.select("source", "i", "starts", "exits"), PACKED, _ROOM + 1, "source")
+    found = mapped(known.select("source", "i", "places", "nexts").join(entries, ["source", "i"]), chains, "source string, i long, chunk_starts array<long>")
     before = Window.partitionBy("source").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("chunks_before", F.coalesce(F.sum(F.size("chunk_starts")).over(before), F.lit(0)))
 
@@ -215,7 +216,7 @@ def write_files(rows: DataFrame, folder: str, ending: str = "") -> DataFrame:
                 system.move(part, at)
                 yield pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"], "length": [data.size]})
 
-    return rows.select(_file_name(ending), "content").mapInArrow(run, "path string, length long")
+    return mapped(rows.select(_file_name(ending), "content"), run, "path string, length long")
 
 
 def _file_name(ending: str) -> Column:
@@ -262,7 +263,7 @@ def write_parts(parts: DataFrame, folder: str, ending: str = "", order: str = "p
 
     named = parts.select(_file_name(ending), order, "content")
     dealt = named.repartition("name").sortWithinPartitions("name", order).select("name", "content")
-    return dealt.mapInArrow(run, "path string, length long")
+    return mapped(dealt, run, "path string, length long")
 
 
 def repaired(logs: DataFrame) -> DataFrame:
@@ -275,7 +276,7 @@ def repaired(logs: DataFrame) -> DataFrame:
                 out, looked, mended, header = evtx.repair(content or b"")
                 yield pa.RecordBatch.from_pydict({"source": [source], "content": pa.array([out], pa.binary()), "chunks_checked": [looked], "chunks_repaired": [mended], "header_repaired": [header]})
 
-    return logs.select("source", "content").mapInArrow(run, "source string, content binary, chunks_checked long, chunks_repaired long, header_repaired boolean")
+    return mapped(logs.select("source", "content"), run, "source string, content binary, chunks_checked long, chunks_repaired long, header_repaired boolean")
 
 
 def mended_parts(parts: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from logloom.container import binxml, evtx
 from logloom.functions.columns import number
 from logloom.schema import SILVER, conform
+from logloom.session import mapped
 
 #: What a task hands on at once; keeps decoded rows of many chunks from piling up.
 ROWS = 2000
@@ -82,7 +83,7 @@ def chunks(logs: DataFrame, carve: bool = False) -> DataFrame:
                 for x in at:
                     yield pa.RecordBatch.from_pylist([{"source": source, "chunk_offset": base + x, "content": b[x : x + evtx.CHUNK]}], schema=CHUNK_SCHEMA)
 
-    return logs.select("source", base.alias("base"), "content").mapInArrow(run, CHUNKS)
+    return mapped(logs.select("source", base.alias("base"), "content"), run, CHUNKS)
 
 
 def records(found: DataFrame, free: bool = False) -> DataFrame:
@@ -96,7 +97,7 @@ def records(found: DataFrame, free: bool = False) -> DataFrame:
                 for r in got:
                     yield {"source": x["source"], "chunk_offset": x["chunk_offset"], "state": state, "record_offset": r.offset, "size": r.size, "record_id": signed(r.record_id), "filetime": signed(r.filetime), "how": r.how, "nested_at": evtx.nested_record(x["content"], r), "payload": r.payload}
 
-    return found.mapInArrow(lambda b: batched(rows(b), schema), RECORDS)
+    return mapped(found, lambda b: batched(rows(b), schema), RECORDS)
 
 
 #: What verification needs of a log, by kind of row: 0 a file, 1 a chunk, 2 a record.
@@ -142,7 +143,7 @@ def facts(logs: DataFrame, inside: bool = True) -> DataFrame:
                 for x in range(evtx.HEADER_BLOCK, len(b) if inside else 0, evtx.CHUNK):
                     yield from chunk_facts(source, x, b[x : x + evtx.CHUNK])
 
-    return logs.select("source", "content").mapInArrow(lambda b: batched(rows(b), FACT_SCHEMA), FACTS)
+    return mapped(logs.select("source", "content"), lambda b: batched(rows(b), FACT_SCHEMA), FACTS)
 
 
 def facts_of_chunks(found: DataFrame) -> DataFrame:
@@ -153,7 +154,7 @@ def facts_of_chunks(found: DataFrame) -> DataFrame:
             for x in batch.to_pylist():
                 yield from chunk_facts(x["source"], x["chunk_offset"], x["content"] or b"")
 
-    return found.select("source", "chunk_offset", "content").mapInArrow(lambda b: batched(rows(b), FACT_SCHEMA), FACTS)
+    return mapped(found.select("source", "chunk_offset", "content"), lambda b: batched(rows(b), FACT_SCHEMA), FACTS)
 
 
 def carve_stats(found: DataFrame) -> DataFrame:
@@ -168,7 +169,7 @@ def carve_stats(found: DataFrame) -> DataFrame:
                 if header is not None:
                     yield {"source": x["source"], "state": state, "n": len(got), "carved": sum(r.how == "carved" for r in got)}
 
-    each = found.mapInArrow(lambda b: batched(rows(b), schema), "source string, state string, n long, carved long")
+    each = mapped(found, lambda b: batched(rows(b), schema), "source string, state string, n long, carved long")
     return each.groupBy("source").agg(
         F.count(F.lit(1)).alias("chunks_found"),
         F.count_if(F.col("state") == "valid").alias("chunks_valid"),
@@ -204,7 +205,7 @@ def problems(rows: DataFrame, column: str = "payload") -> DataFrame:
             arrays = [pa.array([f and f[0] for f in found], pa.string()), pa.array([f and f[1] for f in found], pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, "problem", "problem_at"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("problem", T.StringType()), T.StructField("problem_at", T.IntegerType())]))
+    return mapped(rows, run, T.StructType([*rows.schema.fields, T.StructField("problem", T.StringType()), T.StructField("problem_at", T.IntegerType())]))
 
 
 def json_records(found: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def json_records(found: DataFrame) -> DataFrame:
                     text = json.dumps({event.name: binxml.projected(event)}, ensure_ascii=False, separators=(",", ":"))
                     yield {"source": x["source"], "chunk_offset": x["chunk_offset"], "record_id": signed(r.record_id), "json": text}
 
-    return found.mapInArrow(lambda b: batched(rows(b), schema), "source string, chunk_offset long, record_id long, json string")
+    return mapped(found, lambda b: batched(rows(b), schema), "source string, chunk_offset long, record_id long, json string")
 
 
 def memory_records(images: DataFrame) -> DataFrame:
@@ -237,7 +238,7 @@ def memory_records(images: DataFrame) -> DataFrame:
                 for r in evtx.scan_memory(x["content"] or b""):
                     yield {"source": x["source"], "record_offset": r.offset, "size": r.size, "record_id": signed(r.record_id), "filetime": signed(r.filetime), "how": r.how}
 
-    return images.select("source", "content").mapInArrow(lambda b: batched(rows(b), MEMORY_SCHEMA), MEMORY_RECORDS)
+    return mapped(images.select("source", "content"), lambda b: batched(rows(b), MEMORY_SCHEMA), MEMORY_RECORDS)
 
 
 def _time(ticks: int) -> datetime | None:
@@ -280,7 +281,7 @@ def decoded(found: DataFrame, mode: str = "PERMISSIVE", leaves: bool = False) ->
             for x in batch.to_pylist():
                 yield from events_of(x["source"], x["chunk_offset"], x["content"], mode, leaves)
 
-    return found.mapInArrow(lambda b: batched(rows(b), LEAVES_SCHEMA if leaves else SILVER_SCHEMA), SILVER_LEAVES if leaves else SILVER)
+    return mapped(found, lambda b: batched(rows(b), LEAVES_SCHEMA if leaves else SILVER_SCHEMA), SILVER_LEAVES if leaves else SILVER)
 
 
 def with_leaves(rows: DataFrame, column: str = "json") -> DataFrame:
@@ -297,7 +298,7 @@ def with_leaves(rows: DataFrame, column: str = "json") -> DataFrame:
             found = pa.array([strings(x) for x in b.column(column).to_pylist()], _LEAVES.type)
             yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, "leaves"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, LEAVES]))
+    return mapped(rows, run, T.StructType([*rows.schema.fields, LEAVES]))
 
 
 def read_logs(spark: SparkSession, *paths: str, mode: str = "PERMISSIVE", leaves: bool = False) -> DataFrame:

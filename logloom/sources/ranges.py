@@ -15,13 +15,13 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from logloom.container import evtx
 from logloom.schema import SILVER
+from logloom.session import mapped
 from logloom.sources import logs as L
 
 #: Bytes that a task of the data source reads, and that it holds at once.
@@ -89,7 +89,8 @@ class LogReader(DataSourceReader):
                 held.append((path, at, at + step))
                 at, room = at + step, room - step
                 if room == 0:
-                    out, held, room = [*out, ChunkRanges(held)], [], self.per_task
+                    out.append(ChunkRanges(held))
+                    held, room = [], self.per_task
         return [*out, ChunkRanges(held)] if held else out
 
     def _wanted(self, chunk: bytes) -> bool:
@@ -247,6 +248,35 @@ def chain(hits: list[tuple[int, int]], entry: int) -> Iterator[int]:
             entry = following
 
 
+def composed(functions: list[tuple[list[int], list[int]]], stride: int, reach: int) -> tuple[list[int], list[int]]:
+    """What jumps() would give of neighbouring strides taken as one, by their own (starts, exits)."""
+    ends: list[list[int]] = [[] for _ in functions]
+
+    def end(i: int, entry: int) -> int:
+        i, entry = i + entry // stride, entry % stride
+        return entry + (i - len(functions)) * stride if i >= len(functions) else ends[i][bisect_left(functions[i][0], entry)]
+
+    for i in range(len(functions) - 1, -1, -1):
+        ends[i] = [end(i + 1, x) for x in (*functions[i][1], 0)]
+    starts, exits = [], []
+    for i in range(min(len(functions), reach // stride + 1)):
+        for start, x in zip((*functions[i][0], stride - 1), ends[i], strict=True):
+            if exits and exits[-1] == x:
+                starts[-1] = i * stride + start
+            else:
+                starts.append(i * stride + start)
+                exits.append(x)
+    return starts, exits
+
+
+def walked(functions: list[tuple[list[int], list[int]]], stride: int, entry: int) -> Iterator[int]:
+    """The entries into neighbouring strides, by the entry into the first."""
+    for starts, exits in functions:
+        yield entry
+        k = bisect_left(starts, entry)
+        entry = entry - stride if entry >= stride else exits[k] if k < len(exits) else 0
+
+
 def _strides(spark: SparkSession, paths: list[str], stride: int) -> DataFrame:
     """source, size, i of every stride: no bytes yet."""
     images = spark.createDataFrame(listed(paths), "source string, size long").filter("size > 0")
@@ -254,61 +284,101 @@ def _strides(spark: SparkSession, paths: list[str], stride: int) -> DataFrame:
     return each.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "source", "i")
 
 
-def _read_stride(source: str, size: int, i: int, stride: int, scan: Scan) -> tuple[pa.NativeFile, bytes, list[tuple[int, int]]]:
-    system, inner = opened(source)
-    file = system.open_input_file(inner)
+def _opened_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.NativeFile]]:
+    """The rows with their source's file, which stays open as long as the source is the same."""
+    source, file = None, None
+    try:
+        for batch in batches:
+            for x in batch.to_pylist():
+                if x["source"] != source:
+                    if file is not None:
+                        file.close()
+                    system, inner = opened(x["source"])
+                    source, file = x["source"], system.open_input_file(inner)
+                yield x, file
+    finally:
+        if file is not None:
+            file.close()
+
+
+def _read_stride(file: pa.NativeFile, size: int, i: int, stride: int, scan: Scan) -> tuple[bytes, list[tuple[int, int]]]:
     b = bytes_at(file, i * stride, stride + scan.look)
-    return file, b, [h for h in scan.hits(b, i * stride, size) if h[0] < stride]
+    return b, [h for h in scan.hits(b, i * stride, size) if h[0] < stride]
 
 
 def entries(spark: SparkSession, paths: list[str], stride: int, scan: Scan) -> DataFrame:
-    """source, size, i, entry: where the one sequential search through an image enters each stride.
-
-    Each stride gives its exit for every entry (jumps); strides that have the same for all start a new run,
-    and within a run the functions are applied one after the other. So what is gone through in order is a
-    few numbers for each stride, and only where hits reach from one stride into the next.
-    """
+    """source, size, i, entry: where the one sequential search through an image enters each stride: each stride
+    gives its exit for every entry (jumps), and entered() puts these together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                file, _, hits = _read_stride(x["source"], x["size"], x["i"], stride, scan)
-                file.close()
-                starts, exits = jumps(hits, stride, scan.reach)
-                yield pa.RecordBatch.from_pylist([x | {"starts": starts, "exits": exits, "same": stride >= scan.reach and not any(exits)}], schema=schema)
+        def rows() -> Iterator[dict]:
+            for x, file in _opened_rows(batches):
+                starts, exits = jumps(_read_stride(file, x["size"], x["i"], stride, scan)[1], stride, scan.reach)
+                yield x | {"starts": starts, "exits": exits}
+
+        yield from L.batched(rows(), schema)
 
-    schema = pa.schema([("source", pa.string()), ("size", pa.int64()), ("i", pa.int64()), ("starts", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64())), ("same", pa.bool_())])
-    functions = _strides(spark, paths, stride).mapInArrow(run, "source string, size long, i long, starts array<long>, exits array<long>, same boolean")
-    return entered(functions, stride, "source", "size")
+    schema = pa.schema([("source", pa.string()), ("size", pa.int64()), ("i", pa.int64()), ("starts", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64()))])
+    functions = mapped(_strides(spark, paths, stride), run, "source string, size long, i long, starts array<long>, exits array<long>")
+    return entered(functions, stride, scan.reach, "source", "size")
 
 
-def entered(functions: DataFrame, stride: int, *by: str) -> DataFrame:
+#: Strides whose functions are put together by one task.
+BLOCK = 1 << 10
+
+
+def entered(functions: DataFrame, stride: int, reach: int, *by: str) -> DataFrame:
     """by, i, entry: where a search that begins at 0 enters each stride i (all from 0 on), by the strides' functions
-    (starts, exits of jumps(); same: whether it leads to 0 from every entry)."""
-    order = W.partitionBy(*by).orderBy("i")
-    functions = functions.withColumn("run", F.sum(F.coalesce(F.lag("same").over(order), F.lit(True)).cast("long")).over(order))
-    runs = functions.groupBy(*by, "run").agg(F.array_sort(F.collect_list(F.struct("i", "starts", "exits"))).alias("f"))
-    following = f"if(a.entry >= {stride}L, a.entry - {stride}L, coalesce(get(x.exits, size(filter(x.starts, s -> s < a.entry))), 0L))"
-    walk = f"aggregate(f, named_struct('entry', 0L, 'found', cast(array() AS array<struct<i: bigint, entry: bigint>>)), (a, x) -> named_struct('entry', {following}, 'found', array_append(a.found, named_struct('i', x.i, 'entry', a.entry))), a -> a.found)"
-    return runs.select(*by, F.inline(F.expr(walk)))
+    (starts, exits of jumps()).
 
+    The functions of BLOCK strides make one, block by block in parallel; those of the blocks are gone through in order, which
+    gives where each block is entered, and then, again in parallel, each block's own. So what one task holds is a
+    block's functions, or a function for each block of a source."""
+    key = [(f.name, f.dataType.simpleString()) for f in functions.select(*by).schema.fields]
+    kinds, types = ", ".join(f"{name} {kind}" for name, kind in key), [(name, {"string": pa.string(), "bigint": pa.int64()}[kind]) for name, kind in key]
 
-def _swept(spark: SparkSession, paths: list[str], stride: int, scan: Scan, row: Callable[[str, int, bytes], dict], need: int, schema: pa.Schema, kinds: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
             for batch in batches:
                 for x in batch.to_pylist():
-                    file, b, hits = _read_stride(x["source"], x["size"], x["i"], stride, scan)
-                    for at in chain(hits, x["entry"]):
-                        whole = b[at : at + need] if at + need <= len(b) else bytes_at(file, x["i"] * stride + at, need)
-                        yield row(x["source"], x["i"] * stride + at, whole)
-                    file.close()
+                    starts, exits = composed([(y["starts"], y["exits"]) for y in x["f"]], stride, reach)
+                    yield {n: x[n] for n in by} | {"block": x["block"], "starts": starts, "exits": exits}
+
+        yield from L.batched(rows(), pa.schema([*types, ("block", pa.int64()), ("starts", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64()))]), 64)
+
+    def gone_through(name: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows() -> Iterator[dict]:
+                for batch in batches:
+                    for x in batch.to_pylist():
+                        found = walked([(y["starts"], y["exits"]) for y in x["f"]], width, x.get("entry") or 0)
+                        yield from ({n: x[n] for n in by} | {name: y[name], "entry": e} for y, e in zip(x["f"], found, strict=True))
+
+            yield from L.batched(rows(), pa.schema([*types, (name, pa.int64()), ("entry", pa.int64())]))
+
+        return run
+
+    gathered = lambda name: F.array_sort(F.collect_list(F.struct(name, "starts", "exits"))).alias("f")
+    blocks = functions.groupBy(*by, F.expr(f"i div {BLOCK}").alias("block")).agg(gathered("i"))
+    tops = mapped(blocks, put_together, f"{kinds}, block long, starts array<long>, exits array<long>").groupBy(*by).agg(gathered("block"))
+    firsts = mapped(tops, gone_through("block", BLOCK * stride), f"{kinds}, block long, entry long")
+    return mapped(blocks.join(firsts, [*by, "block"]), gone_through("i", stride), f"{kinds}, i long, entry long")
+
+
+def _swept(spark: SparkSession, paths: list[str], stride: int, scan: Scan, row: Callable[[str, int, bytes], dict], need: int, schema: pa.Schema, kinds: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for x, file in _opened_rows(batches):
+                b, hits = _read_stride(file, x["size"], x["i"], stride, scan)
+                for at in chain(hits, x["entry"]):
+                    whole = b[at : at + need] if at + need <= len(b) else bytes_at(file, x["i"] * stride + at, need)
+                    yield row(x["source"], x["i"] * stride + at, whole)
 
         yield from L.batched(rows(), schema, 16 if need > 1 << 10 else L.ROWS)
 
     found = entries(spark, paths, stride, scan)
     found = found.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "source", "i")
-    return found.mapInArrow(run, kinds)
+    return mapped(found, run, kinds)
 
 
 def sweep_chunks(spark: SparkSession, *paths: str, stride: int = 1 << 26) -> DataFrame:
@@ -364,19 +434,16 @@ def carve(spark: SparkSession, *paths: str, carvers: tuple[Carver, ...] = (EVTX_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            for batch in batches:
-                for x in batch.to_pylist():
-                    system, inner = opened(x["source"])
-                    with system.open_input_file(inner) as file:
-                        b, at = bytes_at(file, x["i"] * stride, stride + look), -1
-                        while (hit := signs.search(b, at + 1)) and hit.start() < stride:
-                            at = hit.start()
-                            for c in carvers:
-                                if b.startswith(c.signatures, at):
-                                    window = b[at : at + c.window] if at + c.window <= len(b) else bytes_at(file, x["i"] * stride + at, c.window)
-                                    for kind, confidence in c.carve(window):
-                                        yield {"source": x["source"], "format": c.format, "offset": x["i"] * stride + at, "kind": kind, "confidence": confidence, "method": method}
+            for x, file in _opened_rows(batches):
+                b, at = bytes_at(file, x["i"] * stride, stride + look), -1
+                while (hit := signs.search(b, at + 1)) and hit.start() < stride:
+                    at = hit.start()
+                    for c in carvers:
+                        if b.startswith(c.signatures, at):
+                            window = b[at : at + c.window] if at + c.window <= len(b) else bytes_at(file, x["i"] * stride + at, c.window)
+                            for kind, confidence in c.carve(window):
+                                yield {"source": x["source"], "format": c.format, "offset": x["i"] * stride + at, "kind": kind, "confidence": confidence, "method": method}
 
         yield from L.batched(rows(), schema)
 
-    return _strides(spark, list(paths), stride).mapInArrow(run, "source string, format string, offset long, kind string, confidence double, method string")
+    return mapped(_strides(spark, list(paths), stride), run, "source string, format string, offset long, kind string, confidence double, method string")
