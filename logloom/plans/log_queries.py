@@ -11,15 +11,15 @@ from logloom.operators import integrity as I
 from logloom.plans.adapter import events, silver
 from logloom.plans.registry import query
 from logloom.session import work_folder
-from logloom.sinks.writers import log_parts, logs_of, repaired, write_files
+from logloom.sinks.writers import log_parts, logs_of, repaired, write_files, write_parts
 from logloom.sources import logs as L
 from logloom.sources import ranges as R
 
 
-def _event(event_id: int, computer: str, user: str, ip: str) -> binxml.Element:
+def _event(event_id: str, computer: str, user: str, ip: str) -> binxml.Element:
     text = lambda name, x: binxml.Element(name, {}, [x])
     field = lambda name, x: binxml.Element("Data", {"Name": name}, [x])
-    system = binxml.Element("System", {}, [binxml.Element("Provider", {"Name": "Made-Up"}), text("EventID", str(event_id)), text("Channel", "Security"), text("Computer", computer)])
+    system = binxml.Element("System", {}, [binxml.Element("Provider", {"Name": "Made-Up"}), text("EventID", event_id), text("Channel", "Security"), text("Computer", computer)])
     return binxml.Element("Event", {}, [system, binxml.Element("EventData", {}, [field("TargetUserName", user), field("IpAddress", ip)])])
 
 
@@ -29,20 +29,22 @@ def made_logs(spark: SparkSession, sf_dir: str, templates: bool = False) -> Data
     A fragment holds offsets of names and templates, so each record is encoded for the place it gets."""
     import pandas as pd
 
+    mold = binxml.Mold(_event)
+
     def build(group: pd.DataFrame) -> pd.DataFrame:
         packed, chunk, used, number, known = [], [], 0, 1, {}
 
-        def encoded(r: object) -> bytes:
-            e, at = _event(int(r.event_id), r.computer, r.user, r.ip), evtx.RECORDS_AT + used + 24
-            payload = binxml.encode_template(e, at, known) if templates else binxml.encode(e, at)
-            return evtx.record_bytes(int(r.record_id), int(r.ts_ticks), payload)
+        def encoded(record_id: int, ticks: int, *values: str) -> bytes:
+            at = evtx.RECORDS_AT + used + 24
+            return evtx.record_bytes(record_id, ticks, binxml.encode_template(_event(*values), at, known) if templates else mold.encode(values, at))
 
-        for r in group.sort_values("record_id").itertuples():
-            raw = encoded(r)
+        group = group.sort_values("record_id")
+        for r in zip(group["record_id"].tolist(), group["ts_ticks"].tolist(), group["event_id"].astype(str), group["computer"], group["user"], group["ip"], strict=True):
+            raw = encoded(*r)
             if evtx.RECORDS_AT + used + len(raw) > evtx.CHUNK:
                 packed.append(evtx.chunk_bytes(chunk, number))
                 number, chunk, used, known = number + len(chunk), [], 0, {}
-                raw = encoded(r)
+                raw = encoded(*r)
             chunk.append(raw)
             used += len(raw)
         packed.append(evtx.chunk_bytes(chunk, number))
@@ -181,15 +183,17 @@ def image_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, zeros = F.octet_length("content"), F.unhex(F.lit("00" * 16))
     spare = F.substring("content", size - 15, F.lit(16)) == zeros
     logs = made_logs(spark, sf_dir).withColumn("content", F.when(spare, F.concat(F.substring("content", F.lit(1), size - 16), F.lit(evtx.CHUNK_MAGIC), F.unhex(F.lit("00" * 8)))).otherwise(F.col("content")))
-    recs = L.records(R.sweep_chunks(spark, _in_files(_images(logs), "images"), stride=1 << 14))
+    recs = L.records(R.sweep_chunks(spark, _images(silver(spark, sf_dir), logs, "images"), stride=1 << 14))
     return recs.groupBy(F.regexp_extract("source", "[^/]*$", 0).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
 
 
-def _images(logs: DataFrame) -> DataFrame:
-    """source, content: the logs of every fifth user one behind the other, in five images."""
-    user = F.regexp_extract("source", "x([0-9]+)", 1).cast("int") % 5
-    parts = logs.groupBy(F.concat(F.lit("image"), user).alias("source")).agg(F.array_sort(F.collect_list(F.struct("source", "content"))).alias("x"))
-    return parts.select("source", F.aggregate(F.transform("x", lambda x: x["content"]), F.unhex(F.lit("00" * 64)), lambda a, b: F.concat(a, b)).alias("content"))
+def _images(evt: DataFrame, logs: DataFrame, name: str) -> str:
+    """The folder in which the logs of every fifth user of evt are written as five images, one log behind the other."""
+    image = lambda source: F.concat(F.lit("image"), _user(source) % 5).alias("source")
+    before = evt.select(F.col("data")["TargetLogonId"].alias("log")).select(image("log")).distinct().select("source", F.lit("").alias("log"), F.unhex(F.lit("00" * 64)).alias("content"))
+    folder = work_folder(evt.sparkSession, name)
+    write_parts(logs.select(image("source"), F.col("source").alias("log"), "content").unionByName(before), folder, order="log").write.format("noop").mode("overwrite").save()
+    return folder
 
 
 @query("SELECT concat('image', user_id % 5) AS source, count(*) AS n, CAST(sum(record_id) AS BIGINT) AS ids FROM evt GROUP BY user_id % 5")
@@ -199,7 +203,7 @@ def memory_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.concat(F.unhex(F.lit("2A2A000020000000" + "FF" * 16 + "0F010100")), F.unhex(F.lit("20000000")))
     filler = F.substring(F.unhex(F.repeat(F.lit("AB"), 700)), 1, (F.col("record_id") % 700).cast("int"))
     rows = silver(spark, sf_dir).select(F.col("data")["TargetLogonId"].alias("source"), "record_id", F.col("ts_ticks").alias("filetime"), F.concat(F.unhex(F.lit("0F010100")), filler, inner).alias("payload"))
-    found = R.sweep_records(spark, _in_files(_images(logs_of(rows)), "memory"), stride=1000)
+    found = R.sweep_records(spark, _images(silver(spark, sf_dir), logs_of(rows), "memory"), stride=1000)
     return found.groupBy(F.regexp_extract("source", "[^/]*$", 0).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum("record_id").alias("ids"))
 
 
@@ -210,7 +214,7 @@ def image_carvers(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = made_logs(spark, sf_dir).withColumn("content", F.substring("content", 1, evtx.HEADER_BLOCK + evtx.CHUNK))
     logs = logs.withColumn("content", F.when(third, F.concat(F.substring("content", 1, 4096 + 0x60), F.unhex(F.lit("5A")), F.substring("content", F.lit(4096 + 0x62), F.lit(1 << 30)))).otherwise(F.col("content")))
     heads = R.Carver("evtx-header", (evtx.FILE_MAGIC,), evtx.HEADER_BLOCK, lambda b: [("header", 0.9)] if evtx.FileHeader.parse(b) else [])
-    found = R.carve(spark, _in_files(_images(logs), "carved"), carvers=(R.EVTX_CHUNK, heads), method="memory", stride=1 << 15)
+    found = R.carve(spark, _images(silver(spark, sf_dir), logs, "carved"), carvers=(R.EVTX_CHUNK, heads), method="memory", stride=1 << 15)
     return found.filter("format = 'evtx-chunk'").groupBy(F.regexp_extract("source", "[^/]*$", 0).alias("source"), "format", "method", "confidence").agg(F.count(F.lit(1)).alias("logs"))
 
 

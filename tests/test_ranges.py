@@ -1,12 +1,15 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from logloom.container import binxml, evtx
 from logloom.operators.integrity import findings
-from logloom.session import work_folder
+from logloom.plans.log_queries import _images
+from logloom.session import BATCH, mapped, work_folder
 from logloom.sinks.writers import write_files
 from logloom.sources import logs as L
 from logloom.sources import ranges as R
@@ -96,6 +99,45 @@ def test_jumps_compose_to_the_sequential_search(raw, stride):
     assert got == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 900), st.integers(1, 90)), max_size=60), st.integers(5, 120), st.integers(1, 6))
+def test_functions_of_blocks_lead_to_the_same_entries(raw, stride, block):
+    hits = sorted({p: (p, p + n) for p, n in raw}.values())
+    here = [[(p - i * stride, f - i * stride) for p, f in hits if i * stride <= p < (i + 1) * stride] for i in range(1000 // stride + 1)]
+    functions = [R.jumps(h, stride, 90) for h in here]
+    blocks = [functions[i : i + block] for i in range(0, len(functions), block)]
+    firsts = R.walked([R.composed(f, stride, 90) for f in blocks], block * stride, 0)
+    entries = [e for f, first in zip(blocks, firsts, strict=True) for e in R.walked(f, stride, first)]
+    assert [i * stride + p for i, h in enumerate(here) for p in R.chain(h, entries[i])] == list(R.chain(hits, 0))
+
+
+def test_entries_over_several_blocks(spark):
+    # Every stride sends the search three bytes further into the next one, up to ten.
+    n = 2 * R.BLOCK + 5
+    functions = spark.range(n).selectExpr("'s' AS source", "id AS i", "array(0L, 3L, 6L, 9L) AS starts", "array(3L, 6L, 9L, 10L) AS exits").repartition(7)
+    got = {r["i"]: r["entry"] for r in R.entered(functions, 10, 10, "source").collect()}
+    want, entry = {}, 0
+    for i in range(n):
+        want[i] = entry
+        entry = entry - 10 if entry >= 10 else {0: 3, 3: 6, 6: 9, 9: 10}[entry]
+    assert got == want
+
+
+def test_batches_end_at_bytes(spark):
+    rows = spark.range(600).repartition(1).selectExpr("id", "unhex(repeat('ab', 65536)) AS content")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    found = [r["n"] for r in mapped(rows, sizes, "n long").collect()]
+    assert len(found) > 2 and max(found) < BATCH + (1 << 18)
+
+
+def test_images_are_written_by_logs(spark, tmp_path):
+    logs = spark.createDataFrame([(f"0x{i}", bytearray([i] * (i + 1))) for i in range(12)], "source string, content binary")
+    folder = _images(logs.select(F.create_map(F.lit("TargetLogonId"), "source").alias("data")), logs, "images")
+    got = {p.rsplit("/", 1)[1]: R.opened(p)[0].open_input_file(R.opened(p)[1]).read() for p, _ in R.listed([folder])}
+    # In the order of the names, as text: 0x1, 0x11, 0x6.
+    assert got["image1"] == bytes(64) + bytes([1] * 2) + bytes([11] * 12) + bytes([6] * 7) and sorted(got) == [f"image{i}" for i in range(5)]
+
+
 def test_chunk_sweep_is_sequential(spark, tmp_path):
     r, images = random.Random(3), {}
     for k in range(3):
