@@ -106,19 +106,20 @@ def logon_source(logon_type: Column, workstation: Column, ip: Column) -> Column:
 def decoded_command(text: Column) -> Column:
     """The command in the first decodable -EncodedCommand (or -enc, -ec, -en) argument; null without one.
 
-    Base64 of UTF-16LE; an odd last byte is dropped. The bytes become code units one by one, so what is
-    malformed doesn't stop the query.
+    Base64 of UTF-16LE; an odd last byte is dropped, and what is malformed doesn't stop the query.
     """
     tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    flags = F.transform(tokens, lambda t, i: F.when((i > 0) & F.lower(F.get(tokens, i - 1)).isin("-encodedcommand", "-enc", "-ec", "-en"), t))
+    # Lists of one item hold what would else be made anew for each token.
+    flags = F.get(F.transform(F.array(tokens), lambda ts: F.transform(ts, lambda t, i: F.when((i > 0) & F.lower(F.get(ts, i - 1)).isin("-encodedcommand", "-enc", "-ec", "-en"), t))), 0)
     raw = F.filter(F.transform(F.filter(flags, lambda t: t.isNotNull()), lambda t: F.try_to_binary(t, F.lit("base64"))), lambda b: b.isNotNull())
-    first = F.get(raw, 0)
-    units = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length(first) / 2).cast("int") - 1))
-    digits = F.hex(first)
-    chars = F.transform(units, lambda i: F.char(F.conv(F.concat(F.substring(digits, i * 4 + 3, F.lit(2)), F.substring(digits, i * 4 + 1, F.lit(2))), 16, 10).cast("long")))
-    wide = F.transform(units, lambda i: F.decode(F.unhex(F.substring(digits, i * 4 + 1, F.lit(4))), "UTF-16LE"))
-    plain = F.when(F.forall(units, lambda i: F.substring(digits, i * 4 + 3, F.lit(2)) == "00"), F.array_join(chars, "")).otherwise(F.array_join(wide, ""))
-    return F.when(first.isNotNull(), F.when(F.length(first) < 2, F.lit("")).otherwise(plain))
+    return F.get(F.transform(F.slice(raw, 1, 1), _wide_text), 0)
+
+
+def _wide_text(b: Column) -> Column:
+    """Bytes as UTF-16LE; half a pair is a replacement character."""
+    units = F.regexp_replace(F.hex(b), "(....)", "$1 ")
+    lone = "..D[89AB] (?!..D[C-F] )|(?<!..D[89AB] )..D[C-F] "
+    return F.decode(F.unhex(F.regexp_replace(F.regexp_replace(units, lone, "FDFF "), " (..$)?|^..$", "")), "UTF-16LE")
 
 
 def normal_guid(guid: Column) -> Column:

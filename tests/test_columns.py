@@ -49,6 +49,18 @@ def test_decoded_command(spark, text, plain):
     assert one(spark, C.decoded_command(F.col("p")), p=text) == plain
 
 
+@pytest.mark.parametrize("raw", [b"", b"a", b"a\x00b", b"\x3d\xd8\x00\xdea\x00", b"\x00\xdea\x00\x3d\xd8", b"\x3d\xd8\x3d\xd8\x00\xde\x00\xde1", b"\xff\xfea\x00\x00\x00\x0a\x00b\x00", bytes(range(256))])
+def test_decoded_bytes(spark, raw):
+    text = f"powershell -enc {base64.b64encode(raw).decode()}"
+    assert one(spark, C.decoded_command(F.col("p")), p=text) == (raw[: len(raw) // 2 * 2].decode("utf-16-le", "replace") if raw else None)
+
+
+def test_long_command(spark):
+    # The text is looked at once, not once for each of its characters.
+    plain = "Get-Item Grüße; " * 20_000
+    assert one(spark, C.decoded_command(F.col("p")), p=f"{plain} powershell -enc {base64.b64encode(plain.encode('utf-16-le')).decode()}") == plain
+
+
 def test_names(spark):
     assert one(spark, C.logon_type_name(F.col("p")), p=10) == "RemoteInteractive"
     assert one(spark, C.logon_type_name(F.col("p")), p=6) == "Unknown"
