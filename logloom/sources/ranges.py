@@ -26,6 +26,8 @@ from logloom.sources import logs as L
 
 #: Bytes that a task of the data source reads, and that it holds at once.
 TASK, HELD = 1 << 24, 1 << 20
+#: Tasks of one read. Where chunksPerTask would make more, tasks read more chunks, still HELD bytes at a time.
+MOST_TASKS = 1 << 12
 _SCHEMES = re.compile(r"(file|s3|gs|gcs|abfss?|hdfs|viewfs)$")
 
 
@@ -80,17 +82,19 @@ class LogReader(DataSourceReader):
         self.least_id, self.most_id = None, None
 
     def partitions(self) -> list[ChunkRanges]:
-        """Ranges of per_task chunks; small logs share a task."""
-        out, held, room = [], [], self.per_task
-        for path, length in listed(self.paths, r".*\.[eE][vV][tT][xX]"):
-            n, at = max(1, -(-(length - evtx.HEADER_BLOCK) // evtx.CHUNK)), 0
+        """Ranges of per_task chunks, or more where there are very many; small logs share a task."""
+        logs = [(path, max(1, -(-(length - evtx.HEADER_BLOCK) // evtx.CHUNK))) for path, length in listed(self.paths, r".*\.[eE][vV][tT][xX]")]
+        per_task = max(self.per_task, -(-sum(n for _, n in logs) // MOST_TASKS))
+        out, held, room = [], [], per_task
+        for path, n in logs:
+            at = 0
             while at < n:
                 step = min(room, n - at)
                 held.append((path, at, at + step))
                 at, room = at + step, room - step
                 if room == 0:
                     out.append(ChunkRanges(held))
-                    held, room = [], self.per_task
+                    held, room = [], per_task
         return [*out, ChunkRanges(held)] if held else out
 
     def _wanted(self, chunk: bytes) -> bool:
@@ -167,8 +171,8 @@ class LogSource(DataSource):
     """spark.read.format("evtx"): the silver table of logs or folders of them, or with rows=leaves that and all their strings, with rows=chunks their chunk rows,
     with rows=parts these and their headers (at offset 0), with rows=facts what verification needs of them.
 
-    A task reads chunksPerTask chunks of 64 KiB by their offsets, so one log is many tasks and has no greatest
-    length; small logs share tasks. A schema with some of the columns makes only those. With
+    A task reads chunksPerTask chunks of 64 KiB by their offsets (more, where that would be over MOST_TASKS tasks), so one log
+    is many tasks and has no greatest length; small logs share tasks. A schema with some of the columns makes only those. With
     pushdown=true (and spark.sql.python.filterPushdown.enabled), bounds of record_id skip chunks by their headers. mode is
     PERMISSIVE (what is no log, or can't be decoded, is left out) or FAILFAST (it stops the query).
     """

@@ -83,6 +83,14 @@ def test_small_logs_share_tasks(tmp_path):
     assert [len(p.ranges) for p in R.LogReader(L.SILVER, {"path": folder, "chunkspertask": "4"}).partitions()] == [4, 4, 2]
 
 
+def test_tasks_are_bounded(tmp_path, monkeypatch):
+    folder = stored(tmp_path, **{f"x{i}__evtx": log(1, 120) for i in range(20)})  # three chunks each
+    monkeypatch.setattr(R, "MOST_TASKS", 7)
+    parts = R.LogReader(L.SILVER, {"path": folder, "chunkspertask": "4"}).partitions()
+    assert len(parts) == 7 and sum(end - first for p in parts for _, first, end in p.ranges) == 60
+    assert len({(path, i) for p in parts for path, first, end in p.ranges for i in range(first, end)}) == 60
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 400), st.integers(1, 90)), max_size=40), st.integers(5, 120))
 def test_jumps_compose_to_the_sequential_search(raw, stride):
