@@ -10,7 +10,7 @@ from logloom.operators import analytics as A
 from logloom.operators import integrity as I
 from logloom.plans.adapter import events, silver
 from logloom.plans.registry import query
-from logloom.session import work_folder
+from logloom.session import work_folder, written
 from logloom.sinks.writers import log_parts, logs_of, repaired, write_files, write_parts
 from logloom.sources import logs as L
 from logloom.sources import ranges as R
@@ -23,8 +23,8 @@ def _event(event_id: str, computer: str, user: str, ip: str) -> binxml.Element:
     return binxml.Element("Event", {}, [system, binxml.Element("EventData", {}, [field("TargetUserName", user), field("IpAddress", ip)])])
 
 
-def made_logs(spark: SparkSession, sf_dir: str, templates: bool = False) -> DataFrame:
-    """source, content: binary logs of the events of every user, made by our own writer.
+def made_logs(spark: SparkSession, sf_dir: str, templates: bool = False, of: Column | None = None) -> DataFrame:
+    """source, content: binary logs of the events of every user (or of sources for which `of` is true), made by our own writer.
 
     A fragment holds offsets of names and templates, so each record is encoded for the place it gets."""
     import pandas as pd
@@ -36,7 +36,7 @@ def made_logs(spark: SparkSession, sf_dir: str, templates: bool = False) -> Data
 
         def encoded(record_id: int, ticks: int, *values: str) -> bytes:
             at = evtx.RECORDS_AT + used + 24
-            return evtx.record_bytes(record_id, ticks, binxml.encode_template(_event(*values), at, known) if templates else mold.encode(values, at))
+            return evtx.record_bytes(record_id, ticks, mold.encode_template(values, at, known) if templates else mold.encode(values, at))
 
         group = group.sort_values("record_id")
         for r in zip(group["record_id"].tolist(), group["ts_ticks"].tolist(), group["event_id"].astype(str), group["computer"], group["user"], group["ip"], strict=True):
@@ -52,6 +52,7 @@ def made_logs(spark: SparkSession, sf_dir: str, templates: bool = False) -> Data
 
     d = F.col("data")
     rows = silver(spark, sf_dir).select(d["TargetLogonId"].alias("source"), "record_id", "ts_ticks", "event_id", "computer", d["TargetUserName"].alias("user"), d["IpAddress"].alias("ip"))
+    rows = rows if of is None else rows.filter(of)
     # A fixed number: few bytes, but much work, which adaptive execution would put into one task.
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source")
     return rows.groupBy("source").applyInPandas(build, "source string, content binary")

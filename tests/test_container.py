@@ -319,3 +319,14 @@ def test_parts_become_one_file(spark, tmp_path):
     assert found["a"] == 6 and (tmp_path / "out" / "a").read_bytes() == b"\x01\x02\x02\x03\x03\x03"
     assert sorted(found.values()) == [0, 1, 6] and len(list((tmp_path / "out").iterdir())) == 3
     assert writers.write_parts(parts.limit(0), f"file://{tmp_path}/none").collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text(max_size=9), st.text(max_size=9), st.integers(0, 60000)), max_size=8))
+def test_molds_encode_alike(rows):
+    e = binxml.Element
+    make = lambda a, b: e("Event", {}, [e("System", {"x": "fixed", "y": a}, ["same"]), e("Data", {}, [b])])
+    mold, own, plain = binxml.Mold(make), {}, {}
+    for a, b, at in rows:
+        assert mold.encode((a, b), at) == binxml.encode(make(a, b), at)
+        assert mold.encode_template((a, b), at, own) == binxml.encode_template(make(a, b), at, plain)
