@@ -224,10 +224,11 @@ FROM (SELECT logon_id AS source, event_id, count(*) AS n, min(ts) AS t0, max(ts)
 JOIN (SELECT logon_id AS source, count(DISTINCT ip) FILTER (ip <> '-') AS n_iocs FROM evt GROUP BY ALL) USING (source) GROUP BY source""")
 def info_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that is known of each log, after a bit of its header was flipped. Hashes of made logs have no SQL."""
-    logs = _with_bytes(made_logs(spark, sf_dir), 36, "FF")
+    # Logs and events are looked at more than once, and made once.
+    logs = written(_with_bytes(made_logs(spark, sf_dir), 36, "FF"), "logs")
     found = L.chunks(logs)
     findings = I.verify(logs, mode="carve")
-    shown = A.info(logs, L.carve_stats(found), L.decoded(found), findings)
+    shown = A.info(logs, L.carve_stats(found), written(L.decoded(found), "events"), findings)
     top = F.array_join(F.transform("top_ids", lambda x: F.concat(x["event_id"], F.lit(":"), x["n"])), ",")
     return shown.select("source", "n_events", "first_ts", "last_ts", top.alias("top_ids"), "n_iocs", "records_recovered", "n_findings")
 
