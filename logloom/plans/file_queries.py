@@ -198,9 +198,9 @@ def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT concat(logon_id, '.evtx') AS source, record_id, ts, CAST(event_id AS INT) AS event_id, target_user FROM evt")
 def stream_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary logs as a stream over a folder that gets them in two goes."""
-    logs, folder, out = made_logs(spark, sf_dir), work_folder(spark, "tail"), None
+    folder, out = work_folder(spark, "tail"), None
     for half in (_user() % 2 == 0, _user() % 2 == 1):
-        W.write_files(logs.filter(half), f"{folder}/logs", ".evtx").write.format("noop").mode("overwrite").save()
+        W.write_files(made_logs(spark, sf_dir, of=half), f"{folder}/logs", ".evtx").write.format("noop").mode("overwrite").save()
         rows = tail.log_stream(spark, f"{folder}/logs").select("source", "record_id", "ts", "event_id", F.col("data")["TargetUserName"].alias("target_user"))
         out = tail.drained(rows, f"{folder}/out")
     return out.select(_name(), "record_id", "ts", "event_id", "target_user")
