@@ -70,34 +70,46 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def chunks(logs: DataFrame, carve: bool = False) -> DataFrame:
+def chunks(logs: DataFrame, carve: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each chunk: at its place in a log, or with carve wherever its magic stands in a blob. A column
-    offset_base of logs, where a slice begins in a larger image, is added to the offsets."""
+    offset_base of logs, where a slice begins in a larger image, is added to the offsets. keep: columns of logs that chunks in
+    their places get too. Those are cut out in the JVM: contents go to Python once, in what reads them."""
     base = F.coalesce(F.col("offset_base").cast("long"), F.lit(0)) if "offset_base" in logs.columns else F.lit(0).cast("long")
+    if not carve:
+        size = F.octet_length("content")
+        places = F.when(size > evtx.HEADER_BLOCK, F.sequence(F.lit(evtx.HEADER_BLOCK), size - 1, F.lit(evtx.CHUNK)))
+        each = logs.select("source", base.alias("_base"), "content", *keep, F.explode(places).alias("_at"))
+        return each.select("source", (F.col("_base") + F.col("_at")).alias("chunk_offset"), F.substring("content", F.col("_at") + 1, F.lit(evtx.CHUNK)).alias("content"), *keep)
+    if keep:
+        raise ValueError("carved chunks keep no other columns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source, base, content in zip(batch.column("source").to_pylist(), batch.column("base").to_pylist(), batch.column("content"), strict=True):
                 b = content.as_py() or b""
-                at = evtx.find_chunks(b) if carve else range(evtx.HEADER_BLOCK, len(b), evtx.CHUNK)
-                for x in at:
+                for x in evtx.find_chunks(b):
                     yield pa.RecordBatch.from_pylist([{"source": source, "chunk_offset": base + x, "content": b[x : x + evtx.CHUNK]}], schema=CHUNK_SCHEMA)
 
     return mapped(logs.select("source", base.alias("base"), "content"), run, CHUNKS)
 
 
-def records(found: DataFrame, free: bool = False) -> DataFrame:
-    """The records of chunk rows, live or carved; nested_at: where another record begins inside one."""
+def records(found: DataFrame, free: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The records of chunk rows, live or carved; nested_at: where another record begins inside one. keep: columns of
+    the chunk rows that their records get too."""
     schema = pa.schema([("source", pa.string()), ("chunk_offset", pa.int64()), ("state", pa.string()), ("record_offset", pa.int32()), ("size", pa.int32()), ("record_id", pa.int64()), ("filetime", pa.int64()), ("how", pa.string()), ("nested_at", pa.int32()), ("payload", pa.binary())])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+        for x in batch.to_pylist():
+            _, state, got = evtx.records_of(x["content"], free)
+            kept = {k: x[k] for k in keep}
+            for r in got:
+                yield {"source": x["source"], "chunk_offset": x["chunk_offset"], "state": state, "record_offset": r.offset, "size": r.size, "record_id": signed(r.record_id), "filetime": signed(r.filetime), "how": r.how, "nested_at": evtx.nested_record(x["content"], r), "payload": r.payload, **kept}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.to_pylist():
-                _, state, got = evtx.records_of(x["content"], free)
-                for r in got:
-                    yield {"source": x["source"], "chunk_offset": x["chunk_offset"], "state": state, "record_offset": r.offset, "size": r.size, "record_id": signed(r.record_id), "filetime": signed(r.filetime), "how": r.how, "nested_at": evtx.nested_record(x["content"], r), "payload": r.payload}
+            yield from batched(rows(batch), pa.schema([*schema, *(batch.schema.field(k) for k in keep)]))
 
-    return mapped(found, lambda b: batched(rows(b), schema), RECORDS)
+    return mapped(found.select("source", "chunk_offset", "content", *keep), run, T.StructType([*T.StructType.fromDDL(RECORDS), *(found.schema[k] for k in keep)]))
 
 
 #: What verification needs of a log, by kind of row: 0 a file, 1 a chunk, 2 a record.

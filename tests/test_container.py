@@ -330,3 +330,22 @@ def test_molds_encode_alike(rows):
     for a, b, at in rows:
         assert mold.encode((a, b), at) == binxml.encode(make(a, b), at)
         assert mold.encode_template((a, b), at, own) == binxml.encode_template(make(a, b), at, plain)
+
+
+def steps(df, name):
+    """How many steps of a kind the plan of df has."""
+    return df._jdf.queryExecution().sparkPlan().toString().count(name)
+
+
+def test_chunks_in_their_places_need_no_python(spark):
+    whole = log(2100) + bytes(100)
+    logs = frame(spark, whole, b"", whole[:4096], whole[:4097]).union(spark.createDataFrame([("none", None)], "source string, content binary"))
+    logs = logs.withColumn("offset_base", F.lit(512)).withColumn("kept", F.col("source"))
+    found = L.chunks(logs, keep=("kept",))
+    assert steps(found, "MapInArrow") == 0 and steps(L.decoded(found), "MapInArrow") == 1
+    got = sorted((r["source"], r["chunk_offset"], bytes(r["content"]), r["kept"]) for r in found.collect())
+    assert got == [("log0", 512 + x, whole[x : x + 65536], "log0") for x in (4096, 69632, 135168)] + [("log3", 4608, b"E", "log3")]
+    recs = L.records(found, keep=("kept",)).groupBy("source", "kept").agg(F.count("*").alias("n"), F.min("record_id").alias("first")).collect()
+    assert [tuple(r) for r in recs] == [("log0", "log0", 2100, 1)]
+    with pytest.raises(ValueError):
+        L.chunks(logs, carve=True, keep=("kept",))
