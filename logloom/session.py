@@ -27,7 +27,7 @@ def session(name: str = "logloom", master: str | None = None, **conf: str) -> Sp
 
 
 #: Bytes after which a batch of rows for a Python task ends; Spark's own bound is a number of rows, 10,000 contents of 64 KiB or more.
-BATCH = 1 << 24
+BATCH = 1 << 22
 
 
 def mapped(rows: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

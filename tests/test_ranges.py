@@ -138,6 +138,12 @@ def test_batches_end_at_bytes(spark):
     assert len(found) > 2 and max(found) < BATCH + (1 << 18)
 
 
+def test_batches_of_chunks_are_some_megabytes(spark):
+    rows = spark.range(200).repartition(1).selectExpr("unhex(repeat('ab', 65536)) AS content")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    assert max(r["n"] for r in mapped(rows, sizes, "n long").collect()) < 5_000_000
+
+
 def test_images_are_written_by_logs(spark, tmp_path):
     logs = spark.createDataFrame([(f"0x{i}", bytearray([i] * (i + 1))) for i in range(12)], "source string, content binary")
     folder = _images(logs.select(F.create_map(F.lit("TargetLogonId"), "source").alias("data")), logs, "images")
