@@ -343,6 +343,6 @@ def disk_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     mbr = F.unhex(F.concat(F.lit("00" * 446), F.lit("00" * 16), entry, F.lit("00" * 32), F.lit("55AA")))
     gap = F.unhex(F.repeat(F.lit("00"), (user % 7 + 1) * 512))
     images = made_logs(spark, sf_dir).withColumn("content", F.concat(mbr, gap, F.col("content")))
-    parts = L.ntfs_partitions(images)
-    n = L.records(L.chunks(parts)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return parts.select("source", "first_sector").join(n, "source")
+    # Records carry the sector along, so images are made and read once.
+    own = ("first_sector",)
+    return L.records(L.chunks(L.ntfs_partitions(images), keep=own), keep=own).groupBy("source", "first_sector").agg(F.count(F.lit(1)).alias("n"))

@@ -124,3 +124,8 @@ def test_triage_and_shell(spark, tmp_path, capsys):
     assert code == 0 and [(r["chunks_checked"], r["chunks_repaired"], r["header_repaired"]) for r in map(json.loads, out)] == [(1, 0, False)]
     assert run("timeline", f"file://{tmp_path}/none")[0] == 3
     assert main(["no-such-command", "x"], spark) == 2
+
+
+def test_images_with_partitions_are_made_once(spark, tables):
+    plan = __spark_entry__.queries()["disk_partitions"](spark, f"file://{tables}")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("MapInArrow") == 1
