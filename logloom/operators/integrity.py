@@ -150,7 +150,7 @@ def findings(facts: DataFrame, mode: str = "full", least: str | None = None) ->
     timed = (F.col("kind") == 2) & (F.col("filetime") != 0)
     # From 1970, so that nanoseconds fit.
     ns = F.when(timed, F.try_multiply(F.try_subtract("filetime", F.lit(EPOCH_TICKS)), F.lit(100).cast("long")))
-    rows = facts.withColumn("ts_ns", ns)
+    rows = facts.filter("kind < 3").drop("found", "records").withColumn("ts_ns", ns)
     log = Window.partitionBy("source")
     place = Window.partitionBy("source", "kind").orderBy("chunk_offset", "record_offset")
     before = place.rowsBetween(Window.unboundedPreceding, -1)

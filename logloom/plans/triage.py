@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators.integrity import verify
+from logloom.operators.integrity import findings
+from logloom.session import written
 from logloom.sources import logs as L
 from logloom.sources import ranges
 
@@ -39,10 +40,11 @@ def evidence(spark: SparkSession, path: str) -> DataFrame:
 def triage(spark: SparkSession, path: str) -> DataFrame:
     """source, how, size, sha256, chunks, records and integrity codes (array) of every log at a path."""
     logs = evidence(spark, path)
-    chunks = L.chunks(logs.filter("how = 'filesystem'")).unionByName(logs.filter("how = 'carved'").select("source", F.lit(0).cast("long").alias("chunk_offset"), "content"))
-    heads = logs.filter("how = 'filesystem'")
-    codes = verify(heads.select("source", "content"), chunks).groupBy("source").agg(F.array_sort(F.collect_set("code")).alias("findings"))
-    stats = L.carve_stats(chunks).select("source", F.col("chunks_found").alias("chunks"), F.col("records_recovered").alias("records"))
+    carved = kind_of(spark, path) == "blob"
+    # Facts are needed twice, and small beside the contents, which are read for them once, and once for hashes.
+    facts = written(L.facts_of_chunks(logs.withColumn("chunk_offset", F.lit(0).cast("long"))) if carved else L.facts(logs), "facts")
+    codes = findings(facts).groupBy("source").agg(F.array_sort(F.collect_set("code")).alias("findings"))
+    stats = facts.filter("found").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum("records").alias("records"))
     shown = logs.select("source", "how", F.length("content").alias("size"), F.sha2("content", 256).alias("sha256"))
     out = shown.join(stats, "source", "left").join(codes, "source", "left").fillna(0, ["chunks", "records"])
     return out.withColumn("findings", F.coalesce("findings", F.array().cast("array<string>")))

@@ -112,10 +112,11 @@ def records(found: DataFrame, free: bool = False, keep: tuple[str, ...] = ()) ->
     return mapped(found.select("source", "chunk_offset", "content", *keep), run, T.StructType([*T.StructType.fromDDL(RECORDS), *(found.schema[k] for k in keep)]))
 
 
-#: What verification needs of a log, by kind of row: 0 a file, 1 a chunk, 2 a record.
+#: What verification needs of a log, by kind of row: 0 a file, 1 a chunk, 2 a record; found and records (whether a chunk has a
+#: header, and how many it holds) are for counts. 3 is a chunk cut off within its header, which is counted, not verified.
 FACTS = (
     "source string, kind int, length long, used_end long, next_id long, chunk_count long, flags long, checksum long, computed long, chunk_offset long, size long, whole boolean, first_number long, last_number long, last_id long, "
-    "free_at long, records_sum long, records_computed long, guid string, head_sum long, head_computed long, record_offset int, record_id long, filetime long, nested_at int"
+    "free_at long, records_sum long, records_computed long, guid string, head_sum long, head_computed long, record_offset int, record_id long, filetime long, nested_at int, found boolean, records long"
 )
 _ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
 FACT_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in FACTS.split(", "))])
@@ -132,15 +133,18 @@ def file_fact(source: str, head: bytes, length: int, used_end: int) -> dict:
 
 def chunk_facts(source: str, chunk_offset: int, content: bytes) -> Iterator[dict]:
     """The rows of what stands at a chunk's place, and of its records."""
-    at = {"source": source, "chunk_offset": chunk_offset}
+    at, (header, _, got) = {"source": source, "chunk_offset": chunk_offset}, evtx.records_of(content)
+    counts = {"found": header is not None, "records": len(got)}
     if len(content) >= 128:
         first_number, last_number = struct.unpack_from("<QQ", content, 8)
         free_at, records_sum = struct.unpack_from("<II", content, 0x30)
-        row = at | {"kind": 1, "size": len(content), "whole": len(content) == evtx.CHUNK and content[:8] == evtx.CHUNK_MAGIC, "last_id": signed(struct.unpack_from("<Q", content, 0x20)[0])}
+        row = at | counts | {"kind": 1, "size": len(content), "whole": len(content) == evtx.CHUNK and content[:8] == evtx.CHUNK_MAGIC, "last_id": signed(struct.unpack_from("<Q", content, 0x20)[0])}
         row |= {"first_number": signed(first_number), "last_number": signed(last_number), "free_at": free_at, "records_sum": records_sum, "guid": content[96:112].hex().upper()}
         row |= {"head_sum": struct.unpack_from("<I", content, 0x78)[0], "head_computed": zlib.crc32(content[:0x78])}
         yield row | ({"records_computed": zlib.crc32(content[evtx.RECORDS_AT : free_at])} if evtx.RECORDS_AT <= free_at <= evtx.CHUNK else {})
-    for r in evtx.records_of(content)[2]:
+    elif header is not None:
+        yield at | counts | {"kind": 3}
+    for r in got:
         yield at | {"kind": 2, "record_offset": r.offset, "record_id": signed(r.record_id), "filetime": signed(r.filetime), "nested_at": evtx.nested_record(content, r)}
 
 

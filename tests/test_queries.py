@@ -129,3 +129,25 @@ def test_triage_and_shell(spark, tmp_path, capsys):
 def test_images_with_partitions_are_made_once(spark, tables):
     plan = __spark_entry__.queries()["disk_partitions"](spark, f"file://{tables}")._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_triage_reads_contents_twice_and_counts_cut_off_chunks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from logloom.container import evtx
+    from logloom.plans.triage import triage
+
+    log = evtx.write_log((i, 132700000000000000 + i, b"\x0f\x01\x01\x00") for i in range(1, 2500))
+    bad = bytearray(log)
+    bad[4096 + 0x60] ^= 1
+    contents = {"whole": log, "bad": bytes(bad), "cut": log[: 4096 + 65536 + 125], "cut2": log[: 4096 + 65536 + 700], "far": log[: 4096 + 0x2C] + b"\xff" * 8 + log[4096 + 0x34 :], "head": log[:4096], "short": b"ElfFile"}
+    for name, content in contents.items():
+        (tmp_path / f"{name}.evtx").write_bytes(content)
+    found = triage(spark, f"file://{tmp_path}")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("binaryFile") == 1
+    logs = L.files(spark, f"file://{tmp_path}")
+    counts = L.carve_stats(L.chunks(logs)).select("source", F.col("chunks_found").alias("chunks"), F.col("records_recovered").alias("records"))
+    want = {r["source"]: (r["chunks"], r["records"]) for r in counts.collect()}
+    got = {r["source"]: (r["chunks"], r["records"]) for r in found.collect()}
+    assert len(got) == len(contents) and {k: v for k, v in got.items() if v != (0, 0)} == want
