@@ -205,7 +205,9 @@ def memory_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     filler = F.substring(F.unhex(F.repeat(F.lit("AB"), 700)), 1, (F.col("record_id") % 700).cast("int"))
     rows = silver(spark, sf_dir).select(F.col("data")["TargetLogonId"].alias("source"), "record_id", F.col("ts_ticks").alias("filetime"), F.concat(F.unhex(F.lit("0F010100")), filler, inner).alias("payload"))
     found = R.sweep_records(spark, _images(silver(spark, sf_dir), logs_of(rows), "memory"), stride=1000)
-    return found.groupBy(F.regexp_extract("source", "[^/]*$", 0).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum("record_id").alias("ids"))
+    # Names are cut out of paths once an image, not once a record.
+    each = found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("record_id").alias("ids"))
+    return each.select(F.regexp_extract("source", "[^/]*$", 0).alias("source"), "n", "ids")
 
 
 @query("SELECT concat('image', user_id % 5) AS source, 'evtx-chunk' AS format, 'memory' AS method, CAST(0.95 AS DOUBLE) AS confidence, count(DISTINCT user_id) AS logs FROM evt WHERE user_id % 3 <> 0 GROUP BY user_id % 5")

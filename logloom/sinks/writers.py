@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -181,15 +183,24 @@ def logs_of(records: DataFrame) -> DataFrame:
     What is one row is built in one task; sources are independent of each other. Logs of any size are the parts
     of log_parts().
     """
-    import pandas as pd
+    return built(records.select("source", "record_id", "filetime", "payload"), lambda rows: evtx.write_log(r[1:] for r in rows))
+
+
+def built(rows: DataFrame, build: Callable[[Iterator[tuple]], bytes]) -> DataFrame:
+    """source, content: what build makes of the rows of each source (source and record_id are columns of rows), which it gets
+    in the order of record ids. Spark sorts; a task holds a batch of rows, and what is built of one source."""
+    import pyarrow as pa
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("record_id")
-        log = evtx.write_log((int(i), int(t), bytes(p)) for i, t, p in zip(group["record_id"], group["filetime"], group["payload"], strict=True))
-        return pd.DataFrame({"source": [group["source"].iloc[0]], "content": [log]})
+    at = rows.columns.index("source")
 
-    dealt = records.select("source", "record_id", "filetime", "payload").repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source")
-    return dealt.groupBy("source").applyInPandas(build, "source string, content binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for source, own in groupby(found, itemgetter(at)):
+            yield pa.RecordBatch.from_pydict({"source": pa.array([source], pa.string()), "content": pa.array([build(own)], pa.binary())})
+
+    # A fixed number: few bytes, but much work, which adaptive execution would put into one task.
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source")
+    return mapped(dealt.sortWithinPartitions("source", "record_id"), run, "source string, content binary")
 
 
 def write_files(rows: DataFrame, folder: str, ending: str = "") -> DataFrame:

@@ -217,9 +217,9 @@ def _chunk_hits(b: bytes, base: int, size: int) -> Iterator[tuple[int, int]]:
 
 
 def _record_hits(b: bytes, base: int, size: int) -> Iterator[tuple[int, int]]:
-    at = -1
+    at, length = -1, struct.Struct("<I").unpack_from
     while (at := b.find(evtx.RECORD_MAGIC, at + 1)) >= 0:
-        n = struct.unpack_from("<I", b, at + 4)[0] if at + 8 <= len(b) else 0
+        n = length(b, at + 4)[0] if at + 8 <= len(b) else 0
         if evtx.LEAST_RECORD <= n <= evtx.MOST_RECORD and base + at + n <= size:
             yield at, at + n
 
@@ -281,6 +281,17 @@ def walked(functions: list[tuple[list[int], list[int]]], stride: int, entry: int
         entry = entry - stride if entry >= stride else exits[k] if k < len(exits) else 0
 
 
+#: Bytes of neighbouring strides that are searched as one.
+SEARCHED = 1 << 20
+
+
+def searched(stride: int) -> int:
+    """The bytes of an image that are read and searched at once: as many whole strides as SEARCHED holds, or one. What a search
+    finds doesn't depend on it (jumps() of neighbouring strides taken as one are composed() of theirs), but a row, a read and
+    a function for each stride of a kilobyte would be most of the work."""
+    return stride * max(1, SEARCHED // stride)
+
+
 def _strides(spark: SparkSession, paths: list[str], stride: int) -> DataFrame:
     """source, size, i of every stride: no bytes yet."""
     images = spark.createDataFrame(listed(paths), "source string, size long").filter("size > 0")
@@ -366,10 +377,13 @@ def entered(functions: DataFrame, stride: int, reach: int, *by: str) -> DataFram
     blocks = functions.groupBy(*by, F.expr(f"i div {BLOCK}").alias("block")).agg(gathered("i"))
     tops = mapped(blocks, put_together, f"{kinds}, block long, starts array<long>, exits array<long>").groupBy(*by).agg(gathered("block"))
     firsts = mapped(tops, gone_through("block", BLOCK * stride), f"{kinds}, block long, entry long")
-    return mapped(blocks.join(firsts, [*by, "block"]), gone_through("i", stride), f"{kinds}, i long, entry long")
+    # Each block has an entry. An inner join would put filters for keys that are null under one use of blocks only, and Spark would make both.
+    return mapped(blocks.join(firsts, [*by, "block"], "left"), gone_through("i", stride), f"{kinds}, i long, entry long")
 
 
 def _swept(spark: SparkSession, paths: list[str], stride: int, scan: Scan, row: Callable[[str, int, bytes], dict], need: int, schema: pa.Schema, kinds: str) -> DataFrame:
+    stride = searched(stride)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
             for x, file in _opened_rows(batches):

@@ -286,6 +286,16 @@ def test_writer_frame(spark):
     assert {r["source"]: r["n"] for r in out.collect()} == {"a": 10, "b": 1}
 
 
+def test_logs_are_built_from_sorted_batches(spark):
+    """Sources over several batches, ids in no order, a source that is null: what evtx.write_log makes of each, without a group in pandas."""
+    records = [(s, (i * 7919) % 3000, TICKS + i, bytes([i % 251]) * (i % 900)) for s in ("a", "b", None) for i in range(3000)] + [("c", 1, 1, b"")]
+    rows = spark.createDataFrame(records, "source string, record_id long, filetime long, payload binary").repartition(5)
+    found = logs_of(rows)
+    assert steps(found, "FlatMapGroupsInPandas") == 0 and steps(found, "MapInArrow") == 1
+    got = {r["source"]: bytes(r["content"]) for r in found.collect()}
+    assert got == {s: evtx.write_log(sorted(r[1:] for r in records if r[0] == s)) for s in ("a", "b", "c", None)}
+
+
 def test_repair_by_parts(spark, tmp_path):
     """Logs repaired by ranges are those repaired whole, byte for byte, and files written by parts are the parts."""
     (tmp_path / "in").mkdir()

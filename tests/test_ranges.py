@@ -189,6 +189,22 @@ def test_record_sweep_is_sequential(spark, tmp_path):
         assert got == want
 
 
+def test_small_strides_are_searched_together(spark, tmp_path, monkeypatch):
+    """A record in records in zeros, whatever is searched at once; images are read twice, and a stride is no row of its own."""
+    inner = evtx.record_bytes(7, 7, b"\x0f\x01" + bytes(90))
+    image = b"".join(evtx.record_bytes(i, i, b"\x0f\x01" + bytes(i % 300) + inner) + bytes(i % 50) for i in range(700)) + evtx.RECORD_MAGIC + b"\x1c"
+    folder = stored(tmp_path, image=image)
+    want = [(x.offset, x.record_id) for x in evtx.scan_memory(image)]
+    assert len(want) == 700 and R.searched(1000) == 1_048_000 and R.searched(1 << 26) == 1 << 26 and R.searched(24) % 24 == 0
+    for together, rows in ((1 << 20, 1), (3000, -(-len(image) // 3000)), (1, len(image) // 1000 + 1)):
+        monkeypatch.setattr(R, "SEARCHED", together)
+        found = R.sweep_records(spark, folder, stride=1000)
+        assert sorted((x["record_offset"], x["record_id"]) for x in found.collect()) == want
+        assert R.entries(spark, [folder], R.searched(1000), R.RECORD_SCAN).count() == rows
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ReusedExchange" in plan
+
+
 def test_carvers_in_one_sweep(spark, tmp_path):
     bare = evtx.chunk_bytes([evtx.record_bytes(1, 1, b"x")], 1)
     bad = bytearray(log(1, 3)[4096:])
