@@ -13,11 +13,12 @@ from logloom.operators import analytics as A
 from logloom.operators import detect as D
 from logloom.operators import integrity as I
 from logloom.operators.manifest import load_manifests, named_fields
+from logloom.plans.adapter import events as raw_events
 from logloom.plans.adapter import silver
 from logloom.plans.log_queries import _in_files, _user, _with_bytes, made_logs
 from logloom.plans.registry import query
 from logloom.plans.triage import triage
-from logloom.session import STATE_STORE, work_folder
+from logloom.session import STATE_STORE, dropped, work_folder, written
 from logloom.sinks import writers as W
 from logloom.sources import logs as L
 from logloom.sources import ranges as R
@@ -32,24 +33,35 @@ def _name() -> Column:
 @query("SELECT concat(logon_id, '.evtx') AS source, CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS n_mended, TRUE AS sound, count(*) AS n, CAST(sum(record_id) AS BIGINT) AS ids FROM evt GROUP BY logon_id, user_id")
 def evtx_repair_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs with a bit wrong in the file's header, or in the first chunk's, or nowhere, are repaired part by part, written, and
-    read again: no checksum is wrong then, and all records are there."""
-    logs = made_logs(spark, sf_dir)
-    third = _user() % 3
-    logs = _with_bytes(logs, F.when(third == 0, 0x7C).when(third == 1, 4096 + 0x78).otherwise(8).cast("int"), F.when(third < 2, "00000000").otherwise(""))
-    parts = _parts_of_files(logs)
-    mended = parts.groupBy(_name()).agg(F.count_if("mended").cast("int").alias("n_mended"))
-    folder = work_folder(spark, "repaired")
-    named = parts.select(_name(), "chunk_offset", "content")
-    W.write_parts(named, folder, order="chunk_offset").write.format("noop").mode("overwrite").save()
-    sums = F.col("code").isin("FILE_HEADER_CHECKSUM_MISMATCH", "CHUNK_CHECKSUM_MISMATCH", "RECORD_CHECKSUM_MISMATCH")
-    wrong = I.findings(R.log_ranges(spark, folder, rows="facts"), mode="carve").filter(sums).select(_name()).distinct().withColumn("wrong", F.lit(True))
-    events = R.log_ranges(spark, folder, mode="FAILFAST").groupBy(_name()).agg(F.count(F.lit(1)).alias("n"), F.sum("record_id").alias("ids"))
-    return mended.join(events, "source").join(wrong, "source", "left").select("source", "n_mended", F.col("wrong").isNull().alias("sound"), "n", "ids")
-
-
-def _parts_of_files(logs: DataFrame) -> DataFrame:
-    """The repaired parts of logs, which are written as files and read by ranges."""
-    return W.repaired_parts(logs.sparkSession, _in_files(logs, "broken", ".evtx"), chunksPerTask="8")
+    read again: no checksum is wrong then, and all records are there. Slices of the logs come one after the other, and their
+    files go when they are done with, so disk holds AT_ONCE bytes of logs twice, and not all of them."""
+    out, n = f"{work_folder(spark, 'mended')}/rows", _slices(spark, sf_dir)
+    for i in range(n):
+        logs = made_logs(spark, sf_dir, of=F.pmod(F.xxhash64("source"), F.lit(n)) == i)
+        third = _user() % 3
+        logs = _with_bytes(logs, F.when(third == 0, 0x7C).when(third == 1, 4096 + 0x78).otherwise(8).cast("int"), F.when(third < 2, "00000000").otherwise(""))
+        broken, folder = _in_files(logs, "broken", ".evtx"), work_folder(spark, "repaired")
+        named = W.repaired_parts(spark, broken, chunksPerTask="8").select(_name(), "chunk_offset", "content", "mended")
+        mended = written(W.write_parts(named, folder, order="chunk_offset", count="mended"), "counts")
+        dropped(spark, broken)
+        sums = F.col("code").isin("FILE_HEADER_CHECKSUM_MISMATCH", "CHUNK_CHECKSUM_MISMATCH", "RECORD_CHECKSUM_MISMATCH")
+        wrong = I.findings(R.log_ranges(spark, folder, rows="facts"), mode="carve").filter(sums).select(_name()).distinct().withColumn("wrong", F.lit(True))
+        events = R.log_ranges(spark, folder, columns="source string, record_id long", mode="FAILFAST").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("record_id").alias("ids"))
+        counts = mended.select(F.regexp_extract("path", "[^/]*$", 0).alias("source"), F.col("mended").cast("int").alias("n_mended"))
+        found = counts.join(events.select(_name(), "n", "ids"), "source").join(wrong, "source", "left")
+        found.select("source", "n_mended", F.col("wrong").isNull().alias("sound"), "n", "ids").write.mode("append").parquet(out)
+        dropped(spark, folder)
+    return spark.read.parquet(out)
+
+
+#: Bytes of logs that evtx_repair_parts has on disk at once, twice (as they were made, and repaired).
+AT_ONCE = 1 << 33
+
+
+def _slices(spark: SparkSession, sf_dir: str) -> int:
+    """Into how many slices, of whole logs, the logs of all users go: by their number and that of their records, each taken for a KiB."""
+    n, users = raw_events(spark, sf_dir).agg(F.count(F.lit(1)), F.approx_count_distinct("user_id")).first()
+    return max(1, -(-(users * (evtx.HEADER_BLOCK + evtx.CHUNK) + (n << 10)) // AT_ONCE))
 
 
 @query("SELECT concat(logon_id, '.evtx') AS source, octet_length(encode(string_agg(n, ',' ORDER BY n))) AS length, sha256(string_agg(n, ',' ORDER BY n)) AS sha256 FROM evt GROUP BY logon_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from logloom.operators import integrity as I
 from logloom.plans.adapter import events, silver
 from logloom.plans.registry import query
 from logloom.session import work_folder, written
-from logloom.sinks.writers import log_parts, logs_of, repaired, write_files, write_parts
+from logloom.sinks.writers import built, log_parts, logs_of, repaired, write_files, write_parts
 from logloom.sources import logs as L
 from logloom.sources import ranges as R
 
@@ -27,35 +29,29 @@ def made_logs(spark: SparkSession, sf_dir: str, templates: bool = False, of: Col
     """source, content: binary logs of the events of every user (or of sources for which `of` is true), made by our own writer.
 
     A fragment holds offsets of names and templates, so each record is encoded for the place it gets."""
-    import pandas as pd
-
     mold = binxml.Mold(_event)
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        packed, chunk, used, number, known = [], [], 0, 1, {}
+    def build(group: Iterator[tuple]) -> bytes:
+        packed, chunk, used, number, known, top = [], [], 0, 1, {}, 0
 
         def encoded(record_id: int, ticks: int, *values: str) -> bytes:
             at = evtx.RECORDS_AT + used + 24
             return evtx.record_bytes(record_id, ticks, mold.encode_template(values, at, known) if templates else mold.encode(values, at))
 
-        group = group.sort_values("record_id")
-        for r in zip(group["record_id"].tolist(), group["ts_ticks"].tolist(), group["event_id"].astype(str), group["computer"], group["user"], group["ip"], strict=True):
+        for _, *r in group:
             raw = encoded(*r)
             if evtx.RECORDS_AT + used + len(raw) > evtx.CHUNK:
                 packed.append(evtx.chunk_bytes(chunk, number))
                 number, chunk, used, known = number + len(chunk), [], 0, {}
                 raw = encoded(*r)
             chunk.append(raw)
-            used += len(raw)
+            used, top = used + len(raw), r[0]
         packed.append(evtx.chunk_bytes(chunk, number))
-        return pd.DataFrame({"source": [group["source"].iloc[0]], "content": [evtx.file_header(len(packed), int(group["record_id"].max()) + 1) + b"".join(packed)]})
+        return evtx.file_header(len(packed), top + 1) + b"".join(packed)
 
     d = F.col("data")
-    rows = silver(spark, sf_dir).select(d["TargetLogonId"].alias("source"), "record_id", "ts_ticks", "event_id", "computer", d["TargetUserName"].alias("user"), d["IpAddress"].alias("ip"))
-    rows = rows if of is None else rows.filter(of)
-    # A fixed number: few bytes, but much work, which adaptive execution would put into one task.
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source")
-    return rows.groupBy("source").applyInPandas(build, "source string, content binary")
+    rows = silver(spark, sf_dir).select(d["TargetLogonId"].alias("source"), "record_id", "ts_ticks", F.col("event_id").cast("string"), "computer", d["TargetUserName"].alias("user"), d["IpAddress"].alias("ip"))
+    return built(rows if of is None else rows.filter(of), build)
 
 
 @query("SELECT logon_id AS source, record_id, ts, CAST(event_id AS INT) AS event_id, computer, target_user FROM evt")

@@ -53,6 +53,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def dropped(spark: SparkSession, *folders: str) -> None:
+    """Delete work folders whose files nothing reads any more, before the driver's JVM ends."""
+    for folder in folders:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in a work folder, read again: its lineage ends there."""
     path = f"{work_folder(df.sparkSession, name)}/rows"

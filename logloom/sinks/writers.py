@@ -236,9 +236,10 @@ def _file_name(ending: str) -> Column:
     return F.concat(own.otherwise(F.concat(F.substring(plain, 1, 100), F.lit("-"), F.sha2("source", 256))), F.lit(ending)).alias("name")
 
 
-def write_parts(parts: DataFrame, folder: str, ending: str = "", order: str = "part") -> DataFrame:
+def write_parts(parts: DataFrame, folder: str, ending: str = "", order: str = "part", count: str | None = None) -> DataFrame:
     """path, length: a file in the folder for each source of parts (source, content, and a column they are ordered by),
-    its parts one behind the other: those of log_parts(), say, or with order="chunk_offset" of repaired_parts().
+    its parts one behind the other: those of log_parts(), say, or with order="chunk_offset" of repaired_parts(). count: a column of
+    parts that is true or false; how many of a file's parts have it true comes under its name, so parts needn't be made again for that.
 
     A file is written front to back by one task, which holds a batch of parts at a time; Spark sorts them, on disk if
     need be. Like those of write_files(), files appear whole, under the same names."""
@@ -252,29 +253,31 @@ def write_parts(parts: DataFrame, folder: str, ending: str = "", order: str = "p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = opened(folder)
         system.create_dir(inner)
-        name, out, at, length = None, None, "", 0
+        name, out, at, length, n = None, None, "", 0, 0
 
         def ended() -> pa.RecordBatch:
             out.close()
             system.move(at, os.path.join(inner, name))
-            return pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"], "length": [length]})
+            counted = {count: [n]} if count else {}
+            return pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"], "length": [length]} | counted)
 
         for b in batches:
-            for this, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
+            marks = b.column(count).to_pylist() if count else [None] * b.num_rows
+            for this, content, mark in zip(b.column("name").to_pylist(), b.column("content"), marks, strict=True):
                 if this != name:
                     if out is not None:
                         yield ended()
-                    at, length = os.path.join(inner, f".{uuid.uuid4().hex}"), 0
+                    at, length, n = os.path.join(inner, f".{uuid.uuid4().hex}"), 0, 0
                     name, out = this, system.open_output_stream(at)
                 data = content.as_buffer() or pa.py_buffer(b"")
                 out.write(data)
-                length += data.size
+                length, n = length + data.size, n + bool(mark)
         if out is not None:
             yield ended()
 
-    named = parts.select(_file_name(ending), order, "content")
-    dealt = named.repartition("name").sortWithinPartitions("name", order).select("name", "content")
-    return mapped(dealt, run, "path string, length long")
+    named = parts.select(_file_name(ending), F.col(order).alias("_order"), "content", *([count] if count else []))
+    dealt = named.repartition("name").sortWithinPartitions("name", "_order").drop("_order")
+    return mapped(dealt, run, "path string, length long" + (f", `{count}` long" if count else ""))
 
 
 def repaired(logs: DataFrame) -> DataFrame:

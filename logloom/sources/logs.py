@@ -273,8 +273,13 @@ def _leaves(tree: object) -> list[dict]:
     return [dict(zip(("name", "path", "value"), x, strict=True)) for x in binxml.leaves(tree)]
 
 
-def events_of(source: str, chunk_offset: int, content: bytes, mode: str, leaves: bool = False) -> Iterator[dict]:
-    """The silver rows of a chunk; with leaves, also all strings of each record's JSON form."""
+#: Columns of the silver table that a record's place and header give.
+PLAIN = frozenset(("source", "record_id", "ts", "ts_ticks", "seq"))
+
+
+def events_of(source: str, chunk_offset: int, content: bytes, mode: str, leaves: bool = False, plain: bool = False) -> Iterator[dict]:
+    """The silver rows of a chunk; with leaves, also all strings of each record's JSON form; with plain, only the columns in
+    PLAIN. Records are decoded in any case: those that can't be are left out, or with FAILFAST stop the query."""
     decoder = binxml.ChunkDecoder(content)
     for r in evtx.records_of(content)[2]:
         try:
@@ -284,6 +289,9 @@ def events_of(source: str, chunk_offset: int, content: bytes, mode: str, leaves:
                 raise
             continue
         ids = {"source": source, "record_id": signed(r.record_id), "ts": _time(r.filetime), "ts_ticks": signed(r.filetime), "seq": chunk_offset + r.offset}
+        if plain:
+            yield ids
+            continue
         ids |= binxml.envelope(event) | {"data": list(binxml.flattened(event).items())}
         yield ids | {"leaves": _leaves({event.name: binxml.projected(event)})} if leaves else ids
 

@@ -148,9 +148,10 @@ class LogReader(DataSourceReader):
             for source, at, content in found if self.rows == "chunks" else self._parts(partition.ranges):
                 yield pa.RecordBatch.from_pylist([{"source": source, "chunk_offset": at, "content": content}], schema=L.CHUNK_SCHEMA).select(names)
         else:
-            leaves = self.rows == "leaves"
-            rows = (r for source, at, content in found for r in L.events_of(source, at, content, self.mode, leaves))
-            yield from (b.select(names) for b in L.batched(rows, L.LEAVES_SCHEMA if leaves else L.SILVER_SCHEMA))
+            leaves, known = self.rows == "leaves", L.LEAVES_SCHEMA if self.rows == "leaves" else L.SILVER_SCHEMA
+            plain = L.PLAIN.issuperset(names)
+            rows = (r for source, at, content in found for r in L.events_of(source, at, content, self.mode, leaves, plain))
+            yield from L.batched(rows, pa.schema([known.field(n) for n in names]))
 
 
 class FilteredLogReader(LogReader):
@@ -189,11 +190,12 @@ class LogSource(DataSource):
         return (FilteredLogReader if options.get("pushdown") == "true" else LogReader)(schema, options)
 
 
-def log_ranges(spark: SparkSession, *paths: str, **options: str) -> DataFrame:
-    """What LogSource reads at the paths."""
+def log_ranges(spark: SparkSession, *paths: str, columns: str | None = None, **options: str) -> DataFrame:
+    """What LogSource reads at the paths; columns: a schema with some of its columns, if not all are needed."""
     spark.dataSource.register(LogSource)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return spark.read.format("evtx").options(**({"paths": json.dumps(list(paths)), "pushdown": pushdown} | options)).load()
+    reader = spark.read.format("evtx").options(**({"paths": json.dumps(list(paths)), "pushdown": pushdown} | options))
+    return (reader.schema(columns) if columns else reader).load()
 
 
 # ---- sweeps ----

@@ -319,6 +319,8 @@ def test_repair_by_parts(spark, tmp_path):
         assert (tmp_path / "out" / f"{name}.evtx").read_bytes() == right and done[f"{name}.evtx"] == len(raw), name
         assert counts[f"{name}.evtx"] == chunks + header, name
     assert sorted(done) == sorted(f"{n}.evtx" for n in ("sound", "head", "chunks", "size", "magic", "short"))
+    counted = writers.write_parts(named, f"file://{tmp_path}/again", order="chunk_offset", count="mended").collect()
+    assert {r["path"].rsplit("/", 1)[-1]: (r["length"], r["mended"]) for r in counted} == {name: (done[name], counts[name]) for name in done}
 
 
 def test_parts_become_one_file(spark, tmp_path):

@@ -51,6 +51,31 @@ def test_same_as_sql(spark, tables, name):
     assert got == want and want
 
 
+def test_logs_are_repaired_in_slices_that_go(spark, tables, monkeypatch):
+    """Slices of the logs give the same as all at once, and none of their files is left, nor are two slices there together."""
+    from pathlib import Path
+
+    from logloom.plans import file_queries, log_queries
+
+    folders, there, plain = [], [], file_queries.work_folder
+
+    def noted(spark, name):
+        there.append([p for p in folders if list(Path(p.removeprefix("file:")).glob("*.evtx"))])
+        folders.append(plain(spark, name))
+        return folders[-1]
+
+    monkeypatch.setattr(file_queries, "work_folder", noted)
+    monkeypatch.setattr(log_queries, "work_folder", noted)
+    monkeypatch.setattr(file_queries, "AT_ONCE", 1_300_000)
+    found = file_queries.evtx_repair_parts(spark, f"file://{tables}")
+    of_logs = [p for p in folders if "/broken-" in p or "/repaired-" in p]
+    assert len(of_logs) == 6 and not any(Path(p.removeprefix("file:")).exists() for p in of_logs) and max(map(len, there)) == 1
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tables}/events.parquet'")
+    want = db.sql(f"SELECT source, n_mended, sound, n, ids FROM ({__spark_entry__.oracle_sql()['evtx_repair_parts']})").fetchall()
+    assert sorted(map(tuple, found.select("source", "n_mended", "sound", "n", "ids").collect())) == sorted(want) and want
+
+
 def test_every_query_has_sql_or_is_known_to_have_none():
     without = set(__spark_entry__.queries()) - set(__spark_entry__.oracle_sql())
     assert {n for n in without if not n.startswith("op") and n != "pipeline"} == set()

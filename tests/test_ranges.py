@@ -83,6 +83,20 @@ def test_small_logs_share_tasks(tmp_path):
     assert [len(p.ranges) for p in R.LogReader(L.SILVER, {"path": folder, "chunkspertask": "4"}).partitions()] == [4, 4, 2]
 
 
+def test_a_schema_of_plain_columns_makes_only_those(spark, tmp_path):
+    """Without the columns that are decoded, records that can't be are left out all the same, or stop the query."""
+    broken = bytearray(log(1, 50))
+    broken[4096 + 512 + 24] = 0xAA
+    folder = stored(tmp_path, a__evtx=log(1, 120), b__evtx=bytes(broken))
+    every = R.log_ranges(spark, folder).select("source", "record_id", "ts").collect()
+    some = R.log_ranges(spark, folder, columns="source string, record_id long, ts timestamp_ntz")
+    assert some.columns == ["source", "record_id", "ts"] and sorted(some.collect()) == sorted(every) and len(every) == 169
+    row = next(L.events_of("a", 4096, log(1, 3)[4096:], "PERMISSIVE", plain=True))
+    assert set(row) == L.PLAIN
+    with pytest.raises(Exception, match="BadXml"):
+        R.log_ranges(spark, folder, columns="record_id long", mode="FAILFAST").count()
+
+
 def test_tasks_are_bounded(tmp_path, monkeypatch):
     folder = stored(tmp_path, **{f"x{i}__evtx": log(1, 120) for i in range(20)})  # three chunks each
     monkeypatch.setattr(R, "MOST_TASKS", 7)
