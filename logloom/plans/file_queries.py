@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,26 +37,39 @@ def evtx_repair_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     read again: no checksum is wrong then, and all records are there. Slices of the logs come one after the other, and their
     files go when they are done with, so disk holds AT_ONCE bytes of logs twice, and not all of them."""
     out, n = f"{work_folder(spark, 'mended')}/rows", _slices(spark, sf_dir)
-    for i in range(n):
-        logs = made_logs(spark, sf_dir, of=F.pmod(F.xxhash64("source"), F.lit(n)) == i)
-        third = _user() % 3
-        logs = _with_bytes(logs, F.when(third == 0, 0x7C).when(third == 1, 4096 + 0x78).otherwise(8).cast("int"), F.when(third < 2, "00000000").otherwise(""))
-        broken, folder = _in_files(logs, "broken", ".evtx"), work_folder(spark, "repaired")
-        named = W.repaired_parts(spark, broken, chunksPerTask="8").select(_name(), "chunk_offset", "content", "mended")
-        mended = written(W.write_parts(named, folder, order="chunk_offset", count="mended"), "counts")
-        dropped(spark, broken)
-        sums = F.col("code").isin("FILE_HEADER_CHECKSUM_MISMATCH", "CHUNK_CHECKSUM_MISMATCH", "RECORD_CHECKSUM_MISMATCH")
-        wrong = I.findings(R.log_ranges(spark, folder, rows="facts"), mode="carve").filter(sums).select(_name()).distinct().withColumn("wrong", F.lit(True))
-        events = R.log_ranges(spark, folder, columns="source string, record_id long", mode="FAILFAST").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("record_id").alias("ids"))
-        counts = mended.select(F.regexp_extract("path", "[^/]*$", 0).alias("source"), F.col("mended").cast("int").alias("n_mended"))
-        found = counts.join(events.select(_name(), "n", "ids"), "source").join(wrong, "source", "left")
-        found.select("source", "n_mended", F.col("wrong").isNull().alias("sound"), "n", "ids").write.mode("append").parquet(out)
-        dropped(spark, folder)
+    with ThreadPoolExecutor(1) as beside:
+        going = beside.submit(dropped, spark)
+        for i in range(n):
+            logs = made_logs(spark, sf_dir, of=F.pmod(F.xxhash64("source"), F.lit(n)) == i)
+            third = _user() % 3
+            logs = _with_bytes(logs, F.when(third == 0, 0x7C).when(third == 1, 4096 + 0x78).otherwise(8).cast("int"), F.when(third < 2, "00000000").otherwise(""))
+            broken = _in_files(logs, "broken", ".evtx")
+            going.result()
+            folder = work_folder(spark, "repaired")
+            named = W.repaired_parts(spark, broken, chunksPerTask="8").select(_name(), "chunk_offset", "content", "mended")
+            mended = written(W.write_parts(named, folder, order="chunk_offset", count="mended"), "counts")
+            # Many small files take a while to go: that is done beside the next step.
+            going = beside.submit(dropped, spark, broken)
+            _read_again(spark, folder, mended).write.mode("append").parquet(out)
+            going.result()
+            going = beside.submit(dropped, spark, folder)
+        going.result()
     return spark.read.parquet(out)
 
 
+def _read_again(spark: SparkSession, folder: str, mended: DataFrame) -> DataFrame:
+    """The repaired logs in a folder: whether their checksums are right, and their records; mended: what write_parts() gave."""
+    sums = F.col("code").isin("FILE_HEADER_CHECKSUM_MISMATCH", "CHUNK_CHECKSUM_MISMATCH", "RECORD_CHECKSUM_MISMATCH")
+    # Checksums are facts of files and chunks; records need no windows for them.
+    wrong = I.findings(R.log_ranges(spark, folder, rows="facts").filter("kind < 2"), mode="carve").filter(sums).select(_name()).distinct().withColumn("wrong", F.lit(True))
+    events = R.log_ranges(spark, folder, columns="source string, record_id long", mode="FAILFAST").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("record_id").alias("ids"))
+    counts = mended.select(F.regexp_extract("path", "[^/]*$", 0).alias("source"), F.col("mended").cast("int").alias("n_mended"))
+    found = counts.join(events.select(_name(), "n", "ids"), "source").join(wrong, "source", "left")
+    return found.select("source", "n_mended", F.col("wrong").isNull().alias("sound"), "n", "ids")
+
+
 #: Bytes of logs that evtx_repair_parts has on disk at once, twice (as they were made, and repaired).
-AT_ONCE = 1 << 33
+AT_ONCE = 1 << 34
 
 
 def _slices(spark: SparkSession, sf_dir: str) -> int:
