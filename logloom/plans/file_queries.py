@@ -40,7 +40,7 @@ def evtx_repair_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with ThreadPoolExecutor(1) as beside:
         going = beside.submit(dropped, spark)
         for i in range(n):
-            logs = made_logs(spark, sf_dir, of=F.pmod(F.xxhash64("source"), F.lit(n)) == i)
+            logs = made_logs(spark, sf_dir, of=F.pmod(F.xxhash64("source"), F.lit(n)) == i, streamed=True)
             third = _user() % 3
             logs = _with_bytes(logs, F.when(third == 0, 0x7C).when(third == 1, 4096 + 0x78).otherwise(8).cast("int"), F.when(third < 2, "00000000").otherwise(""))
             broken = _in_files(logs, "broken", ".evtx")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,20 +25,23 @@ def _event(event_id: str, computer: str, user: str, ip: str) -> binxml.Element:
     return binxml.Element("Event", {}, [system, binxml.Element("EventData", {}, [field("TargetUserName", user), field("IpAddress", ip)])])
 
 
-def made_logs(spark: SparkSession, sf_dir: str, templates: bool = False, of: Column | None = None) -> DataFrame:
+def made_logs(spark: SparkSession, sf_dir: str, templates: bool = False, of: Column | None = None, streamed: bool = False) -> DataFrame:
     """source, content: binary logs of the events of every user (or of sources for which `of` is true), made by our own writer.
 
-    A fragment holds offsets of names and templates, so each record is encoded for the place it gets."""
+    A fragment holds offsets of names and templates, so each record is encoded for the place it gets. streamed: from rows that
+    Spark sorts, not from a group in pandas for each log, which is much of the work where logs are many and short."""
+    import pandas as pd
+
     mold = binxml.Mold(_event)
 
-    def build(group: Iterator[tuple]) -> bytes:
+    def build(rows: Iterable[tuple]) -> bytes:
         packed, chunk, used, number, known, top = [], [], 0, 1, {}, 0
 
         def encoded(record_id: int, ticks: int, *values: str) -> bytes:
             at = evtx.RECORDS_AT + used + 24
             return evtx.record_bytes(record_id, ticks, mold.encode_template(values, at, known) if templates else mold.encode(values, at))
 
-        for _, *r in group:
+        for _, *r in rows:
             raw = encoded(*r)
             if evtx.RECORDS_AT + used + len(raw) > evtx.CHUNK:
                 packed.append(evtx.chunk_bytes(chunk, number))
@@ -49,9 +52,18 @@ def made_logs(spark: SparkSession, sf_dir: str, templates: bool = False, of: Col
         packed.append(evtx.chunk_bytes(chunk, number))
         return evtx.file_header(len(packed), top + 1) + b"".join(packed)
 
+    def grouped(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("record_id")
+        return pd.DataFrame({"source": [group["source"].iloc[0]], "content": [build(zip(*(group[c].tolist() for c in group), strict=True))]})
+
     d = F.col("data")
     rows = silver(spark, sf_dir).select(d["TargetLogonId"].alias("source"), "record_id", "ts_ticks", F.col("event_id").cast("string"), "computer", d["TargetUserName"].alias("user"), d["IpAddress"].alias("ip"))
-    return built(rows if of is None else rows.filter(of), build)
+    rows = rows if of is None else rows.filter(of)
+    if streamed:
+        return built(rows, build)
+    # A fixed number: few bytes, but much work, which adaptive execution would put into one task.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source")
+    return rows.groupBy("source").applyInPandas(grouped, "source string, content binary")
 
 
 @query("SELECT logon_id AS source, record_id, ts, CAST(event_id AS INT) AS event_id, computer, target_user FROM evt")

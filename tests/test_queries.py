@@ -76,6 +76,14 @@ def test_logs_are_repaired_in_slices_that_go(spark, tables, monkeypatch):
     assert sorted(map(tuple, found.select("source", "n_mended", "sound", "n", "ids").collect())) == sorted(want) and want
 
 
+def test_logs_are_made_alike_from_groups_and_sorted_rows(spark, tables):
+    from logloom.plans.log_queries import made_logs
+
+    for templates in (False, True):
+        one, other = ({r["source"]: bytes(r["content"]) for r in made_logs(spark, f"file://{tables}", templates, streamed=s).collect()} for s in (False, True))
+        assert one == other and len(one) == 30
+
+
 def test_every_query_has_sql_or_is_known_to_have_none():
     without = set(__spark_entry__.queries()) - set(__spark_entry__.oracle_sql())
     assert {n for n in without if not n.startswith("op") and n != "pipeline"} == set()
